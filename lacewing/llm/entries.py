@@ -1,8 +1,10 @@
 """The operators' queries and their SQL, by name."""
 
-from . import decontamination, mixing
+from . import decontamination, language_id, mixing, quality
 
 QUERIES = {
+    "op2_language_id": language_id.op2_language_id,
+    "op3_quality": quality.op3_quality,
     "op5_decontamination": decontamination.op5_decontamination,
     "op7_mixing": mixing.op7_mixing,
 }
