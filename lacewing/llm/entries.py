@@ -1,10 +1,11 @@
 """The operators' queries and their SQL, by name."""
 
-from . import decontamination, language_id, mixing, quality
+from . import decontamination, language_id, mixing, quality, toxicity
 
 QUERIES = {
     "op2_language_id": language_id.op2_language_id,
     "op3_quality": quality.op3_quality,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_decontamination": decontamination.op5_decontamination,
     "op7_mixing": mixing.op7_mixing,
 }
