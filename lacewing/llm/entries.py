@@ -1,6 +1,6 @@
 """The operators' queries and their SQL, by name."""
 
-from . import decontamination, language_id, mixing, quality, toxicity
+from . import decontamination, language_id, mixing, quality, simhash, toxicity
 
 QUERIES = {
     "op2_language_id": language_id.op2_language_id,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_decontamination": decontamination.op5_decontamination,
     "op7_mixing": mixing.op7_mixing,
+    "op8_simhash": simhash.op8_simhash,
 }
 SQL = {
     "op5_decontamination": decontamination.ORACLE,
