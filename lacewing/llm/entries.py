@@ -1,6 +1,6 @@
 """The operators' queries and their SQL, by name."""
 
-from . import decontamination, language_id, lines, mixing, quality, simhash, toxicity
+from . import decontamination, language_id, lines, mixing, quality, simhash, toxicity, warc
 
 QUERIES = {
     "op2_language_id": language_id.op2_language_id,
@@ -9,9 +9,11 @@ QUERIES = {
     "op5_decontamination": decontamination.op5_decontamination,
     "op7_mixing": mixing.op7_mixing,
     "op8_simhash": simhash.op8_simhash,
+    "op9_warc": warc.op9_warc,
     "op10_line_dedup": lines.op10_line_dedup,
 }
 SQL = {
     "op5_decontamination": decontamination.ORACLE,
     "op7_mixing": mixing.ORACLE,
+    "op9_warc": warc.ORACLE,
 }
