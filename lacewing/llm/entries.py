@@ -1,12 +1,13 @@
 """The operators' queries and their SQL, by name."""
 
-from . import decontamination, language_id, lines, mixing, quality, simhash, toxicity, warc
+from . import decontamination, embeddings, language_id, lines, mixing, quality, simhash, toxicity, warc
 
 QUERIES = {
     "op2_language_id": language_id.op2_language_id,
     "op3_quality": quality.op3_quality,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_decontamination": decontamination.op5_decontamination,
+    "op6_embeddings": embeddings.op6_embeddings,
     "op7_mixing": mixing.op7_mixing,
     "op8_simhash": simhash.op8_simhash,
     "op9_warc": warc.op9_warc,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 SQL = {
     "op5_decontamination": decontamination.ORACLE,
+    "op6_embeddings": embeddings.ORACLE,
     "op7_mixing": mixing.ORACLE,
     "op9_warc": warc.ORACLE,
 }
