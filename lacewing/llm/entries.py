@@ -1,8 +1,9 @@
 """The operators' queries and their SQL, by name."""
 
-from . import decontamination, embeddings, language_id, lines, mixing, quality, simhash, toxicity, warc
+from . import decontamination, embeddings, language_id, lines, mixing, quality, simhash, substrings, toxicity, warc
 
 QUERIES = {
+    "op1_substrings": substrings.op1_substrings,
     "op2_language_id": language_id.op2_language_id,
     "op3_quality": quality.op3_quality,
     "op4_toxicity": toxicity.op4_toxicity,
