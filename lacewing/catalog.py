@@ -1,5 +1,10 @@
 """Queries by name, with the SQL that checks them."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from .plans import prices
+
+PARTS = (prices,)
+QUERIES: dict = {name: query for part in PARTS for name, query in part.QUERIES.items()}
+SQL: dict = {name: sql for part in PARTS for name, sql in part.SQL.items()}
 FLAGSHIP = "price_selection"
