@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import prices
+from .plans import catalogue, prices
 
-PARTS = (prices,)
+PARTS = (prices, catalogue)
 QUERIES: dict = {name: query for part in PARTS for name, query in part.QUERIES.items()}
 SQL: dict = {name: sql for part in PARTS for name, sql in part.SQL.items()}
 FLAGSHIP = "price_selection"
