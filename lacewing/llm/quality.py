@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import remainder, steps, string_bytes, table
+from .common import remainder, steps, stored, string_bytes, table
 
 #: What a fit sees at most: labelled documents of each class, chunks of a document (spread over all of it).
 PER_CLASS, CHUNKS = 1200, 8
@@ -104,13 +104,16 @@ class Network:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int], modulo: int, left: int) -> DataFrame:
-    """(text, label) of a bounded sample: label rows whose crc32(doc_id) mod `modulo` isn't `left`, of each class the
+    """(text, label, nth) of a bounded sample: label rows whose crc32(doc_id) mod `modulo` isn't `left`, of each class the
     `most[class]` least by hash. Only those ids, a proven bound, are broadcast to the documents."""
     order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where((remainder("doc_id", modulo) != left) & F.col("label").isin(*most)).distinct()
     bound = F.element_at(F.create_map(*[F.lit(x) for pair in most.items() for x in pair]), F.col("label"))
     some = known.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= max(most.values())).where(F.col("nth") <= bound)
-    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").orderBy("label", "nth").limit(2 * sum(most.values())).select("text", "label")
+    rows = stored(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id"), "sample")
+    if rows.count() > 2 * sum(most.values()):  # ids that repeat
+        rows = rows.orderBy("label", "nth").limit(2 * sum(most.values()))
+    return rows.select("text", "label", "nth")
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Network:
@@ -120,9 +123,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Netwo
     rows = labelled(docs, labels, "quality", {0: per_class, 1: per_class}, 4, 2)
     spread = F.array(*[F.substring(F.col("text"), (F.length("text") * (i / CHUNKS)).cast("int") + 1, F.lit(CHUNK)) for i in range(CHUNKS)])
     whole = F.array(F.col("text"))
-    got = rows.select("label", F.when(F.length("text") > CHUNK * CHUNKS, spread).otherwise(whole).alias("pieces")).collect()
+    got = rows.select("label", "nth", F.when(F.length("text") > CHUNK * CHUNKS, spread).otherwise(whole).alias("pieces")).collect()
     network, seen, label = Network(), [], []
-    for r in got:
+    for r in sorted(got, key=lambda r: (r.label, r.nth)):
         data, off = string_bytes(pa.array([p or "" for p in r.pieces], pa.string()))
         seen.append(chunks_of(data, off)[0])
         label.append(r.label)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,11 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remainder, span_hashes, steps, string_bytes, table, word_spans
+from .common import mix, remainder, span_hashes, steps, string_bytes, table, word_spans
 from .quality import labelled
 
 #: What a fit sees at most: labelled documents of each class (clean, toxic) and characters of one (longer ones are left out of the fit).
-CLEAN, TOXIC, FIT_CHARS = 6000, 1500, 30_000
+CLEAN, TOXIC, FIT_CHARS = 3000, 800, 20_000
+FIT_STEP = 256 << 10
 THRESHOLD = 0.5
 #: Lengths in bytes of the word beginnings that may become insults; 0 is the whole word.
 STEMS = (4, 5, 6, 7, 8, 0)
@@ -181,31 +182,48 @@ def learn_lexicon(texts: list[str], toxic: np.ndarray) -> dict[int, dict[int, fl
     candidate must stand in three such groups, and be rare by chance: (toxic share)^count below one over the number of
     candidates, where each different word of a group counts.
     """
-    seen = {k: (defaultdict(set), defaultdict(set)) for k in STEMS}
+    words = []
     groups: tuple[set, set] = (set(), set())
     for text, bad in zip(texts, toxic):
         data, starts, ends, _, _ = tokens(pa.array([text]))
-        if not len(starts):
-            continue
-        whole = span_hashes(data, starts, ends)
-        group = int(whole.min())
-        groups[bad].add(group)
-        for k in STEMS:
-            which, keys = keys_of(data, starts, ends, k)
-            for key, word in set(zip(keys.tolist(), whole[which].tolist())):
-                seen[k][bad][key].add((group, word))
+        if len(starts):
+            whole, once = np.unique(span_hashes(data, starts, ends), return_index=True)
+            groups[bad].add(int(whole[0]))
+            words.append((data, starts[once].astype(np.int32), ends[once].astype(np.int32), bool(bad)))
     n_bad, n_clean = len(groups[1]), len(groups[0])
     if not n_bad or not n_clean:
         return {}
-    chance = math.log(n_bad / (n_bad + n_clean))
-    candidates = sum(len(v[1]) for v in seen.values())
+    chance, found, candidates = math.log(n_bad / (n_bad + n_clean)), [], 0
+    for k in STEMS:
+        keys, owner, word = [], [], []
+        for data, starts, ends, _ in words:
+            whole = span_hashes(data, starts, ends)
+            which, key = keys_of(data, starts, ends, k)
+            keys.append(key)
+            owner.append(np.full(len(key), whole[0]))
+            word.append(whole[which])
+        bad = np.repeat([w[3] for w in words], [len(x) for x in keys])
+        keys, owner, word = (np.concatenate(x) for x in (keys, owner, word))
+        suspect = np.unique(keys[bad])
+        candidates += len(suspect)
+        at = np.minimum(np.searchsorted(suspect, keys), max(0, len(suspect) - 1))
+        mine = suspect[at] == keys if len(suspect) else np.zeros(0, bool)
+        at, owner, word, bad = at[mine], owner[mine], word[mine], bad[mine]
+
+        def distinct(*what: np.ndarray) -> np.ndarray:
+            """For each suspect, how many different tuples it has."""
+            tag = mix(sum(mix(x.astype(np.uint64) + np.uint64(i)) for i, x in enumerate(what)))
+            _, first = np.unique(tag, return_index=True)
+            return np.bincount(what[0][first], minlength=len(suspect))
+
+        own, other, pairs = distinct(at[bad], owner[bad]), distinct(at[~bad], owner[~bad]), distinct(at[bad], owner[bad], word[bad])
+        weight = np.log((own + 0.5) / (n_bad + 1)) - np.log((other + 0.5) / (n_clean + 1))
+        good = np.flatnonzero((own >= 3) & (other <= 0.02 * own) & (weight > 2))
+        found += [(k, int(suspect[i]), float(weight[i]), int(pairs[i])) for i in good]
     out: dict[int, dict[int, float]] = {}
-    for k, (clean, bad) in seen.items():
-        for key, own in bad.items():
-            n, other, pairs = len({g for g, _ in own}), len({g for g, _ in clean.get(key, ())}), len(own)
-            weight = math.log((n + 0.5) / (n_bad + 1)) - math.log((other + 0.5) / (n_clean + 1))
-            if n >= 3 and pairs * chance < -math.log(candidates) and other <= 0.02 * n and weight > 2:
-                out.setdefault(k, {})[key] = weight
+    for k, key, weight, pairs in found:
+        if pairs * chance < -math.log(candidates):
+            out.setdefault(k, {})[key] = weight
     return out
 
 
@@ -223,12 +241,20 @@ def learn_weights(features: np.ndarray, toxic: np.ndarray, rounds: int = 400) ->
 def fit(docs: DataFrame, labels: DataFrame, clean: int = CLEAN, toxic: int = TOXIC) -> Model:
     """A model from labels whose crc32(doc_id) mod 5 isn't 0: at most `clean` and `toxic` documents, the least by hash, none over
     FIT_CHARS. Labels other than 0 and 1 are ignored; with no labels the seed words and the prior stand alone."""
-    rows = labelled(docs.where(F.length("text") <= FIT_CHARS), labels, "toxic", {0: clean, 1: toxic}, 5, 0).collect()
-    texts, label = [r.text for r in rows], np.array([r.label for r in rows], int)
+    rows = labelled(docs.where(F.length("text") <= FIT_CHARS), labels, "toxic", {0: clean, 1: toxic}, 5, 0)
+    raw = rows.repartition(1).mapInArrow(_fitted, "model binary").first()["model"]
+    return Model(*pickle.loads(raw))
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lexicon and weights from the bounded sample, which one task holds."""
+    rows = sorted(((label, nth, text) for batch in batches for text, label, nth in zip(*(c.to_pylist() for c in batch.columns))), key=lambda r: r[:2])
+    texts, label = [r[2] for r in rows], np.array([r[0] for r in rows], int)
     lexicon = learn_lexicon(texts, label)
     model = Model(lexicon, PRIOR, PRIOR_BIAS)
-    features = model.features(pa.array(texts, pa.string()))[0] if texts else np.zeros((0, len(KINDS)))
-    return Model(lexicon, *learn_weights(features, label))
+    whole = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    features = np.concatenate([np.zeros((0, len(KINDS))), *(model.features(step.column(0))[0] for step in steps(whole, "text", FIT_STEP))])
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((lexicon, *learn_weights(features, label)))], pa.binary())], names=["model"])
 
 
 def assess(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
