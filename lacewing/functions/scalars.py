@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def collapse(text: Column) -> Column:
@@ -26,7 +27,7 @@ def name_key(text: Column, aliases: dict[str, str] | None = None) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair]), key), key)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def name_key_unicode(text: pd.Series) -> pd.Series:
     """The key for any script: compatibility form, collapsed, case-folded."""
     return text.map(lambda x: " ".join(unicodedata.normalize("NFKC", x).split()).casefold() if x is not None else None)
