@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import urllib.parse
 import uuid
 import zlib
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh_path, stored, table
@@ -55,10 +57,8 @@ def record(page: int | None, url: str | None, payload: bytes, digest: str, refer
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        payload = [(x or "").encode() for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(p) for p in payload], pa.int64()), pa.array([base32_sha1(p) for p in payload])], names=["page_id", "payload_bytes", "payload_digest"])
+def sha1_hex() -> Column:
+    return F.sha1(F.coalesce("html", F.lit("")).cast("binary"))
 
 
 def write_archives(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
@@ -73,27 +73,23 @@ def write_archives(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES
     """
     spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    sums = stored(rows.select("page_id", "html").mapInArrow(_digests, "page_id long, payload_bytes long, payload_digest string"), "digests")
+    size = F.coalesce(F.octet_length("html"), F.lit(0)).cast("long")
+    sums = stored(rows.select("page_id", size.alias("payload_bytes"), sha1_hex().alias("same")), "digests")
     total = sums.agg(F.sum("payload_bytes"), F.count("*")).first()
     shards = max(1, -(-int(total[0] or 0) // shard_bytes))
-    equal = sums.where(F.col("payload_bytes") >= revisit_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n"))
-    equal = stored(equal.where("n > 1 and response is not null").select("payload_digest", "response"), "equal")
+    equal = sums.where(F.col("payload_bytes") >= revisit_bytes).groupBy("same").agg(F.max("page_id").alias("response"), F.count("*").alias("n"))
+    equal = stored(equal.where("n > 1 and response is not null").select("same", "response"), "equal")
     key = F.struct(F.coalesce("url", F.lit("")).alias("url"), F.coalesce("page_id", F.lit(-1)).alias("page"))
     every = max(1, int(total[1]) // (shards * PER_BOUND))
     sample = sorted((r.url, r.page) for r in rows.where(F.pmod(F.xxhash64("url", "page_id"), F.lit(every)) == 0).select(key.alias("k")).select("k.*").collect()) if shards > 1 else []
     bounds = [sample[len(sample) * i // shards] for i in range(1, shards)] if sample else []
 
-    def prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import bisect
+    @F.pandas_udf("int")
+    def shard_of(url: pd.Series, page: pd.Series) -> pd.Series:
+        return pd.Series([bisect.bisect_right(bounds, k) for k in zip(url, page)], dtype="int32")
 
-        for batch in batches:
-            ids, urls = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            digest = [base32_sha1((x or "").encode()) for x in batch.column(2).to_pylist()]
-            shard = [bisect.bisect_right(bounds, (u or "", -1 if i is None else i)) for i, u in zip(ids, urls)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digest), pa.array(shard, pa.int32())], names=["page_id", "url", "html", "digest", "shard"])
-
-    dealt = rows.mapInArrow(prepared, "page_id long, url string, html string, digest string, shard int")
-    dealt = dealt.join(bounded(equal), dealt.digest == equal.payload_digest, "left").drop("payload_digest")
+    dealt = rows.select("page_id", "url", "html", sha1_hex().alias("digest"), shard_of(F.coalesce("url", F.lit("")), F.coalesce("page_id", F.lit(-1))).alias("shard"))
+    dealt = dealt.join(bounded(equal), dealt.digest == equal.same, "left").drop("same")
     ordered = dealt.repartition(shards, "shard").sortWithinPartitions("shard", F.coalesce("url", F.lit("")), F.coalesce("page_id", F.lit(-1)), "digest")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,13 +104,14 @@ def write_archives(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES
                 done.append(at)
 
         for batch in batches:
-            for page, url, html, digest, shard, response in zip(*(c.to_pylist() for c in batch.columns)):
+            for page, url, html, sha1, shard, response in zip(*(c.to_pylist() for c in batch.columns)):
                 if at is None or at[0] != shard or at[4] >= file_bytes:
                     close()
                     part = at[1] + 1 if at is not None and at[0] == shard else 0
                     name = f"shard-{shard:05d}-{part:04d}.warc.gz"
                     at = [shard, part, name, 0, 0, f"_temporary/{name}.{attempt}"]
                     out = store.open_output_stream(f"{base}/{at[5]}", compression=None)
+                digest = base64.b32encode(bytes.fromhex(sha1)).decode()
                 raw = compress(record(page, url, (html or "").encode(), digest, response, response is not None and response != page))
                 out.write(raw)
                 at[3] += 1
@@ -143,15 +140,18 @@ def write_archives(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES
     return spark.read.parquet(f"{folder}/manifest")
 
 
-def records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each gzip member of a file."""
-    while content:
-        d = zlib.decompressobj(31)
-        raw = d.decompress(content) + d.flush()
-        content = d.unused_data
+def records(content: bytes, chunk: int = 64 << 10) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of each gzip member of a file; what follows a member is at most a chunk, never the rest of the file."""
+    view, at = memoryview(content), 0
+    while at < len(view):
+        d, parts = zlib.decompressobj(31), []
+        while not d.eof and at < len(view):
+            piece = view[at : at + chunk]
+            parts.append(d.decompress(piece))
+            at += len(piece) - len(d.unused_data)
+        raw = b"".join(parts)
         head, _, rest = raw.partition(b"\r\n\r\n")
-        lines = head.decode().split("\r\n")
-        headers = dict(x.split(": ", 1) for x in lines[1:])
+        headers = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
         yield headers, rest[: int(headers["Content-Length"])]
 
 
