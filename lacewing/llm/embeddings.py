@@ -138,7 +138,7 @@ class Graph:
 
     def near(self, q: np.ndarray, least: float, beam: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(query, node) pairs found at similarity `least` or more. A beam that fills up with such nodes is widened for its
-        query until it doesn't; `own` is each query's own node, where it has one, and starts its search."""
+        query until it doesn't, or is as wide as the graph; `own` is each query's own node, where it has one, and starts its search."""
         pairs = []
         for lo in range(0, len(q), LOCKSTEP):
             part = np.arange(lo, min(len(q), lo + LOCKSTEP))
@@ -154,6 +154,10 @@ class Graph:
                 r, c = np.nonzero((sims >= least) & (ids >= 0) & ~full[:, None])
                 pairs.append((part[r], ids[r, c]))
                 part, at, width = part[full], ids[full], width * 4
+                if len(part) and 4 * width >= len(self.x):  # as wide as the graph: all nodes
+                    r, c = np.nonzero(q[part] @ self.x.T >= least)
+                    pairs.append((part[r], c))
+                    break
         return tuple(np.concatenate(v) for v in zip(*pairs)) if pairs else (np.zeros(0, int), np.zeros(0, int))
 
     def audited(self, q: np.ndarray, least: float, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
