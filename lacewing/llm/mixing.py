@@ -49,13 +49,14 @@ def mixing_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float
 
     Null text has size 0; null source is a source of its own. A source of size 0 has target 0 and rate 0. Rows
     with the same doc_id draw alike. The table of targets has a row a source, is stored, and Spark
-    broadcasts it only if it is small; the join is split where a source is hot. An empty table gives no rows.
+    broadcasts it only if it is small; the join is split where a source is hot. An empty table gives no rows. Columns of `docs`
+    with the names added here are replaced.
     """
     docs = docs.drop("size", "source_size", "target", "n_copies")
     targets = stored(source_targets(docs.select("source", word_count(F.col("text")).alias("size")), weights, most), "targets")
-    t = targets.withColumnRenamed("source", "target_source")
+    t = targets.withColumnRenamed("source", "_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    joined = docs.join(t, docs.source.eqNullSafe(t.target_source)).drop("target_source")
+    joined = docs.join(t, docs.source.eqNullSafe(t["_source"])).drop("_source")
     return joined.withColumn("size", word_count(F.col("text"))).withColumn("n_copies", copies(F.col("doc_id"), rate, seed))
 
 
