@@ -17,6 +17,10 @@ N_CHARS, THRESHOLD, BANDS, ROWS = 8, 0.8, 7, 3
 LONG, SAMPLE = 160, 4
 #: Rows that a side of a join may have to be broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 500_000
+#: Buckets of at most so many lines compare each line with each.
+SMALL = 64
+#: Leaders go on while a round settles more than the rest of this share.
+LEAST_SETTLED = 0.67
 
 _RNG = random.Random(17)
 _PIVOTS = [_RNG.getrandbits(63) for _ in range(BANDS * ROWS)]
@@ -38,7 +42,7 @@ def line_rows(docs: DataFrame, *more: Column) -> DataFrame:
     return rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("id", F.xxhash64("line"))
 
 
-def shingle_count(line: str = "line", n: int = N_CHARS) -> Column:
+def shingle_count(line: Column | str = "line", n: int = N_CHARS) -> Column:
     return F.greatest(F.length(line) - F.lit(n - 1), F.lit(1))
 
 
@@ -71,49 +75,65 @@ def similarity(a: Column, b: Column) -> Column:
     return shared / (F.size(a) + F.size(b) - shared)
 
 
-def shingle_set(line: str, n: int = N_CHARS) -> Column:
-    """All distinct shingle hashes of a line; a line shorter than n is one shingle."""
-    points = F.encode(line, "UTF-32")
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), shingle_count(line, n) - 1), lambda i: F.xxhash64(F.substring(points, i * 4 + 1, F.lit(4 * n)))))
+def shingle_set(line: Column | str, n: int = N_CHARS) -> Column:
+    """All distinct shingle hashes of a line; a line shorter than n is one shingle. Its code points are bound once, as the
+    only element of an array, or each shingle would encode the line anew."""
+    every = F.sequence(F.lit(0), shingle_count(line, n) - 1)
+    one = F.transform(F.array(F.encode(line, "UTF-32")), lambda points: F.array_distinct(F.transform(every, lambda i: F.xxhash64(F.substring(points, i * 4 + 1, F.lit(4 * n))))))
+    return F.element_at(one, 1)
 
 
-def similar_lines(docs: DataFrame, n: int = N_CHARS, threshold: float = THRESHOLD) -> DataFrame:
+def verified(pairs: DataFrame, text: DataFrame, n: int, threshold: float) -> DataFrame:
+    """The (u, v) of `pairs` whose lines have the similarity, from all their shingles."""
+    left = text.select(F.col("id").alias("u"), F.col("line").alias("left_line"))
+    right = text.select(F.col("id").alias("v"), F.col("line").alias("right_line"))
+    texts = stored(pairs.join(left, "u"), "left").join(right, "v")
+    return stored(texts.where(similarity(shingle_set("left_line", n), shingle_set("right_line", n)) >= threshold).select("u", "v"), "verified")
+
+
+def within(rows: DataFrame, n: int, threshold: float) -> DataFrame:
+    """The (u, v) of lines of (key, id, line) that share a bucket and have the similarity. Buckets are small, a row each; a line's
+    shingles are made once a bucket and every two sets are intersected."""
+    held = rows.groupBy("key").agg(F.collect_list(F.struct("id", "line")).alias("lines"))
+    sets = F.transform("lines", lambda x: F.struct(x["id"].alias("id"), shingle_set(x["line"], n).alias("grams")))
+    alike = lambda a, b: (b["id"] < a["id"]) & (F.least(F.size(a["grams"]), F.size(b["grams"])) >= threshold * F.greatest(F.size(a["grams"]), F.size(b["grams"]))) & (similarity(a["grams"], b["grams"]) >= threshold)
+    pairs = F.transform(F.array(sets), lambda g: F.flatten(F.transform(g, lambda a: F.transform(F.filter(g, lambda b: alike(a, b)), lambda b: F.struct(a["id"].alias("u"), b["id"].alias("v"))))))
+    return held.select(F.explode(F.element_at(pairs, 1)).alias("p")).select("p.u", "p.v").distinct()
+
+
+def similar_lines(docs: DataFrame, n: int = N_CHARS, threshold: float = THRESHOLD, small: int = SMALL) -> DataFrame:
     """(u, v) of line hashes whose lines are similar, enough to join all that a band brings together.
 
-    In each bucket of a band the least line leads, and every other is compared with it, exactly, on all its
-    shingles. Lines that no leader of their bucket is similar to elect the next one, which all of the bucket are compared with,
-    until none is left: no pairs within a bucket are listed, and none of its lines is dropped.
+    A bucket of at most `small` lines compares each with each. In a larger one the least line leads, and every other is
+    compared with it; lines that no leader of their bucket is similar to elect the next one, which all of the bucket are
+    compared with. So a large bucket of similar lines never lists its pairs. Where a leader no longer settles a third of
+    what is left, the lines that are left are unlike each other, and each is compared with all of its bucket. All comparisons
+    are exact, and no line is dropped.
     """
     lines = line_rows(docs).groupBy("id").agg(F.min("line").alias("line"))
     bands = stored(signatures(lines, n), "bands").select("id", F.explode("keys").alias("key"))
-    shared = stored(bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key"), "shared")
-    rows = stored(bands.join(bounded(shared), "key").distinct(), "buckets")
-    wanted = stored(rows.select("id").distinct(), "wanted")
+    shared = stored(bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
+    buckets = stored(bands.join(bounded(shared), "key").select("key", "id", "size"), "buckets")
+    wanted = stored(buckets.select("id").distinct(), "wanted")
     text = stored(line_rows(docs).join(bounded(wanted), "id", "left_semi").groupBy("id").agg(F.min("line").alias("line")), "text")
-    known = None
-    waiting = rows
-    for _ in range(1000):
+    few = buckets.where(F.col("size") <= small).select("key", "id").join(text, "id")
+    known = stored(within(few, n, threshold), "within")
+    waiting = rows = buckets.where(F.col("size") > small).select("key", "id")
+    left = waiting.count()
+    while left:
         leaders = stored(waiting.groupBy("key").agg(F.min("id").alias("leader")), "leaders")
         faced = stored(rows.join(leaders, "key"), "faced")
-        pairs = stored(faced.where("id <> leader").select("id", "leader").distinct(), "pairs")
-        if pairs.isEmpty():
-            break
-        left = text.withColumnRenamed("line", "left_line")
-        right = text.select(F.col("id").alias("leader"), F.col("line").alias("right_line"))
-        with_left = stored(pairs.join(left, "id"), "left")
-        texts = with_left.join(right, "leader")
-        a, b = (shingle_set(c, n) for c in ("left_line", "right_line"))
-        checked = stored(texts.select("id", "leader", (similarity(a, b) >= threshold).alias("similar")), "checked")
-        good = checked.where("similar").select("id", "leader")
-        known = good if known is None else known.union(good)
-        done = faced.join(good, ["id", "leader"], "left_semi").select("key", "id").union(leaders.select("key", F.col("leader").alias("id")))
+        good = verified(faced.where("id <> leader").select(F.col("id").alias("u"), F.col("leader").alias("v")).distinct(), text, n, threshold)
+        known = known.union(good)
+        done = faced.join(good, (faced.id == good.u) & (faced.leader == good.v), "left_semi").select("key", "id").union(leaders.select("key", F.col("leader").alias("id")))
         waiting = stored(waiting.join(done, ["key", "id"], "left_anti"), "waiting")
-        # a leader has met all of its bucket
-        rows = stored(rows.join(leaders, (rows.key == leaders.key) & (rows.id == leaders.leader), "left_anti"), "buckets")
-        if waiting.isEmpty():
+        rows = faced.where("id <> leader").select("key", "id")
+        before, left = left, waiting.count()
+        if left > LEAST_SETTLED * before:
+            pairs = waiting.select("key", F.col("id").alias("u")).join(rows.withColumnRenamed("id", "v"), "key").where("u <> v")
+            known = known.union(verified(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), text, n, threshold))
             break
-    spark = docs.sparkSession
-    return (spark.createDataFrame([], "id long, leader long") if known is None else known).toDF("u", "v")
+    return known
 
 
 def dedup_lines(docs: DataFrame, n: int = N_CHARS, threshold: float = THRESHOLD) -> DataFrame:
@@ -121,7 +141,7 @@ def dedup_lines(docs: DataFrame, n: int = N_CHARS, threshold: float = THRESHOLD)
 
     Lines are what '\\n' separates, compared as they stand. Equal lines, and those linked by a character-shingle Jaccard
     similarity of `threshold` or more, form a component, and the one first by (doc_id, position) stays; null ids
-    come last. Blank lines stay. Null and empty texts are unchanged. A text that loses all its lines is empty.
+    come last. Columns of `docs` named n_lines or n_removed are replaced. Blank lines stay. Null and empty texts are unchanged. A text that loses all its lines is empty.
     """
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     found = components(similar_lines(docs, n, threshold), "lines")
@@ -130,12 +150,12 @@ def dedup_lines(docs: DataFrame, n: int = N_CHARS, threshold: float = THRESHOLD)
     place = F.struct("last", "doc", "row", "pos")
     first = stored(named.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("size")).where("size > 1").select("id", F.col("first.row").alias("first_row"), F.col("first.pos").alias("first_pos")), "first")
     gone = named.join(bounded(first), "id").where("row <> first_row or pos <> first_pos")
-    removed = stored(gone.groupBy("row").agg(F.collect_set("pos").alias("gone")), "removed")
+    removed = stored(gone.groupBy(F.col("row").alias("_row")).agg(F.collect_set("pos").alias("_gone")), "removed")
     lines = F.split("text", "\n", -1)
-    kept = F.filter(lines, lambda _, i: ~F.array_contains(F.col("gone"), i))
-    joined = docs.select(*columns, row_key().alias("row")).join(bounded(removed), "row", "left")
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    counted = joined.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))).withColumn("n_removed", F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")))
+    kept = F.filter(lines, lambda _, i: ~F.array_contains(F.col("_gone"), i))
+    joined = docs.select(*columns, row_key().alias("_row")).join(bounded(removed), "_row", "left")
+    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    counted = joined.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))).withColumn("n_removed", F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")))
     return counted.withColumn("text", text).select(*columns, "n_lines", "n_removed")
 
 

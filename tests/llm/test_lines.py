@@ -44,12 +44,14 @@ def test_against_brute_force(spark):
                 line = line[:at] + word()[:2] + line[at + 2 :]
             own.append(line)
         rows.append((i, "\n".join(own)))
-    df = spark.createDataFrame([(i, t, 1, "c") for i, t in rows], "doc_id long, text string, pos int, line string")
+    df = spark.createDataFrame([(i, t, 1, "c", 2) for i, t in rows], "doc_id long, text string, pos int, line string, row int")
     out = li.dedup_lines(df)
     assert out.columns == [*df.columns, "n_lines", "n_removed"]
     key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
     got = sorted([(r.doc_id, r.text) for r in out.collect()], key=key)
     assert got == sorted(brute(rows), key=key)
+    links = lambda small: sorted(map(tuple, li.components(li.similar_lines(df, small=small), "t").collect()))
+    assert links(0) == links(64)
     assert li.dedup_lines(df.limit(0)).count() == 0
 
 
