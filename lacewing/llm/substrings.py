@@ -13,14 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import gram_hashes, mix, span_hashes, steps, stored, string_bytes, table, word_spans
-from .lines import bounded, row_key
+from .lines import row_key
 
 #: Words of a window; of an anchor; of a symbol in an index (a window is a whole number of symbols).
 WINDOW, ANCHOR, SYMBOL = 35, 8, 5
 #: Windows of a run at most; words of a shard; different runs of an anchor above which its windows are counted by hash.
 RUN, SHARD_WORDS, ANCHOR_RUNS = 28, 1_000_000, 1000
-#: Rows that a side of a join may have to be broadcast.
-BROADCAST_ROWS = 1_000_000
 
 
 # --- the index ---------------------------------------------------------------------------------------
@@ -233,23 +231,22 @@ def repeated(docs: DataFrame, anchor_runs: int = ANCHOR_RUNS, shard_words: int =
     texts = docs.select(row_key().alias("row"), "text")
     runs = stored(texts.mapInArrow(_runs, "anchor long, run long, row long, start int, n int"), "runs")
     shared = stored(runs.groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
-    found = stored(runs.join(bounded(shared, BROADCAST_ROWS), "anchor"), "found")
+    found = stored(runs.join(shared, "anchor"), "found")
     kinds = found.groupBy("anchor", "run", "n").agg(F.count("*").alias("copies"), F.min(F.struct("row", "start")).alias("first"))
     kinds = stored(kinds.select("anchor", "run", "n", "copies", F.col("first.row").alias("row"), F.col("first.start").alias("start")), "kinds")
     listed = kinds.groupBy("row").agg(F.collect_list(F.struct("start", "n", "anchor", "run", "copies")).alias("listed"))
     listed = stored(listed, "listed")
-    total = kinds.agg(F.count("*"), F.sum(F.col("n") + WINDOW - 1)).first()
-    small = F.broadcast(listed) if total[0] <= BROADCAST_ROWS else listed
-    cut = texts.join(small, "row").select("text", "listed").mapInArrow(_cut, "anchor long, run long, copies long, n int, words binary")
+    total = kinds.agg(F.sum(F.col("n") + WINDOW - 1)).first()[0]
+    cut = texts.join(listed, "row").select("text", "listed").mapInArrow(_cut, "anchor long, run long, copies long, n int, words binary")
     cut = stored(cut, "cut")
     hot = stored(kinds.groupBy("anchor").count().where(F.col("count") > anchor_runs).select("anchor"), "hot")
-    shards = max(1, -(-int(total[1] or 0) // shard_words), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    masks = cut.join(bounded(hot, BROADCAST_ROWS), "anchor", "left_anti").repartition(shards, "anchor").mapInArrow(_search, "run long, mask long")
-    windows = stored(cut.join(bounded(hot, BROADCAST_ROWS), "anchor", "left_semi").select("anchor", "run", "copies", "n", "words").mapInArrow(_windows, "run long, at int, hash long, copies long"), "windows")
+    shards = max(1, -(-int(total or 0) // shard_words), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    masks = cut.join(hot, "anchor", "left_anti").repartition(shards, "anchor").mapInArrow(_search, "run long, mask long")
+    windows = stored(cut.join(hot, "anchor", "left_semi").select("anchor", "run", "copies", "n", "words").mapInArrow(_windows, "run long, at int, hash long, copies long"), "windows")
     twice = stored(windows.groupBy("hash").agg(F.sum("copies").alias("places")).where("places > 1").select("hash"), "twice")
     counted = windows.join(twice, "hash").groupBy("run").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask"))
     known = stored(masks.union(counted), "masks")
-    spots = found.select("run", "row", "start").join(bounded(known, BROADCAST_ROWS), "run")
+    spots = found.select("run", "row", "start").join(known, "run")
     return stored(spots.groupBy("row").agg(F.collect_set(F.struct("start", "mask")).alias("spots")), "spots")
 
 
