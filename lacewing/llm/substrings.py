@@ -144,8 +144,8 @@ def _sums(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(anchor, run, row, start, n): windows in a row that share their anchor, the least hash of their ANCHOR-word grams. `run`
-    is the hash of all its words."""
+    """(anchor, run, row, start, n, twice): windows in a row that share their anchor, the least hash of their ANCHOR-word grams.
+    `run` is the hash of all its words; `twice` says that one of its windows stands in it again, as in periodic text."""
     for batch in batches:
         for step in steps(batch, "text"):
             words, first = _words(step.column(1))
@@ -169,7 +169,11 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums, inverse = _sums(words)
             run = mix((sums[start + n + WINDOW - 1] - sums[start]) * inverse[start] + n.astype(np.uint64))
             own = row[start]
-            yield pa.RecordBatch.from_arrays([pa.array(low[start].view(np.int64)), pa.array(run.view(np.int64)), step.column(0).take(pa.array(own)), pa.array((start - first[own]).astype(np.int32)), pa.array(n.astype(np.int32))], names=["anchor", "run", "row", "start", "n"])
+            digest, of, twice = (sums[at + WINDOW] - sums[at]) * inverse[at], np.repeat(np.arange(len(n)), n), np.zeros(len(n), bool)
+            for period in range(1, int(n.max())):
+                again = np.flatnonzero(digest[period:] == digest[:-period])
+                twice[of[again[of[again] == of[again + period]]]] = True
+            yield pa.RecordBatch.from_arrays([pa.array(low[start].view(np.int64)), pa.array(run.view(np.int64)), step.column(0).take(pa.array(own)), pa.array((start - first[own]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(twice)], names=["anchor", "run", "row", "start", "n", "twice"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,17 +225,17 @@ def repeated(docs: DataFrame, anchor_runs: int = ANCHOR_RUNS, shard_words: int =
     """(row, spots: array of (start, mask)) of each row that has repeated windows; row is row_key(), bit i of a mask means the
     window from word start + i.
 
-    Equal windows have equal anchors, so an anchor that stands once has no repeated window, and anchors can be dealt to
-    shards apart. Runs of equal words are one run with its copies. The runs of a shard are indexed once and streamed through
+    Equal windows have equal anchors, so an anchor of one run has a repeated window only if that run holds a window twice, and
+    anchors can be dealt to shards apart. Runs of equal words are one run with its copies. The runs of a shard are indexed once and streamed through
     that index. Shards are as many as the counted words ask for. An anchor with more than `anchor_runs` different runs, such as
     the edge of a passage that stands in very many contexts, would make one shard hot: its windows are counted by the hash
     of their words instead, which Spark pre-aggregates, with the same result.
     """
     spark = docs.sparkSession
     texts = docs.select(row_key().alias("row"), "text")
-    runs = stored(texts.mapInArrow(_runs, "anchor long, run long, row long, start int, n int"), "runs")
-    shared = stored(runs.groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
-    found = stored(runs.join(shared, "anchor"), "found")
+    runs = stored(texts.mapInArrow(_runs, "anchor long, run long, row long, start int, n int, twice boolean"), "runs")
+    shared = stored(runs.groupBy("anchor").agg(F.count("*").alias("count"), F.max("twice").alias("twice")).where("count > 1 or twice").select("anchor"), "anchors")
+    found = stored(runs.drop("twice").join(shared, "anchor"), "found")
     kinds = found.groupBy("anchor", "run", "n").agg(F.count("*").alias("copies"), F.min(F.struct("row", "start")).alias("first"))
     kinds = stored(kinds.select("anchor", "run", "n", "copies", F.col("first.row").alias("row"), F.col("first.start").alias("start")), "kinds")
     listed = kinds.groupBy("row").agg(F.collect_list(F.struct("start", "n", "anchor", "run", "copies")).alias("listed"))

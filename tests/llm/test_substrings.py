@@ -68,6 +68,17 @@ def test_against_brute_force(spark):
     assert s.dedup_substrings(df.limit(0)).count() == 0
 
 
+def test_lone_periodic_texts(spark):
+    rows = [(1, "la " * 36), (2, " ".join(f"p{k % 27}" for k in range(62))), (3, " ".join(f"q{k % 27}" for k in range(61))), (4, " ".join(f"w{k}" for k in range(80)))]
+    rows += [(5, " ".join([f"h{k}" for k in range(40)] + [f"r{k % 5}" for k in range(41)] + [f"t{k}" for k in range(40)]))]
+    for i, (tag, text) in enumerate(rows):
+        df = spark.createDataFrame([(tag, text)], "doc_id long, text string")
+        assert [tuple(r)[:4] for r in s.dedup_substrings(df).collect()] == brute(rows[i : i + 1])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in s.dedup_substrings(df).collect()}
+    assert got == {1: 36, 2: 62, 3: 0, 4: 0, 5: 41}
+
+
 def test_hot_anchors_give_the_same(spark):
     rng = random.Random(6)
     passage = [f"p{k}" for k in range(50)]
