@@ -12,9 +12,6 @@ from .common import components, stored, table
 #: Characters of a shingle, the Jaccard similarity asked for, bands of a signature and minima of a band: a pair at 0.8 shares
 #: a band with probability 1 - (1 - 0.8**3)**7 = 0.993, one at 0.9 with 0.9999.
 N_CHARS, THRESHOLD, BANDS, ROWS = 8, 0.8, 7, 3
-#: Lines of more shingles than LONG are signed on the shingles whose hash is 0 modulo SAMPLE, a smaller universe with minima
-#: of its own. At 0.8 the smaller of two lines has 0.8 of the larger's shingles, so lines between carry both signatures.
-LONG, SAMPLE = 160, 4
 #: Rows that a side of a join may have to be broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 500_000
 #: Buckets of at most so many lines compare each line with each.
@@ -54,20 +51,14 @@ def shingle(i: Column, n: int = N_CHARS) -> Column:
 def signatures(lines: DataFrame, n: int = N_CHARS) -> DataFrame:
     """(id, key) of each band of each line, from (id, line) partitioned by id.
 
-    A minimum is the shingle hash nearest by XOR to a fixed pivot; all minima of a line are one aggregation, and as the
-    lines are partitioned by id, it needs no shuffle.
+    A minimum is the shingle hash nearest by XOR to a fixed pivot, over all shingles of the line; all minima of a line are one
+    aggregation, and as the lines are partitioned by id, it needs no shuffle.
     """
-    both = lines.select("id", shingle_count("line", n).alias("size"), F.encode("line", "UTF-32").alias("points"))
-    out = None
-    for kind, part in (("short", both.where(F.col("size") <= LONG)), ("long", both.where(F.col("size") >= int(LONG * THRESHOLD)))):
-        hashes = part.select("id", "points", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("i")).select("id", shingle(F.col("i"), n).alias("h"))
-        if kind == "long":
-            hashes = hashes.where(F.pmod(F.col("h"), F.lit(SAMPLE)) == 0)
-        mins = hashes.groupBy("id").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(p))).alias(f"m{k}") for k, p in enumerate(_PIVOTS)])
-        keys = F.array(*[F.xxhash64(F.lit(f"{kind}{b}"), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])
-        rows = mins.select("id", keys.alias("keys"))
-        out = rows if out is None else out.union(rows)
-    return out
+    points = lines.select("id", shingle_count("line", n).alias("size"), F.encode("line", "UTF-32").alias("points"))
+    hashes = points.select("id", "points", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("i")).select("id", shingle(F.col("i"), n).alias("h"))
+    mins = hashes.groupBy("id").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(p))).alias(f"m{k}") for k, p in enumerate(_PIVOTS)])
+    keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])
+    return mins.select("id", keys.alias("keys"))
 
 
 def similarity(a: Column, b: Column) -> Column:

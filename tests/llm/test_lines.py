@@ -55,6 +55,16 @@ def test_against_brute_force(spark):
     assert li.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_lines_that_repeat_content(spark):
+    rng = random.Random(5)
+    rows = [(1, "=" * 200), (2, "=" * 300), (3, "=" * 20), (4, "-" * 170), (5, "-" * 400)]
+    for i in range(10, 30):
+        phrase = "".join(rng.choice("abcdefghij klmnopq") for _ in range(59)) + "."
+        rows += [(i, phrase * 2), (i + 100, phrase * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in li.dedup_lines(df).collect()) == sorted(brute(rows))
+
+
 def test_signatures_need_no_second_shuffle(spark):
     df = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     grouped = li.line_rows(df).groupBy("id").agg({"line": "min"}).toDF("id", "line")
