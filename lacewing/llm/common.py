@@ -148,20 +148,24 @@ def gram_rows(first: np.ndarray, n: int, count: int) -> tuple[np.ndarray, np.nda
 # --- connected components ----------------------------------------------------------------------------
 
 
-def components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, component) of every node in `edges` (u, v: long): component is the smallest node reachable.
 
-    Each round takes the least label among a node's neighbours and then follows that label's own label.
-    Labels and links are stored tables, so a hot node's rows meet in plain sort-merge joins, which Spark
-    splits; every reduction is a partial minimum first. Null ends and self-links are ignored.
+    Each round takes the least label among a node's neighbours, hands it to the node that was its label too, so that
+    roots are hooked, and then follows that label's own label. A component needs about as many rounds as its diameter's logarithm,
+    and rounds go on until no label changes. Labels and links are stored tables, so a hot node's rows meet in plain
+    sort-merge joins, which Spark splits; every reduction is a partial minimum first. Null ends and self-links are ignored.
     """
     clean = edges.where("u is not null and v is not null and u <> v").select(F.col("u").cast("long"), F.col("v").cast("long"))
     both = stored(clean.union(clean.select("v", "u")).distinct().toDF("u", "v"), f"{name}-links")
     labels = stored(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")), f"{name}-labels")
     total = None
-    for _ in range(most_rounds):
-        heard = both.join(labels, both.v == labels.node).select(F.col("u").alias("node"), "label")
-        near = stored(heard.union(labels.select("node", "label")).groupBy("node").agg(F.min("label").alias("label")), f"{name}-near")
+    while True:
+        heard = both.join(labels, both.v == labels.node).select(F.col("u").alias("node"), "label", F.lit(None).cast("long").alias("old"))
+        near = heard.union(labels.select("node", "label", F.col("label").alias("old"))).groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old"))
+        near = stored(near, f"{name}-near")
+        hooked = near.select("node", "label").union(near.where("label < old").select("old", "label"))
+        near = stored(hooked.groupBy("node").agg(F.min("label").alias("label")), f"{name}-hooked")
         up = near.select(F.col("node").alias("at"), F.col("label").alias("above"))
         labels = stored(near.join(up, near.label == up.at).select("node", F.col("above").alias("label")), f"{name}-labels")
         now = labels.agg(F.sum(F.col("label").cast("decimal(38,0)")).alias("s")).first()["s"]

@@ -78,3 +78,10 @@ def test_hot_groups_are_dealt_out_again(spark):
                     label[a] = label[b] = min(label[a], label[b])
     got = {r.node: r.component for r in s.components(s.near_links(df, group=20), "t").collect()}
     assert [got.get(i, i) for i in range(len(prints))] == label
+
+
+def test_components_of_a_long_path(spark):
+    rng = random.Random(1)
+    ids = [rng.getrandbits(63) - 2**62 for _ in range(1000)]
+    df = spark.createDataFrame(list(zip(ids, ids[1:])), "u long, v long")
+    assert {tuple(r) for r in s.components(df, "path").collect()} == {(i, min(ids)) for i in ids}
