@@ -18,8 +18,8 @@ from .simhash import forest
 THRESHOLD = 0.93
 #: Vectors of a shard; links of a node above the ground layer (twice as many on it); beam while building.
 SHARD, LINKS, BUILD_BEAM = 8192, 16, 48
-#: First beam of a search, queries that an audit answers by brute force, and the recall that it asks for.
-BEAM, AUDIT, RECALL = 32, 64, 0.995
+#: First beam of a search, queries of an audit's first block, links that it has to see, and the recall that it asks for.
+BEAM, AUDIT, AUDIT_LINKS, RECALL = 32, 64, 400, 0.995
 LOCKSTEP = 256
 
 
@@ -162,13 +162,25 @@ class Graph:
 
     def audited(self, q: np.ndarray, least: float, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """near() with the first beam at which a sample of the queries, answered by brute force, reaches RECALL; at a
-        beam as wide as the graph the search is exhaustive."""
-        sample = np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int))
-        truth = set(zip(*(v.tolist() for v in np.nonzero(q[sample] @ self.x.T >= least))))
+        beam as wide as the graph the search is exhaustive. Queries are drawn in blocks until they have AUDIT_LINKS links, those with
+        `own` not counted; where all were drawn, the brute force is the answer."""
+        order, drawn, pairs, seen = np.random.default_rng(len(q)).permutation(len(q)), 0, [], 0
+        while drawn < len(q) and seen < AUDIT_LINKS:
+            block = order[drawn : drawn + min(LOCKSTEP, max(AUDIT, drawn))]
+            r, c = np.nonzero(q[block] @ self.x.T >= least)
+            r = block[r]
+            if own is not None:
+                r, c = r[c != own[r]], c[c != own[r]]
+            pairs.append((r, c))
+            drawn, seen = drawn + len(block), seen + len(r)
+        r, c = (np.concatenate(v) for v in zip(*pairs)) if pairs else (np.zeros(0, int), np.zeros(0, int))
+        if drawn == len(q):
+            return r, c
+        sample, truth = order[:drawn], set(zip(r.tolist(), c.tolist()))
         beam = BEAM
         while beam < len(self.x):
             r, c = self.near(q[sample], least, beam, None if own is None else own[sample])
-            if len(truth & set(zip(r.tolist(), c.tolist()))) >= RECALL * len(truth):
+            if len(truth & set(zip(sample[r].tolist(), c.tolist()))) >= RECALL * len(truth):
                 return self.near(q, least, beam, own)
             beam *= 2
         pairs = [np.nonzero(q[lo : lo + LOCKSTEP] @ self.x.T >= least) for lo in range(0, len(q), LOCKSTEP)]

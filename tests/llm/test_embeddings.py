@@ -47,3 +47,17 @@ def test_against_brute_force(spark, shard):
     got = {tuple(r) for r in e.near_duplicates(df, shard=shard).collect()}
     assert got == want
     assert e.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_audit_of_rare_links():
+    rng = np.random.default_rng(12)
+    unit = lambda x: (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    x, q = unit(rng.normal(size=(2000, 64))), unit(rng.normal(size=(2000, 64)))
+    x[100] = x[1500]
+    q[[5, 700, 1333]] = x[[9, 40, 1999]]
+    g = e.Graph.build(x)
+    for layer in g.layers:
+        layer[:] = -1  # a graph that finds nothing
+    assert set(zip(*(v.tolist() for v in g.audited(q, np.float32(0.93))))) == {(5, 9), (700, 40), (1333, 1999)}
+    u, v = g.audited(x, np.float32(0.93), np.arange(2000, dtype=np.int32))
+    assert {(100, 1500), (1500, 100)} == {p for p in zip(u.tolist(), v.tolist()) if p[0] != p[1]}
