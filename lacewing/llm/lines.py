@@ -92,14 +92,36 @@ def within(rows: DataFrame, n: int, threshold: float) -> DataFrame:
     return held.select(F.explode(F.element_at(pairs, 1)).alias("p")).select("p.u", "p.v").distinct()
 
 
+def across(rows: DataFrame, text: DataFrame, known: DataFrame, n: int, threshold: float) -> DataFrame:
+    """The (u, v) of similar lines of (key, id) that `known` links leave in different components, where a bucket has such lines.
+
+    Similar lines share one of the shingles by which each begins, the rarest first: those that a line may lack, and one more.
+    So only lines that share such a shingle are compared, and none of one component.
+    """
+    found = components(known, "settled")
+    placed = stored(rows.join(found, rows.id == found.node, "left").select("key", "id", F.coalesce("component", "id").alias("component")), "placed")
+    apart = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
+    lines = stored(placed.join(apart, "key").select("id", "component").distinct().join(text, "id"), "apart")
+    grams = stored(lines.select("id", "component", F.explode(shingle_set("line", n)).alias("gram")), "grams")
+    often = stored(grams.groupBy("gram").agg(F.count("*").alias("lines")), "often")
+    sets = grams.join(often, "gram").groupBy("id", "component").agg(F.sort_array(F.collect_list(F.struct("lines", "gram"))).alias("grams"))
+    begin = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9).cast("int") + 1
+    sets = sets.withColumn("size", F.size("grams")).select("id", "component", "size", F.explode(F.slice("grams", 1, begin)).alias("g")).where("g.lines > 1")
+    sets = stored(sets.select("id", "component", "size", "g.gram"), "begins")
+    left, right = sets.toDF("u", "left_component", "left_size", "gram"), sets.toDF("v", "right_component", "right_size", "gram")
+    fits = (F.col("left_component") < F.col("right_component")) & (F.least("left_size", "right_size") >= threshold * F.greatest("left_size", "right_size"))
+    return verified(left.join(right, "gram").where(fits).select("u", "v").distinct(), text, n, threshold)
+
+
 def similar_lines(docs: DataFrame, n: int = N_CHARS, threshold: float = THRESHOLD, small: int = SMALL) -> DataFrame:
     """(u, v) of line hashes whose lines are similar, enough to join all that a band brings together.
 
     A bucket of at most `small` lines compares each with each. In a larger one the least line leads, and every other is
     compared with it; lines that no leader of their bucket is similar to elect the next one, which all of the bucket are
     compared with. So a large bucket of similar lines never lists its pairs. Where a leader no longer settles a third of
-    what is left, the lines that are left are unlike each other, and each is compared with all of its bucket. All comparisons
-    are exact, and no line is dropped.
+    what is left, the lines that are left are unlike each other, and each is compared with all of its bucket. Lines settled
+    by different leaders may be similar too: those that all these links leave apart are compared in across(). All
+    comparisons are exact, and no line is dropped.
     """
     lines = line_rows(docs).groupBy("id").agg(F.min("line").alias("line"))
     bands = stored(signatures(lines, n), "bands").select("id", F.explode("keys").alias("key"))
@@ -109,8 +131,8 @@ def similar_lines(docs: DataFrame, n: int = N_CHARS, threshold: float = THRESHOL
     text = stored(line_rows(docs).join(bounded(wanted), "id", "left_semi").groupBy("id").agg(F.min("line").alias("line")), "text")
     few = buckets.where(F.col("size") <= small).select("key", "id").join(text, "id")
     known = stored(within(few, n, threshold), "within")
-    waiting = rows = buckets.where(F.col("size") > small).select("key", "id")
-    left = waiting.count()
+    waiting = rows = large = buckets.where(F.col("size") > small).select("key", "id")
+    many = left = waiting.count()
     while left:
         leaders = stored(waiting.groupBy("key").agg(F.min("id").alias("leader")), "leaders")
         faced = stored(rows.join(leaders, "key"), "faced")
@@ -124,6 +146,9 @@ def similar_lines(docs: DataFrame, n: int = N_CHARS, threshold: float = THRESHOL
             pairs = waiting.select("key", F.col("id").alias("u")).join(rows.withColumnRenamed("id", "v"), "key").where("u <> v")
             known = known.union(verified(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), text, n, threshold))
             break
+    if many:
+        settled = stored(large.join(waiting, ["key", "id"], "left_anti"), "settled")
+        known = known.union(across(settled, text, known, n, threshold))
     return known
 
 

@@ -55,6 +55,21 @@ def test_against_brute_force(spark):
     assert li.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_drifting_lines_in_large_buckets(spark):
+    rng = random.Random(8)
+    rows = []
+    for c in range(25):
+        line = [rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(300)]
+        for k in range(12):
+            at = 24 * k
+            line[at : at + 14] = [rng.choice("0123456789") for _ in range(14)]
+            rows.append((100 * c + k, "".join(line)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    links = lambda small: sorted(map(tuple, li.components(li.similar_lines(df, small=small), "t").collect()))
+    settled = links(0)
+    assert settled == links(10**6) and len({c for _, c in settled}) == sum(t is not None and t != "" for _, t in brute(rows))
+
+
 def test_lines_that_repeat_content(spark):
     rng = random.Random(5)
     rows = [(1, "=" * 200), (2, "=" * 300), (3, "=" * 20), (4, "-" * 170), (5, "-" * 400)]
