@@ -24,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir. Where that is unset (tests), a
-    temporary folder of this machine takes its place."""
+    """The folder that all executors share, from spark.checkpoint.dir. Only a session on one machine (tests) may do without:
+    a temporary folder takes its place there. On a cluster a missing setting is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (base or f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}").rstrip("/")
 
 
@@ -39,7 +41,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def named(column: str) -> Column:
+    """The column of exactly this name, whatever characters it holds."""
+    return F.col(f"`{column.replace('`', '``')}`")
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """`name`, with underscores in front until no column of `df` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def remainder(column: str, of: int) -> Column:
@@ -165,11 +190,14 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         near = heard.union(labels.select("node", "label", F.col("label").alias("old"))).groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old"))
         near = stored(near, f"{name}-near")
         hooked = near.select("node", "label").union(near.where("label < old").select("old", "label"))
-        near = stored(hooked.groupBy("node").agg(F.min("label").alias("label")), f"{name}-hooked")
-        up = near.select(F.col("node").alias("at"), F.col("label").alias("above"))
-        labels = stored(near.join(up, near.label == up.at).select("node", F.col("above").alias("label")), f"{name}-labels")
+        least = stored(hooked.groupBy("node").agg(F.min("label").alias("label")), f"{name}-hooked")
+        up = least.select(F.col("node").alias("at"), F.col("label").alias("above"))
+        new = stored(least.join(up, least.label == up.at).select("node", F.col("above").alias("label")), f"{name}-labels")
+        discard(labels, near, least)
+        labels = new
         now = labels.agg(F.sum(F.col("label").cast("decimal(38,0)")).alias("s")).first()["s"]
         if now == total:
             break
         total = now
+    discard(both)
     return labels.select("node", F.col("label").alias("component"))

@@ -7,30 +7,35 @@ import random
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, stored, table
+from .common import components, discard, named, spare, stored, table
 
 #: Characters of a shingle, the Jaccard similarity asked for, bands of a signature and minima of a band: a pair at 0.8 shares
 #: a band with probability 1 - (1 - 0.8**3)**7 = 0.993, one at 0.9 with 0.9999.
 N_CHARS, THRESHOLD, BANDS, ROWS = 8, 0.8, 7, 3
-#: Rows that a side of a join may have to be broadcast; a larger one is shuffled.
-BROADCAST_ROWS = 500_000
-#: Buckets of at most so many lines compare each line with each.
-SMALL = 64
-#: Leaders go on while a round settles more than the rest of this share.
-LEAST_SETTLED = 0.67
+#: Rows of a few numbers that a side of a join may have to be broadcast, and bytes of a side that holds arrays; a larger one is shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
+#: 64-bit words of the bitmap of a line's difference from its leader.
+WORDS = 16
 
 _RNG = random.Random(17)
 _PIVOTS = [_RNG.getrandbits(63) for _ in range(BANDS * ROWS)]
 
 
 def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """The stored table `df`, to be broadcast if it has at most `most` rows, a proven bound; else Spark shuffles as it sees fit."""
+    """The stored table `df` of fixed-width rows, to be broadcast if it has at most `most` of them, a proven bound; else
+    Spark shuffles as it sees fit."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def bounded_lists(df: DataFrame, key: str, numbers: str, most: int = BROADCAST_BYTES) -> DataFrame:
+    """The same for rows of a string `key` and an int array `numbers`, whose bytes are added up."""
+    total = df.agg(F.sum(F.octet_length(key) + 4 * F.size(numbers) + 64)).first()[0] or 0
+    return F.broadcast(df) if total <= most else df
+
+
 def row_key() -> Column:
-    """What names a row: its id and text. Rows equal in both are one document and get the same result."""
-    return F.xxhash64(F.col("doc_id").cast("string"), F.col("text"))
+    """What names a row: its id and the hash of its text. Rows equal in both are one document and get the same result."""
+    return F.concat_ws(":", F.lower(F.hex(F.xxhash64("text"))), F.col("doc_id").cast("string"))
 
 
 def line_rows(docs: DataFrame, *more: Column) -> DataFrame:
@@ -43,27 +48,19 @@ def shingle_count(line: Column | str = "line", n: int = N_CHARS) -> Column:
     return F.greatest(F.length(line) - F.lit(n - 1), F.lit(1))
 
 
-def shingle(i: Column, n: int = N_CHARS) -> Column:
-    """Hash of n characters from the i-th; `points` holds the line's code points, four bytes each. A shorter line is one shingle."""
-    return F.xxhash64(F.substring(F.col("points"), i * 4 + 1, F.lit(4 * n)))
-
-
 def signatures(lines: DataFrame, n: int = N_CHARS) -> DataFrame:
-    """(id, key) of each band of each line, from (id, line) partitioned by id.
+    """(id, copies, keys) of each distinct line of (id, line): how often it stands and a key for each band.
 
-    A minimum is the shingle hash nearest by XOR to a fixed pivot, over all shingles of the line; all minima of a line are one
-    aggregation, and as the lines are partitioned by id, it needs no shuffle.
+    A minimum is the shingle hash nearest by XOR to a fixed pivot, over all shingles of the line (one that is shorter than n is one
+    shingle). All minima are one aggregation whose map side sees a line's shingles together, so lines are shuffled as minima,
+    never as text.
     """
     points = lines.select("id", shingle_count("line", n).alias("size"), F.encode("line", "UTF-32").alias("points"))
-    hashes = points.select("id", "points", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("i")).select("id", shingle(F.col("i"), n).alias("h"))
-    mins = hashes.groupBy("id").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(p))).alias(f"m{k}") for k, p in enumerate(_PIVOTS)])
+    each = points.select("id", "points", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("i"))
+    hashes = each.select("id", "i", F.xxhash64(F.substring("points", F.col("i") * 4 + 1, F.lit(4 * n))).alias("h"))
+    mins = hashes.groupBy("id").agg(F.sum(F.when(F.col("i") == 0, 1).otherwise(0)).alias("copies"), *[F.min(F.col("h").bitwiseXOR(F.lit(p))).alias(f"m{k}") for k, p in enumerate(_PIVOTS)])
     keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])
-    return mins.select("id", keys.alias("keys"))
-
-
-def similarity(a: Column, b: Column) -> Column:
-    shared = F.size(F.array_intersect(a, b))
-    return shared / (F.size(a) + F.size(b) - shared)
+    return mins.select("id", "copies", keys.alias("keys"))
 
 
 def shingle_set(line: Column | str, n: int = N_CHARS) -> Column:
@@ -74,105 +71,105 @@ def shingle_set(line: Column | str, n: int = N_CHARS) -> Column:
     return F.element_at(one, 1)
 
 
-def verified(pairs: DataFrame, text: DataFrame, n: int, threshold: float) -> DataFrame:
-    """The (u, v) of `pairs` whose lines have the similarity, from all their shingles."""
-    left = text.select(F.col("id").alias("u"), F.col("line").alias("left_line"))
-    right = text.select(F.col("id").alias("v"), F.col("line").alias("right_line"))
-    texts = stored(pairs.join(left, "u"), "left").join(right, "v")
-    return stored(texts.where(similarity(shingle_set("left_line", n), shingle_set("right_line", n)) >= threshold).select("u", "v"), "verified")
+def compared(pairs: DataFrame, text: DataFrame, n: int) -> DataFrame:
+    """(u, v, u_size, v_size, delta) of `pairs` (u, v): the sizes of the two shingle sets and what is in one of them only."""
+    left = text.select(F.col("id").alias("u"), F.col("line").alias("u_line"))
+    right = text.select(F.col("id").alias("v"), F.col("line").alias("v_line"))
+    half = stored(pairs.join(left, "u"), "half")
+    sets = half.join(right, "v").select("u", "v", shingle_set("u_line", n).alias("a"), shingle_set("v_line", n).alias("b"))
+    delta = F.concat(F.array_except("a", "b"), F.array_except("b", "a"))
+    return sets.select("u", "v", F.size("a").alias("u_size"), F.size("b").alias("v_size"), delta.alias("delta"))
+
+
+def slack(threshold: float) -> float:
+    """Sets are similar if they differ in at most this share of the sum of their sizes."""
+    return (1 - threshold) / (1 + threshold) + 1e-12
 
 
-def within(rows: DataFrame, n: int, threshold: float) -> DataFrame:
-    """The (u, v) of lines of (key, id, line) that share a bucket and have the similarity. Buckets are small, a row each; a line's
-    shingles are made once a bucket and every two sets are intersected."""
-    held = rows.groupBy("key").agg(F.collect_list(F.struct("id", "line")).alias("lines"))
-    sets = F.transform("lines", lambda x: F.struct(x["id"].alias("id"), shingle_set(x["line"], n).alias("grams")))
-    alike = lambda a, b: (b["id"] < a["id"]) & (F.least(F.size(a["grams"]), F.size(b["grams"])) >= threshold * F.greatest(F.size(a["grams"]), F.size(b["grams"]))) & (similarity(a["grams"], b["grams"]) >= threshold)
-    pairs = F.transform(F.array(sets), lambda g: F.flatten(F.transform(g, lambda a: F.transform(F.filter(g, lambda b: alike(a, b)), lambda b: F.struct(a["id"].alias("u"), b["id"].alias("v"))))))
-    return held.select(F.explode(F.element_at(pairs, 1)).alias("p")).select("p.u", "p.v").distinct()
+def around_leaders(pairs: DataFrame, text: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(leader, id, size, apart, alike, b0, b1, …) of (id, leader) pairs, compared exactly: the line's shingles, in how many
+    the two differ, whether they are similar, and a bitmap of the hashes of those."""
+    sets = compared(pairs.toDF("u", "v"), text, n)
+    each = sets.select(F.col("v").alias("leader"), F.col("u").alias("id"), F.col("u_size").alias("size"), F.size("delta").alias("apart"), (F.size("delta") <= slack(threshold) * (F.col("u_size") + F.col("v_size"))).alias("alike"), F.explode_outer("delta").alias("h"))
+    word, bit = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(WORDS - 1)), F.expr("shiftleft(1L, cast(h & 63 as int))")
+    bits = [F.bit_or(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"b{k}") for k in range(WORDS)]
+    return each.groupBy("leader", "id", "size", "apart", "alike").agg(*bits)
 
 
-def across(rows: DataFrame, text: DataFrame, known: DataFrame, n: int, threshold: float) -> DataFrame:
-    """The (u, v) of similar lines of (key, id) that `known` links leave in different components, where a bucket has such lines.
+def maybe_similar(near: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+    """(u, v) of lines around one leader, not yet of one component, that may be similar; no pair that is gets lost.
 
-    Similar lines share one of the shingles by which each begins, the rarest first: those that a line may lack, and one more.
-    So only lines that share such a shingle are compared, and none of one component.
+    Two sets differ in |X| + |Y| - 2 |X and Y| shingles, X and Y being what each of them differs in from the leader. So similar ones
+    share a known number of X and Y; and no more can be shared than X has, less the bits of X that the bitmap of Y lacks.
     """
-    found = components(known, "settled")
-    placed = stored(rows.join(found, rows.id == found.node, "left").select("key", "id", F.coalesce("component", "id").alias("component")), "placed")
-    apart = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-    lines = stored(placed.join(apart, "key").select("id", "component").distinct().join(text, "id"), "apart")
-    grams = stored(lines.select("id", "component", F.explode(shingle_set("line", n)).alias("gram")), "grams")
-    often = stored(grams.groupBy("gram").agg(F.count("*").alias("lines")), "often")
-    sets = grams.join(often, "gram").groupBy("id", "component").agg(F.sort_array(F.collect_list(F.struct("lines", "gram"))).alias("grams"))
-    begin = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9).cast("int") + 1
-    sets = sets.withColumn("size", F.size("grams")).select("id", "component", "size", F.explode(F.slice("grams", 1, begin)).alias("g")).where("g.lines > 1")
-    sets = stored(sets.select("id", "component", "size", "g.gram"), "begins")
-    left, right = sets.toDF("u", "left_component", "left_size", "gram"), sets.toDF("v", "right_component", "right_size", "gram")
-    fits = (F.col("left_component") < F.col("right_component")) & (F.least("left_size", "right_size") >= threshold * F.greatest("left_size", "right_size"))
-    return verified(left.join(right, "gram").where(fits).select("u", "v").distinct(), text, n, threshold)
-
-
-def similar_lines(docs: DataFrame, n: int = N_CHARS, threshold: float = THRESHOLD, small: int = SMALL) -> DataFrame:
-    """(u, v) of line hashes whose lines are similar, enough to join all that a band brings together.
-
-    A bucket of at most `small` lines compares each with each. In a larger one the least line leads, and every other is
-    compared with it; lines that no leader of their bucket is similar to elect the next one, which all of the bucket are
-    compared with. So a large bucket of similar lines never lists its pairs. Where a leader no longer settles a third of
-    what is left, the lines that are left are unlike each other, and each is compared with all of its bucket. Lines settled
-    by different leaders may be similar too: those that all these links leave apart are compared in across(). All
-    comparisons are exact, and no line is dropped.
+    placed = stored(near.join(found, near.id == found.node, "left").select(*near.columns, F.coalesce("component", "id").alias("component")), "placed")
+    apart = stored(placed.groupBy("leader").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("leader"), "apart")
+    rows = placed.drop("alike").join(bounded(apart), "leader", "left_semi")
+    bits = [f"b{k}" for k in range(WORDS)]
+    left, right = (rows.select("leader", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "size", "apart", "component", *bits)]) for side in "uv")
+    need = (F.col("u_apart") + F.col("v_apart") - slack(threshold) * (F.col("u_size") + F.col("v_size"))) / 2
+    most = lambda a, b: F.col(f"{a}_apart") - sum((F.bit_count(F.col(f"{a}_{k}").bitwiseAND(F.bitwise_not(F.col(f"{b}_{k}")))) for k in bits[1:]), F.bit_count(F.col(f"{a}_b0").bitwiseAND(F.bitwise_not(F.col(f"{b}_b0")))))
+    fits = (F.col("u_id") < F.col("v_id")) & (F.col("u_component") != F.col("v_component")) & (F.least("u_size", "v_size") >= (threshold - 1e-12) * F.greatest("u_size", "v_size"))
+    fits = fits & (F.least("u_apart", "v_apart") >= need) & (most("u", "v") >= need) & (most("v", "u") >= need)
+    pairs = stored(left.join(right, "leader").where(fits).select(F.col("u_id").alias("u"), F.col("v_id").alias("v")).distinct(), "maybe")
+    discard(placed, apart)
+    return pairs
+
+
+def similar_lines(docs: DataFrame, n: int = N_CHARS, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(id, copies) of each distinct line, and the (u, v) of ids that join all similar lines which share a band.
+
+    Of each bucket the line that has most company over all bands leads, the centre of a family of near copies, and every other is
+    compared with it. So a large bucket of similar lines never lists its pairs. Lines around one leader that those links leave apart
+    may be similar too: their differences from the leader tell which pairs can be, and those are compared as well. All
+    comparisons are exact and no line is dropped, whatever the size of a bucket.
     """
-    lines = line_rows(docs).groupBy("id").agg(F.min("line").alias("line"))
-    bands = stored(signatures(lines, n), "bands").select("id", F.explode("keys").alias("key"))
+    signed = stored(signatures(line_rows(docs), n), "bands")
+    bands = signed.select("id", F.explode("keys").alias("key"))
     shared = stored(bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
     buckets = stored(bands.join(bounded(shared), "key").select("key", "id", "size"), "buckets")
-    wanted = stored(buckets.select("id").distinct(), "wanted")
-    text = stored(line_rows(docs).join(bounded(wanted), "id", "left_semi").groupBy("id").agg(F.min("line").alias("line")), "text")
-    few = buckets.where(F.col("size") <= small).select("key", "id").join(text, "id")
-    known = stored(within(few, n, threshold), "within")
-    waiting = rows = large = buckets.where(F.col("size") > small).select("key", "id")
-    many = left = waiting.count()
-    while left:
-        leaders = stored(waiting.groupBy("key").agg(F.min("id").alias("leader")), "leaders")
-        faced = stored(rows.join(leaders, "key"), "faced")
-        good = verified(faced.where("id <> leader").select(F.col("id").alias("u"), F.col("leader").alias("v")).distinct(), text, n, threshold)
-        known = known.union(good)
-        done = faced.join(good, (faced.id == good.u) & (faced.leader == good.v), "left_semi").select("key", "id").union(leaders.select("key", F.col("leader").alias("id")))
-        waiting = stored(waiting.join(done, ["key", "id"], "left_anti"), "waiting")
-        rows = faced.where("id <> leader").select("key", "id")
-        before, left = left, waiting.count()
-        if left > LEAST_SETTLED * before:
-            pairs = waiting.select("key", F.col("id").alias("u")).join(rows.withColumnRenamed("id", "v"), "key").where("u <> v")
-            known = known.union(verified(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), text, n, threshold))
-            break
-    if many:
-        settled = stored(large.join(waiting, ["key", "id"], "left_anti"), "settled")
-        known = known.union(across(settled, text, known, n, threshold))
-    return known
+    company = stored(buckets.groupBy("id").agg(F.sum("size").alias("company")), "company")
+    ranked = stored(buckets.join(company, "id").select("key", "id", "company"), "ranked")
+    leaders = stored(ranked.groupBy("key").agg(F.max(F.struct("company", "id")).alias("lead")).select("key", F.col("lead.id").alias("leader")), "leaders")
+    pairs = stored(ranked.join(leaders, "key").where("id <> leader").select("id", "leader").distinct(), "pairs")
+    text = stored(line_rows(docs).join(bounded(company), "id", "left_semi").groupBy("id").agg(F.min("line").alias("line")), "text")
+    near = stored(around_leaders(pairs, text, n, threshold), "near")
+    alike = near.where("alike").select(F.col("id").alias("u"), F.col("leader").alias("v"))
+    maybe = maybe_similar(near, components(alike, "families"), threshold)
+    close = compared(maybe, text, n).where(F.size("delta") <= slack(threshold) * (F.col("u_size") + F.col("v_size"))).select("u", "v")
+    links = stored(alike.union(close), "links")
+    discard(shared, buckets, company, ranked, leaders, pairs, text, near, maybe)
+    return signed.select("id", "copies"), links
 
 
 def dedup_lines(docs: DataFrame, n: int = N_CHARS, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs`, `text` without the lines that are dropped, and n_lines and n_removed.
 
-    Lines are what '\\n' separates, compared as they stand. Equal lines, and those linked by a character-shingle Jaccard
-    similarity of `threshold` or more, form a component, and the one first by (doc_id, position) stays; null ids
-    come last. Columns of `docs` named n_lines or n_removed are replaced. Blank lines stay. Null and empty texts are unchanged. A text that loses all its lines is empty.
+    Lines are what '\\n' separates, compared as they stand. Equal lines (by a 64-bit hash), and those linked by a
+    character-shingle Jaccard similarity of `threshold` or more, form a component, and the one first by (doc_id, position)
+    stays; null ids come last. Rows equal in id and text are one document and change alike; rows that only share an id are ordered by
+    the hash of their text. Columns of `docs` named n_lines or n_removed are replaced, and all others may have any name. Blank
+    lines stay. Null and empty texts are unchanged, and an empty table stays empty. A text that loses all its lines is empty. Lines may
+    be of any length: their shingles are read one by one.
     """
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    found = components(similar_lines(docs, n, threshold), "lines")
-    all_lines = line_rows(docs, row_key().alias("row"), F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc")).drop("line")
-    named = all_lines.join(bounded(found), F.col("id") == F.col("node"), "left").select("row", "pos", "last", "doc", F.coalesce("component", "id").alias("id"))
-    place = F.struct("last", "doc", "row", "pos")
-    first = stored(named.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("size")).where("size > 1").select("id", F.col("first.row").alias("first_row"), F.col("first.pos").alias("first_pos")), "first")
-    gone = named.join(bounded(first), "id").where("row <> first_row or pos <> first_pos")
-    removed = stored(gone.groupBy(F.col("row").alias("_row")).agg(F.collect_set("pos").alias("_gone")), "removed")
-    lines = F.split("text", "\n", -1)
-    kept = F.filter(lines, lambda _, i: ~F.array_contains(F.col("_gone"), i))
-    joined = docs.select(*columns, row_key().alias("_row")).join(bounded(removed), "_row", "left")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    counted = joined.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))).withColumn("n_removed", F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")))
-    return counted.withColumn("text", text).select(*columns, "n_lines", "n_removed")
+    columns = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    lines, links = similar_lines(docs, n, threshold)
+    found = components(links, "lines")
+    several = lines.where("copies > 1").select(F.col("id").alias("node"), F.col("id").alias("component"))
+    groups = stored(found.union(several).groupBy("node").agg(F.min("component").alias("component")), "groups")
+    occurring = line_rows(docs, row_key().alias("row"), F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc")).drop("line")
+    places = stored(occurring.join(bounded(groups), F.col("id") == F.col("node")).select("component", "last", "doc", "row", "pos"), "places")
+    first = stored(places.groupBy("component").agg(F.min(F.struct("last", "doc", "row", "pos")).alias("first")).select("component", F.col("first.row").alias("first_row"), F.col("first.pos").alias("first_pos")), "first")
+    row, gone = spare(docs, "row"), spare(docs, "gone")
+    dropped = places.join(first, "component").where("row <> first_row or pos <> first_pos")
+    removed = stored(dropped.groupBy(F.col("row").alias(row)).agg(F.collect_set("pos").alias(gone)), "removed")
+    discard(links, groups, places, first)
+    text, at = F.split("text", "\n", -1), named(gone)
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(text) - 1), at), lambda i: F.get(text, i))
+    joined = docs.select(*map(named, columns), row_key().alias(row)).join(bounded_lists(removed, row, gone), row, "left")
+    counts = F.when(F.col("text").isNull(), 0).otherwise(F.size(text)).alias("n_lines"), F.when(at.isNull(), 0).otherwise(F.size(at)).alias("n_removed")
+    left = F.when(at.isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text")
+    return joined.select(*[left if c == "text" else named(c) for c in columns], *counts)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
