@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,22 +54,29 @@ def signatures(lines: DataFrame, n: int = N_CHARS) -> DataFrame:
 
     A minimum is the shingle hash nearest by XOR to a fixed pivot, over all shingles of the line (one that is shorter than n is one
     shingle). All minima are one aggregation whose map side sees a line's shingles together, so lines are shuffled as minima,
-    never as text.
+    never as text. A row holds four shingles (the last one again, where a line ends), of which each pivot's nearest is taken first.
     """
     points = lines.select("id", shingle_count("line", n).alias("size"), F.encode("line", "UTF-32").alias("points"))
-    each = points.select("id", "points", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("i"))
-    hashes = each.select("id", "i", F.xxhash64(F.substring("points", F.col("i") * 4 + 1, F.lit(4 * n))).alias("h"))
-    mins = hashes.groupBy("id").agg(F.sum(F.when(F.col("i") == 0, 1).otherwise(0)).alias("copies"), *[F.min(F.col("h").bitwiseXOR(F.lit(p))).alias(f"m{k}") for k, p in enumerate(_PIVOTS)])
+    each = points.select("id", "points", "size", F.explode(F.sequence(F.lit(0), F.col("size") - 1, F.lit(4))).alias("i"))
+    shingle = lambda i: F.xxhash64(F.substring("points", F.least(i, F.col("size") - 1) * 4 + 1, F.lit(4 * n)))
+    hashes = each.select("id", "i", *[shingle(F.col("i") + j).alias(f"h{j}") for j in range(4)])
+    less = lambda a, b: F.when(a < b, a).otherwise(b)
+    nearer = lambda a, b, p: less(F.col(a).bitwiseXOR(F.lit(p)), F.col(b).bitwiseXOR(F.lit(p)))
+    halves = hashes.select("id", "i", *[nearer(f"h{j}", f"h{j + 1}", p).alias(f"m{k}_{j}") for j in (0, 2) for k, p in enumerate(_PIVOTS)])
+    mins = halves.groupBy("id").agg(F.sum(F.when(F.col("i") == 0, 1).otherwise(0)).alias("copies"), *[F.min(less(F.col(f"m{k}_0"), F.col(f"m{k}_2"))).alias(f"m{k}") for k in range(len(_PIVOTS))])
     keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])
     return mins.select("id", "copies", keys.alias("keys"))
 
 
-def shingle_set(line: Column | str, n: int = N_CHARS) -> Column:
-    """All distinct shingle hashes of a line; a line shorter than n is one shingle. Its code points are bound once, as the
-    only element of an array, or each shingle would encode the line anew."""
-    every = F.sequence(F.lit(0), shingle_count(line, n) - 1)
-    one = F.transform(F.array(F.encode(line, "UTF-32")), lambda points: F.array_distinct(F.transform(every, lambda i: F.xxhash64(F.substring(points, i * 4 + 1, F.lit(4 * n))))))
-    return F.element_at(one, 1)
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is worked out once, as the only element of an array, though inner functions name it for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def shingle_list(line: Column | str, n: int = N_CHARS) -> Column:
+    """All shingle hashes of a line, repeats included; a line shorter than n is one shingle."""
+    places = F.sequence(F.lit(1), shingle_count(line, n) * 4 - 3, F.lit(4))
+    return bound(F.encode(line, "UTF-32"), lambda points: F.transform(places, lambda at: F.xxhash64(F.substring(points, at, F.lit(4 * n)))))
 
 
 def compared(pairs: DataFrame, text: DataFrame, n: int) -> DataFrame:
@@ -76,9 +84,10 @@ def compared(pairs: DataFrame, text: DataFrame, n: int) -> DataFrame:
     left = text.select(F.col("id").alias("u"), F.col("line").alias("u_line"))
     right = text.select(F.col("id").alias("v"), F.col("line").alias("v_line"))
     half = stored(pairs.join(left, "u"), "half")
-    sets = half.join(right, "v").select("u", "v", shingle_set("u_line", n).alias("a"), shingle_set("v_line", n).alias("b"))
-    delta = F.concat(F.array_except("a", "b"), F.array_except("b", "a"))
-    return sets.select("u", "v", F.size("a").alias("u_size"), F.size("b").alias("v_size"), delta.alias("delta"))
+    hashed = half.join(right, "v").select("u", "v", shingle_list("u_line", n).alias("a"), shingle_list("v_line", n).alias("b"))
+    each = hashed.select("u", "v", F.size(F.array_distinct("a")).alias("u_size"), F.array_except("a", "b").alias("only_u"), F.array_except("b", "a").alias("only_v"))
+    v_size = F.col("u_size") - F.size("only_u") + F.size("only_v")
+    return each.select("u", "v", "u_size", v_size.alias("v_size"), F.concat("only_u", "only_v").alias("delta"))
 
 
 def slack(threshold: float) -> float:
@@ -165,7 +174,7 @@ def dedup_lines(docs: DataFrame, n: int = N_CHARS, threshold: float = THRESHOLD)
     removed = stored(dropped.groupBy(F.col("row").alias(row)).agg(F.collect_set("pos").alias(gone)), "removed")
     discard(links, groups, places, first)
     text, at = F.split("text", "\n", -1), named(gone)
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(text) - 1), at), lambda i: F.get(text, i))
+    kept = bound(text, lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), at), lambda i: F.get(lines, i)))
     joined = docs.select(*map(named, columns), row_key().alias(row)).join(bounded_lists(removed, row, gone), row, "left")
     counts = F.when(F.col("text").isNull(), 0).otherwise(F.size(text)).alias("n_lines"), F.when(at.isNull(), 0).otherwise(F.size(at)).alias("n_removed")
     left = F.when(at.isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text")
