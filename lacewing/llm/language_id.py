@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import remainder, steps, string_bytes, table
+from .common import remainder, steps, stored, string_bytes, table
 
-#: What a fit sees at most: documents of a language, pieces of a document (spread over all of it), characters of a piece.
-PER_LANGUAGE, PIECES, PIECE_CHARS = 200, 6, 80
+#: What a fit sees at most: documents of a language, whole ones.
+PER_LANGUAGE = 200
 HIDDEN, PIECE_BYTES, ROUNDS, BATCH, RATE = 8, 64, 260, 192, 0.02
 UNKNOWN = "und"
 
@@ -73,12 +74,18 @@ class Network:
         np.exp(logit, out=logit)
         return logit / logit.sum(-1, keepdims=True)
 
-    def learn(self, text: np.ndarray, mask: np.ndarray, language: np.ndarray, rounds: int = ROUNDS, batch: int = BATCH, seed: int = 11) -> None:
-        """Backpropagation through time on the cross-entropy of every byte's label, with Adam."""
+    def learn(self, text: np.ndarray, mask: np.ndarray, language: np.ndarray, owner: np.ndarray | None = None, rounds: int = ROUNDS, batch: int = BATCH, seed: int = 11) -> None:
+        """Backpropagation through time on the cross-entropy of every byte's label, with Adam. A batch draws documents, the
+        `owner` of a piece, and a piece of each; without owners it draws pieces."""
         rng, d = np.random.default_rng(seed), self.hidden
         m, v = ({n: np.zeros_like(x) for n, x in self.p.items()} for _ in range(2))
         for step in range(1, rounds + 1):
-            pick = rng.integers(0, len(text), min(batch, len(text)))
+            if owner is None:
+                pick = rng.integers(0, len(text), min(batch, len(text)))
+            else:
+                head = np.searchsorted(owner, rng.choice(owner[np.diff(owner, prepend=-1) > 0], min(batch, len(text))))
+                count = np.searchsorted(owner, owner[head], "right") - head
+                pick = head + (rng.random(len(head)) * count).astype(int)
             x, w, y, keep = text[pick], mask[pick].astype(np.float32), language[pick], {}
             states = self.states(x, keep)
             error = self.labels(states)
@@ -122,20 +129,30 @@ class Network:
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Network:
     """A network from (doc_id, text, lang): rows whose crc32(doc_id) mod 5 isn't 0, of each language the `per_language`
-    least by hash, of each document PIECES short pieces spread evenly over it. That much, a few hundred
-    kilobytes, reaches the driver, whatever the corpus holds."""
+    least by hash (rows of one id by the hash of their text; equal rows count once), read whole in one task. Pieces of all
+    of a document are drawn from, a shorter document's as often as a longer one's."""
     known = docs.where((remainder("doc_id", 5) != 0) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    spread = F.array(*[F.substring(F.col("text"), (F.length("text") * (i / PIECES)).cast("int") + 1, F.lit(PIECE_CHARS)) for i in range(PIECES)])
-    rows = known.select("doc_id", "lang", spread.alias("pieces")).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language).orderBy("lang", "nth").select("lang", "pieces").collect()
-    languages = sorted({r.lang for r in rows})
+    rows = known.select("doc_id", "lang", F.xxhash64("text").alias("own"), "text")
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "own")
+    some = rows.select("doc_id", "lang", "own").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language)
+    some = stored(some.groupBy("doc_id", "lang", "own").agg(F.min("nth").alias("nth")), "sample")
+    sample = stored(rows.join(F.broadcast(some), ["doc_id", "lang", "own"]).select("lang", "nth", "text"), "texts")
+    languages, weights = pickle.loads(sample.repartition(1).mapInArrow(_fitted, "model binary").first()["model"])
+    network = Network(languages)
+    network.p = weights
+    return network
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The languages and weights from the bounded sample, which one task holds."""
+    rows = sorted({(lang, nth, text) for batch in batches for lang, nth, text in zip(*(c.to_pylist() for c in batch.columns))})
+    languages = sorted({lang for lang, _, _ in rows})
     network = Network(languages)
-    taken = [(p, r.lang) for r in rows for p in dict.fromkeys(r.pieces) if p]
     if len(languages) > 1:
-        data, off = string_bytes(pa.array([p for p, _ in taken], pa.string()))
+        data, off = string_bytes(pa.array([text for _, _, text in rows], pa.string()))
         text, row, length = pieces_of(data, off, PIECE_BYTES)
-        network.learn(text, np.arange(PIECE_BYTES) < length[:, None], np.array([languages.index(taken[i][1]) for i in row]))
-    return network
+        network.learn(text, np.arange(PIECE_BYTES) < length[:, None], np.array([languages.index(lang) for lang, _, _ in rows])[row], row)
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((languages, network.p))], pa.binary())], names=["model"])
 
 
 def identify(docs: DataFrame, network: Network) -> DataFrame:
@@ -143,7 +160,8 @@ def identify(docs: DataFrame, network: Network) -> DataFrame:
 
     All bytes of the text are labelled; `score` is the mean probability of the predicted language. `spans` are
     byte ranges (start, end, lang) whose pieces agree. Null, empty and letterless texts, and all texts
-    if nothing could be learned, give 'und', score 0 and no spans. Rows that repeat give rows that repeat.
+    if nothing could be learned, give 'und', score 0 and no spans. Rows that repeat give rows that repeat. Of languages
+    that tie, the first by name is predicted.
     """
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(network)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import remainder, steps, stored, string_bytes, table
 
-#: What a fit sees at most: labelled documents of each class, chunks of a document (spread over all of it).
-PER_CLASS, CHUNKS = 1200, 8
+#: What a fit sees at most: labelled documents of each class, whole ones.
+PER_CLASS = 1200
 CHUNK, OVERLAP, STRIDE, WIDTH, EMBED, FILTERS = 256, 32, 2, 8, 6, 16
 ROUNDS, BATCH, RATE, LIMIT = 350, 32, 0.01, 6.0
 #: A byte counts as a repetition if the RUN bytes up to it equal those a period before, for a period of PERIODS bytes.
@@ -20,23 +21,24 @@ RUN, PERIODS = 12, range(3, 26)
 THRESHOLD = 0.7
 
 
-def repeats(data: np.ndarray) -> np.ndarray:
-    """Which bytes end a run that repeats what stood one period before."""
+def repeats(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Which bytes end a run that repeats what stood one period before in the same row."""
     out = np.zeros(len(data), bool)
+    behind = np.minimum(np.arange(len(data)) - np.repeat(off[:-1], np.diff(off)), 255).astype(np.uint8)
     for period in PERIODS:
         if len(data) <= period + RUN:
             break
         same = data[period:] == data[:-period]
         for shift in (1, 2, 4, RUN - 8):
             same = same[shift:] & same[:-shift]
-        out[-len(same) :] |= same
+        out[-len(same) :] |= same & (behind[-len(same) :] >= period + RUN - 1)
     return out
 
 
 def chunks_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Overlapping chunks that cover each row, as symbols (byte, and 256 more for a repetition), and their rows. An
     empty row has one chunk; what a row leaves of its last one is symbol 0."""
-    symbols = np.concatenate([data.astype(np.uint16) + 256 * repeats(data).astype(np.uint16), np.zeros(CHUNK, np.uint16)])
+    symbols = np.concatenate([data.astype(np.uint16) + 256 * repeats(data, off).astype(np.uint16), np.zeros(CHUNK, np.uint16)])
     step = CHUNK - OVERLAP
     count = np.maximum(1, -(-(np.diff(off) - OVERLAP) // step))
     row = np.repeat(np.arange(len(count)), count)
@@ -67,7 +69,7 @@ class Network:
         return np.maximum(total.max(1) + self.p["c"], 0), at
 
     def scores(self, pooled: np.ndarray) -> np.ndarray:
-        return LIMIT * np.tanh((pooled @ self.p["o"] + self.p["b"]) / LIMIT)
+        return LIMIT * np.tanh(((pooled * self.p["o"]).sum(1) + self.p["b"]) / LIMIT)
 
     def learn(self, docs: list[np.ndarray], label: np.ndarray, rounds: int = ROUNDS, batch: int = BATCH, seed: int = 5) -> None:
         rng = np.random.default_rng(seed)
@@ -112,30 +114,32 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int
     some = known.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= max(most.values())).where(F.col("nth") <= bound)
     rows = stored(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id"), "sample")
     if rows.count() > 2 * sum(most.values()):  # ids that repeat
-        rows = rows.orderBy("label", "nth").limit(2 * sum(most.values()))
+        rows = rows.orderBy("label", "nth", F.xxhash64("text"), "text").limit(2 * sum(most.values()))
     return rows.select("text", "label", "nth")
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Network:
-    """A network from labels whose crc32(doc_id) mod 4 isn't 2: at most `per_class` documents a class, and of each CHUNKS
-    pieces of CHUNK characters spread evenly over it. Labels other than 0 and 1 are ignored; with no
-    labels the network stays as it begins."""
+    """A network from labels whose crc32(doc_id) mod 4 isn't 2: at most `per_class` documents a class, the least by hash, read
+    whole in one task. Labels other than 0 and 1 are ignored; rows that repeat an id are all seen, and an id with both labels
+    counts for both. With no labels the network stays as it begins."""
     rows = labelled(docs, labels, "quality", {0: per_class, 1: per_class}, 4, 2)
-    spread = F.array(*[F.substring(F.col("text"), (F.length("text") * (i / CHUNKS)).cast("int") + 1, F.lit(CHUNK)) for i in range(CHUNKS)])
-    whole = F.array(F.col("text"))
-    got = rows.select("label", "nth", F.when(F.length("text") > CHUNK * CHUNKS, spread).otherwise(whole).alias("pieces")).collect()
-    network, seen, label = Network(), [], []
-    for r in sorted(got, key=lambda r: (r.label, r.nth)):
-        data, off = string_bytes(pa.array([p or "" for p in r.pieces], pa.string()))
-        seen.append(chunks_of(data, off)[0])
-        label.append(r.label)
-    if seen:
-        network.learn(seen, np.array(label))
+    network = Network()
+    network.p = pickle.loads(rows.repartition(1).mapInArrow(_fitted, "model binary").first()["model"])
     return network
 
 
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The weights from the bounded sample, which one task holds."""
+    rows = sorted(((label, nth, text or "") for batch in batches for text, label, nth in zip(*(c.to_pylist() for c in batch.columns))))
+    network, seen = Network(), [chunks_of(*string_bytes(pa.array([text])))[0] for _, _, text in rows]
+    if seen:
+        network.learn(seen, np.array([label for label, _, _ in rows]))
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(network.p)], pa.binary())], names=["model"])
+
+
 def score(docs: DataFrame, network: Network, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row, from its whole text; null and empty texts score as an empty chunk."""
+    """(doc_id, held_out, score, predicted) of every row, from its whole text and nothing else; null and empty texts score as
+    an empty chunk. A score that equals the threshold is predicted 1; rows that repeat give rows that repeat."""
     held = docs.sparkSession.sparkContext.broadcast(network)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 

@@ -79,7 +79,9 @@ def test_language_of_whole_texts(spark):
 def test_repeats_by_definition():
     data = np.frombuffer(b"one two three " + b"spam " * 8 + b"end of it all here", np.uint8)
     want = [any(i - qu.RUN - p + 1 >= 0 and (data[i - qu.RUN + 1 : i + 1] == data[i - qu.RUN + 1 - p : i + 1 - p]).all() for p in qu.PERIODS) for i in range(len(data))]
-    assert qu.repeats(data).tolist() == want
+    assert qu.repeats(data, np.array([0, len(data)])).tolist() == want
+    twice = np.concatenate([data, data])
+    assert qu.repeats(twice, np.array([0, len(data), 2 * len(data)])).tolist() == want * 2
 
 
 def test_chunks_cover_all_bytes():
@@ -110,3 +112,101 @@ def test_quality_on_held_out(spark):
     assert sum(r.predicted == (r.doc_id % 3 > 0) for r in held) >= 0.95 * len(held) > 20
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in out)
     assert qu.score(d.limit(0), qu.fit(d.limit(0), lab.limit(0))).count() == 0
+
+
+def _texts(rng, n):
+    """Texts of letters, repetitions, other scripts and nothing, of all lengths, in no order."""
+    out = ["", None, "spam ok", "spam ok " * 9, "é𝄞" * 40]
+    for _ in range(n):
+        word = lambda: "".join(rng.choice(list("abcdeïß "), rng.integers(1, 9)))
+        text = " ".join(word() for _ in range(rng.integers(0, 120)))
+        out.append(text if rng.random() < 0.6 else text[:200] + (word() + "ab ") * int(rng.integers(1, 60)))
+    return [out[i] for i in rng.permutation(len(out))]
+
+
+def plain_language(net, raw):
+    """The same network, a byte at a time, over one text."""
+    sig = lambda v: 1 / (1 + np.exp(-v.astype(np.float64)))
+    d, total = net.hidden, np.zeros(len(net.languages))
+    for lo in range(0, len(raw), li.PIECE_BYTES):
+        piece = list(raw[lo : lo + li.PIECE_BYTES])
+        padded, states = piece + [0] * (li.PIECE_BYTES - len(piece)), []
+        for side, order in ((0, padded), (1, padded[::-1])):
+            h, out = np.zeros(d), []
+            for byte in order:
+                x, u = net.p["x"][side, byte], h @ net.p["h"][side]
+                z, r = sig(x[:d] + u[:d]), sig(x[d : 2 * d] + u[d : 2 * d])
+                h = h + z * (np.tanh(x[2 * d :] + r * u[2 * d :]) - h)
+                out.append(h)
+            states.append(out)
+        for t in range(len(piece)):
+            logit = np.concatenate([states[0][t], states[1][li.PIECE_BYTES - 1 - t]]) @ net.p["o"] + net.p["b"]
+            e = np.exp(logit - logit.max())
+            total += e / e.sum()
+    return total / max(1, len(raw))
+
+
+def test_language_against_a_plain_network():
+    rng = np.random.default_rng(9)
+    net = li.Network(["a", "b", "c"], hidden=4, seed=2)
+    texts = _texts(rng, 25)
+    pooled = net.read(*string_bytes(pa.array(texts, pa.string())))[0]
+    for text, got in zip(texts, pooled):
+        assert np.allclose(got, plain_language(net, (text or "").encode()), atol=1e-4)
+
+
+def plain_quality(net, raw):
+    """The same network, a chunk and a place at a time, over one text."""
+
+    def repeated(i):
+        return any(i >= period + qu.RUN - 1 and all(raw[i - k] == raw[i - k - period] for k in range(qu.RUN)) for period in qu.PERIODS)
+
+    symbols = [b + 256 * repeated(i) for i, b in enumerate(raw)]
+    step, scores = qu.CHUNK - qu.OVERLAP, []
+    for c in range(max(1, -(-(len(raw) - qu.OVERLAP) // step))):
+        chunk = symbols[c * step : c * step + qu.CHUNK]
+        chunk = chunk + [0] * (qu.CHUNK - len(chunk))
+        best = np.full(qu.FILTERS, -np.inf)
+        for at in range(0, qu.CHUNK - qu.WIDTH + 1, qu.STRIDE):
+            best = np.maximum(best, sum(net.p["e"][chunk[at + j]] @ net.p["w"][j] for j in range(qu.WIDTH)))
+        scores.append(qu.LIMIT * np.tanh((np.maximum(best + net.p["c"], 0) @ net.p["o"] + net.p["b"][0]) / qu.LIMIT))
+    return 1 / (1 + np.exp(-np.mean(scores)))
+
+
+def test_quality_against_a_plain_network():
+    rng = np.random.default_rng(6)
+    net, texts = qu.Network(seed=8), _texts(rng, 25)
+    together = net.read(*string_bytes(pa.array(texts, pa.string())), net.tables())
+    for text, got in zip(texts, together):
+        alone = net.read(*string_bytes(pa.array([text], pa.string())), net.tables())[0]
+        assert alone == got and np.isclose(got, plain_quality(net, (text or "").encode()), atol=1e-4)
+
+
+def test_quality_gradient():
+    """A step from zero moments moves each weight against its slope."""
+    rng = np.random.default_rng(1)
+    docs = [qu.chunks_of(*string_bytes(pa.array([bytes(rng.integers(97, 101, 700).astype(np.uint8)).decode()])))[0] for _ in range(2)]
+    net, label = qu.Network(), np.array([0, 1])
+
+    def loss():
+        out = 0.0
+        for chunks, y in zip(docs, label):
+            p = 1 / (1 + np.exp(-net.scores(net.pooled(chunks, net.tables())[0]).mean()))
+            out -= np.log(p if y else 1 - p)
+        return out / 2
+
+    before, slopes = {k: v.copy() for k, v in net.p.items()}, {}
+    for name, at in (("w", (3, 2, 5)), ("w", (0, 0, 1)), ("e", (98, 1)), ("e", (100, 4)), ("c", (5,)), ("b", (0,)), ("o", (7,))):
+        d = []
+        for e in (1e-3, -1e-3):
+            net.p[name][at] = before[name][at] + e
+            d.append(loss())
+        net.p[name][at] = before[name][at]
+        slopes[name, at] = d[0] - d[1]
+    net.learn(docs, label, rounds=1, batch=2)
+    checked = 0
+    for (name, at), slope in slopes.items():
+        if abs(slope) > 1e-5:
+            assert np.sign(before[name][at] - net.p[name][at]) == np.sign(slope), (name, at)
+            checked += 1
+    assert checked >= 4
