@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import pickle
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 from .common import mix, remainder, span_hashes, steps, string_bytes, table, word_spans
 from .quality import labelled
 
-#: What a fit sees at most: labelled documents of each class (clean, toxic) and characters of one (longer ones are left out of the fit).
-CLEAN, TOXIC, FIT_CHARS = 3000, 800, 20_000
+#: What a fit sees at most: labelled documents of each class (clean, toxic), whole ones.
+CLEAN, TOXIC = 3000, 800
 FIT_STEP = 256 << 10
 THRESHOLD = 0.5
 #: Lengths in bytes of the word beginnings that may become insults; 0 is the whole word.
@@ -35,6 +36,8 @@ PRIOR = np.array([2.0, 3.0, 0.7, 0.7, 3.0])
 PRIOR_BIAS = -3.0
 END = b".!?;\n"
 QUOTES = '"“”«»„'
+#: The typographic apostrophe, in UTF-8; it counts as the plain one.
+APOSTROPHE = "’".encode()
 
 
 class Transducer:
@@ -86,6 +89,30 @@ def grammar() -> Transducer:
 GRAMMAR = grammar()
 
 
+def letters(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Which bytes of lower-cased text belong to words: letters and marks by code point, and the apostrophe of a negation (n't)."""
+    out = (data >= 97) & (data <= 122)
+    head = np.flatnonzero(data >= 0xC0)
+    more = 1 + (data[head] >= 0xE0) + (data[head] >= 0xF0).astype(np.int64)
+    padded = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.int64)
+    point = padded[head] & np.array([0, 0x1F, 0x0F, 0x07])[more]
+    for k in (1, 2, 3):
+        point = np.where(more >= k, point << 6 | padded[np.minimum(head + k, len(padded) - 1)] & 0x3F, point)
+    known, at = np.unique(point, return_inverse=True)
+    word = np.array([c < 0x110000 and unicodedata.category(chr(c))[0] in "LM" for c in known.tolist()], bool)[at]
+    for k in range(4):
+        out[np.minimum(head + k, len(data) - 1)[word & (more >= k)]] = True
+    plain = np.flatnonzero(data == 39)
+    curled = head[point == 0x2019]
+    for size, at in ((1, plain), (3, curled)):
+        at = at[~np.isin(at, off) & ~np.isin(at + size, off)]
+        ends = np.isin(at + size + 1, off) | ~out[np.minimum(at + size + 1, len(data) - 1)]
+        at = at[(data[at - 1] == 110) & (data[np.minimum(at + size, len(data) - 1)] == 116) & ends]
+        for k in range(size):
+            out[at + k] = True
+    return out
+
+
 def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lower-cased bytes, the letters' runs in them (start, end), each row's first run, and each byte's clause so far."""
     data, off = string_bytes(col)
@@ -94,8 +121,7 @@ def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     after = np.zeros(len(data), bool)
     after[1:] = data[:-1] == 0xC3
     data[after & (data >= 0x80) & (data <= 0x9E) & (data != 0x97)] += 32
-    letter = ((data >= 97) & (data <= 122)) | (data >= 0xC3) | ((data >= 0x80) & (data < 0xC0)) | (data == 39)
-    starts, ends, first = word_spans(np.where(letter, np.uint8(97), np.uint8(32)), off)
+    starts, ends, first = word_spans(np.where(letters(data, off), np.uint8(97), np.uint8(32)), off)
     clause = np.cumsum(np.isin(data, np.frombuffer(END, np.uint8)))
     return data, starts, ends, first, clause
 
@@ -112,8 +138,9 @@ class Model:
         closed = {}
         for symbol, words in WORDS.items():
             for word in words.split():
-                raw = np.frombuffer(word.encode(), np.uint8)
-                closed[int(span_hashes(raw, np.array([0]), np.array([len(raw)]))[0])] = symbol
+                for spelt in {word.encode(), word.encode().replace(b"'", APOSTROPHE)}:
+                    raw = np.frombuffer(spelt, np.uint8)
+                    closed[int(span_hashes(raw, np.array([0]), np.array([len(raw)]))[0])] = symbol
         self.closed, self.lexicon, self.weights, self.bias = closed, lexicon, weights, bias
         self.sorted = {k: np.array(sorted(v), np.uint64) for k, v in lexicon.items() if v}
         self.harm = np.array(sorted(h for h, s in closed.items() if s in "HI"), np.uint64)
@@ -149,11 +176,13 @@ class Model:
             done = hi - 1
             state, found = 0, []
             for w in range(lo, hi):
-                if w > lo:
-                    between = data[ends[w - 1] : starts[w]].tobytes().decode("utf-8", "ignore")
-                    for c in between:
-                        if c in QUOTES:
-                            state, _, _ = GRAMMAR.step(state, "Q")
+                left = int(ends[w - 1]) if w > first[row[hit]] else int(off[row[hit]])
+                between = data[left : starts[w]].tobytes().decode("utf-8", "ignore")
+                if w == lo:  # only a quote that opens at the clause's first word
+                    between = between[len(between.rstrip(QUOTES)) :]
+                for c in between:
+                    if c in QUOTES:
+                        state, _, _ = GRAMMAR.step(state, "Q")
                 weight = insult.get(w, 0.0)
                 symbol = "I" if weight else self.closed.get(int(whole[w]), "w")
                 state, out, factor = GRAMMAR.step(state, symbol)
@@ -239,16 +268,16 @@ def learn_weights(features: np.ndarray, toxic: np.ndarray, rounds: int = 400) ->
 
 
 def fit(docs: DataFrame, labels: DataFrame, clean: int = CLEAN, toxic: int = TOXIC) -> Model:
-    """A model from labels whose crc32(doc_id) mod 5 isn't 0: at most `clean` and `toxic` documents, the least by hash, none over
-    FIT_CHARS. Labels other than 0 and 1 are ignored; with no labels the seed words and the prior stand alone."""
-    rows = labelled(docs.where(F.length("text") <= FIT_CHARS), labels, "toxic", {0: clean, 1: toxic}, 5, 0)
+    """A model from labels whose crc32(doc_id) mod 5 isn't 0: at most `clean` and `toxic` documents, the least by hash, read
+    whole. Labels other than 0 and 1 are ignored; with no labels the seed words and the prior stand alone."""
+    rows = labelled(docs, labels, "toxic", {0: clean, 1: toxic}, 5, 0)
     raw = rows.repartition(1).mapInArrow(_fitted, "model binary").first()["model"]
     return Model(*pickle.loads(raw))
 
 
 def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The lexicon and weights from the bounded sample, which one task holds."""
-    rows = sorted(((label, nth, text) for batch in batches for text, label, nth in zip(*(c.to_pylist() for c in batch.columns))), key=lambda r: r[:2])
+    rows = sorted((label, nth, text or "") for batch in batches for text, label, nth in zip(*(c.to_pylist() for c in batch.columns)))
     texts, label = [r[2] for r in rows], np.array([r[0] for r in rows], int)
     lexicon = learn_lexicon(texts, label)
     model = Model(lexicon, PRIOR, PRIOR_BIAS)
@@ -261,7 +290,8 @@ def assess(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
     """(doc_id, held_out, score, predicted, clauses) of every row, from its whole text.
 
     `clauses` are the matched ones: start and end byte, and the kinds found in order (I insult, D directed,
-    i negated, r reported, X threat). Null and empty texts match nothing.
+    i negated, r reported, X threat). Words are runs of letters, by code point, so any quote, dash or other mark ends one. Null
+    and empty texts match nothing; rows that repeat give rows that repeat; a score that equals the threshold is predicted 1.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -281,7 +311,8 @@ def assess(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs` that score below the threshold, with their columns; the text is scored where it lies, nothing is shuffled."""
+    """The rows of `docs` that score below the threshold, with their columns; the text is scored where it lies, nothing is shuffled.
+    Rows that repeat stay or go alike, also those of null id; null and empty texts stay."""
     held, columns = docs.sparkSession.sparkContext.broadcast(fit(docs, labels)), docs.columns
     place = columns.index("text")
 

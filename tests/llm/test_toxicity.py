@@ -68,3 +68,64 @@ def test_held_out(spark):
     assert kept.count() == len(docs) - len(gone)
     nothing = labels.limit(0)
     assert t.assess(d.limit(0), t.fit(d.limit(0), nothing)).count() == 0 and t.assess(d, t.fit(d, nothing)).count() == len(docs)
+
+
+def test_typographic_marks_end_words():
+    m = t.Model({}, t.PRIOR, t.PRIOR_BIAS)
+    kinds = lambda text: "".join(k for _, _, _, x in m.clauses(pa.array([text])) for k, _ in x)
+    assert kinds("you idiot") == kinds("you—idiot") == kinds("you…idiot") == kinds("You\u00a0IDIOT") == "D"
+    assert kinds("“idiot”") == kinds("«idiot»") == kinds('"idiot"') == "r"
+    assert kinds("“You are an idiot” he added") == kinds('"You are an idiot" he added') == "r"
+    assert kinds('He added "no." You idiot.') == "D"
+    assert kinds("it isn’t stupid") == kinds("it isn't stupid") == "i"
+    assert kinds("l’idiot") == kinds("l'idiot") == "I" and kinds("’t stupid") == "I"
+
+
+def plain_clauses(m, text):
+    """The kinds of the matches of one text: a character at a time, a clause at a time, a word through the machine at a time."""
+    import unicodedata
+
+    raw, out, words = text or "", [], []
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" or "\xc0" <= c <= "\xde" and c != "\xd7" else c for c in raw)
+    letter = [c.isascii() and c.isalpha() or not c.isascii() and unicodedata.category(c)[0] in "LM" for c in low]
+    joins = [i for i, c in enumerate(low) if c in "'’" and 0 < i < len(low) - 1 and low[i - 1] == "n" and low[i + 1] == "t" and not (i + 2 < len(low) and letter[i + 2])]
+    for i in joins:
+        letter[i] = True
+    at = 0
+    while at < len(low):
+        if not letter[at]:
+            at += 1
+            continue
+        end = at
+        while end < len(low) and letter[end]:
+            end += 1
+        words.append((at, end))
+        at = end
+    symbol = {w: s for s, ws in t.WORDS.items() for w in ws.split()}
+    clause = lambda a: sum(c in ".!?;\n" for c in low[:a])
+    for number in dict.fromkeys(clause(a) for a, _ in words):
+        mine = [w for w in range(len(words)) if clause(words[w][0]) == number]
+        state = 0
+        for w in mine:
+            gap = low[words[w - 1][1] if w else 0 : words[w][0]]
+            if w == mine[0]:
+                gap = gap[len(gap.rstrip(t.QUOTES)) :]
+            for c in gap:
+                if c in t.QUOTES:
+                    state = t.GRAMMAR.step(state, "Q")[0]
+            state, o, _ = t.GRAMMAR.step(state, symbol.get(low[slice(*words[w])].replace("’", "'"), "w"))
+            if o in t.KINDS:
+                out.append(o)
+    return "".join(out)
+
+
+def test_clauses_against_a_plain_machine():
+    rng = random.Random(11)
+    m = t.Model({}, t.PRIOR, t.PRIOR_BIAS)
+    bits = "you idiot IDIOT stupid not never isn’t don't said “ ” \" « » — ' ’ . ! ; \n kill them hurt word Érable jamais été du dich töten scum ' , others n't".split(" ")
+    texts = [None, ""] + [("" if rng.random() < 0.2 else " ").join(rng.choice(bits) for _ in range(rng.randint(1, 40))) for _ in range(400)]
+    got = [""] * len(texts)
+    for row, _, _, matches in m.clauses(pa.array(texts)):
+        got[row] += "".join(k for k, _ in matches)
+    for text, kinds in zip(texts, got):
+        assert kinds == plain_clauses(m, text), text
