@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored, table
+from .common import WORD, named, spare, stored, table
 
 #: Weights that the sources get in turn, and the most copies of a document.
 WEIGHTS, MOST = (1, 2, 3), 3
@@ -37,6 +37,11 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: f
     return per.select("source", "source_size", F.least(F.col("cap"), F.coalesce("level", F.lit(0.0)) * F.col("weight")).alias("target"))
 
 
+def draw_key() -> Column:
+    """What a document's draw hangs on: its id, or, where that is null, its text."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+
+
 def copies(key: Column, rate: Column, seed: str = SEED) -> Column:
     """floor(rate) copies, and one more with the fraction's probability, drawn from md5 of key and seed."""
     digits = F.substring(F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary")), 1, 13)
@@ -48,23 +53,27 @@ def mixing_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float
     """Each row of `docs` with size, source_size, target and n_copies.
 
     Null text has size 0; null source is a source of its own. A source of size 0 has target 0 and rate 0. Rows
-    with the same doc_id draw alike. The table of targets has a row a source, is stored, and Spark
+    with the same doc_id draw alike; one without doc_id draws by the hash of its text. Sources whose
+    caps or weights tie are taken in code point order. The table of targets has a row a source, is stored, and Spark
     broadcasts it only if it is small; the join is split where a source is hot. An empty table gives no rows. Columns of `docs`
     with the names added here are replaced.
     """
-    docs = docs.drop("size", "source_size", "target", "n_copies")
+    added = ("size", "source_size", "target", "n_copies")
+    kept = [c for c in docs.columns if c.lower() not in added]
+    docs = docs.select(*map(named, kept))
     targets = stored(source_targets(docs.select("source", word_count(F.col("text")).alias("size")), weights, most), "targets")
-    t = targets.withColumnRenamed("source", "_source")
+    own = spare(docs, "own_source")
+    t = targets.withColumnRenamed("source", own)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    joined = docs.join(t, docs.source.eqNullSafe(t["_source"])).drop("_source")
-    return joined.withColumn("size", word_count(F.col("text"))).withColumn("n_copies", copies(F.col("doc_id"), rate, seed))
+    joined = docs.join(t, F.col("source").eqNullSafe(named(own)))
+    return joined.select(*map(named, kept), word_count(F.col("text")).alias("size"), "source_size", "target", copies(draw_key(), rate, seed).alias("n_copies"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST, seed: str = SEED) -> DataFrame:
     """The mix itself: every document n_copies times, with the number of its copy in `copy` (from 0)."""
-    columns = [c for c in docs.columns if c not in ("size", "source_size", "target", "n_copies", "copy")]
+    columns = [c for c in docs.columns if c.lower() not in ("size", "source_size", "target", "n_copies", "copy")]
     plan = mixing_plan(docs, weights, most, seed).where("n_copies > 0")
-    return plan.select(*columns, F.explode(F.sequence(F.lit(0), (F.col("n_copies") - 1).cast("int"))).alias("copy"))
+    return plan.select(*map(named, columns), F.explode(F.sequence(F.lit(0), (F.col("n_copies") - 1).cast("int"))).alias("copy"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +83,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 with sized as (
-  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents
+  select doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents
 ), per as (
   select source, sum(size)::bigint as source_size from sized group by source
 ), weighed as (
@@ -89,7 +98,7 @@ with sized as (
   select source, source_size, least(cap, coalesce(level, 0) * weight) as target from leveled
 ), rated as (
   select d.doc_id, d.size, t.source_size, t.target, case when t.source_size > 0 then t.target / t.source_size else 0 end as rate,
-    ('0x' || substr(md5(coalesce(d.doc_id::varchar, '') || ':mix'), 1, 13))::bigint / 4503599627370496.0 as draw
+    ('0x' || substr(md5(coalesce(d.doc_id::varchar, 'text ' || md5(coalesce(d.text, ''))) || ':mix'), 1, 13))::bigint / 4503599627370496.0 as draw
   from sized d join targets t on d.source is not distinct from t.source
 )
 select doc_id, size, source_size, target, (size * (floor(rate) + case when draw < rate - floor(rate) then 1 else 0 end))::bigint as taken from rated

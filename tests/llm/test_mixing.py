@@ -45,3 +45,15 @@ def test_targets_and_copies(spark):
     out = mixing.mix(df)
     assert out.count() == sum(r.n_copies for r in got)
     assert mixing.mixing_plan(df.limit(0)).count() == 0
+
+
+def test_names_that_clash(spark):
+    df = spark.createDataFrame([(1, "a b", "x", 1, 2, 3), (2, None, None, 1, 2, 3)], "doc_id long, text string, source string, `_source` int, own_source int, `a.b` int")
+    out = mixing.mix(df)
+    assert out.columns == [*df.columns, "copy"] and {(r["_source"], r["own_source"], r["a.b"]) for r in out.collect()} <= {(1, 2, 3)}
+
+
+def test_rows_without_id_draw_apart(spark):
+    df = spark.createDataFrame([(None, f"text {i}", "abc"[i % 3]) for i in range(600)], "doc_id long, text string, source string")
+    taken = [r.n_copies for r in mixing.mixing_plan(df).where("source = 'a'").collect()]
+    assert len(set(taken)) == 2
