@@ -14,14 +14,17 @@ import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_path, stored, table
 from .lines import bounded
 
-#: Payload bytes of a shard, compressed bytes after which a file is closed, keys sampled for a shard's bound.
-SHARD_BYTES, FILE_BYTES, PER_BOUND = 32 << 20, 16 << 20, 64
+#: Payload bytes of a shard, compressed bytes after which a file is closed. No corpus has more shards than MOST_SHARDS, which bounds
+#: the table of their first keys; shards of a larger one hold more.
+SHARD_BYTES, FILE_BYTES, MOST_SHARDS = 32 << 20, 16 << 20, 20_000
+#: What a record weighs beside its payload when shards are measured out.
+HEAD_BYTES = 600
 #: Equal payloads of at least so many bytes are written once; the others revisit.
 REVISIT_BYTES = 0
 DATE = "2000-01-01T00:00:00Z"
@@ -61,12 +64,32 @@ def sha1_hex() -> Column:
     return F.sha1(F.coalesce("html", F.lit("")).cast("binary"))
 
 
+def shard_bounds(rows: DataFrame, total: int, count: int, shard_bytes: int) -> list[tuple[str, int]]:
+    """The first key (url, page) of each shard but the first, in order.
+
+    The keys alone are sorted, over the cluster, with the bytes that stand before each: those of the partitions before and a running sum
+    within its own. A shard begins where those pass a multiple of the shard's bytes, so bounds don't hang on partitions.
+    """
+    shards = min(MOST_SHARDS, -(-(total + HEAD_BYTES * count) // shard_bytes))
+    if shards < 2:
+        return []
+    each = -(-(total + HEAD_BYTES * count) // shards)
+    keys = rows.select(F.coalesce("url", F.lit("")).alias("url"), F.coalesce("page_id", F.lit(-1)).alias("page"), (F.coalesce(F.octet_length("html"), F.lit(0)) + HEAD_BYTES).cast("long").alias("bytes"))
+    keys = stored(keys.repartitionByRange("url", "page").withColumn("part", F.spark_partition_id()), "keys")
+    parts = keys.groupBy("part").agg(F.sum("bytes").alias("held"))
+    parts = parts.select("part", F.coalesce(F.sum("held").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
+    before = F.coalesce(F.sum("bytes").over(Window.partitionBy("part").orderBy("url", "page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = keys.withColumn("before", before).join(F.broadcast(parts), "part")
+    first = placed.groupBy(F.floor((F.col("offset") + F.col("before")) / each).alias("shard")).agg(F.min(F.struct("url", "page")).alias("k"))
+    return sorted({(r.url, r.page) for r in first.where("shard > 0").select("k.*").collect()})
+
+
 def write_archives(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
     """Writes `pages` (page_id, url, html) as gzipped WARC files under `folder` and returns the manifest: shard, part, file,
     records, bytes.
 
-    Records are sorted by url and page_id. Shards are ranges of that order whose bounds come from a sample by hash, so the
-    same pages give the same files whatever the cluster does. A task writes its files under temporary
+    Records are sorted by url and page_id. Shards are ranges of that order of about `shard_bytes` each, measured out
+    exactly, so the same pages give the same files whatever the cluster does, and a task has one shard. A task writes its files under temporary
     names; only those that a finished task reports are renamed, and the manifest is written last, so a lost executor or a second
     attempt leaves nothing half done. Null html is an empty payload; null url has no target header. Of equal payloads
     the largest page_id is the response (null ids never, unless there is no other); rows that repeat it are responses too.
@@ -76,13 +99,9 @@ def write_archives(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES
     size = F.coalesce(F.octet_length("html"), F.lit(0)).cast("long")
     sums = stored(rows.select("page_id", size.alias("payload_bytes"), sha1_hex().alias("same")), "digests")
     total = sums.agg(F.sum("payload_bytes"), F.count("*")).first()
-    shards = max(1, -(-int(total[0] or 0) // shard_bytes))
     equal = sums.where(F.col("payload_bytes") >= revisit_bytes).groupBy("same").agg(F.max("page_id").alias("response"), F.count("*").alias("n"))
     equal = stored(equal.where("n > 1 and response is not null").select("same", "response"), "equal")
-    key = F.struct(F.coalesce("url", F.lit("")).alias("url"), F.coalesce("page_id", F.lit(-1)).alias("page"))
-    every = max(1, int(total[1]) // (shards * PER_BOUND))
-    sample = sorted((r.url, r.page) for r in rows.where(F.pmod(F.xxhash64("url", "page_id"), F.lit(every)) == 0).select(key.alias("k")).select("k.*").collect()) if shards > 1 else []
-    bounds = [sample[len(sample) * i // shards] for i in range(1, shards)] if sample else []
+    bounds = shard_bounds(rows, int(total[0] or 0), int(total[1]), shard_bytes)
 
     @F.pandas_udf("int")
     def shard_of(url: pd.Series, page: pd.Series) -> pd.Series:
@@ -90,7 +109,7 @@ def write_archives(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES
 
     dealt = rows.select("page_id", "url", "html", sha1_hex().alias("digest"), shard_of(F.coalesce("url", F.lit("")), F.coalesce("page_id", F.lit(-1))).alias("shard"))
     dealt = dealt.join(bounded(equal), dealt.digest == equal.same, "left").drop("same")
-    ordered = dealt.repartition(shards, "shard").sortWithinPartitions("shard", F.coalesce("url", F.lit("")), F.coalesce("page_id", F.lit(-1)), "digest")
+    ordered = dealt.repartitionByRange(len(bounds) + 1, "shard").sortWithinPartitions("shard", F.coalesce("url", F.lit("")), F.coalesce("page_id", F.lit(-1)), "digest")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(folder)
@@ -156,7 +175,8 @@ def records(content: bytes, chunk: int = 64 << 10) -> Iterator[tuple[dict[str, s
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """(page_id, url, html, payload_bytes, payload_digest, record_type, refers_to) of each record of the archives in the manifest's folder.
+    """(page_id, url, html, payload_bytes, payload_digest, record_type, refers_to) of each record of the archives that the manifest in
+    `folder` lists; other files there are not read.
 
     Digests are computed again, and one that differs from its header is an error. A revisit has null html; its size is
     that in the HTTP header and its digest that of the payload it refers to.
@@ -165,10 +185,15 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["page_id", "url", "html", "payload_bytes", "payload_digest", "record_type", "refers_to"]
         types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+        store, base = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for content in batch.column(0):
+            for name, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with store.open_input_file(f"{base}/{name}") as file:
+                    content = file.read()
+                if len(content) != size:
+                    raise ValueError(f"{name} has {len(content)} bytes, its manifest says {size}")
                 rows: list[tuple] = []
-                for headers, block in records(content.as_py()):
+                for headers, block in records(content):
                     if headers["WARC-Block-Digest"] != f"sha1:{base32_sha1(block)}":
                         raise ValueError(f"block digest of {headers['WARC-Record-ID']} differs")
                     http, _, payload = block.partition(b"\r\n\r\n")
@@ -184,8 +209,8 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("content")
-    return files.mapInArrow(parse, "page_id long, url string, html string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    files = spark.read.parquet(f"{folder}/manifest").select("file", "bytes")
+    return files.repartition(max(1, min(MOST_SHARDS, files.count()))).mapInArrow(parse, "page_id long, url string, html string, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

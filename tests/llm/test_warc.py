@@ -27,5 +27,22 @@ def test_round_trip(spark, tmp_path):
         assert not list(pathlib.Path(f"{tmp_path}/out{part}").glob("_temporary*"))
         names.append(files)
     assert names[0] == names[1]
+    stray = pathlib.Path(f"{tmp_path}/out0/other.warc.gz")
+    stray.write_bytes(b"not in the manifest")
+    assert w.read_archives(spark, f"file://{tmp_path}/out0").count() == len(rows)
     empty = f"file://{tmp_path}/empty"
     assert w.write_archives(df.limit(0), empty).count() == 0
+
+
+def test_shards_are_even_and_a_page_may_exceed_a_file(spark, tmp_path):
+    rows = [(i, f"http://h/{i:05d}", "y" * (900 if i % 9 else 9_000) + str(i)) for i in range(2_000)] + [(9_999, "http://h/00500x", "z" * 400_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    manifest = w.write_archives(df, f"file://{tmp_path}/even", shard_bytes=500_000, file_bytes=30_000).collect()
+    held = {}
+    for r in manifest:
+        held[r.shard] = held.get(r.shard, 0) + r.records
+    assert sorted(held) == list(range(len(held))) and len(held) > 5 and sum(held.values()) == len(rows)
+    whole = sorted(v for k, v in held.items() if 0 < k < len(held) - 1)
+    assert whole[-1] <= 2 * whole[len(whole) // 2]
+    got = {r.page_id: r.html for r in w.read_archives(spark, f"file://{tmp_path}/even").collect()}
+    assert got == {i: h for i, _, h in rows}
