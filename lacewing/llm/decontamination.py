@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FOLD, WORD, gram_hashes, gram_rows, span_hashes, steps, string_bytes, table, word_spans
+from .common import FOLD, WORD, gram_hashes, gram_rows, named, span_hashes, steps, stored, string_bytes, table, word_spans
+from .lines import bounded
 
 N_WORDS, THRESHOLD = 5, 0.8
 #: Words of benchmark text that one broadcast may hold; a larger benchmark goes in blocks, each a pass over the documents.
@@ -121,9 +122,10 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, thr
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that hold no benchmark item, with their columns. Rows of null doc_id stay."""
-    dirty = contained_items(docs, benchmark, n, threshold).select("doc_id").distinct()
-    return docs.join(dirty, "doc_id", "left_anti")
+    """The documents that hold no benchmark item, with their columns. Rows of null doc_id stay; rows that share
+    an id go together."""
+    dirty = stored(contained_items(docs, benchmark, n, threshold).select("doc_id").distinct(), "dirty")
+    return docs.join(bounded(dirty), "doc_id", "left_anti").select(*map(named, docs.columns))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FOLD, components, steps, stored, string_bytes, table, word_spans
+from .common import FOLD, components, named, steps, stored, string_bytes, table, word_spans
+from .lines import bounded
 
 N_WORDS, SEED, MOST_BITS = 3, 42, 3
 #: A group of fingerprints above this is dealt out once more; pairs that one traversal step may hold.
@@ -205,11 +206,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The row of each component's least doc_id, with the columns of `docs`; of rows that repeat that id, one. Rows without
-    doc_id can't be named and stay."""
+    doc_id can't be named and stay. Only rows whose id repeats are shuffled, where the ids that stay are few enough to be broadcast."""
     found = near_duplicates(docs)
-    best = stored(found.where("doc_id = component_id").select("doc_id").distinct(), "best")
-    kept = docs.join(best, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.union(docs.where("doc_id is null")).select(docs.columns)
+    best = stored(found.where("doc_id = component_id").groupBy("doc_id").count(), "best")
+    stay = lambda ids: docs.join(bounded(stored(best.where(ids).select("doc_id"), "stay")), "doc_id", "left_semi").select(*map(named, docs.columns))
+    kept = stay("count = 1").union(docs.where("doc_id is null"))
+    return kept if best.where("count > 1").isEmpty() else kept.union(stay("count > 1").dropDuplicates(["doc_id"]))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
