@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
@@ -78,24 +79,10 @@ def ascii_lower(text: Column) -> Column:
 
 # --- words of Arrow string columns, without a Python loop over words ---------------------------------
 
-_RNG = np.random.default_rng(20240229)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
-_BASE = 0x9E3779B97F4A7C13 | 3
-_POWERS: list[np.ndarray] = []
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, STEP_BYTES + 1)
-        out = []
-        for base in (_BASE, pow(_BASE, -1, 2**64)):
-            p = np.full(size, base, dtype=np.uint64)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
-        _POWERS[:] = out
-    return _POWERS[0], _POWERS[1]
+#: Bytes of a word that are hashed in numpy, eight at a time; a longer word is hashed by itself.
+LONG_WORD = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -148,11 +135,20 @@ def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span."""
-    power, inverse = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * power[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts])
+    """A 64-bit hash of each byte span: eight bytes after eight, each mixed into what came before."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    size = ends - starts
+    out = mix(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    todo, at = np.flatnonzero((size > 0) & (size <= LONG_WORD)), 0
+    while len(todo):
+        cut = (8 * np.maximum(0, 8 - (size[todo] - at))).astype(np.uint64)
+        out[todo] = mix((out[todo] ^ (eight[starts[todo] + at] << cut >> cut)) + np.uint64(0xD6E8FEB86659FD93))
+        at += 8
+        todo = todo[size[todo] > at]
+    for i in np.flatnonzero(size > LONG_WORD):
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:

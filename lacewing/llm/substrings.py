@@ -17,7 +17,7 @@ from .lines import row_key
 
 #: Words of a window; of an anchor; of a symbol in an index (a window is a whole number of symbols).
 WINDOW, ANCHOR, SYMBOL = 35, 8, 5
-#: Windows of a run at most; words of a shard; different runs of an anchor above which its windows are counted by hash.
+#: Windows of a run at most; words of a shard; different runs of an anchor above which its windows are dealt to shards one by one.
 RUN, SHARD_WORDS, ANCHOR_RUNS = 28, 1_000_000, 1000
 
 
@@ -206,19 +206,21 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(run, at, hash, copies) of each window of each run."""
+    """(run, at, hash, copies, words) of each window of each run."""
     for batch in batches:
         run, copies, n = (batch.column(k).to_numpy() for k in (1, 2, 3))
-        words = [np.frombuffer(w.as_py(), np.uint64) for w in batch.column(4)]
-        if not words:
+        raw = batch.column(4).to_pylist()
+        if not raw:
             continue
+        words = [np.frombuffer(w, np.uint64) for w in raw]
         size = np.array([len(w) for w in words])
         first = np.cumsum(size) - size
         sums, inverse = _sums(np.concatenate(words))
         at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         start = np.repeat(first, n) + at
         digest = mix((sums[start + WINDOW] - sums[start]) * inverse[start])
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(run, n)), pa.array(at.astype(np.int32)), pa.array(digest.view(np.int64)), pa.array(np.repeat(copies, n))], names=["run", "at", "hash", "copies"])
+        own = [w[8 * k : 8 * (k + WINDOW)] for w, m in zip(raw, n.tolist()) for k in range(m)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(run, n)), pa.array(at.astype(np.int32)), pa.array(digest.view(np.int64)), pa.array(np.repeat(copies, n)), pa.array(own, pa.binary())], names=["run", "at", "hash", "copies", "words"])
 
 
 def repeated(docs: DataFrame, anchor_runs: int = ANCHOR_RUNS, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -228,12 +230,12 @@ def repeated(docs: DataFrame, anchor_runs: int = ANCHOR_RUNS, shard_words: int =
     Equal windows have equal anchors, so an anchor of one run has a repeated window only if that run holds a window twice, and
     anchors can be dealt to shards apart. Runs of equal words are one run with its copies. The runs of a shard are indexed once and streamed through
     that index. Shards are as many as the counted words ask for. An anchor with more than `anchor_runs` different runs, such as
-    the edge of a passage that stands in very many contexts, would make one shard hot: its windows are counted by the hash
-    of their words instead, which Spark pre-aggregates, with the same result.
+    the edge of a passage that stands in very many contexts, would make one shard hot: each of its windows becomes a run of its own,
+    equal ones are made one with their copies before they are shuffled, and those are dealt to the shards by the hash of their words.
     """
     spark = docs.sparkSession
     texts = docs.select(row_key().alias("row"), "text")
-    runs = stored(texts.mapInArrow(_runs, "anchor long, run long, row long, start int, n int, twice boolean"), "runs")
+    runs = stored(texts.mapInArrow(_runs, "anchor long, run long, row string, start int, n int, twice boolean"), "runs")
     shared = stored(runs.groupBy("anchor").agg(F.count("*").alias("count"), F.max("twice").alias("twice")).where("count > 1 or twice").select("anchor"), "anchors")
     found = stored(runs.drop("twice").join(shared, "anchor"), "found")
     kinds = found.groupBy("anchor", "run", "n").agg(F.count("*").alias("copies"), F.min(F.struct("row", "start")).alias("first"))
@@ -245,11 +247,14 @@ def repeated(docs: DataFrame, anchor_runs: int = ANCHOR_RUNS, shard_words: int =
     cut = stored(cut, "cut")
     hot = stored(kinds.groupBy("anchor").count().where(F.col("count") > anchor_runs).select("anchor"), "hot")
     shards = max(1, -(-int(total or 0) // shard_words), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    masks = cut.join(hot, "anchor", "left_anti").repartition(shards, "anchor").mapInArrow(_search, "run long, mask long")
-    windows = stored(cut.join(hot, "anchor", "left_semi").select("anchor", "run", "copies", "n", "words").mapInArrow(_windows, "run long, at int, hash long, copies long"), "windows")
-    twice = stored(windows.groupBy("hash").agg(F.sum("copies").alias("places")).where("places > 1").select("hash"), "twice")
-    counted = windows.join(twice, "hash").groupBy("run").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask"))
-    known = stored(masks.union(counted), "masks")
+    cold = cut.join(hot, "anchor", "left_anti").select(F.col("anchor").alias("deal"), "run", "copies", "n", "words")
+    windows = stored(cut.join(hot, "anchor", "left_semi").select("anchor", "run", "copies", "n", "words").mapInArrow(_windows, "run long, at int, hash long, copies long, words binary"), "windows")
+    single = windows.groupBy("hash").agg(F.sum("copies").alias("copies"), F.first("words").alias("words"))
+    single = single.select(F.col("hash").alias("deal"), F.col("hash").alias("run"), "copies", F.lit(1).alias("n"), "words")
+    searched = lambda runs: stored(runs.repartition(shards, "deal").mapInArrow(_search, "run long, mask long"), "masks")
+    twice = searched(single).select(F.col("run").alias("hash"))
+    spread = windows.join(twice, "hash").groupBy("run").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask"))
+    known = searched(cold).union(spread)
     spots = found.select("run", "row", "start").join(known, "run")
     return stored(spots.groupBy("row").agg(F.collect_set(F.struct("start", "mask")).alias("spots")), "spots")
 

@@ -86,3 +86,13 @@ def test_hot_anchors_give_the_same(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     spots = lambda k: sorted((r.row, sorted(map(tuple, r.spots))) for r in s.repeated(df, anchor_runs=k).collect())
     assert spots(3) == spots(1000)
+
+
+def test_words_that_structured_hashes_confuse(spark):
+    """A Thue-Morse word and its complement, which collide in any polynomial hash modulo 2**64, are different words."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    odd = ["".join("ab"[b ^ flip] for b in bits) for flip in (0, 1)]
+    shared = [f"w{i}" for i in range(34)]
+    rows = [(k, " ".join([*shared, odd[k]])) for k in (0, 1)]
+    out = s.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.n_removed for r in out] == [0, 0]
