@@ -42,7 +42,7 @@ def row_key() -> Column:
 def line_rows(docs: DataFrame, *more: Column) -> DataFrame:
     """(…, pos, line, id) of each line that isn't blank."""
     rows = docs.select(*more, F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    return rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("id", F.xxhash64("line"))
+    return rows.where(F.ltrim("line", F.lit(" \t\n\x0b\x0c\r")) != "").withColumn("id", F.xxhash64("line"))
 
 
 def shingle_count(line: Column | str = "line", n: int = N_CHARS) -> Column:
@@ -58,12 +58,10 @@ def signatures(lines: DataFrame, n: int = N_CHARS) -> DataFrame:
     """
     points = lines.select("id", shingle_count("line", n).alias("size"), F.encode("line", "UTF-32").alias("points"))
     each = points.select("id", "points", "size", F.explode(F.sequence(F.lit(0), F.col("size") - 1, F.lit(4))).alias("i"))
-    shingle = lambda i: F.xxhash64(F.substring("points", F.least(i, F.col("size") - 1) * 4 + 1, F.lit(4 * n)))
-    hashes = each.select("id", "i", *[shingle(F.col("i") + j).alias(f"h{j}") for j in range(4)])
-    less = lambda a, b: F.when(a < b, a).otherwise(b)
-    nearer = lambda a, b, p: less(F.col(a).bitwiseXOR(F.lit(p)), F.col(b).bitwiseXOR(F.lit(p)))
-    halves = hashes.select("id", "i", *[nearer(f"h{j}", f"h{j + 1}", p).alias(f"m{k}_{j}") for j in (0, 2) for k, p in enumerate(_PIVOTS)])
-    mins = halves.groupBy("id").agg(F.sum(F.when(F.col("i") == 0, 1).otherwise(0)).alias("copies"), *[F.min(less(F.col(f"m{k}_0"), F.col(f"m{k}_2"))).alias(f"m{k}") for k in range(len(_PIVOTS))])
+    hashes = each.select("id", "i", *[F.xxhash64(F.substring("points", F.expr(f"if(i + {j} < size, i + {j}, size - 1)") * 4 + 1, F.lit(4 * n))).alias(f"h{j}") for j in range(4)])
+    less = lambda a, b: F.expr(f"if({a} < {b}, {a}, {b})")
+    halves = hashes.select("id", "i", *[less(f"(h{j} ^ {p}L)", f"(h{j + 1} ^ {p}L)").alias(f"m{k}_{j}") for j in (0, 2) for k, p in enumerate(_PIVOTS)])
+    mins = halves.groupBy("id").agg(F.sum(F.expr("if(i = 0, 1, 0)")).alias("copies"), *[F.min(less(f"m{k}_0", f"m{k}_2")).alias(f"m{k}") for k in range(len(_PIVOTS))])
     keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])
     return mins.select("id", "copies", keys.alias("keys"))
 
@@ -105,6 +103,18 @@ def around_leaders(pairs: DataFrame, text: DataFrame, n: int, threshold: float)
     return each.groupBy("leader", "id", "size", "apart", "alike").agg(*bits)
 
 
+def families(near: DataFrame, company: DataFrame) -> DataFrame:
+    """(node, component) of lines that are linked already: each follows its similar leader with most company, that one's own such
+    leader, and once more. Lines of one component are linked; that some linked lines have different ones costs comparisons only."""
+    rank = company.withColumnRenamed("id", "leader")
+    led = near.where("alike").select("id", "leader").join(bounded(rank), "leader").groupBy("id").agg(F.max(F.struct("company", "leader")).alias("up"))
+    led = up = stored(led.select(F.col("id").alias("node"), F.col("up.leader").alias("component")), "led")
+    for _ in range(2):
+        above = led.toDF("at", "above")
+        up = up.join(above, up.component == above["at"], "left").select("node", F.coalesce("above", "component").alias("component"))
+    return up
+
+
 def maybe_similar(near: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
     """(u, v) of lines around one leader, not yet of one component, that may be similar; no pair that is gets lost.
 
@@ -144,7 +154,7 @@ def similar_lines(docs: DataFrame, n: int = N_CHARS, threshold: float = THRESHOL
     text = stored(line_rows(docs).join(bounded(company), "id", "left_semi").groupBy("id").agg(F.min("line").alias("line")), "text")
     near = stored(around_leaders(pairs, text, n, threshold), "near")
     alike = near.where("alike").select(F.col("id").alias("u"), F.col("leader").alias("v"))
-    maybe = maybe_similar(near, components(alike, "families"), threshold)
+    maybe = maybe_similar(near, families(near, company), threshold)
     close = compared(maybe, text, n).where(F.size("delta") <= slack(threshold) * (F.col("u_size") + F.col("v_size"))).select("u", "v")
     links = stored(alike.union(close), "links")
     discard(shared, buckets, company, ranked, leaders, pairs, text, near, maybe)
