@@ -19,6 +19,8 @@ from .lines import row_key
 WINDOW, ANCHOR, SYMBOL = 35, 8, 5
 #: Windows of a run at most; words of a shard; different runs of an anchor above which its windows are dealt to shards one by one.
 RUN, SHARD_WORDS, ANCHOR_RUNS = 28, 1_000_000, 1000
+#: Runs that are cut into windows at a time.
+RUNS_AT_ONCE = 256
 
 
 # --- the index ---------------------------------------------------------------------------------------
@@ -207,7 +209,7 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(run, at, hash, copies, words) of each window of each run."""
-    for batch in batches:
+    for batch in (b.slice(lo, RUNS_AT_ONCE) for b in batches for lo in range(0, b.num_rows, RUNS_AT_ONCE)):
         run, copies, n = (batch.column(k).to_numpy() for k in (1, 2, 3))
         raw = batch.column(4).to_pylist()
         if not raw:
