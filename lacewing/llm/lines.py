@@ -116,7 +116,7 @@ def families(near: DataFrame, company: DataFrame) -> DataFrame:
 
 
 def maybe_similar(near: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
-    """(u, v) of lines around one leader, not yet of one component, that may be similar; no pair that is gets lost.
+    """(u, v, u_component, v_component) of lines around one leader, not yet of one component, that may be similar; no pair that is gets lost.
 
     Two sets differ in |X| + |Y| - 2 |X and Y| shingles, X and Y being what each of them differs in from the leader. So similar ones
     share a known number of X and Y; and no more can be shared than X has, less the bits of X that the bitmap of Y lacks.
@@ -130,7 +130,7 @@ def maybe_similar(near: DataFrame, found: DataFrame, threshold: float) -> DataFr
     most = lambda a, b: F.col(f"{a}_apart") - sum((F.bit_count(F.col(f"{a}_{k}").bitwiseAND(F.bitwise_not(F.col(f"{b}_{k}")))) for k in bits[1:]), F.bit_count(F.col(f"{a}_b0").bitwiseAND(F.bitwise_not(F.col(f"{b}_b0")))))
     fits = (F.col("u_id") < F.col("v_id")) & (F.col("u_component") != F.col("v_component")) & (F.least("u_size", "v_size") >= (threshold - 1e-12) * F.greatest("u_size", "v_size"))
     fits = fits & (F.least("u_apart", "v_apart") >= need) & (most("u", "v") >= need) & (most("v", "u") >= need)
-    pairs = stored(left.join(right, "leader").where(fits).select(F.col("u_id").alias("u"), F.col("v_id").alias("v")).distinct(), "maybe")
+    pairs = stored(left.join(right, "leader").where(fits).select(F.col("u_id").alias("u"), F.col("v_id").alias("v"), "u_component", "v_component").distinct(), "maybe")
     discard(placed, apart)
     return pairs
 
@@ -140,8 +140,8 @@ def similar_lines(docs: DataFrame, n: int = N_CHARS, threshold: float = THRESHOL
 
     Of each bucket the line that has most company over all bands leads, the centre of a family of near copies, and every other is
     compared with it. So a large bucket of similar lines never lists its pairs. Lines around one leader that those links leave apart
-    may be similar too: their differences from the leader tell which pairs can be, and those are compared as well. All
-    comparisons are exact and no line is dropped, whatever the size of a bucket.
+    may be similar too: their differences from the leader tell which pairs can be, and those are compared as well; of the links
+    between two families already joined one is kept. All comparisons are exact and no line is dropped, whatever the size of a bucket.
     """
     signed = stored(signatures(line_rows(docs), n), "bands")
     bands = signed.select("id", F.explode("keys").alias("key"))
@@ -155,8 +155,9 @@ def similar_lines(docs: DataFrame, n: int = N_CHARS, threshold: float = THRESHOL
     near = stored(around_leaders(pairs, text, n, threshold), "near")
     alike = near.where("alike").select(F.col("id").alias("u"), F.col("leader").alias("v"))
     maybe = maybe_similar(near, families(near, company), threshold)
-    close = compared(maybe, text, n).where(F.size("delta") <= slack(threshold) * (F.col("u_size") + F.col("v_size"))).select("u", "v")
-    links = stored(alike.union(close), "links")
+    close = compared(maybe.select("u", "v"), text, n).where(F.size("delta") <= slack(threshold) * (F.col("u_size") + F.col("v_size"))).select("u", "v")
+    joined = stored(close, "close").join(maybe, ["u", "v"]).select(F.col("u_component").alias("u"), F.col("v_component").alias("v")).distinct()
+    links = stored(alike.union(joined), "links")
     discard(shared, buckets, company, ranked, leaders, pairs, text, near, maybe)
     return signed.select("id", "copies"), links
 
