@@ -65,4 +65,5 @@ def softmax(values: Column) -> Column:
     """Stable softmax of an array."""
     top = F.array_max(values)
     powers = F.transform(values, lambda x: F.exp(x - top))
-    return F.transform(F.array(powers), lambda p: F.transform(p, lambda x: x / F.aggregate(p, F.lit(0.0), lambda a, y: a + y)))[0]
+    total = lambda p: F.array(F.aggregate(p, F.lit(0.0), lambda a, y: a + y))  # noqa: E731  worked out once, as the only element of an array
+    return F.transform(F.array(powers), lambda p: F.transform(total(p), lambda t: F.transform(p, lambda x: x / t))[0])[0]

@@ -28,10 +28,23 @@ def ordinal(value: Column, order: tuple[str, ...]) -> Column:
 
 
 def deck_order(rows: DataFrame, group: Column, level: Column, stat: Column, passcode: Column, cid: Column) -> DataFrame:
-    """`rows` with `place`: by group, level and stat from high to low, then passcode with those that have none last, then cid."""
-    keyed = rows.withColumns({"k_group": group, "k_level": level, "k_stat": stat, "k_passcode": passcode})
-    by = Window.orderBy("k_group", F.desc("k_level"), F.desc("k_stat"), F.col("k_passcode").asc_nulls_last(), cid)
-    return keyed.withColumn("place", F.row_number().over(by).cast("long"))
+    """`rows` with `place`: by group, level and stat from high to low, then passcode with those that have none last, then cid.
+
+    Rows are numbered within their group, level and stat, and how many stand before those comes from counts. No task
+    sees all rows: counts are summed up within a group, and only the groups' totals, one row each, over all.
+    """
+    keyed = rows.withColumns({"k_group": group, "k_level": level, "k_stat": stat, "k_passcode": passcode, "k_cid": cid})
+    steps = keyed.groupBy("k_group", "k_level", "k_stat").agg(F.count("*").alias("n"))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = steps.select("k_group", "k_level", "k_stat", before(Window.partitionBy("k_group").orderBy(F.desc("k_level"), F.desc("k_stat"))).alias("inner"))
+    groups = steps.groupBy("k_group").agg(F.sum("n").alias("n")).select("k_group", before(Window.orderBy("k_group")).alias("outer"))
+    same = lambda a, b, names: [a[n].eqNullSafe(b[n]) for n in names]
+    offsets = within.join(groups, same(within, groups, ["k_group"])).select(within["k_group"].alias("o_group"), F.col("k_level").alias("o_level"), F.col("k_stat").alias("o_stat"), (F.col("inner") + F.col("outer")).alias("offset"))
+    own = Window.partitionBy("k_group", "k_level", "k_stat").orderBy(F.col("k_passcode").asc_nulls_last(), "k_cid")
+    numbered = keyed.withColumn("own_place", F.row_number().over(own))
+    on = F.col("k_group").eqNullSafe(F.col("o_group")) & F.col("k_level").eqNullSafe(F.col("o_level")) & F.col("k_stat").eqNullSafe(F.col("o_stat"))
+    placed = numbered.join(offsets, on).withColumn("place", (F.col("offset") + F.col("own_place")).cast("long"))
+    return placed.drop("o_group", "o_level", "o_stat", "offset", "own_place", "k_cid")
 
 
 def selected(wanted: set[str], columns: tuple[str, ...] = COLUMNS) -> list[str]:

@@ -11,22 +11,21 @@ from ..sources.tables import table
 LOCALES = ["F", "O", "P"]
 
 
-def names_1995(spark: SparkSession, d: str) -> DataFrame:
-    orders = table(spark, d, "orders").where("o_orderdate >= timestamp_ntz'1995-01-01 00:00:00' and o_orderdate < timestamp_ntz'1996-01-01 00:00:00'")
-    return orders.groupBy(F.col("o_custkey").alias("cid"), F.col("o_orderstatus").alias("locale")).agg(F.min("o_orderkey").cast("string").alias("name"))
+def names(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("cid"), F.col("o_orderstatus").alias("locale")).agg(F.min("o_orderkey").cast("string").alias("name"))
 
 
 def locale_union(spark: SparkSession, d: str) -> DataFrame:
-    rows = names_1995(spark, d)
+    rows = names(spark, d)
     return identity.locale_union({x: rows.where(F.col("locale") == x) for x in LOCALES}, "cid")
 
 
 def locale_union_pivot(spark: SparkSession, d: str) -> DataFrame:
-    return identity.locale_pivot(names_1995(spark, d), "cid", "locale", LOCALES)
+    return identity.locale_pivot(names(spark, d), "cid", "locale", LOCALES)
 
 
 UNION = """
-with n as (select o_custkey as cid, o_orderstatus as locale, min(o_orderkey)::varchar as name from orders where o_orderdate >= '1995-01-01' and o_orderdate < '1996-01-01' group by all)
+with n as (select o_custkey as cid, o_orderstatus as locale, min(o_orderkey)::varchar as name from orders group by all)
 select cid, f.name as "name_F", o.name as "name_O", p.name as "name_P", coalesce(f.name, o.name, p.name) as display
 from (select cid, name from n where locale = 'F') f full join (select cid, name from n where locale = 'O') o using (cid) full join (select cid, name from n where locale = 'P') p using (cid)
 """

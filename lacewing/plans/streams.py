@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import table
+from ..sources.tables import fresh_folder, table
 from ..streaming import live
 from .prices import SQL as PRICES
 
 
 def _done(stream: DataFrame, mode: str, spark: SparkSession) -> DataFrame:
-    """The rows that a stream gives in `mode` until its input is used up."""
-    name = f"s{uuid.uuid4().hex}"
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    """The rows that a stream gives in `mode` until its input is used up. Each batch is a stored table of its own, written anew if
+    the batch is run again, and progress is kept beside them; in complete mode the last batch holds everything."""
+    folder = fresh_folder(spark, "stream")
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch}")
+
+    query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/progress").outputMode(mode).trigger(availableNow=True).start()
+    query.awaitTermination()
+    rows = spark.read.schema(stream.schema.add("batch", "long")).option("basePath", f"{folder}/rows").parquet(f"{folder}/rows")
+    if mode == "complete":
+        rows = rows.where(F.col("batch") == query.lastProgress["batchId"])
+    return rows.drop("batch")
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:

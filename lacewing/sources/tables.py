@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,3 +20,11 @@ def moment(value: object) -> Column:
 
 def latest(df: DataFrame, column: str) -> object:
     return df.agg(F.max(column)).first()[0]
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in spark.checkpoint.dir, which all executors share. Only a session on one machine may do without that setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(base or f'file://{tempfile.gettempdir()}/checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
