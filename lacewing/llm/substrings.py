@@ -9,11 +9,10 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import gram_hashes, mix, span_hashes, steps, stored, string_bytes, table, word_spans
-from .lines import row_key
 
 #: Words of a window; of an anchor; of a symbol in an index (a window is a whole number of symbols).
 WINDOW, ANCHOR, SYMBOL = 35, 8, 5
@@ -129,6 +128,12 @@ def repeated_windows(sequences: list[np.ndarray], copies: np.ndarray, window: in
 # --- the corpus --------------------------------------------------------------------------------------
 
 
+def _row() -> list[Column]:
+    """What names a row: two hashes of its id and text. Rows equal in both are one document and get the same result."""
+    doc = F.col("doc_id").cast("string")
+    return [F.xxhash64(doc, "text").alias("row"), F.xxhash64(F.lit("row"), "text", doc).alias("row2")]
+
+
 def _words(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, off = string_bytes(col)
     starts, ends, first = word_spans(data, off)
@@ -146,11 +151,11 @@ def _sums(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(anchor, run, row, start, n, twice): windows in a row that share their anchor, the least hash of their ANCHOR-word grams.
+    """(anchor, run, row, row2, start, n, twice): windows in a row that share their anchor, the least hash of their ANCHOR-word grams.
     `run` is the hash of all its words; `twice` says that one of its windows stands in it again, as in periodic text."""
     for batch in batches:
         for step in steps(batch, "text"):
-            words, first = _words(step.column(1))
+            words, first = _words(step.column(2))
             low = gram_hashes(words, ANCHOR)
             span, have = WINDOW - ANCHOR + 1, 1
             while 2 * have <= span:
@@ -175,7 +180,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for period in range(1, int(n.max())):
                 again = np.flatnonzero(digest[period:] == digest[:-period])
                 twice[of[again[of[again] == of[again + period]]]] = True
-            yield pa.RecordBatch.from_arrays([pa.array(low[start].view(np.int64)), pa.array(run.view(np.int64)), step.column(0).take(pa.array(own)), pa.array((start - first[own]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(twice)], names=["anchor", "run", "row", "start", "n", "twice"])
+            yield pa.RecordBatch.from_arrays([pa.array(low[start].view(np.int64)), pa.array(run.view(np.int64)), step.column(0).take(pa.array(own)), step.column(1).take(pa.array(own)), pa.array((start - first[own]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(twice)], names=["anchor", "run", "row", "row2", "start", "n", "twice"])
+        pa.default_memory_pool().release_unused()
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +232,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated(docs: DataFrame, anchor_runs: int = ANCHOR_RUNS, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """(row, spots: array of (start, mask)) of each row that has repeated windows; row is row_key(), bit i of a mask means the
+    """(row, row2, spots: array of (start, mask)) of each row that has repeated windows; _row() names it, and bit i of a mask means the
     window from word start + i.
 
     Equal windows have equal anchors, so an anchor of one run has a repeated window only if that run holds a window twice, and
@@ -236,16 +242,16 @@ def repeated(docs: DataFrame, anchor_runs: int = ANCHOR_RUNS, shard_words: int =
     equal ones are made one with their copies before they are shuffled, and those are dealt to the shards by the hash of their words.
     """
     spark = docs.sparkSession
-    texts = docs.select(row_key().alias("row"), "text")
-    runs = stored(texts.mapInArrow(_runs, "anchor long, run long, row string, start int, n int, twice boolean"), "runs")
+    texts = docs.select(*_row(), "text")
+    runs = stored(texts.mapInArrow(_runs, "anchor long, run long, row long, row2 long, start int, n int, twice boolean"), "runs")
     shared = stored(runs.groupBy("anchor").agg(F.count("*").alias("count"), F.max("twice").alias("twice")).where("count > 1 or twice").select("anchor"), "anchors")
     found = stored(runs.drop("twice").join(shared, "anchor"), "found")
-    kinds = found.groupBy("anchor", "run", "n").agg(F.count("*").alias("copies"), F.min(F.struct("row", "start")).alias("first"))
-    kinds = stored(kinds.select("anchor", "run", "n", "copies", F.col("first.row").alias("row"), F.col("first.start").alias("start")), "kinds")
-    listed = kinds.groupBy("row").agg(F.collect_list(F.struct("start", "n", "anchor", "run", "copies")).alias("listed"))
+    kinds = found.groupBy("anchor", "run", "n").agg(F.count("*").alias("copies"), F.min(F.struct("row", "row2", "start")).alias("first"))
+    kinds = stored(kinds.select("anchor", "run", "n", "copies", F.col("first.row").alias("row"), F.col("first.row2").alias("row2"), F.col("first.start").alias("start")), "kinds")
+    listed = kinds.groupBy("row", "row2").agg(F.collect_list(F.struct("start", "n", "anchor", "run", "copies")).alias("listed"))
     listed = stored(listed, "listed")
     total = kinds.agg(F.sum(F.col("n") + WINDOW - 1)).first()[0]
-    cut = texts.join(listed, "row").select("text", "listed").mapInArrow(_cut, "anchor long, run long, copies long, n int, words binary")
+    cut = texts.join(listed, ["row", "row2"]).select("text", "listed").mapInArrow(_cut, "anchor long, run long, copies long, n int, words binary")
     cut = stored(cut, "cut")
     hot = stored(kinds.groupBy("anchor").count().where(F.col("count") > anchor_runs).select("anchor"), "hot")
     shards = max(1, -(-int(total or 0) // shard_words), int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -257,8 +263,8 @@ def repeated(docs: DataFrame, anchor_runs: int = ANCHOR_RUNS, shard_words: int =
     twice = searched(single).select(F.col("run").alias("hash"))
     spread = windows.join(twice, "hash").groupBy("run").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask"))
     known = searched(cold).union(spread)
-    spots = found.select("run", "row", "start").join(known, "run")
-    return stored(spots.groupBy("row").agg(F.collect_set(F.struct("start", "mask")).alias("spots")), "spots")
+    spots = found.select("run", "row", "row2", "start").join(known, "run")
+    return stored(spots.groupBy("row", "row2").agg(F.collect_set(F.struct("start", "mask")).alias("spots")), "spots")
 
 
 def _kept(with_text: bool, with_spans: bool):
@@ -295,7 +301,7 @@ def dedup_substrings(docs: DataFrame, with_text: bool = True, with_spans: bool =
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
     spots = repeated(docs)
-    rows = docs.select("doc_id", "text", row_key().alias("row")).join(spots, "row", "left").select("doc_id", "text", "spots")
+    rows = docs.select("doc_id", "text", *_row()).join(spots, ["row", "row2"], "left").select("doc_id", "text", "spots")
     return rows.mapInArrow(_kept(with_text, with_spans), f"doc_id {id_type}, n_words long, n_removed long, kept_sha256 string, kept_text string, spans array<struct<start:long,end:long>>")
 
 
