@@ -15,6 +15,7 @@ QUERIES = {
     "op10_line_dedup": lines.op10_line_dedup,
 }
 SQL = {
+    "op1_substrings": substrings.ORACLE,
     "op5_decontamination": decontamination.ORACLE,
     "op6_embeddings": embeddings.ORACLE,
     "op7_mixing": mixing.ORACLE,

@@ -307,3 +307,16 @@ def dedup_substrings(docs: DataFrame, with_text: bool = True, with_spans: bool =
 
 def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents"), with_text=False, with_spans=False).drop("kept_text", "spans")
+
+
+#: The same by the text of every window; a word goes if one of the 35 windows that cover it stands twice.
+ORACLE = r"""
+with w as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+h as (select r, list_transform(range(1, len(words) - 33), lambda i: sha256(array_to_string(words[i:i + 34], ' '))) as h from w where len(words) >= 35),
+k as (select r, unnest(range(1, len(h) + 1)) as p, unnest(h) as h from h),
+spots as (select r, p from k where h in (select h from k group by h having count(*) > 1)),
+gone as (select distinct r, p + j as p from spots cross join (select unnest(range(35)) as j)),
+each as (select r, unnest(range(1, len(words) + 1)) as p, unnest(words) as word from w),
+kept as (select r, count(*) as n, string_agg(word, ' ' order by p) as text from each anti join gone using (r, p) group by r)
+select doc_id, len(words)::bigint as n_words, (len(words) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256 from w left join kept using (r)
+"""
