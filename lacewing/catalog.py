@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import catalogue, prices, streams, texts
+from .plans import catalogue, prices, shop, streams, texts
 
-PARTS = (prices, catalogue, texts, streams)
+PARTS = (prices, catalogue, texts, streams, shop)
 QUERIES: dict = {name: query for part in PARTS for name, query in part.QUERIES.items()}
 SQL: dict = {name: sql for part in PARTS for name, sql in part.SQL.items()}
 FLAGSHIP = "price_selection"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -67,3 +68,8 @@ def softmax(values: Column) -> Column:
     powers = F.transform(values, lambda x: F.exp(x - top))
     total = lambda p: F.array(F.aggregate(p, F.lit(0.0), lambda a, y: a + y))  # noqa: E731  worked out once, as the only element of an array
     return F.transform(F.array(powers), lambda p: F.transform(total(p), lambda t: F.transform(p, lambda x: x / t))[0])[0]
+
+
+def with_value(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is worked out once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -58,3 +58,57 @@ def priced_rows(rows: DataFrame, wanted: set[str]) -> DataFrame:
     """Export rows: total is unit price times quantity, and null as the price is where there is none."""
     full = rows.withColumn("total", F.col("unit_price") * F.col("quantity")).withColumn("priced", F.col("unit_price").isNotNull())
     return full.select(*selected(wanted))
+
+
+#: The marks of a species line, the subtypes in their order, and the tokens that a species may have.
+OPEN, CLOSE, BETWEEN = "【 ", " 】", "／"
+MAIN, EXTRA = ("通常", "効果", "儀式"), ("融合", "シンクロ", "エクシーズ", "リンク")
+SPELL, TRAP = ("", "儀式", "速攻", "永続", "装備", "フィールド"), ("", "永続", "カウンター")
+TOKENS = (*MAIN, *EXTRA, "ペンデュラム", "チューナー", "スピリット", "ユニオン", "デュアル", "トゥーン", "リバース", "特殊召喚")
+ATTRIBUTES = ("光属性", "闇属性", "地属性", "水属性", "炎属性", "風属性", "神属性")
+LEVELS = {"リンク": "リンク", "エクシーズ": "ランク"}
+ATTACK, DEFENCE = "攻撃力", "守備力"
+
+
+def species_tokens(species: Column) -> Column:
+    """The tokens after the race; null where the line isn't a race and one token or more, or a token is unknown or repeated."""
+    inner = F.regexp_extract(species, f"^{OPEN}([^{BETWEEN}]+(?:{BETWEEN}[^{BETWEEN}]+)+){CLOSE}$", 1)
+    tokens = F.slice(F.split(inner, BETWEEN), 2, 100)
+    fine = (inner != "") & (F.size(F.array_except(tokens, F.array(*map(F.lit, TOKENS)))) == 0) & (F.size(F.array_distinct(tokens)) == F.size(tokens))
+    return F.when(fine, tokens)
+
+
+def labelled_number(text: Column, label: Column | str, form: str = "[0-9]+") -> Column:
+    """What follows the label and a space, if that is all of the text."""
+    head = F.concat(F.lit(label) if isinstance(label, str) else label, F.lit(" "))
+    rest = F.substring(text, F.length(head) + 1, F.length(text))
+    return F.when(F.startswith(text, head) & rest.rlike(f"^(?:{form})$"), rest)
+
+
+def species_order(cards: DataFrame) -> DataFrame:
+    """`cards` with group (0 monster, 1 spell, 2 trap, 3 extra deck), subtype, level, atk and def from attribute, effect, species,
+    level_rank, link_markers, atk_text and def_text; and `problem`, null where all of it could be read."""
+    place = lambda value, order: F.nullif(F.array_position(F.array(*map(F.lit, order)), value), F.lit(0)).cast("int") - 1
+    has = lambda token: F.array_contains("tokens", token)
+    form = lambda value: F.when(value == "?", -1).when(value == "-", 0).otherwise(value.try_cast("long")).cast("long")
+    read = cards.withColumn("tokens", species_tokens(F.col("species"))).withColumn("extra", F.array_intersect(F.array(*map(F.lit, EXTRA)), "tokens"))
+    kind = F.when(F.col("attribute") == "魔法", 1).when(F.col("attribute") == "罠", 2).when(~F.col("attribute").isin(*ATTRIBUTES), None).when(F.size("extra") == 1, 3).when(F.size("extra") == 0, 0)
+    read = read.withColumns({"group": kind, "first": F.get("extra", F.lit(0)), "own": F.coalesce("effect", F.lit(""))})
+    group, link = F.col("group"), F.coalesce(F.col("first") == "リンク", F.lit(False))
+    main = F.when(has("儀式"), 2).when(has("通常") != has("効果"), F.when(has("通常"), 0).otherwise(1))
+    subtype = F.when(group == 1, place(F.col("own"), SPELL)).when(group == 2, place(F.col("own"), TRAP)).when(group == 3, place(F.col("first"), EXTRA)).when(group == 0, main)
+    ranked = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in LEVELS.items() for x in pair]), F.col("first")), F.lit("レベル"))
+    level = labelled_number(F.when(link, F.col("link_markers")).otherwise(F.col("level_rank")), ranked).try_cast("long")
+    none_other = F.when(link, F.col("level_rank")).otherwise(F.col("link_markers")).isNull()
+    defence = F.when(link, labelled_number(F.col("def_text"), DEFENCE, "-")).otherwise(labelled_number(F.col("def_text"), DEFENCE, r"[0-9]+|\?"))
+    stats = {"level": F.when(none_other, level), "atk": form(labelled_number(F.col("atk_text"), ATTACK, r"[0-9]+|\?")), "def": form(defence)}
+    read = read.withColumns({"subtype": subtype, **{n: F.when(group.isin(1, 2), F.lit(0).cast("long")).when(group.isNotNull(), c) for n, c in stats.items()}})
+    problem = F.when(F.col("attribute").isNull(), "metadata").when(group.isNull(), "kind")
+    for name in ("subtype", "level", "atk", "def"):
+        problem = problem.when(F.col(name).isNull(), name)
+    return read.withColumn("problem", problem.when(F.col("passcode") <= 0, "passcode")).drop("tokens", "extra", "first", "own")
+
+
+def complete(rows: DataFrame, problem: str = "problem") -> DataFrame:
+    """`rows` without `problem`; the first row that has one ends the job."""
+    return rows.withColumn(problem, F.when(F.col(problem).isNotNull(), F.raise_error(F.col(problem)))).where(F.col(problem).isNull()).drop(problem)

@@ -78,3 +78,40 @@ def islands(rows: DataFrame, key: str, time: str, sequence: str, starts: Column)
     gaps = rows.withColumn("gap", micros - F.lag(micros).over(order))
     gaps = gaps.withColumn("usual", F.median("gap").over(Window.partitionBy(key)))
     return gaps.withColumn("island", F.sum(F.when(F.coalesce(starts, F.lit(False)), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)) + 1)
+
+
+def attempt_log(rows: DataFrame, attempt: list[str], time: str, sequence: str, kind: str, begins: str) -> DataFrame:
+    """The log's rows with what each does: `begun` (the first row of kind `begins`), `applied` (the first outcome after it, which ends
+    the attempt), or `rejected`: an attempt changes state once, and only while it is pending."""
+    at = F.struct(time, sequence)
+    first = rows.where(F.col(kind) == begins).groupBy(*attempt).agg(F.min(at).alias("begun"))
+    known = rows.join(first, attempt, "left")
+    ending = known.where(F.col(kind).isin(*OUTCOMES) & (at > F.col("begun")))
+    ends = ending.groupBy(*attempt).agg(F.min(at).alias("ended"))
+    action = F.when(at == F.col("begun"), "begun").when(at == F.col("ended"), "applied").otherwise("rejected")
+    return known.join(ends, attempt, "left").withColumn("action", action).drop("begun", "ended")
+
+
+def retry_gate(rows: DataFrame, key: str, time: str, sequence: str, kind: str, retry: str, as_of: Column) -> DataFrame:
+    """Per key: its last outcome, and whether a request may go out. A failure stays until a `retry` later than it, which also lifts
+    the wait after an empty answer; a key without any outcome may be asked for."""
+    at = F.struct(time, sequence)
+    last = rows.groupBy(key).agg(F.max_by(kind, F.when(F.col(kind).isin(*OUTCOMES), at)).alias("kind"), F.max(F.when(F.col(kind).isin(*OUTCOMES), at)).alias("at"), F.max(F.when(F.col(kind) == retry, at)).alias("retried"))
+    state = F.when(F.col("at").isNull(), "none").otherwise(outcome(F.col("kind")))
+    blocked = (state == "failed") | ((state == "empty") & (F.col(f"at.{time}") + F.expr(LIFETIME) > as_of))
+    return last.select(key, state.alias("state"), F.coalesce(F.col("retried") > F.col("at"), F.lit(False)).alias("retried"), blocked.alias("blocked")).withColumn("request_allowed", ~F.col("blocked") | F.col("retried")).drop("blocked")
+
+
+def bounded_observations(rows: DataFrame, snapshots: DataFrame, snapshot: str, keys: list[str], last: Column) -> DataFrame:
+    """Each key's row of the latest snapshot no later than `last`, with that snapshot's columns; `last` is in terms of the snapshots, so
+    those beyond it drop out before the join."""
+    seen = rows.join(snapshots.where(last), snapshot)
+    rest = [c for c in seen.columns if c not in keys]
+    return seen.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(snapshot, *[c for c in rows.columns if c not in (snapshot, *keys)])).alias("last")).select(*keys, "last.*")
+
+
+def reusable(checkpoints: DataFrame, current: DataFrame, key: str, identity: list[str]) -> DataFrame:
+    """Each current key and whether its checkpoint may be used again: only if all of its identity, by digest, is as it was."""
+    digest = F.sha2(F.to_json(F.struct(*identity), {"ignoreNullFields": "false"}), 256)
+    old = checkpoints.select(key, digest.alias("old"))
+    return current.select(key, digest.alias("new")).join(old, key, "left").select(key, F.when(F.col("old").isNull(), "missing").when(F.col("old") == F.col("new"), "valid").otherwise("stale").alias("checkpoint"))
