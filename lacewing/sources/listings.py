@@ -42,7 +42,7 @@ def attributes(markup: Column, tag: str, name: str, wanted: str) -> Column:
 
 def only(values: Column) -> Column:
     """The only element of an array; null if there are none or several, or it is blank."""
-    return F.when((F.size(values) == 1) & (F.get(values, F.lit(0)) != ""), F.get(values, F.lit(0)))
+    return with_value(values, lambda v: F.when((F.size(v) == 1) & (F.get(v, F.lit(0)) != ""), F.get(v, F.lit(0))))
 
 
 def read(block: Column) -> Column:
