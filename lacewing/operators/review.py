@@ -18,7 +18,7 @@ def decisions(evidence: DataFrame, photo: list[str], inliers: int = INLIERS) ->
     top = ranked.groupBy(*photo).agg(*own, F.coalesce(F.max(F.when(F.col("rank") == 2, F.col("inliers"))), F.lit(0)).alias("second"))
     margin, best = F.col("best.inliers") / F.greatest("second", F.lit(1)), F.col("best")
     accepted = best["geometry_problem"].isNull() & (best["inliers"] >= inliers) & (best["ratio"] >= RATIO) & (best["spread"] >= SPREAD) & (margin >= MARGIN)
-    return top.select(*photo, best["cid"].alias("cid"), F.bround(margin, 2).alias("margin"), accepted.alias("accepted"))
+    return top.select(*photo, best["cid"].alias("cid"), (F.rint(margin * 100) / 100).alias("margin"), accepted.alias("accepted"))
 
 
 def with_evidence(candidates: Column, evidence: Column) -> Column:

@@ -87,7 +87,7 @@ SQL = {
         select o_orderkey as pid, min(name) as name, strftime(min(o_orderdate), '%Y-%m-%d') as released, case when min(name) <> max(name) then 'differs' end as problem from r group by 1""",
     "match_decisions": """with e as (select *, ts::date as day, floor(value)::bigint as inliers, row_number() over (partition by user_id, ts::date order by floor(value) desc, event_id) as k from events),
         t as (select user_id, day, max(event_id) filter (k = 1) as cid, max(inliers) filter (k = 1) as a, coalesce(max(inliers) filter (k = 2), 0) as b from e group by all)
-        select user_id, day, cid, round_even(a / greatest(b, 1), 2) as margin, cid % 5 <> 0 and a >= 12 and cid % 10 / 10 >= 0.25 and cid % 7 / 10 >= 0.15 and a / greatest(b, 1) >= 2 as accepted from t""",
+        select user_id, day, cid, round_even(a / greatest(b, 1) * 100, 0) / 100 as margin, cid % 5 <> 0 and a >= 12 and cid % 10 / 10 >= 0.25 and cid % 7 / 10 >= 0.15 and a / greatest(b, 1) >= 2 as accepted from t""",
     "candidate_review": """with r as (select l_orderkey, l_partkey as cid, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as k, case when l_partkey % 2 = 0 then l_partkey % 50 else 0 end as i from lineitem),
         o as (select *, row_number() over (partition by l_orderkey order by case when i >= 25 then 0 else 1 end, k) as p from r where k <= 5), n as (select *, row_number() over (partition by l_orderkey order by p) as q from o where cid % 3 <> 1),
         a as (select l_orderkey, string_agg(cid || ':' || i, ',' order by p) as candidates from o group by 1), b as (select l_orderkey, string_agg(cid || ':' || i, ',' order by q) as t from n where q <= 2 group by 1)
