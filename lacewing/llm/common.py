@@ -12,12 +12,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: What separates words, as a regular expression class: space and the controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text that one numpy step works on; a longer document is one step of its own.
 STEP_BYTES = 2 << 20
+#: A table of up to so many bytes is broadcast.
+BROADCAST_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +71,34 @@ def spare(df: DataFrame, name: str) -> str:
     return name
 
 
+def numbered(df: DataFrame, groups: list[str], order: list[Column], name: str) -> DataFrame:
+    """The stored table `df` with `rank` (from 0, in the order of `order` among rows equal in `groups`, null being equal to null)
+    and `members`, their number. Rows are range-sorted by group and order, so that a hot group spreads over many tasks; one row
+    a group and partition says how many came before. Rows equal in all of `order` are numbered as they lie."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by = [*map(named, groups), *order]
+    place, part = spare(df, "place"), spare(df, "part")
+    rows = stored(df.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn(place, F.monotonically_increasing_id()), f"{name}-sorted")
+    keys = {g: f"{place}_{i}" for i, g in enumerate(groups)}
+    counts = rows.groupBy(*[named(g).alias(k) for g, k in keys.items()], F.shiftright(named(place), 33).alias(part)).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+    whole = Window.partitionBy(*keys.values())
+    before = F.coalesce(F.sum("n").over(whole.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = stored(counts.select(*keys.values(), F.col(part).alias(f"{part}_of"), (before - F.col("first")).alias(f"{place}_shift"), F.sum("n").over(whole).alias("members")), f"{name}-starts")
+    match = F.shiftright(named(place), 33) == F.col(f"{part}_of")
+    for g, k in keys.items():
+        match &= named(g).eqNullSafe(F.col(k))
+    return rows.join(small_or_shuffled(starts), match).select(*map(named, df.columns), (named(place) + F.col(f"{place}_shift")).alias("rank"), "members")
+
+
+def small_or_shuffled(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """The stored table `df` of strings and numbers, to be broadcast if they take at most `most` bytes in all; else Spark shuffles
+    as it sees fit."""
+    width = sum((F.coalesce(F.octet_length(named(c)), F.lit(0)) if kind in ("string", "binary") else F.lit(8)) + 16 for c, kind in df.dtypes)
+    total = df.agg(F.sum(width)).first()[0] or 0
+    return F.broadcast(df) if total <= most else df
+
+
 def remainder(column: str, of: int) -> Column:
     """crc32 of the id's decimal text, modulo `of`."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % of

@@ -1,6 +1,6 @@
 """The operators' queries and their SQL, by name."""
 
-from . import decontamination, embeddings, language_id, lines, mixing, quality, simhash, substrings, toxicity, warc
+from . import decontamination, embeddings, language_id, lines, merkle, mixing, quality, simhash, substrings, toxicity, warc
 
 QUERIES = {
     "op1_substrings": substrings.op1_substrings,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_warc": warc.op9_warc,
     "op10_line_dedup": lines.op10_line_dedup,
+    "op11_merkle": merkle.op11_merkle,
 }
 SQL = {
     "op1_substrings": substrings.ORACLE,
@@ -20,4 +21,5 @@ SQL = {
     "op6_embeddings": embeddings.ORACLE,
     "op7_mixing": mixing.ORACLE,
     "op9_warc": warc.ORACLE,
+    "op11_merkle": merkle.ORACLE,
 }
