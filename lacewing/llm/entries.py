@@ -1,6 +1,6 @@
 """The operators' queries and their SQL, by name."""
 
-from . import decontamination, embeddings, language_id, lines, merkle, mixing, packing, quality, simhash, substrings, toxicity, warc
+from . import decontamination, embeddings, language_id, lines, merkle, mixing, packing, phrases, quality, simhash, substrings, toxicity, warc
 
 QUERIES = {
     "op1_substrings": substrings.op1_substrings,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_warc": warc.op9_warc,
     "op10_line_dedup": lines.op10_line_dedup,
     "op11_merkle": merkle.op11_merkle,
+    "op12_collocations": phrases.op12_collocations,
     "op13_packing": packing.op13_packing,
 }
 SQL = {
@@ -23,4 +24,5 @@ SQL = {
     "op7_mixing": mixing.ORACLE,
     "op9_warc": warc.ORACLE,
     "op11_merkle": merkle.ORACLE,
+    "op12_collocations": phrases.ORACLE,
 }
