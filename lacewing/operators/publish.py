@@ -2,60 +2,51 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import neutralized
 from .history import append_new
+from .ledger import Change, Ledger, Refused, Version
 
 
-def publish(tables: dict[str, DataFrame], audits: dict[str, DataFrame], folder: str) -> str:
-    """Writes all tables as one new version and then points to it; readers see all of the old version or all of the new. An audit
-    with any row stops it before the pointer moves, and what was published stays."""
-    spark = next(iter(tables.values())).sparkSession
-    version = uuid.uuid4().hex
-    for name, df in tables.items():
-        df.write.parquet(f"{folder}/versions/{version}/{name}")
+def publish(tables: dict[str, DataFrame], audits: dict[str, DataFrame], folder: str) -> int:
+    """Puts all tables in the place of those before, as one version, and gives its number; readers see all of the old version or all
+    of the new. An audit with any row stops it, and what was published stays. Of two at once both become versions, one after the other."""
     failed = [name for name, df in audits.items() if not df.isEmpty()]
     if failed:
         raise ValueError(f"not published: {', '.join(sorted(failed))}")
-    last = pointers(spark, folder).agg(F.max("sequence")).first()[0] if published(spark, folder) else 0
-    spark.createDataFrame([(last + 1, version)], "sequence long, version string").coalesce(1).write.mode("append").parquet(f"{folder}/pointers")
-    return version
-
-
-def pointers(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema("sequence long, version string").parquet(f"{folder}/pointers")
+    made, _ = Ledger(next(iter(tables.values())).sparkSession, folder).commit(lambda seen: Change(replaced=tables))
+    return made.number
 
 
-def published(spark: SparkSession, folder: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/pointers")
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+def published(spark: SparkSession, folder: str) -> Version:
+    """The last version. Tables that belong together are read with one such version."""
+    return Ledger(spark, folder).head()
 
 
-def current(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    version = pointers(spark, folder).agg(F.max_by("version", "sequence")).first()[0]
-    return spark.read.parquet(f"{folder}/versions/{version}/{name}")
+def current(spark: SparkSession, folder: str, name: str, version: Version | None = None) -> DataFrame:
+    return Ledger(spark, folder).read(name, version or published(spark, folder))
 
 
 def append_snapshots(batch: DataFrame, folder: str, keys: list[str], digest: str) -> dict[str, int]:
-    """Appends the new rows of a batch; a key with another digest is an error and nothing is appended. Returns the counts."""
+    """Appends the new rows of a batch and gives the counts. A key that stands twice in the batch goes in once; a key with another
+    digest, stored or in the batch, is an error and nothing is appended. Two writers at once append a key once."""
     spark = batch.sparkSession
-    stored = spark.read.schema(batch.schema).parquet(folder) if published_folder(spark, folder) else spark.createDataFrame([], batch.schema)
-    tagged = append_new(batch, stored, keys, digest)
-    counts = {r.action: r["count"] for r in tagged.groupBy("action").count().collect()}
-    if counts.get("conflict"):
-        raise ValueError(f"{counts['conflict']} keys are stored with another digest")
-    if counts.get("new"):
-        tagged.where("action = 'new'").drop("action").write.mode("append").parquet(folder)
-    return {"inserted": counts.get("new", 0), "unchanged": counts.get("unchanged", 0)}
-
-
-def published_folder(spark: SparkSession, folder: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    ledger = Ledger(spark, folder, {"rows": ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batch.schema)})
+    rest = [c for c in batch.columns if c not in keys]
+    one = batch.groupBy(*keys).agg(F.min(F.struct(digest, *[c for c in rest if c != digest])).alias("row"), F.max(digest).alias("other"))
+
+    def change(seen: Version) -> Change:
+        tagged = append_new(one.select(*keys, "row.*", "other"), ledger.read("rows", seen), keys, digest)
+        tagged = tagged.withColumn("action", F.when(F.col("other") != F.col(digest), "conflict").otherwise(F.col("action")))
+        counts = {r.action: r["count"] for r in tagged.groupBy("action").count().collect()}
+        if counts.get("conflict"):
+            raise Refused(f"{counts['conflict']} keys have another digest")
+        rows = {"rows": tagged.where("action = 'new'").select(*batch.columns)} if counts.get("new") else {}
+        return Change(rows, result={"inserted": counts.get("new", 0), "unchanged": counts.get("unchanged", 0)})
+
+    return ledger.commit(change)[1]
 
 
 def write_csv(rows: DataFrame, folder: str) -> None:
