@@ -21,7 +21,7 @@ from .common import FOLD, gram_hashes, mix, named, numbered, small_or_shuffled,
 MAX_WORDS, LEAST, TOP = 5, 100, 2000
 NO_LANG = "und"
 #: Bytes of text that are counted together before they become rows.
-COUNTED_BYTES = 8 << 20
+COUNTED_BYTES = 3 << 20
 #: Bits a marked phrase gets in the bitmap, and the bits that the bitmap has at least and at most (32 MB).
 BITS_EACH, LEAST_BITS, MOST_BITS = 64, 1 << 20, 1 << 28
 #: Bits of a row of Spark's bitmap functions.
@@ -111,20 +111,22 @@ def phrase_rows(docs: DataFrame, n: int, marked: tuple[np.ndarray, int] | None =
     whose first and last n - 1 words are `marked`; with n of 1 the words of each language too, as n 0."""
     shipped = docs.sparkSession.sparkContext.broadcast(marked)
 
+    def counted(part: pa.RecordBatch) -> list[pa.RecordBatch]:
+        words = Words(part.column(0), part.column(1))
+        fits = words.left >= n
+        if n == 1:
+            return [_totals(words), _grams(words, np.flatnonzero(fits), n)]
+        bitmap, mask = shipped.value
+        bit = words.keys(n - 1) & np.uint64(mask)
+        known = np.zeros(len(fits) + 1, bool)
+        known[: len(bit)] = bitmap[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1
+        return [_grams(words, np.flatnonzero(fits & known[:-1] & known[1:]), n)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch, "text", COUNTED_BYTES):
-                words = Words(part.column(0), part.column(1))
-                fits = words.left >= n
-                if n > 1:
-                    bitmap, mask = shipped.value
-                    bit = words.keys(n - 1) & np.uint64(mask)
-                    known = np.zeros(len(fits) + 1, bool)
-                    known[: len(bit)] = bitmap[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1
-                    fits &= known[:-1] & known[1:]
-                else:
-                    yield _totals(words)
-                yield _grams(words, np.flatnonzero(fits), n)
+                yield from counted(part)
+                pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, COUNTS)
 
