@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import with_value
+from .numbering import stored
+from .suppression import Overlap, bounds, keep_best, width_ratio
 
 
 def corners(cx: Column, cy: Column, width: Column, height: Column, angle: Column) -> Column:
@@ -75,23 +77,57 @@ def overlaps(pairs: DataFrame) -> DataFrame:
     return pairs.mapInPandas(clip, f"{types}, iou double, of_smaller double")
 
 
+def from_corners(points: Column) -> Column:
+    """The box of four corners (the top edge first, clockwise), with the upright preference of `corners`."""
+
+    def box(p: Column) -> Column:
+        x, y = (lambda i: p[i][0]), (lambda i: p[i][1])
+        length = lambda i, j: F.sqrt((x(i) - x(j)) * (x(i) - x(j)) + (y(i) - y(j)) * (y(i) - y(j)))
+        middle = lambda at: (at(0) + at(1) + at(2) + at(3)) / 4
+        return F.struct(middle(x).alias("x"), middle(y).alias("y"), length(0, 1).alias("w"), length(0, 3).alias("h"), F.atan2(y(1) - y(0), x(1) - x(0)).alias("angle"))
+
+    return with_value(points, lambda p: with_value(box(p), lambda b: corners(b["x"], b["y"], b["w"], b["h"], b["angle"])))
+
+
+def turned_back(polygon: Column, turns: Column, width: Column, height: Column) -> Column:
+    """A box found on a photo that was turned by quarters, on the photo as it was; none was turned: as it is."""
+    back = F.transform(polygon, lambda p: F.array(*unrotated(p[0], p[1], turns, width, height)))
+    return F.when(turns == 0, polygon).otherwise(from_corners(back))
+
+
+def _boxes(boxes: DataFrame, photo: list[str]) -> DataFrame:
+    return boxes.select(*photo, "id", "score", "polygon", *[c.alias(n) for n, c in bounds(F.col("polygon")).items()])
+
+
+def _overlapping(measure: str, most: float) -> Overlap:
+    """Pairs whose bounds meet are clipped; those remain that overlap by more than `most` in `measure`."""
+
+    def too_much(pairs: DataFrame) -> DataFrame:
+        meet = (F.col("a_x0") < F.col("b_x1")) & (F.col("b_x0") < F.col("a_x1")) & (F.col("a_y0") < F.col("b_y1")) & (F.col("b_y0") < F.col("a_y1"))
+        keys = [c for c in pairs.columns if not c.startswith(("a_", "b_"))]
+        return overlaps(pairs.where(meet).select(*keys, "b_id", F.col("a_polygon").alias("a"), F.col("b_polygon").alias("b"))).where(F.col(measure) > most)
+
+    return too_much
+
+
+AXES = [("x0", "x1"), ("y0", "y1")]
+
+
 def suppress_boxes(boxes: DataFrame, photo: list[str], most: float = 0.5) -> DataFrame:
-    """Of each photo's boxes (id, score, polygon), those that overlap no kept box of higher score by an IoU above `most`.
-
-    Boxes of one photo whose bounds meet are paired and clipped; then, photo by photo, the choice is made in score order over the pairs that
-    overlap too much. A photo's boxes are few, being what a detector finds on one picture.
-    """
-    x, y = F.transform("polygon", lambda p: p[0]), F.transform("polygon", lambda p: p[1])
-    rows = boxes.select(*photo, "id", "score", "polygon", F.array_min(x).alias("x0"), F.array_max(x).alias("x1"), F.array_min(y).alias("y0"), F.array_max(y).alias("y1"))
-    a, b = (rows.select(*photo, *[F.col(c).alias(f"{s}_{c}") for c in rows.columns if c not in photo]) for s in "ab")
-    meet = (F.col("a_x0") <= F.col("b_x1")) & (F.col("b_x0") <= F.col("a_x1")) & (F.col("a_y0") <= F.col("b_y1")) & (F.col("b_y0") <= F.col("a_y1"))
-    above = (F.col("a_score") > F.col("b_score")) | ((F.col("a_score") == F.col("b_score")) & (F.col("a_id") < F.col("b_id")))
-    pairs = a.join(b, photo).where(meet & above).select(*photo, "a_id", "b_id", F.col("a_polygon").alias("a"), F.col("b_polygon").alias("b"))
-    over = overlaps(pairs).where(F.col("iou") > most).groupBy(*photo, F.col("b_id").alias("id")).agg(F.collect_list("a_id").alias("rivals"))
-    ranked = rows.select(*photo, "id", "score").join(over, [*photo, "id"], "left")
-    order = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("score"), "id", F.coalesce("rivals", F.array().cast("array<bigint>")).alias("rivals"))))
-    chosen = F.aggregate(order, F.array().cast("array<bigint>"), lambda kept, box: F.when(F.arrays_overlap(kept, box["rivals"]), kept).otherwise(F.concat(kept, F.array(box["id"]))))
-    return ranked.groupBy(*photo).agg(chosen.alias("kept")).select(*photo, F.explode("kept").alias("id"))
+    """Of each photo's boxes (id, score, polygon), those that overlap no kept box of higher score by an IoU above `most`."""
+    return keep_best(_boxes(boxes, photo), photo, AXES, _overlapping("iou", most), width_ratio(most) if 0 < most < 1 else None)
+
+
+def merge_passes(boxes: DataFrame, photo: list[str], most: float = 0.5, of_smaller: float = 0.3) -> DataFrame:
+    """Of the boxes (turns, id, score, polygon on the photo as it was) that a detector found on each photo and on its turned copies, those
+    that are kept. Upright boxes (turns 0) that overlap no better upright one too much stay as they are. Those of the turned
+    passes, after the same choice among themselves, are added by score where they cover at most `of_smaller` of the smaller of
+    themselves and every box kept before."""
+    found = boxes.select(*photo, "id", "score", "polygon", "turns")
+    key = [*photo, "id"]
+    one_way = [found.where(w).drop("turns").join(suppress_boxes(found.where(w), photo, most), key) for w in (F.col("turns") == 0, F.col("turns") > 0)]
+    upright, turned = (stored(_boxes(b, photo), "pass") for b in one_way)
+    return keep_best(turned, photo, AXES, _overlapping("of_smaller", of_smaller), None, kept_first=upright)
 
 
 def reading_order(boxes: DataFrame, photo: list[str], x: str, y: str, height: str, sequence: str) -> DataFrame:

@@ -1,8 +1,7 @@
-"""Nearest-neighbour matching: exact k-NN, votes, margins, mutual matches, suppression."""
+"""Nearest-neighbour matching: exact k-NN, votes, margins, mutual matches."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,22 +65,3 @@ def mutual(forward: DataFrame, backward: DataFrame) -> DataFrame:
     a = forward.where("place = 1").select(F.col("query").alias("a"), F.col("vec_id").alias("b"), "distance")
     b = backward.where("place = 1").select(F.col("vec_id").alias("a"), F.col("query").alias("b"))
     return a.join(b, ["a", "b"])
-
-
-def suppress(rows: DataFrame, key: str, most: float) -> DataFrame:
-    """Of each key's intervals (begin, length, score, id), those kept in score order: no kept one overlaps them by more than `most`.
-
-    The choice depends on all choices before it, so a key's intervals go to one task in score order.
-    """
-
-    def keep(group: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple[float, float]] = []
-        chosen = []
-        for row in group.sort_values(["score", "id"], ascending=[False, True]).itertuples():
-            end = row.begin + row.length
-            if all((shared := min(end, e) - max(row.begin, b)) <= 0 or shared <= most * (row.length + e - b - shared) for b, e in kept):
-                kept.append((row.begin, end))
-                chosen.append((getattr(row, key), row.id))
-        return pd.DataFrame(chosen, columns=[key, "id"])
-
-    return rows.select(key, "begin", "length", "score", "id").groupBy(key).applyInPandas(keep, f"{key} {rows.schema[key].dataType.simpleString()}, id long")

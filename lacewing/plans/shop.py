@@ -178,6 +178,20 @@ def box_suppression(spark: SparkSession, d: str) -> DataFrame:
     return layout.suppress_boxes(rows, ["user_id", "day"], 0.2)
 
 
+#: Width and height of the photos.
+PHOTO = (460, 340)
+
+
+def merged_passes(spark: SparkSession, d: str) -> DataFrame:
+    """Events as upright boxes that were found on a user's photo of four days or on a copy of it turned by quarters."""
+    rows, (width, height) = boxes(spark, d), PHOTO
+    turns, half = (F.col("event_id") % 4).cast("int"), F.array(F.col("w") / 2, F.col("h") / 2)
+    x, y = F.col("cx") * 0.25 + 0.013 * (F.col("event_id") % 97), F.col("cy") * 0.25
+    polygon = F.array(*[F.array(x + sx * half[0], y + sy * half[1]) for sx, sy in ((-1, -1), (1, -1), (1, 1), (-1, 1))])
+    found = rows.select("user_id", F.expr("datediff(day, date'2024-01-01') div 4").alias("photo"), F.col("event_id").alias("id"), F.col("value").alias("score"), turns.alias("turns"), layout.turned_back(polygon, turns, F.lit(width), F.lit(height)).alias("polygon"))
+    return layout.merge_passes(found, ["user_id", "photo"])
+
+
 def order_read(spark: SparkSession, d: str) -> DataFrame:
     return layout.reading_order(boxes(spark, d), ["user_id", "day"], "cx", "cy", "h", "event_id").select("event_id", "line", "place")
 
@@ -220,11 +234,27 @@ def nested_ids(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "listing_rows": listing_rows, "listing_pages": listing_problems, "attempt_log": attempts, "retry_gate": retries, "bounded_snapshots": snapshots, "checkpoint_validity": checkpoints, "envelope_rules": envelopes,
     "price_records": price_records, "lookup_status": lookups, "error_status": errors, "list_audit": list_findings, "code_audit": code_findings, "unexplained_names": unexplained, "first_locale": first_locales,
-    "best_evidence": evidence, "page_rules": paging, "species_order": species, "box_corners": box_corners, "box_suppression": box_suppression, "reading_order": order_read, "two_vote_shortlist": two_votes,
+    "best_evidence": evidence, "page_rules": paging, "species_order": species, "box_corners": box_corners, "box_suppression": box_suppression, "merged_passes": merged_passes, "reading_order": order_read, "two_vote_shortlist": two_votes,
     "array_forms": array_forms, "text_forms": text_forms, "nested_ids": nested_ids,
 }
 OUT = "('purchase', 'error', 'signup')"
+SHARED = "(greatest(least(k.x1, box.x1) - greatest(k.x0, box.x0), 0) * greatest(least(k.y1, box.y1) - greatest(k.y0, box.y0), 0))"
 SQL = {
+    "merged_passes": f"""with recursive found as (select user_id, datediff('day', date '2024-01-01', ts::date) // 4 as photo, event_id as id, value as score, event_id % 4 as turns,
+          (event_id * 37 % 400) * 0.25 + 0.013 * (event_id % 97) as x, (event_id * 53 % 300) * 0.25 as y, (event_id * 11 % 60 + 20) / 2.0 as w, (event_id * 17 % 80 + 21) / 2.0 as h from events),
+        back as (select user_id, photo, id, score, turns, case turns when 0 then x when 1 then {PHOTO[0]} - y when 2 then {PHOTO[0]} - x else y end as cx, case turns when 0 then y when 1 then x when 2 then {PHOTO[1]} - y else {PHOTO[1]} - x end as cy,
+          case when turns % 2 = 0 then w else h end as w, case when turns % 2 = 0 then h else w end as h from found),
+        ranked as (select user_id, photo, turns > 0 as turned, {{id: id, s: score, x0: cx - w, x1: cx + w, y0: cy - h, y1: cy + h, a: 4 * w * h}} as box, row_number() over (partition by user_id, photo, turns > 0 order by score desc, id) as rn from back),
+        own(user_id, photo, turned, rn, kept) as (select user_id, photo, turned, 1::bigint, [box] from ranked where rn = 1
+          union all select o.user_id, o.photo, o.turned, r.rn, case when len(list_filter(kept, lambda k: {SHARED} > 0.5 * (k.a + box.a - {SHARED}))) = 0 then list_append(kept, box) else kept end
+            from own o join ranked r on o.user_id = r.user_id and o.photo = r.photo and o.turned = r.turned and r.rn = o.rn + 1),
+        chosen as (select user_id, photo, turned, arg_max(kept, rn) as kept from own group by 1, 2, 3),
+        added as (select user_id, photo, unnest(kept) as box, generate_subscripts(kept, 1) as rn from chosen where turned),
+        every(user_id, photo, rn, kept) as (select distinct b.user_id, b.photo, 0::bigint, coalesce(c.kept, b.none) from (select distinct user_id, photo, list_filter([box], lambda k: false) as none from ranked) b left join chosen c on c.user_id = b.user_id and c.photo = b.photo and not c.turned
+          union all select e.user_id, e.photo, r.rn, case when len(list_filter(kept, lambda k: {SHARED} > 0.3 * least(k.a, box.a))) = 0 then list_append(kept, box) else kept end
+            from every e join added r on e.user_id = r.user_id and e.photo = r.photo and r.rn = e.rn + 1),
+        done as (select user_id, photo, arg_max(kept, rn) as kept from every group by 1, 2)
+        select user_id, photo, unnest(list_transform(kept, lambda k: k.id)) as id from done""",
     "listing_rows": f"""with {LISTED} select l_orderkey, pid as product_id, 'Card ' || l_partkey as name, 'AB' || (l_suppkey % 90 + 10) || '-' || case when l_orderkey % 2 = 0 then 'JP' else 'KR' end || lpad((l_partkey % 1000)::varchar, 3, '0') as card_number,
         case when l_orderkey % 2 = 0 then 'ja' else 'ko' end as locale, l_linestatus || ' Rare' as rarity, floor(l_extendedprice)::bigint as price_krw,
         case when l_returnflag = 'R' then 'out_of_stock' when l_returnflag = 'A' and l_tax <> 0 then 'in_stock' else 'unknown' end as stock, 'goods_detail.php?goodsIdx=' || pid as path

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import deck, matching
+from ..operators.suppression import suppress_intervals
 from ..sources import pages as html
 from ..sources.tables import table
 
@@ -131,7 +132,7 @@ def softmax_top(spark: SparkSession, d: str) -> DataFrame:
 def suppression(spark: SparkSession, d: str) -> DataFrame:
     seconds = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit("2024-01-01").cast("timestamp"))) / 1e6
     rows = table(spark, d, "events").select("user_id", seconds.alias("begin"), (F.col("value") * 60).alias("length"), F.col("value").alias("score"), F.col("event_id").alias("id"))
-    return matching.suppress(rows, "user_id", 0.5)
+    return suppress_intervals(rows, "user_id", 0.5)
 
 
 def fingerprint_change(spark: SparkSession, d: str) -> DataFrame:
@@ -194,5 +195,12 @@ SQL = {
     "softmax_topk": """with e as (select vec_id, unnest(range(64)) as i, unnest(embedding)::double * 10 as x from embeddings), s as (select vec_id, i, exp(x - max(x) over (partition by vec_id)) as z from e),
         p as (select vec_id, i, z / sum(z) over (partition by vec_id) as p from s), r as (select *, row_number() over (partition by vec_id order by p desc, i) as k from p)
         select vec_id, max(i) filter (k = 1) as top1, max(i) filter (k = 2) as top2, max(i) filter (k = 3) as top3, round(max(p) filter (k = 1), 6) as p1, max(p) filter (k = 1) < 0.5 or max(p) filter (k = 1) - max(p) filter (k = 2) < 0.1 as review from r where k <= 3 group by vec_id""",
+    "greedy_suppression": """with recursive ranked as (select user_id, event_id as id, (epoch_us(ts) - epoch_us(timestamp '2024-01-01')) / 1e6 as b, value * 60 as len,
+          row_number() over (partition by user_id order by value desc nulls last, event_id) as rn from events),
+        fold(user_id, rn, kept) as (select distinct user_id, 0::bigint, []::struct(id bigint, b double, e double)[] from events
+          union all select f.user_id, r.rn, case when len(list_filter(kept, lambda k: least(k.e, b + r.len) - greatest(k.b, b) > 0 and least(k.e, b + r.len) - greatest(k.b, b) > 0.5 * (r.len + k.e - k.b - (least(k.e, b + r.len) - greatest(k.b, b))))) = 0
+            then list_append(kept, struct_pack(id := id, b := b, e := b + r.len)) else kept end from fold f join ranked r on r.user_id = f.user_id and r.rn = f.rn + 1),
+        done as (select user_id, arg_max(kept, rn) as kept from fold group by 1)
+        select user_id, unnest(list_transform(kept, lambda k: k.id)) as id from done""",
     "fingerprint_change": """with m as (select conv_id, turn, md5(concat_ws('|', role, text)) as digest from conversations) select conv_id, turn, digest, coalesce(lag(digest) over (partition by conv_id order by turn) <> digest, true) as changed from m""",
 }

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lacewing.functions import scalars
-from lacewing.operators import deck, history, identity, matching, pricing, quality
+from lacewing.operators import deck, history, identity, matching, pricing, quality, suppression
 from lacewing.sources.tables import moment
 
 NOW = datetime(2026, 1, 1, 12)
@@ -127,7 +127,7 @@ def test_scalars(spark):
 def test_suppression_in_score_order(spark):
     rows = [(1, 0.0, 10.0, 5.0, 1), (1, 1.0, 10.0, 4.0, 2), (1, 20.0, 5.0, 1.0, 3), (2, 0.0, 10.0, 1.0, 4)]
     df = spark.createDataFrame(rows, "u long, begin double, length double, score double, id long")
-    assert sorted(r.id for r in matching.suppress(df, "u", 0.5).collect()) == [1, 3, 4]
+    assert sorted(r.id for r in suppression.suppress_intervals(df, "u", 0.5).collect()) == [1, 3, 4]
 
 
 def test_streamed_batches_equal_the_batch(spark, tmp_path):
