@@ -8,7 +8,10 @@ from __future__ import annotations
 
 import bisect
 import functools
+import itertools
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -17,53 +20,112 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import named, numbered, steps, stored, string_bytes, table, word_spans
+from .common import FOLD, named, numbered, steps, stored, string_bytes, table, word_spans
 
 CAPACITY, END = 2048, 0
-#: Distinct words whose ids a worker keeps; past that it forgets them all and goes on.
-KNOWN_WORDS = 400_000
+#: Bytes of text that are tokenized together.
+TOKENIZED_BYTES = 6 << 20
+#: Distinct pieces of text whose ids a worker keeps; past that it forgets them all and goes on.
+KNOWN = 800_000
+#: The pattern of the tokenizers for which words are cut further, as their files state it.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PLAN = "length int, from_rank long, pieces long, sequence long, each long, offset long"
 
 
-class WordIds:
-    """Ids of words, each tokenized once. For tokenizers that never join what white space separates."""
+#: Bytes as letters, digits, an apostrophe, other signs, and the rest (blanks, controls and what isn't ASCII).
+_LETTER, _DIGIT, _QUOTE, _SIGN, _REST = range(5)
+_CLASS = np.full(256, _REST, np.uint8)
+_CLASS[33:127] = _SIGN
+_CLASS[48:58] = _DIGIT
+_CLASS[[*range(65, 91), *range(97, 123)]] = _LETTER
+_CLASS[39] = _QUOTE
+#: Whether PATTERN ends one match and begins another between two bytes, whatever stands around them: a letter never shares a match
+#: with a sign after it, a digit with nothing, and a sign with a letter after it only if it is an apostrophe.
+_CUT = np.zeros((5, 5), bool)
+_CUT[_LETTER, [_QUOTE, _SIGN]] = _CUT[_SIGN, _LETTER] = True
+_CUT[_DIGIT, :_REST] = _CUT[:_REST, _DIGIT] = True
 
-    def __init__(self, tokenizer: str):
+
+class Pieces:
+    """Ids of pieces of text, each tokenized once, for tokenizers that never join what white space separates.
+
+    Where the tokenizer lower-cases and splits by PATTERN, words are lower-cased (A-Z) and cut before, between ASCII characters that it
+    always separates, so that there are fewer pieces to know. Words with one of its added tokens stay whole.
+    """
+
+    def __init__(self, tokenizer: str, end: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_str(tokenizer), {}
-
-    def __call__(self, words: list[str]) -> list[np.ndarray]:
-        if len(self.known) > KNOWN_WORDS:
-            self.known = {}
-        new = [w for w in words if w not in self.known]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, "<u4")
-        return [self.known[w] for w in words]
+        self.tokenizer, self.end, spec = Tokenizer.from_str(tokenizer), end, json.loads(tokenizer)
+        added = [t["content"] for t in spec["added_tokens"]]
+        if any(re.search(r"\s", t) for t in added):
+            raise ValueError("an added token with white space may lie across words")
+        self.added = re.compile(b"|".join(re.escape(t.encode()) for t in added)) if added else None
+        steps = [(n["type"], n.get("pattern")) for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        split = [(n["type"], n.get("pattern")) for n in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        self.fine = steps == [("NFC", None), ("Replace", {"Regex": r"\s+"}), ("Lowercase", None)] and split[:1] == [("Split", {"Regex": PATTERN})]
+        self.forget()
+
+    def forget(self) -> None:
+        """Entry 0 is the end of a text."""
+        self.known: dict[str, int] = {}
+        self.ids, self.begin, self.many = np.array([self.end], "<u4"), np.zeros(1, np.int64), np.ones(1, np.int64)
+
+    def entries(self, pieces: list[str]) -> np.ndarray:
+        if len(self.known) > KNOWN:
+            self.forget()
+        at = np.fromiter(map(self.known.get, pieces, itertools.repeat(-1)), np.int64, len(pieces))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            texts = [pieces[i] for i in new.tolist()]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            many = np.fromiter(map(len, found), np.int64, len(found))
+            at[new] = np.arange(len(self.many), len(self.many) + len(new))
+            self.known.update(zip(texts, at[new].tolist()))
+            self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(many) - many])
+            self.many = np.concatenate([self.many, many])
+            self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(found), "<u4", many.sum())])
+        return at
+
+    def cut(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes as they are to be looked up, start and end of each piece, and for each row the index of its first (n+1 numbers)."""
+        starts, ends, first = word_spans(data, off)
+        if not self.fine or not len(starts):
+            return data, starts, ends, first
+        kind = _CLASS[data]
+        begins = np.concatenate([[False], _CUT[kind[:-1], kind[1:]]])
+        begins[off[:-1][off[:-1] < len(data)]] = False  # a text's first byte follows nothing
+        folded = FOLD[data]
+        for m in self.added.finditer(data.tobytes()) if self.added else ():
+            word = np.searchsorted(starts, m.start(), "right") - 1
+            begins[starts[word] : ends[word]], folded[starts[word] : ends[word]] = False, data[starts[word] : ends[word]]
+        cuts = np.flatnonzero(begins)
+        return folded, np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([ends, cuts])), first + np.searchsorted(cuts, np.append(starts, len(data)))[first]
 
 
 @functools.lru_cache(maxsize=1)
-def loaded(tokenizer: str) -> WordIds:
+def loaded(tokenizer: str, end: int) -> Pieces:
     """A worker's one tokenizer, whatever its tasks."""
-    return WordIds(tokenizer)
+    return Pieces(tokenizer, end)
 
 
-def token_ids(texts: pa.Array, ids_of: WordIds, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all texts, each closed by `end`, and the n+1 offsets of the texts in them."""
+def token_ids(texts: pa.Array, known: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts, each closed by the end, and the n+1 offsets of the texts in them."""
     data, off = string_bytes(texts)
-    starts, ends, first = word_spans(data, off)
+    data, starts, ends, first = known.cut(data, off)
     size = ends - starts
-    inside = np.repeat(starts - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()) if len(size) else np.zeros(0, np.int64)
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[starts] += 1
+    inside[ends] -= 1  # a piece may begin where one ends
+    letters = data[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]
     offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-    words = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[inside]))).dictionary_encode()
-    each = [*ids_of(words.dictionary.to_pylist()), np.array([end], "<u4")]
-    codes = np.insert(words.indices.to_numpy(zero_copy_only=False).astype(np.int64), first[1:], len(each) - 1)
-    many = np.array([len(x) for x in each], np.int64)
-    begin = np.concatenate([[0], np.cumsum(many)[:-1]])
-    pool, taken = np.concatenate(each), many[codes]
+    found = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(offsets), pa.py_buffer(letters)).dictionary_encode()
+    entries = known.entries(found.dictionary.to_pylist())[found.indices.to_numpy(zero_copy_only=False)]
+    entries = np.insert(entries, first[1:], 0)
+    taken = known.many[entries]
     at = np.concatenate([[0], np.cumsum(taken)])
-    ids = pool[np.repeat(begin[codes] - at[:-1], taken) + np.arange(at[-1])]
+    ids = known.ids[np.repeat(known.begin[entries] - at[:-1], taken) + np.arange(at[-1])]
     return ids, at[np.concatenate([[0], first[1:] + np.arange(1, len(first))])]
 
 
@@ -83,9 +145,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in steps(batch, "text"):
-                ids_of = loaded(shipped.value)
-                ids, off = token_ids(part.column(1), ids_of, end)
+            for part in steps(batch, "text", TOKENIZED_BYTES):
+                ids, off = token_ids(part.column(1), loaded(shipped.value, end))
                 count = -(-np.diff(off) // capacity)
                 row = np.repeat(np.arange(len(count)), count)
                 piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)

@@ -2,13 +2,15 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 from lacewing.llm import packing
 from tokenizers import Tokenizer
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string"
-ODD = ["", None, " \t\n\x0b", "It's WE'VE Don't", "a b c\x85d", "é ́x École", "ΟΔΟΣ ΣΑΣ Σ", "<|endoftext|> x<|startoftext|>y", "日本語 テキスト 12 345", "🙂🙃 a🙂b", "x" * 9000, "ſ İ ǅ ﬁ", "\x00 \x1c\x1d a​b c"]
+SIGNS = ["a'S,'ll 'LLx.'re;x're 'tis ''s --'m 9's s'9 12.5% A1b2'd", "x<|ENDOFTEXT|>y A<|endoftext|>B.c D.e <|", "e\u0301.e \u0301x Á1 .\u0301a ÉCOLE.É", "\x7fa\x01b.C\x1fd", "don't,won't!x'Ve'RE"]
+ODD = [*SIGNS, "", None, " \t\n\x0b", "It's WE'VE Don't", "a b c\x85d", "é ́x École", "ΟΔΟΣ ΣΑΣ Σ", "<|endoftext|> x<|startoftext|>y", "日本語 テキスト 12 345", "🙂🙃 a🙂b", "x" * 9000, "ſ İ ǅ ﬁ", "\x00 \x1c\x1d a​b c"]
 
 
 def ids(tokenizer, text):
@@ -98,5 +100,19 @@ def test_sequences_hold_the_ids(spark):
     assert all(len(x) <= 64 for x in full.values())
 
 
+def test_cuts_within_words_change_no_id():
+    """Random signs, and the same with words whole: the file's pattern decides, not the rule for cutting."""
+    rng, tokenizer = random.Random(8), Tokenizer.from_file(PATH)
+    with open(PATH, encoding="utf-8") as f:
+        known = packing.Pieces(f.read(), 0)
+    assert known.fine
+    signs = ["a", "S", "'", "t", "re", "LL", ".", "-", "1", "9", " ", "\u0301", "é", "<|", "|>", "<|endoftext|>", "\x01", "\u2028", "Σ", "\t"]
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 14))) for _ in range(4000)]
+    for fine in (True, False):
+        known.fine = fine
+        got, off = packing.token_ids(pa.array(texts), known)
+        assert [got[a:b].tolist() for a, b in zip(off, off[1:])] == [ids(tokenizer, t) for t in texts]
+
+
 def test_empty_table(spark):
     assert packing.pack(packing.pieces(spark.createDataFrame([], SCHEMA), PATH)).count() == 0
