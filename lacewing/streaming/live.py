@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from ..operators.history import LIFETIME, OUTCOMES
+from ..operators.publish import append_snapshots
 
 KEYS = ["user_id", "event_type"]
 
@@ -68,3 +69,13 @@ def append_once(rows: DataFrame, folder: str, checkpoint: str):
         batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def append_by_key(rows: DataFrame, folder: str, keys: list[str], digest: str, checkpoint: str):
+    """Appends each batch's new keys to a ledger. A batch that is run again, or another stream that brings the same rows, changes nothing;
+    a key that is stored with another digest stops the stream, and nothing of that batch is stored."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        append_snapshots(batch, folder, keys, digest)
+
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
