@@ -18,8 +18,8 @@ from .simhash import forest
 THRESHOLD = 0.93
 #: Vectors of a shard; links of a node above the ground layer (twice as many on it); beam while building.
 SHARD, LINKS, BUILD_BEAM = 8192, 16, 48
-#: First beam of a search, queries of an audit's first block, links that it has to see, and the recall that it asks for.
-BEAM, AUDIT, AUDIT_LINKS, RECALL = 32, 64, 400, 0.995
+#: First beam of a search, queries of an audit at most, links that it has to see, and the recall that it asks for.
+BEAM, AUDIT, AUDIT_LINKS, RECALL = 32, 512, 400, 0.995
 LOCKSTEP = 256
 
 
@@ -43,6 +43,7 @@ class Graph:
             hi = min(n, lo + max(1, min(LOCKSTEP, lo)))
             g._enter(np.arange(lo, hi))
             lo = hi
+        g._bridge()
         return g
 
     def _enter(self, new: np.ndarray) -> None:
@@ -137,8 +138,8 @@ class Graph:
         return np.where(ids == n, -1, ids), sims
 
     def near(self, q: np.ndarray, least: float, beam: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) pairs found at similarity `least` or more. A beam that fills up with such nodes is widened for its
-        query until it doesn't, or is as wide as the graph; `own` is each query's own node, where it has one, and starts its search."""
+        """(query, node) pairs found at similarity `least` or more. Where a beam fills up with such nodes, the search goes on from all
+        of them along the ground layer until it meets no other; `own` is each query's own node, where it has one, and starts its search."""
         pairs = []
         for lo in range(0, len(q), LOCKSTEP):
             part = np.arange(lo, min(len(q), lo + LOCKSTEP))
@@ -147,44 +148,86 @@ class Graph:
                 at, _ = self._beam(q[part], at, k, 2)
             if own is not None:
                 at = np.concatenate([at, own[part, None]], 1)
-            width = beam
-            while len(part):
-                ids, sims = self._beam(q[part], at, 0, width)
-                full = (sims >= least).all(1) & (ids.shape[1] >= width) & (width < len(self.x))
-                r, c = np.nonzero((sims >= least) & (ids >= 0) & ~full[:, None])
-                pairs.append((part[r], ids[r, c]))
-                part, at, width = part[full], ids[full], width * 4
-                if len(part) and 4 * width >= len(self.x):  # as wide as the graph: all nodes
-                    r, c = np.nonzero(q[part] @ self.x.T >= least)
-                    pairs.append((part[r], c))
-                    break
+            ids, sims = self._beam(q[part], at, 0, beam, max(4, min(beam // 16, 64)))
+            full = (sims >= least).all(1) & (ids >= 0).all(1)
+            r, c = np.nonzero((sims >= least) & (ids >= 0) & ~full[:, None])
+            pairs.append((part[r], ids[r, c]))
+            for i in np.flatnonzero(full):
+                found = self._flooded(q[part[i]], least, ids[i])
+                pairs.append((np.full(len(found), part[i]), found))
         return tuple(np.concatenate(v) for v in zip(*pairs)) if pairs else (np.zeros(0, int), np.zeros(0, int))
 
-    def audited(self, q: np.ndarray, least: float, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """near() with the first beam at which a sample of the queries, answered by brute force, reaches RECALL; at a
-        beam as wide as the graph the search is exhaustive. Queries are drawn in blocks until they have AUDIT_LINKS links, those with
-        `own` not counted; where all were drawn, the brute force is the answer."""
-        order, drawn, pairs, seen = np.random.default_rng(len(q)).permutation(len(q)), 0, [], 0
-        while drawn < len(q) and seen < AUDIT_LINKS:
-            block = order[drawn : drawn + min(LOCKSTEP, max(AUDIT, drawn))]
-            r, c = np.nonzero(q[block] @ self.x.T >= least)
-            r = block[r]
-            if own is not None:
-                r, c = r[c != own[r]], c[c != own[r]]
-            pairs.append((r, c))
-            drawn, seen = drawn + len(block), seen + len(r)
-        r, c = (np.concatenate(v) for v in zip(*pairs)) if pairs else (np.zeros(0, int), np.zeros(0, int))
-        if drawn == len(q):
-            return r, c
-        sample, truth = order[:drawn], set(zip(r.tolist(), c.tolist()))
-        beam = BEAM
-        while beam < len(self.x):
-            r, c = self.near(q[sample], least, beam, None if own is None else own[sample])
-            if len(truth & set(zip(sample[r].tolist(), c.tolist()))) >= RECALL * len(truth):
-                return self.near(q, least, beam, own)
-            beam *= 2
-        pairs = [np.nonzero(q[lo : lo + LOCKSTEP] @ self.x.T >= least) for lo in range(0, len(q), LOCKSTEP)]
-        return np.concatenate([r + lo * LOCKSTEP for lo, (r, _) in enumerate(pairs)]), np.concatenate([c for _, c in pairs])
+    def _flooded(self, q: np.ndarray, least: float, start: np.ndarray) -> np.ndarray:
+        """All nodes at `least` or more that links join to `start` through such nodes, `start` included."""
+        seen, found, edge = np.zeros(len(self.x), bool), [start], start
+        seen[start] = True
+        while len(edge):
+            near = self.layers[0][edge].ravel()
+            near = np.unique(near[near >= 0])
+            near = near[~seen[near]]
+            seen[near] = True
+            edge = near[self.x[near] @ q >= least]
+            found.append(edge)
+        return np.concatenate(found)
+
+    def _bridge(self) -> None:
+        """A link more for nodes that a walk from the first node wouldn't meet: from the nearest met node that has none yet."""
+        more, met = np.full((len(self.x), 1), -1, np.int32), np.zeros(len(self.x), bool)
+
+        def walk(edge: np.ndarray) -> None:
+            while len(edge):
+                met[edge] = True
+                near = np.concatenate([self.layers[0][edge].ravel(), more[edge, 0]])
+                near = np.unique(near[near >= 0])
+                edge = near[~met[near]]
+
+        walk(np.zeros(min(1, len(self.x)), int))
+        for node in np.flatnonzero(~met):
+            if not met[node]:
+                more[np.argmax(np.where(met & (more[:, 0] < 0), self.x @ self.x[node], -2)), 0] = node
+                walk(np.array([node]))
+        if (more >= 0).any():
+            self.layers[0] = np.concatenate([self.layers[0], more], 1)
+
+    def _planted(self, least: float, most: int) -> np.ndarray:
+        """Nodes turned by angles up to that of `least`: queries of which at least one link is known."""
+        rng = np.random.default_rng(len(self.x))
+        x = self.x[rng.permutation(len(self.x))[:most]].astype(np.float64)
+        aside = rng.normal(size=x.shape)
+        aside -= (aside * x).sum(1, keepdims=True) * x
+        aside /= np.maximum(np.linalg.norm(aside, axis=1, keepdims=True), 1e-30)
+        cos = rng.uniform(least, 1, (len(x), 1))
+        q = cos * x + np.sqrt(1 - cos**2) * aside
+        return (q / np.linalg.norm(q, axis=1, keepdims=True)).astype(np.float32)
+
+    def audited(self, q: np.ndarray, least: float, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+        """near() of all queries with the first beam at which the graph finds RECALL of the links of a sample, and that beam.
+
+        Brute force answers the sample only. Queries are drawn until they have AUDIT_LINKS links, those with `own` not counted, or are
+        AUDIT; if their links are fewer, planted queries join them. A walk from the first node meets every node, so a beam as
+        wide as the graph misses nothing; a graph that fails even then is an error."""
+        order, drawn, truths, seen = np.random.default_rng(len(q)).permutation(len(q)), 0, [], 0
+
+        def truth(queries: np.ndarray, own: np.ndarray | None) -> set:
+            r, c = np.nonzero(queries @ self.x.T >= least)
+            return {(i, j) for i, j in zip(r.tolist(), c.tolist()) if own is None or own[i] != j}
+
+        while drawn < min(len(q), AUDIT) and seen < AUDIT_LINKS:
+            block = order[drawn : drawn + 64]
+            mine = None if own is None else own[block]
+            truths.append((q[block], mine, truth(q[block], mine)))
+            drawn, seen = drawn + len(block), seen + len(truths[-1][2])
+        if seen < AUDIT_LINKS:
+            planted = self._planted(least, AUDIT_LINKS)
+            truths.append((planted, None, truth(planted, None)))
+        links, beam = sum(len(t) for *_, t in truths), BEAM
+        while True:
+            found = sum(len(t & set(zip(*(v.tolist() for v in self.near(sample, least, beam, mine))))) for sample, mine, t in truths)
+            if found >= RECALL * links:
+                return *self.near(q, least, beam, own), beam
+            if beam >= len(self.x):
+                raise RuntimeError(f"the graph finds {found} of {links} links of its sample")
+            beam = min(2 * beam, len(self.x))
 
     def saved(self, **more: np.ndarray) -> bytes:
         out = io.BytesIO()
@@ -213,7 +256,7 @@ def _searched(threshold: float):
                 g, a = load(left.as_py())
                 h, b = (g, a) if same.as_py() else load(right.as_py())
                 own = np.arange(len(g.x), dtype=np.int32) if same.as_py() else None
-                u, v = h.audited(g.x, np.float32(threshold - 1e-4), own)
+                u, v, _ = h.audited(g.x, np.float32(threshold - 1e-4), own)
                 if own is not None:
                     u, v = np.minimum(u, v), np.maximum(u, v)
                     u, v = np.unique(np.stack([u, v])[:, u < v], axis=1)
