@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacewing.llm import decontamination, lines, mixing, simhash, toxicity
-from lacewing.llm.common import WORD, stored, table
+from lacewing.llm.common import WORD, named, spare, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,10 +16,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that stand elsewhere; one that loses all it had goes. n_chars follows the text."""
-    left = lines.dedup_lines(docs).where((F.col("n_removed") == 0) | F.col("text").rlike(WORD))
+    counters = spare(docs, "n_lines"), spare(docs, "n_removed")
+    changed = F.col(counters[1]) > 0
+    left = lines.dedup_lines(docs, counters=counters).where(~changed | F.col("text").rlike(WORD))
     if "n_chars" in docs.columns:
-        left = left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return left.select(docs.columns)
+        left = left.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return left.select(*map(named, docs.columns))
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -162,17 +162,17 @@ def similar_lines(docs: DataFrame, n: int = N_CHARS, threshold: float = THRESHOL
     return signed.select("id", "copies"), links
 
 
-def dedup_lines(docs: DataFrame, n: int = N_CHARS, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs`, `text` without the lines that are dropped, and n_lines and n_removed.
+def dedup_lines(docs: DataFrame, n: int = N_CHARS, threshold: float = THRESHOLD, counters: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """The rows of `docs`, `text` without the lines that are dropped, and in `counters` how many lines it had and lost.
 
     Lines are what '\\n' separates, compared as they stand. Equal lines (by a 64-bit hash), and those linked by a
     character-shingle Jaccard similarity of `threshold` or more, form a component, and the one first by (doc_id, position)
     stays; null ids come last. Rows equal in id and text are one document and change alike; rows that only share an id are ordered by
-    the hash of their text. Columns of `docs` named n_lines or n_removed are replaced, and all others may have any name. Blank
+    the hash of their text. Columns of `docs` named like the counters are replaced, and all others may have any name. Blank
     lines stay. Null and empty texts are unchanged, and an empty table stays empty. A text that loses all its lines is empty. Lines may
     be of any length: their shingles are read one by one.
     """
-    columns = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    columns = [c for c in docs.columns if c.lower() not in counters]
     lines, links = similar_lines(docs, n, threshold)
     found = components(links, "lines")
     several = lines.where("copies > 1").select(F.col("id").alias("node"), F.col("id").alias("component"))
@@ -187,7 +187,7 @@ def dedup_lines(docs: DataFrame, n: int = N_CHARS, threshold: float = THRESHOLD)
     text, at = F.split("text", "\n", -1), named(gone)
     kept = bound(text, lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), at), lambda i: F.get(lines, i)))
     joined = docs.select(*map(named, columns), row_key().alias(row)).join(bounded_lists(removed, row, gone), row, "left")
-    counts = F.when(F.col("text").isNull(), 0).otherwise(F.size(text)).alias("n_lines"), F.when(at.isNull(), 0).otherwise(F.size(at)).alias("n_removed")
+    counts = F.when(F.col("text").isNull(), 0).otherwise(F.size(text)).alias(counters[0]), F.when(at.isNull(), 0).otherwise(F.size(at)).alias(counters[1])
     left = F.when(at.isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text")
     return joined.select(*[left if c == "text" else named(c) for c in columns], *counts)
 

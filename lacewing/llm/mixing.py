@@ -70,10 +70,15 @@ def mixing_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST, seed: str = SEED) -> DataFrame:
-    """The mix itself: every document n_copies times, with the number of its copy in `copy` (from 0)."""
-    columns = [c for c in docs.columns if c.lower() not in ("size", "source_size", "target", "n_copies", "copy")]
-    plan = mixing_plan(docs, weights, most, seed).where("n_copies > 0")
-    return plan.select(*map(named, columns), F.explode(F.sequence(F.lit(0), (F.col("n_copies") - 1).cast("int"))).alias("copy"))
+    """The mix itself: every document n_copies times, with the number of its copy in `copy` (from 0).
+
+    All other columns of `docs` stay as they are, whatever their names; one named `copy` is replaced. Rows equal in all columns are
+    documents of their own and draw alike; sources that tie are taken in code point order. An empty table gives no rows.
+    """
+    columns = [c for c in docs.columns if c.lower() != "copy"]
+    held = {c: f"held_{i}" for i, c in enumerate(columns) if c.lower() not in ("doc_id", "text", "source")}
+    plan = mixing_plan(docs.select(*[named(c).alias(held.get(c, c)) for c in columns]), weights, most, seed).where("n_copies > 0")
+    return plan.select(*[named(held.get(c, c)).alias(c) for c in columns], F.explode(F.sequence(F.lit(0), (F.col("n_copies") - 1).cast("int"))).alias("copy"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

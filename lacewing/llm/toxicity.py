@@ -311,18 +311,19 @@ def assess(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs` that score below the threshold, with their columns; the text is scored where it lies, nothing is shuffled.
-    Rows that repeat stay or go alike, also those of null id; null and empty texts stay."""
+    """The rows of `docs` that score below the threshold, with their columns of any name; the text is scored where it lies, nothing is
+    shuffled. Rows that repeat stay or go alike, also those of null id; null and empty texts stay, a score that equals the threshold goes."""
     held, columns = docs.sparkSession.sparkContext.broadcast(fit(docs, labels)), docs.columns
     place = columns.index("text")
+    rows = docs.toDF(*[f"c{i}" for i in range(len(columns))])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for step in steps(batch, "text"):
+            for step in steps(batch, f"c{place}"):
                 p = held.value.score(held.value.features(step.column(place))[0])
                 yield step.filter(pa.array(p < threshold))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return rows.mapInArrow(keep, rows.schema).toDF(*columns)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

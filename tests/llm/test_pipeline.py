@@ -14,7 +14,7 @@ from lacewing.llm import entries, toxicity
 
 
 def test_names():
-    assert {int(q[2:].split("_")[0]) for q in entries.QUERIES} == set(range(1, 11))
+    assert {int(q[2:].split("_")[0]) for q in entries.QUERIES} == set(range(1, 14))
     assert set(entries.SQL) <= set(entries.QUERIES)
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
 
@@ -65,3 +65,24 @@ def test_against_plain_stages(spark, tmp_path):
         want += [(i, t, k) for k in range(math.floor(rate) + (draw < rate - math.floor(rate)))]
     assert sorted((r.doc_id, r.text, r.copy) for r in got) == sorted(want)
     assert all(r.n_chars in (len(r.text or ""), 0, None) for r in got)
+
+
+def test_empty_tables(spark, tmp_path):
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, schema in (("documents", columns), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "copy"] and out.count() == 0
+
+
+def test_columns_of_any_name_keep_their_values(spark, tmp_path):
+    names = ["n_lines", "n_removed", "_n_lines", "size", "target", "source_size", "n_copies", "a.b", "x`y", "row", "score", "count"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join("`" + c.replace("`", "``") + "` int" for c in names)
+    docs = spark.createDataFrame([(i, f"a line that many have\nown words {'abcdef'[i] * 9} here", "en", "s", 9, *range(10 * i, 10 * i + len(names))) for i in range(6)], schema)
+    spark.createDataFrame([(i, 1, 0) for i in range(6)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "quite another text of some length that is nowhere")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns[: len(docs.columns)] == docs.columns and (out.columns == docs.columns or name == "mixing")
+        assert out.count() and all(tuple(r)[5 : 5 + len(names)] == tuple(range(10 * r.doc_id, 10 * r.doc_id + len(names))) for r in out.collect()), name
+        docs = out
