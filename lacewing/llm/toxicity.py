@@ -209,7 +209,7 @@ def learn_lexicon(texts: list[str], toxic: np.ndarray) -> dict[int, dict[int, fl
 
     Texts that share their least word hash count once, so a group of near copies is no evidence by itself. A
     candidate must stand in three such groups, and be rare by chance: (toxic share)^count below one over the number of
-    candidates, where each different word of a group counts.
+    candidates with as high a count, since lower ones could never pass; each different word of a group counts.
     """
     words = []
     groups: tuple[set, set] = (set(), set())
@@ -222,7 +222,7 @@ def learn_lexicon(texts: list[str], toxic: np.ndarray) -> dict[int, dict[int, fl
     n_bad, n_clean = len(groups[1]), len(groups[0])
     if not n_bad or not n_clean:
         return {}
-    chance, found, candidates = math.log(n_bad / (n_bad + n_clean)), [], 0
+    chance, found, counts = math.log(n_bad / (n_bad + n_clean)), [], []
     for k in STEMS:
         keys, owner, word = [], [], []
         for data, starts, ends, _ in words:
@@ -234,7 +234,6 @@ def learn_lexicon(texts: list[str], toxic: np.ndarray) -> dict[int, dict[int, fl
         bad = np.repeat([w[3] for w in words], [len(x) for x in keys])
         keys, owner, word = (np.concatenate(x) for x in (keys, owner, word))
         suspect = np.unique(keys[bad])
-        candidates += len(suspect)
         at = np.minimum(np.searchsorted(suspect, keys), max(0, len(suspect) - 1))
         mine = suspect[at] == keys if len(suspect) else np.zeros(0, bool)
         at, owner, word, bad = at[mine], owner[mine], word[mine], bad[mine]
@@ -246,12 +245,16 @@ def learn_lexicon(texts: list[str], toxic: np.ndarray) -> dict[int, dict[int, fl
             return np.bincount(what[0][first], minlength=len(suspect))
 
         own, other, pairs = distinct(at[bad], owner[bad]), distinct(at[~bad], owner[~bad]), distinct(at[bad], owner[bad], word[bad])
+        counts.append(np.bincount(pairs, minlength=2))
         weight = np.log((own + 0.5) / (n_bad + 1)) - np.log((other + 0.5) / (n_clean + 1))
         good = np.flatnonzero((own >= 3) & (other <= 0.02 * own) & (weight > 2))
         found += [(k, int(suspect[i]), float(weight[i]), int(pairs[i])) for i in good]
+    most = max(map(len, counts))
+    as_high = np.cumsum(sum(np.pad(c, (0, most - len(c))) for c in counts)[::-1])[::-1]
+    least = next((n for n in range(1, most) if math.log(max(1, as_high[n])) + n * chance < 0), most)
     out: dict[int, dict[int, float]] = {}
     for k, key, weight, pairs in found:
-        if pairs * chance < -math.log(candidates):
+        if pairs >= least:
             out.setdefault(k, {})[key] = weight
     return out
 
