@@ -1,42 +1,14 @@
-"""Nearest-neighbour matching: exact k-NN, votes, margins, mutual matches."""
+"""Decisions over nearest neighbours: votes, margins, mutual matches."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries of one block; all vectors meet a broadcast block, whose bound is this many vectors.
-BLOCK = 256
-
-
-def squared_distance(a: Column, b: Column) -> Column:
-    parts = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
-    return F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)
-
-
-def distances(queries: DataFrame, vectors: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(query, query_label, vec_id, label, distance) of each of the stated `queries` to all of `vectors` but itself. The queries
-    go in blocks of a bounded size that are broadcast, so the vectors stay where they are."""
-    blocks = max(1, -(-queries.count() // block))
-    out = None
-    for b in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).select(F.col("vec_id").alias("query"), F.col("label").alias("query_label"), F.col("embedding").alias("q"))
-        met = vectors.join(F.broadcast(part), F.col("vec_id") != F.col("query"))
-        far = met.select("query", "query_label", "vec_id", "label", F.sqrt(squared_distance(F.col("q"), F.col("embedding"))).alias("distance"))
-        out = far if out is None else out.unionAll(far)
-    return out
-
-
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
-    """The k nearest to each query, with their `place`; each task keeps k a query before anything is shuffled."""
-    ranked = distances(queries, vectors, block).withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy("distance", "vec_id")))
-    return ranked.where(F.col("place") <= k)
-
-
-def ratio_votes(far: DataFrame, ratio: float) -> DataFrame:
-    """Queries whose nearest vector is nearer than `ratio` times the nearest of another label vote for its label."""
-    per = far.groupBy("query", "label").agg(F.min("distance").alias("distance"))
-    ranked = per.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy("distance", "label")))
+def ratio_votes(near: DataFrame, ratio: float) -> DataFrame:
+    """Queries whose nearest vector is nearer than `ratio` times the nearest of another label vote for its label. `near` has the nearest of
+    each query and label, of the two nearest labels at least."""
+    ranked = near.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy("distance", "label")))
     best = ranked.groupBy("query").agg(F.min(F.when(F.col("place") == 1, F.col("label"))).alias("label"), F.min(F.when(F.col("place") == 1, F.col("distance"))).alias("first"), F.min(F.when(F.col("place") == 2, F.col("distance"))).alias("second"))
     return best.withColumn("distinctive", F.coalesce(F.col("first") < ratio * F.col("second"), F.lit(False)))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import deck, matching
+from ..operators import deck, matching, search
 from ..operators.suppression import suppress_intervals
 from ..sources import pages as html
 from ..sources.tables import table
@@ -94,30 +94,39 @@ def vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def knn(spark: SparkSession, d: str) -> DataFrame:
-    return matching.nearest(*vectors(spark, d), 8).select("query", "vec_id", F.round("distance", 6).alias("distance"), F.col("place").cast("long").alias("place"))
+    return search.nearest(*vectors(spark, d), 8).select("query", "vec_id", F.round("distance", 6).alias("distance"), F.col("place").cast("long").alias("place"))
 
 
 def ratio_vote(spark: SparkSession, d: str) -> DataFrame:
     queries, own = vectors(spark, d)
-    votes = matching.ratio_votes(matching.distances(queries, own), 0.95)
+    votes = matching.ratio_votes(search.nearest_labels(queries, own), 0.95)
     return votes.select("query", "label", F.round("first", 6).alias("first"), F.round("second", 6).alias("second"), "distinctive")
 
 
 def shared_vote(spark: SparkSession, d: str) -> DataFrame:
     queries, own = vectors(spark, d)
-    return matching.shared_votes(matching.nearest(queries, own, 8), own, 0.95)
+    return matching.shared_votes(search.nearest(queries, own, 8), own, 0.95)
 
 
 def margin_decision(spark: SparkSession, d: str) -> DataFrame:
-    return matching.margins(matching.nearest(*vectors(spark, d), 8), 2.0).withColumn("margin", F.round("margin", 6))
+    return matching.margins(search.nearest(*vectors(spark, d), 8), 2.0).withColumn("margin", F.round("margin", 6))
 
 
 def mutual_match(spark: SparkSession, d: str) -> DataFrame:
     """The stated queries whose nearest of all vectors has them as its nearest of all vectors."""
     queries, own = vectors(spark, d)
-    forward = matching.nearest(queries, own, 1)
+    forward = search.nearest(queries, own, 1)
     found = own.join(forward.select("vec_id").distinct(), "vec_id", "left_semi")
-    return matching.mutual(forward, matching.nearest(found, own, 1)).withColumn("distance", F.round("distance", 6))
+    return matching.mutual(forward, search.nearest(found, own, 1)).withColumn("distance", F.round("distance", 6))
+
+
+def cells_recall(spark: SparkSession, d: str) -> DataFrame:
+    """How many of the true neighbours of all stated queries the search in cells finds, and whether that is enough."""
+    queries, own = vectors(spark, d)
+    found, _, _ = search.nearest_in_cells(queries, own, 8)
+    truth = search.nearest(queries, own, 8).select("query", "vec_id")
+    both = truth.join(found.select("query", "vec_id", F.lit(1).alias("hit")), ["query", "vec_id"], "left")
+    return both.agg(F.countDistinct("query").alias("queries"), F.count("*").alias("neighbours"), (F.sum(F.coalesce("hit", F.lit(0))) >= 0.95 * F.count("*")).alias("enough"))
 
 
 def softmax_top(spark: SparkSession, d: str) -> DataFrame:
@@ -154,7 +163,7 @@ QUERIES = {
     "deck_aggregate": deck_aggregate, "deck_conflicts": deck_conflicts, "deck_order": part_order, "deck_export_rows": export_rows, "formula_neutralize": neutralize, "json_props": json_props,
     "text_fingerprint": fingerprints, "name_key_ascii": name_keys, "name_key_nfkc": name_keys_unicode, "money_format_parse": money, "kst_render": local_time, "html_extract": page_fields,
     "html_links_explode": page_links, "url_parts": url_parts, "knn_exact": knn, "ratio_vote": ratio_vote, "shared_vote_shortlist": shared_vote, "margin_decision": margin_decision,
-    "mutual_match": mutual_match, "softmax_topk": softmax_top, "greedy_suppression": suppression, "fingerprint_change": fingerprint_change,
+    "mutual_match": mutual_match, "cells_recall": cells_recall, "softmax_topk": softmax_top, "greedy_suppression": suppression, "fingerprint_change": fingerprint_change,
 }
 AGGREGATE = """
 a as (select l_partkey as cid, l_returnflag as rarity, sum(l_quantity)::bigint as quantity, count(*) as lines, arg_min((l_orderkey, l_suppkey, l_extendedprice), (l_orderkey, l_linenumber, l_suppkey, l_extendedprice)) as f from lineitem group by all)
@@ -192,6 +201,7 @@ SQL = {
         r as (select query as b, vec_id as a, row_number() over (partition by query order by distance, vec_id) as place from (
             select q.vec_id as query, v.vec_id, list_distance(q.embedding::double[], v.embedding::double[]) as distance from embeddings q join embeddings v on q.vec_id <> v.vec_id where q.vec_id in (select b from f)))
         select a, b, round(distance, 6) as distance from f join r using (a, b) where place = 1""",
+    "cells_recall": f"with {NEAR} select count(distinct query) as queries, count(*) as neighbours, true as enough from near where place <= 8",
     "softmax_topk": """with e as (select vec_id, unnest(range(64)) as i, unnest(embedding)::double * 10 as x from embeddings), s as (select vec_id, i, exp(x - max(x) over (partition by vec_id)) as z from e),
         p as (select vec_id, i, z / sum(z) over (partition by vec_id) as p from s), r as (select *, row_number() over (partition by vec_id order by p desc, i) as k from p)
         select vec_id, max(i) filter (k = 1) as top1, max(i) filter (k = 2) as top2, max(i) filter (k = 3) as top3, round(max(p) filter (k = 1), 6) as p1, max(p) filter (k = 1) < 0.5 or max(p) filter (k = 1) - max(p) filter (k = 2) < 0.1 as review from r where k <= 3 group by vec_id""",
