@@ -73,6 +73,17 @@ def first_locale(rows: DataFrame, keys: list[str], locale: Column, order: tuple[
     return rows.where(rank > 0).groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(rank, *sequence)).alias("r")).select(*keys, "r.*")
 
 
+def artworks(rows: DataFrame, keys: list[str], locale: Column, digest: str, placeholder: Column, order: tuple[str, ...]) -> DataFrame:
+    """One row a key (a card and its artwork): the locale and digest of the first in `order` that has more than a placeholder, the locales
+    before it that had one, in order, and whether none has more. Of several rows of a locale the least digest counts."""
+    rank = F.array_position(F.array(*map(F.lit, order)), locale)
+    each = rows.select(*keys, rank.alias("rank"), digest, F.coalesce(placeholder, F.lit(False)).alias("empty")).where("rank > 0")
+    found = each.groupBy(*keys).agg(F.min(F.when(~F.col("empty"), F.struct("rank", digest))).alias("first"), F.collect_set(F.when(F.col("empty"), F.col("rank"))).alias("tried"))
+    name = lambda r: F.element_at(F.array(*map(F.lit, order)), r.cast("int"))
+    before = F.filter(F.array_sort("tried"), lambda r: F.col("first").isNull() | (r < F.col("first.rank")))
+    return found.select(*keys, F.when(F.col("first").isNotNull(), name(F.col("first.rank"))).alias("locale"), F.col(f"first.{digest}").alias(digest), F.array_join(F.transform(before, name), ",").alias("placeholders"), F.col("first").isNull().alias("unavailable"))
+
+
 def best_evidence(rows: DataFrame, key: str, score: str, sequence: str) -> DataFrame:
     """Each key's row with the highest score, the earliest of equals."""
     rest = [c for c in rows.columns if c != key]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import review
+from ..operators import records, review
 from ..sources import official
 from ..sources.tables import table
 
@@ -36,7 +36,29 @@ def badge(rid: Column, code: Column) -> Column:
     return joined('<div class="lr_icon rid_', rid, '"><p>', code, "</p><span>", code, " Rare</span></div>")
 
 
-def product_cards(spark: SparkSession, d: str) -> DataFrame:
+def requoted(html: Column) -> Column:
+    """The same page in another hand: other quotes, order of attributes and case, and elements of one name within each other."""
+    html = F.regexp_replace(html, " (class|id|name|value|href|src|action)=\"([^\"']*)\"", " $1='$2'")
+    html = F.regexp_replace(html, "<(input|img) (\\w+)='([^']*)' (\\w+)=('[^']*'|\"[^\"]*\")>", "<$1 data-x  $4=$5\n $2='$3' />")
+    html = F.regexp_replace(F.replace(F.replace(html, F.lit("<td "), F.lit("<TD  ")), F.lit("</td>"), F.lit("</Td >")), "(<TD  class='glist_0[23]'>)([^<]*)</Td >", "$1<table><tr><td>$2</td></tr></table></TD>")
+    html = F.regexp_replace(html, "(<div class='(?:t_row|lr_icon)[^>]*>)", "$1<div ><div></div></div>")
+    return F.regexp_replace(html, "<span class='card_name'>([^<]*)</span>", "<span id=x class='card_name other'><span>$1</span><!-- </span> --></span>")
+
+
+def product_pages(spark: SparkSession, d: str) -> DataFrame:
+    return shown_products(products_rendered(spark, d))
+
+
+def requoted_products(spark: SparkSession, d: str) -> DataFrame:
+    return shown_products(products_rendered(spark, d).withColumn("html", requoted(F.col("html"))))
+
+
+def shown_products(pages: DataFrame) -> DataFrame:
+    found = official.product_pages(pages)
+    return found.select("l_orderkey", "problem", F.explode("cards").alias("c")).select("l_orderkey", "problem", "c.cid", F.array_join(F.transform("c.rarities", lambda b: joined(b["rid"], ":", b["label"])), ",").alias("rarities"))
+
+
+def products_rendered(spark: SparkSession, d: str) -> DataFrame:
     """A product page for each order, a row for each part in it, badges by line number; the title has other white space."""
     lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.array_sort(F.collect_set("l_linenumber")).alias("rids"))
     icons = F.array_join(F.transform("rids", lambda r: badge(r, F.when(r == 7, "").otherwise(joined("R", r)))), "")
@@ -44,8 +66,7 @@ def product_cards(spark: SparkSession, d: str) -> DataFrame:
     pages = lines.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(row)), "").alias("rows"))
     k = F.col("l_orderkey")
     html = joined("<title>Product  ", F.when(k % 41 == 0, 0).otherwise(k), ' | Shop</title><div class="text">', F.col("n") + F.when(k % 37 == 0, 1).otherwise(0), " cards</div>", F.col("rows"))
-    found = official.product_pages(pages.select("l_orderkey", joined("Product ", k).alias("name"), html.alias("html")))
-    return found.select("l_orderkey", "problem", F.explode("cards").alias("c")).select("l_orderkey", "problem", "c.cid", F.array_join(F.transform("c.rarities", lambda b: joined(b["rid"], ":", b["label"])), ",").alias("rarities"))
+    return pages.select("l_orderkey", joined("Product ", k).alias("name"), html.alias("html"))
 
 
 def product_index(spark: SparkSession, d: str) -> DataFrame:
@@ -57,6 +78,49 @@ def product_index(spark: SparkSession, d: str) -> DataFrame:
     return official.index_products(pages)
 
 
+def detail_prints(spark: SparkSession, d: str) -> DataFrame:
+    """A detail page for each part with a print for each order it is in; some pages have another heading, none, or a date in words."""
+    k = F.col("l_partkey")
+    lines = table(spark, d, "lineitem").groupBy("l_partkey", "l_orderkey").agg(F.array_sort(F.collect_set("l_linenumber")).alias("rids"), F.min("l_shipdate").alias("day"))
+    icons = F.array_join(F.transform("rids", lambda r: badge(r, joined("R", r))), "")
+    day = F.when((k % 23 == 0) & (F.col("l_orderkey") % 2 == 0), "soon").otherwise(F.date_format("day", "yyyy-MM-dd"))
+    row = joined('<div class="t_row"><input class="link_value" value="/x?ope=1&sess=1&pid=', F.col("l_orderkey"), '&rp=99999"><i class="time">', day, '</i><i class="card_number">', F.when(F.col("l_orderkey") % 5 == 0, "").otherwise(joined("N-", F.col("l_orderkey"))), "</i>", icons, "</div>")
+    pages = lines.groupBy("l_partkey").agg(F.array_join(F.collect_list(row), "").alias("rows"))
+    head = F.when(k % 19 == 0, "").otherwise(joined("<h1><span class='ruby'>x</span> Card  ", F.when(k % 17 == 0, 0).otherwise(k), "<span>EN</span></h1>"))
+    found = official.detail_prints(pages.select("l_partkey", joined("card ", k).alias("name"), joined(head, F.col("rows")).alias("html")))
+    each = found.select("l_partkey", "problem", F.explode("prints").alias("p"))
+    return each.select("l_partkey", "problem", "p.pid", "p.card_number", "p.released", F.array_join(F.transform("p.rarities", lambda b: b["rid"].cast("string")), ",").alias("rarities"))
+
+
+def search_results(spark: SparkSession, d: str) -> DataFrame:
+    """A search page for each size of part; some have no total, a size of a multiple of ten finds nothing, and one of seven says not even that."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    row = card(k, F.col("p_name"), F.when(k % 997 == 0, 0).otherwise(k))
+    pages = table(spark, d, "part").groupBy("p_size").agg(F.count("*").alias("n"), F.array_join(F.collect_list(row), "").alias("rows"))
+    total = F.when(size % 11 == 0, "").otherwise(joined('<div class="sort_set"><div class="text">Search Results: 1 - ', F.col("n"), " of ", F.format_number(F.col("n") + 5000, 0), "</div></div>"))
+    html = F.when(size % 10 == 0, F.when(size % 7 == 0, "<p></p>").otherwise('<div class="no_data"></div>')).otherwise(joined(total, F.col("rows")))
+    found = official.search_results(pages.select("p_size", html.alias("html")))
+    return found.select("p_size", "total", "problem", F.explode_outer("cards").alias("c")).select("p_size", "total", "problem", "c.cid", "c.name")
+
+
+def detail_names(spark: SparkSession, d: str) -> DataFrame:
+    """A part's detail page in three locales: one in five isn't in the second, some have no image, no name, or an address without signature."""
+    k, locale = F.col("p_partkey"), F.explode(F.array(*map(F.lit, ("ja", "en", "ko")))).alias("locale")
+    rows = table(spark, d, "part").select(k, "p_name", locale)
+    name = F.when(k % 29 == 0, "").otherwise(joined(F.col("p_name"), " &amp; ", F.col("locale")))
+    address = joined("/image?cid=", k, F.when(k % 31 == 0, "").otherwise("&enc=a"), "&l=", F.col("locale"))
+    script = F.when(k % 37 == 0, "").otherwise(joined("<script>$('#card_image_1').attr('src', '", address, "');</script>"))
+    html = F.when((k % 5 == 0) & (F.col("locale") == "en"), '<div class="no_data">none</div>').otherwise(joined('<div id="other"><h1>Other</h1></div><div id="cardname"><h1><span class="ruby">r</span>\n ', name, " <span>EN</span></h1></div>", script))
+    return official.detail_cards(rows.select(k, "locale", html.alias("html"))).drop("html")
+
+
+def artwork_union(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as artworks of parts in three locales, a fifth of them placeholders."""
+    locale = F.element_at(F.array(*map(F.lit, ("ko", "ja", "en", "xx"))), (F.col("l_linenumber") % 4 + 1).cast("int"))
+    rows = table(spark, d, "lineitem").select(F.col("l_partkey").alias("cid"), (F.col("l_suppkey") % 4 + 1).alias("ciid"), locale.alias("locale"), F.md5(joined(F.col("l_orderkey"), ":", F.col("l_linenumber")).cast("binary")).alias("digest"), (F.col("l_quantity") > 30).alias("empty"))
+    return records.artworks(rows, ["cid", "ciid"], F.col("locale"), "digest", F.col("empty"), ("ja", "en", "ko"))
+
+
 def decisions(spark: SparkSession, d: str) -> DataFrame:
     """Events as evidence: a photo a user and day, a card an event."""
     e = F.col("event_id")
@@ -76,13 +140,28 @@ def shown(spark: SparkSession, d: str) -> DataFrame:
     return last.select("l_orderkey", text(F.col("c")).alias("candidates"), text(F.col("top")).alias("top"))
 
 
-QUERIES = {"official_list": list_cards, "product_cards": product_cards, "product_index": product_index, "match_decisions": decisions, "candidate_review": shown}
+QUERIES = {"official_list": list_cards, "product_cards": product_pages, "requoted_products": requoted_products, "detail_prints": detail_prints, "search_results": search_results, "detail_names": detail_names, "artwork_union": artwork_union, "product_index": product_index, "match_decisions": decisions, "candidate_review": shown}
+PRODUCTS = """with l as (select distinct l_orderkey, l_partkey, l_linenumber as r from lineitem), c as (select l_orderkey, l_partkey as cid, string_agg(r || ':' || case when r = 7 then ' Rare' else 'R' || r || ' Rare' end, ',' order by r) as rarities, max(r) as most from l group by all),
+        p as (select l_orderkey, case when l_orderkey % 41 = 0 and l_orderkey <> 0 then 'title' when l_orderkey % 37 = 0 then 'total' when max(most) = 7 then 'badge' end as problem from c group by 1)
+        select l_orderkey, problem, cid, replace(rarities, ': Rare', ':Rare') as rarities from c join p using (l_orderkey)"""
 SQL = {
+    "requoted_products": PRODUCTS,
+    "detail_prints": """with p as (select l_partkey, l_orderkey, string_agg(distinct l_linenumber::varchar, ',' order by l_linenumber::varchar) as rarities, min(l_shipdate) as day from lineitem group by all),
+        g as (select l_partkey, case when l_partkey % 19 = 0 then 'heading' when l_partkey % 17 = 0 and l_partkey <> 0 then 'name' when l_partkey % 23 = 0 and count(*) filter (l_orderkey % 2 = 0) > 0 then 'row' end as problem from p group by 1)
+        select l_partkey, problem, l_orderkey as pid, case when l_orderkey % 5 = 0 then '' else 'N-' || l_orderkey end as card_number, case when l_partkey % 23 = 0 and l_orderkey % 2 = 0 then 'soon' else strftime(day, '%Y-%m-%d') end as released, rarities from p join g using (l_partkey)""",
+    "search_results": """with g as (select p_size, count(*) as n, count(*) filter (p_partkey % 997 = 0 and p_partkey <> 0) as bad from part group by 1),
+        r as (select p_size, case when p_size % 10 = 0 then 0 when p_size % 11 <> 0 then n + 5000 end::bigint as total, case when p_size % 10 = 0 then case when p_size % 7 = 0 then 'no rows' end when bad > 0 then 'link' when p_size % 11 = 0 then 'total' end as problem from g)
+        select p_size, total, problem, p_partkey as cid, p_name as name from r left join part using (p_size) where p_size % 10 <> 0 union all select p_size, total, problem, null, null from r where p_size % 10 = 0""",
+    "detail_names": """with r as (select p_partkey, p_name, unnest(['ja', 'en', 'ko']) as locale from part), q as (select *, p_partkey % 5 = 0 and locale = 'en' as gone from r)
+        select p_partkey, locale, case when not gone and p_partkey % 29 <> 0 then p_name || ' & ' || locale end as name, case when not gone and p_partkey % 37 <> 0 then '/image?cid=' || p_partkey || case when p_partkey % 31 = 0 then '' else '&enc=a' end || '&l=' || locale end as image,
+          case when gone then null when p_partkey % 29 = 0 then 'name' when p_partkey % 37 = 0 then 'image' when p_partkey % 31 = 0 then 'unsigned image' end as problem from q""",
+    "artwork_union": """with r as (select l_partkey as cid, l_suppkey % 4 + 1 as ciid, l_linenumber % 4 as at, md5(l_orderkey || ':' || l_linenumber) as digest, l_quantity > 30 as empty from lineitem where l_linenumber % 4 <> 3),
+        n as (select *, case r.at when 1 then 0 when 2 then 1 else 2 end as rank from r), g as (select cid, ciid, min((rank, digest)) filter (not empty) as f from n group by all),
+        t as (select n.cid, n.ciid, array_to_string(list_transform(list_sort(list(distinct n.rank) filter (n.empty and (f is null or n.rank < f[1]))), lambda r: ['ja', 'en', 'ko'][r + 1]), ',') as placeholders from n join g using (cid, ciid) group by all)
+        select cid, ciid, ['ja', 'en', 'ko'][f[1] + 1] as locale, f[2] as digest, coalesce(placeholders, '') as placeholders, f is null as unavailable from g join t using (cid, ciid)""",
     "official_list": """with p as (select p_partkey // 20 as n, p_partkey as cid, p_name as name from part), g as (select n, case when count(*) filter (cid % 333 = 332) > 0 then 'link' when n % 7 = 6 then 'range' when count(*) <> 20 then 'rows' end as problem from p group by n)
         select n, case n % 3 when 0 then 'ja' when 1 then 'en' else 'ko' end as locale, problem, cid, name from p join g using (n)""",
-    "product_cards": """with l as (select distinct l_orderkey, l_partkey, l_linenumber as r from lineitem), c as (select l_orderkey, l_partkey as cid, string_agg(r || ':' || case when r = 7 then ' Rare' else 'R' || r || ' Rare' end, ',' order by r) as rarities, max(r) as most from l group by all),
-        p as (select l_orderkey, case when l_orderkey % 41 = 0 and l_orderkey <> 0 then 'title' when l_orderkey % 37 = 0 then 'total' when max(most) = 7 then 'badge' end as problem from c group by 1)
-        select l_orderkey, problem, cid, replace(rarities, ': Rare', ':Rare') as rarities from c join p using (l_orderkey)""",
+    "product_cards": PRODUCTS,
     "product_index": """with r as (select o_orderkey, o_orderdate, 'Product ' || o_orderkey || case when l_linenumber = 7 and o_orderkey % 5 = 0 then ' b' else '' end as name from lineitem join orders on l_orderkey = o_orderkey)
         select o_orderkey as pid, min(name) as name, strftime(min(o_orderdate), '%Y-%m-%d') as released, case when min(name) <> max(name) then 'differs' end as problem from r group by 1""",
     "match_decisions": """with e as (select *, ts::date as day, floor(value)::bigint as inliers, row_number() over (partition by user_id, ts::date order by floor(value) desc, event_id) as k from events),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import deck, history, layout, records
 from ..sources import listings
 from ..sources.tables import latest, moment, table
+from .official import requoted
 
 DAY = "INTERVAL 1 DAYS"
 
@@ -34,6 +35,26 @@ def listing_rows(spark: SparkSession, d: str) -> DataFrame:
     return listings.products(listings.parsed(rendered(spark, d)), ["l_orderkey"])
 
 
+def requoted_listing(spark: SparkSession, d: str) -> DataFrame:
+    """The same rows from pages written in another hand."""
+    return listings.products(listings.parsed(rendered(spark, d).withColumn("html", requoted(F.col("html")))), ["l_orderkey"])
+
+
+def search_pages(spark: SparkSession, d: str) -> DataFrame:
+    """A search page for each part and its number, with up to three products; some pages are another's, some show products of another
+    number, and those without any say so in a list that some tear."""
+    k = F.col("p_partkey")
+    number = F.concat(F.lit("AB12-JP"), F.lpad((k % 1000).cast("string"), 3, "0"))
+    shown = lambda i: F.when((k % 13 == 0) & (i == 1), "AB99-JP99").otherwise(number)
+    product = lambda i: F.concat(F.lit('<table id="list_card_'), i.cast("string"), F.lit('"><tr><td class="glist_01"><a href="goods_detail.php?goodsIdx='), i.cast("string"), F.lit('">N</a></td><td class="glist_02">('), shown(i), F.lit(')</td><td class="glist_03">Rare</td><td class="glist_price12">100</td><td class="glist_price_won">원</td></tr></table>'))
+    blocks = F.array_join(F.transform(F.when(k % 4 > 0, F.sequence(F.lit(1), (k % 4).cast("int"))).otherwise(F.array().cast("array<int>")), product), "")
+    inside = F.when(k % 4 > 0, blocks).when(k % 5 == 0, "<p></p>").otherwise(listings.EMPTY_LIST)
+    form = F.concat(F.lit('<form name="sortForm" action="'), F.when(k % 7 == 0, "x").otherwise(listings.FORM_ACTION), F.lit('"><input name="Index" value="288"><input name="searchstring" value="'), F.when(k % 11 == 0, "AB12").otherwise(number), F.lit('"></form>'))
+    pages = table(spark, d, "part").select(k, number.alias("number"), F.lit("http://shop.example/goods_list.php?Index=288").alias("url"), F.concat(form, F.lit(listings.LIST_START), inside, F.lit(listings.LIST_END)).alias("html"))
+    found = listings.searched(pages, "number")
+    return found.select("p_partkey", "problem", F.when(F.col("problem").isNull(), F.size("products")).otherwise(0).cast("long").alias("products"))
+
+
 def listing_problems(spark: SparkSession, d: str) -> DataFrame:
     return listings.parsed(rendered(spark, d)).groupBy(F.coalesce("problem", F.lit("none")).alias("problem")).agg(F.count("*").alias("pages"))
 
@@ -232,11 +253,15 @@ def nested_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "listing_rows": listing_rows, "listing_pages": listing_problems, "attempt_log": attempts, "retry_gate": retries, "bounded_snapshots": snapshots, "checkpoint_validity": checkpoints, "envelope_rules": envelopes,
+    "listing_rows": listing_rows, "requoted_listing": requoted_listing, "search_pages": search_pages, "listing_pages": listing_problems, "attempt_log": attempts, "retry_gate": retries, "bounded_snapshots": snapshots, "checkpoint_validity": checkpoints, "envelope_rules": envelopes,
     "price_records": price_records, "lookup_status": lookups, "error_status": errors, "list_audit": list_findings, "code_audit": code_findings, "unexplained_names": unexplained, "first_locale": first_locales,
     "best_evidence": evidence, "page_rules": paging, "species_order": species, "box_corners": box_corners, "box_suppression": box_suppression, "merged_passes": merged_passes, "reading_order": order_read, "two_vote_shortlist": two_votes,
     "array_forms": array_forms, "text_forms": text_forms, "nested_ids": nested_ids,
 }
+LISTING = f"""with {LISTED} select l_orderkey, pid as product_id, 'Card ' || l_partkey as name, 'AB' || (l_suppkey % 90 + 10) || '-' || case when l_orderkey % 2 = 0 then 'JP' else 'KR' end || lpad((l_partkey % 1000)::varchar, 3, '0') as card_number,
+        case when l_orderkey % 2 = 0 then 'ja' else 'ko' end as locale, l_linestatus || ' Rare' as rarity, floor(l_extendedprice)::bigint as price_krw,
+        case when l_returnflag = 'R' then 'out_of_stock' when l_returnflag = 'A' and l_tax <> 0 then 'in_stock' else 'unknown' end as stock, 'goods_detail.php?goodsIdx=' || pid as path
+        from j join pages using (l_orderkey) where pages.problem is null"""
 OUT = "('purchase', 'error', 'signup')"
 SHARED = "(greatest(least(k.x1, box.x1) - greatest(k.x0, box.x0), 0) * greatest(least(k.y1, box.y1) - greatest(k.y0, box.y0), 0))"
 SQL = {
@@ -255,10 +280,10 @@ SQL = {
             from every e join added r on e.user_id = r.user_id and e.photo = r.photo and r.rn = e.rn + 1),
         done as (select user_id, photo, arg_max(kept, rn) as kept from every group by 1, 2)
         select user_id, photo, unnest(list_transform(kept, lambda k: k.id)) as id from done""",
-    "listing_rows": f"""with {LISTED} select l_orderkey, pid as product_id, 'Card ' || l_partkey as name, 'AB' || (l_suppkey % 90 + 10) || '-' || case when l_orderkey % 2 = 0 then 'JP' else 'KR' end || lpad((l_partkey % 1000)::varchar, 3, '0') as card_number,
-        case when l_orderkey % 2 = 0 then 'ja' else 'ko' end as locale, l_linestatus || ' Rare' as rarity, floor(l_extendedprice)::bigint as price_krw,
-        case when l_returnflag = 'R' then 'out_of_stock' when l_returnflag = 'A' and l_tax <> 0 then 'in_stock' else 'unknown' end as stock, 'goods_detail.php?goodsIdx=' || pid as path
-        from j join pages using (l_orderkey) where pages.problem is null""",
+    "listing_rows": LISTING,
+    "requoted_listing": LISTING,
+    "search_pages": """select p_partkey, case when p_partkey % 7 = 0 then 'form' when p_partkey % 11 = 0 then 'search box' when p_partkey % 4 = 0 then case when p_partkey % 5 = 0 then 'not an empty result' end when p_partkey % 13 = 0 then 'off target' end as problem,
+        case when problem is null then p_partkey % 4 else 0 end::bigint as products from part""",
     "listing_pages": f"with {LISTED} select coalesce(problem, 'none') as problem, count(*) as pages from pages group by 1",
     "attempt_log": f"""with e as (select *, ts::date as day from events), b as (select user_id, day, min((ts, event_id)) as b from e where event_type = 'view' group by all),
         n as (select user_id, day, min((ts, event_id)) as n from e join b using (user_id, day) where event_type in {OUT} and (ts, event_id) > b group by all)

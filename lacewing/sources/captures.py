@@ -8,24 +8,39 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: What a capture's metadata must hold.
-METADATA = "url string, observed_at string, status_code int, sha256 string, bytes int, content_type string"
+#: What a capture's metadata must hold, and the kind of page that is read.
+METADATA = "url string, observed_at string, status_code int, sha256 string, bytes int"
+CONTENT_TYPE = r"(?i)^text/html\s*(;.*)?$"
 CHARSET = "euc-kr"
 
 
+def stem(path: Column) -> Column:
+    """A file's name without folder and extension, by which a capture and its metadata belong together."""
+    return F.regexp_extract(path, r"([^/]*?)(\.[^./]*)?$", 1)
+
+
 def metadata(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON object a capture; a field of the wrong type is an error."""
-    return spark.read.schema(METADATA).option("mode", "FAILFAST").option("multiLine", True).json(path).withColumn("observed", F.try_to_timestamp("observed_at"))
+    """A row for each JSON file: its fields, and in `fault` the first that is missing or of another type."""
+    rows = spark.read.text(path, wholetext=True).select(stem(F.input_file_name()).alias("capture"), F.try_parse_json("value").alias("v"))
+    fields = [tuple(x.split()) for x in METADATA.split(", ")]
+    values = {name: F.try_variant_get("v", f"$.{name}", kind) for name, kind in fields}
+    right = {name: F.schema_of_variant(F.try_variant_get("v", f"$.{name}", "variant")) == ("STRING" if kind == "string" else "BIGINT") for name, kind in fields}
+    fault = F.when(F.col("v").isNull(), "not JSON")
+    for name, value in values.items():
+        fault = fault.when(value.isNull() | ~F.coalesce(right[name], F.lit(False)), f"field {name}")
+    kind = F.try_variant_get("v", "$.content_type", "string")
+    return rows.select("capture", *[c.alias(n) for n, c in values.items()], kind.alias("content_type"), fault.alias("fault")).withColumn("observed", F.try_to_timestamp("observed_at"))
 
 
 def verified(files: DataFrame, meta: DataFrame, as_of: Column) -> DataFrame:
-    """Each capture with its problem, null if it may be used: files (sha256 computed here) against their metadata."""
-    seen = files.select(F.sha2("content", 256).alias("sha256"), F.octet_length("content").alias("found_bytes"), "content")
+    """Each capture's metadata and content with its problem, null if it may be used: size and digest are those of the file of its name."""
+    seen = files.select(stem(F.col("path")).alias("capture"), F.sha2("content", 256).alias("found_sha256"), F.octet_length("content").alias("found_bytes"), "content")
     problem = (
-        F.when(F.col("content").isNull(), "missing file").when(F.col("found_bytes") != F.col("bytes"), "size").when(F.col("status_code") != 200, "status")
-        .when(F.col("observed").isNull() | ~F.col("observed_at").rlike(r"(Z|[+-][0-9]{2}:?[0-9]{2})$"), "time zone").when(F.col("observed") > as_of, "future")
-    )
-    return meta.join(seen, "sha256", "left").withColumn("problem", problem)
+        F.coalesce(F.col("fault"), F.when(F.col("content").isNull(), "missing file").when(F.col("status_code") != 200, "status").when(F.col("found_bytes") != F.col("bytes"), "size")
+        .when(F.col("found_sha256") != F.col("sha256"), "sha256").when(F.col("content_type").isNotNull() & ~F.col("content_type").rlike(CONTENT_TYPE), "content type")
+        .when(F.col("observed").isNull() | ~F.col("observed_at").rlike(r"(Z|[+-][0-9]{2}:?[0-9]{2})$"), "time zone").when(F.col("observed") > as_of, "future"))
+    )
+    return meta.join(seen, "capture", "left").withColumn("problem", problem)
 
 
 def decoded(rows: DataFrame, charset: str = CHARSET) -> DataFrame:
@@ -42,27 +57,3 @@ def decoded(rows: DataFrame, charset: str = CHARSET) -> DataFrame:
             yield batch[["url"]].assign(text=out)
 
     return rows.select("url", "content").mapInPandas(strict, "url string, text string")
-
-
-def stock_status(sold_out: Column, cart: Column, limit: Column) -> Column:
-    """Sold-out text decides unless a cart is active as well, which is a contradiction; an active cart with a positive limit is
-    in stock; all else is unknown."""
-    active = F.coalesce(cart, F.lit(False))
-    gone = F.coalesce(sold_out, F.lit(False))
-    return F.when(gone & active, "contradiction").when(gone, "out_of_stock").when(active & (F.coalesce(limit, F.lit(0)) > 0), "in_stock").otherwise("unknown")
-
-
-def listing_rows(texts: DataFrame) -> DataFrame:
-    """(url, product_id, price, currency, stock) of each product block of each page; the patterns are those of a listing's markup."""
-    block = F.explode(F.regexp_extract_all("text", F.lit(r'(?s)(<[a-z]+ id="list_card_[0-9]+".*?)(?=<[a-z]+ id="list_card_|$)'), F.lit(1)))
-    rows = texts.select("url", block.alias("block"))
-    price = F.regexp_extract("block", r"([0-9][0-9,]*)\s*(원)", 1)
-    sold, cart = F.col("block").contains("sold-out"), F.col("block").rlike(r"cart\('?[0-9]+'?\)")
-    limit = F.try_to_number(F.nullif(F.regexp_extract("block", r'max="([0-9]+)"', 1), F.lit("")), F.lit("999999"))
-    return rows.select("url", F.regexp_extract("block", r'id="list_card_([0-9]+)"', 1).alias("product_id"), F.replace(price, F.lit(","), F.lit("")).try_cast("long").alias("price_krw"), F.regexp_extract("block", r"([0-9][0-9,]*)\s*(원)", 2).alias("currency"), stock_status(sold, cart, limit).alias("stock"))
-
-
-def whole_pages(rows: DataFrame) -> DataFrame:
-    """Products of pages all of whose products are sound: one bad product holds back its page."""
-    bad = F.col("price_krw").isNull() | (F.col("currency") != "원") | (F.col("stock") == "contradiction")
-    return rows.join(rows.where(bad).select("url").distinct(), "url", "left_anti")

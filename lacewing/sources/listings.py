@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import collapse, money_value, with_value
+from .markup import attribute, classed, each, nodes, only, tagged, text_of, texts
 
 #: The markup of a listing, its categories and regions, and how numbers and prices are written.
 CATEGORIES = {"288": "ja", "276": "ko"}
@@ -18,50 +19,40 @@ DETAIL = "goods_detail.php?goodsIdx="
 LIST_START, LIST_END = "<!-- 상품 목록 시작 -->", "<!-- 상품 목록 끝 -->"
 EMPTY_LIST = '<tr> <tr><td height="10"></td></tr> </form> </table></tr>'
 FORM_ACTION = "goods_list.php"
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&amp;": "&"}
+CART = r"cartOneGo\('([^']*)'\)"
+PRODUCT = "list_card_"
 
 
-def plain(markup: Column) -> Column:
-    """The text of a piece of markup on one line."""
-    text = F.regexp_replace(markup, r"<[^>]*>", " ")
-    for name, value in ENTITIES.items():
-        text = F.replace(text, F.lit(name), F.lit(value))
-    return collapse(text)
+def products_in(found: Column) -> Column:
+    return F.filter(found, lambda n: (n["tag"] == "table") & F.coalesce(F.startswith(attribute(n, "id"), F.lit(PRODUCT)), F.lit(False)))
 
 
-def elements(markup: Column, css: str) -> Column:
-    """The texts of all elements of a class."""
-    return F.transform(F.regexp_extract_all(markup, F.lit(rf'(?s)<([a-z]+)[^>]* class="{css}"[^>]*>(.*?)</\1>'), F.lit(2)), plain)
+def values(found: Column, name: str) -> Column:
+    """The values of all inputs of a name."""
+    return F.transform(tagged(found, "input", name=name), lambda n: F.coalesce(attribute(n, "value"), F.lit("")))
 
 
-def attributes(markup: Column, tag: str, name: str, wanted: str) -> Column:
-    """`wanted` of all tags of that name attribute, in either order of the two."""
-    tags = F.regexp_extract_all(markup, F.lit(rf'(?s)<{tag}\b[^>]*\bname="{name}"[^>]*>'), F.lit(0))
-    return F.transform(tags, lambda x: F.regexp_extract(x, rf'\b{wanted}="([^"]*)"', 1))
-
-
-def only(values: Column) -> Column:
-    """The only element of an array; null if there are none or several, or it is blank."""
-    return with_value(values, lambda v: F.when((F.size(v) == 1) & (F.get(v, F.lit(0)) != ""), F.get(v, F.lit(0))))
-
-
-def read(block: Column) -> Column:
+def read(page: Column, block: Column, own: Column) -> Column:
     """What a product block says, unjudged."""
-    carts = F.regexp_extract_all(block, F.lit(rf'(?s)<img\b[^>]*src="(?:[^"]*/)?(?:{ACTIVE}|{INACTIVE})"[^>]*>'), F.lit(0))
-    cart = F.get(carts, F.lit(0))
-    return F.struct(
-        F.regexp_extract(block, r'^<table id="list_card_([0-9]+)"', 1).alias("id"),
-        (F.regexp_count(block, F.lit("<table")) > F.regexp_count(block, F.lit("</table>"))).alias("nested"),
-        F.regexp_extract_all(block, F.lit(r'<a\b[^>]*href="([^"]*goodsIdx=[^"]*)"'), F.lit(1)).alias("links"),
-        F.regexp_extract_all(block, F.lit(r'(?s)<[a-z]+[^>]* class="glist_01"[^>]*>\s*<a\b[^>]*href="([^"]*)"'), F.lit(1)).alias("name_links"),
-        only(elements(block, "glist_01")).alias("name"), only(elements(block, "glist_02")).alias("number"),
-        F.array_join(F.filter(elements(block, "glist_03"), lambda x: x != ""), " ").alias("rarity"),
-        only(elements(block, "glist_price12")).alias("price"), only(elements(block, "glist_price_won")).alias("currency"),
-        F.size(carts).alias("carts"), F.regexp_extract(cart, r'src="(?:[^"]*/)?([^"/]+)"', 1).alias("cart"),
-        F.regexp_extract_all(cart, F.lit(r"cartOneGo\('([^']*)'\)"), F.lit(1)).alias("handlers"),
-        attributes(block, "input", "comparechk_bLimit", "value").alias("flags"), attributes(block, "input", "comparechk_limitCnt", "value").alias("limits"),
-        plain(block).contains(SOLD_OUT).alias("sold_out"),
-    )
+    file = lambda n: F.regexp_extract(F.coalesce(attribute(n, "src"), F.lit("")), r"([^/]*)$", 1)
+    links = F.filter(F.transform(tagged(own, "a"), lambda n: F.struct(n["at"].alias("at"), attribute(n, "href").alias("href"))), lambda n: n["href"].isNotNull())
+    names = lambda: classed(own, "glist_01")
+    within = lambda n: F.exists(names(), lambda x: (x["at"] < n["at"]) & (n["at"] <= x["last"]))
+    text = lambda css: texts(page, classed(own, css))
+    carts = F.filter(tagged(own, "img"), lambda n: file(n).isin(ACTIVE, INACTIVE))
+    return with_value(carts, lambda carts: F.struct(
+        F.regexp_extract(attribute(block, "id"), f"^{PRODUCT}([0-9]+)$", 1).alias("id"),
+        (F.size(products_in(own)) > 0).alias("nested"),
+        F.transform(F.filter(links, lambda n: n["href"].contains("goodsIdx=")), lambda n: n["href"]).alias("links"),
+        F.transform(F.filter(links, within), lambda n: n["href"]).alias("name_links"),
+        only(text("glist_01")).alias("name"), only(text("glist_02")).alias("number"),
+        F.array_join(F.filter(text("glist_03"), lambda x: x != ""), " ").alias("rarity"),
+        only(text("glist_price12")).alias("price"), only(text("glist_price_won")).alias("currency"),
+        F.size(carts).alias("carts"), F.get(F.transform(carts, file), F.lit(0)).alias("cart"),
+        F.regexp_extract_all(F.get(F.transform(carts, lambda n: F.coalesce(attribute(n, "onclick"), F.lit(""))), F.lit(0)), F.lit(CART), F.lit(1)).alias("handlers"),
+        values(own, "comparechk_bLimit").alias("flags"), values(own, "comparechk_limitCnt").alias("limits"),
+        text_of(own).contains(SOLD_OUT).alias("sold_out"),
+    ))
 
 
 def judged(p: Column, locale: Column) -> Column:
@@ -90,32 +81,34 @@ def parsed(pages: DataFrame) -> DataFrame:
     """
     categories = F.create_map(*[F.lit(x) for pair in CATEGORIES.items() for x in pair])
     asked = F.regexp_extract_all("url", F.lit(r"[?&]Index=([^&#]*)"), F.lit(1))
-    blocks = F.filter(F.split("html", r'(?=<table id="list_card_)'), lambda x: F.startswith(x, F.lit('<table id="list_card_')))
-    rows = pages.withColumn("locale", categories[only(asked)]).withColumn("shown", categories[only(attributes(F.col("html"), "input", "Index", "value"))])
+    page = F.col("nodes")
+    rows = pages.withColumn("nodes", nodes("html")).withColumn("locale", categories[only(asked)]).withColumn("shown", categories[only(values(page, "Index"))])
     ids = lambda found: F.transform(found, lambda p: p["product_id"])
     off = F.when(F.col("locale").isNull() | F.col("shown").isNull() | (F.col("locale") != F.col("shown")), "category")
     wrong = lambda found: F.coalesce(F.get(F.filter(found, lambda p: p["problem"].isNotNull()), F.lit(0))["problem"], off.when(F.size(found) == 0, "no products").when(F.size(F.array_distinct(ids(found))) < F.size(found), "repeated id"))
-    found = with_value(F.transform(F.transform(blocks, read), lambda p: judged(p, F.col("locale"))), lambda found: F.struct(found.alias("products"), wrong(found).alias("problem")))
-    return rows.withColumn("found", found).select("*", "found.*").drop("shown", "found")
+    blocks = each(page, products_in(page), lambda n, own: read(page, n, own))
+    found = with_value(F.transform(blocks, lambda p: judged(p, F.col("locale"))), lambda found: F.struct(found.alias("products"), wrong(found).alias("problem")))
+    return rows.withColumn("found", found).select("*", "found.*").drop("shown", "found", "nodes")
 
 
 def searched(pages: DataFrame, number: str) -> DataFrame:
     """The same for search pages: one form that names the category and repeats the number asked for, only products of that number, and
     a page without products only if its list is exactly that of an empty result."""
-    forms = F.regexp_extract_all("html", F.lit(r'(?s)<form\b[^>]*\bname="sortForm".*?</form>'), F.lit(0))
-    form = F.get(forms, F.lit(0))
+    page = F.col("form_nodes")
+    forms = each(page, tagged(page, "form", name="sortForm"), lambda n, own: F.struct(attribute(n, "action").alias("action"), only(values(own, "Index")).alias("index"), only(values(own, "searchstring")).alias("number")))
+    form = F.get("forms", F.lit(0))
     asked = only(F.regexp_extract_all("url", F.lit(r"[?&]Index=([^&#]*)"), F.lit(1)))
     inside = F.regexp_extract("html", "(?s)" + LIST_START + "(.*)" + LIST_END, 1)
     once = (F.regexp_count("html", F.lit(LIST_START)) == 1) & (F.regexp_count("html", F.lit(LIST_END)) == 1)
-    rows = parsed(pages)
+    rows = parsed(pages.withColumn("form_nodes", nodes("html")).withColumn("forms", forms).drop("form_nodes"))
     empty = F.coalesce(rows.problem == "no products", F.lit(False))
     problem = (
-        F.when((F.size(forms) != 1) | (F.regexp_extract(form, r'action="([^"]*)"', 1) != FORM_ACTION), "form").when(F.coalesce(only(attributes(form, "input", "Index", "value")) != asked, F.lit(True)), "category")
-        .when(F.coalesce(only(attributes(form, "input", "searchstring", "value")) != F.col(number), F.lit(True)), "search box")
+        F.when((F.size("forms") != 1) | F.coalesce(form["action"] != FORM_ACTION, F.lit(True)), "form").when(F.coalesce(form["index"] != asked, F.lit(True)), "category")
+        .when(F.coalesce(form["number"] != F.col(number), F.lit(True)), "search box")
         .when(empty, F.when(~once | (collapse(inside) != EMPTY_LIST), "not an empty result")).when(rows.problem.isNotNull(), rows.problem)
         .when(F.exists("products", lambda p: p["card_number"] != F.col(number)), "off target")
     )
-    return rows.withColumn("problem", problem)
+    return rows.withColumn("problem", problem).drop("forms")
 
 
 def products(pages: DataFrame, keep: list[str]) -> DataFrame:

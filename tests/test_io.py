@@ -10,21 +10,26 @@ from lacewing.sources import captures
 
 
 def test_captures(spark, tmp_path):
-    page = '<li id="list_card_7"><b>1,200 원</b><a onclick="cart(7)" max="3"></li><li id="list_card_8">sold-out 900 원</li>'.encode("euc-kr")
-    bad = '<li id="list_card_9">5 원 sold-out <a onclick="cart(9)"></li><li id="list_card_10">6 원</li>'.encode("euc-kr")
+    page = '<li id="list_card_7"><b>1,200 원</b></li>'.encode("euc-kr")
     (tmp_path / "html").mkdir()
     (tmp_path / "meta").mkdir()
-    cases = {"good": (page, {}), "bad": (bad, {}), "size": (page + b" ", {"bytes": 1}), "late": (page + b"\n", {"observed_at": "2030-01-01T00:00:00Z"}), "naive": (page + b"x", {"observed_at": "2026-01-01T00:00:00"})}
-    for name, (raw, change) in cases.items():
-        (tmp_path / "html" / name).write_bytes(raw)
-        meta = {"url": name, "observed_at": "2026-01-01T00:00:00+09:00", "status_code": 200, "sha256": hashlib.sha256(raw).hexdigest(), "bytes": len(raw), "content_type": "text/html"} | change
-        (tmp_path / "meta" / f"{name}.json").write_text(json.dumps(meta))
+    cases = {
+        "good": {}, "no_type": {"content_type": None}, "size": {"bytes": 1}, "late": {"observed_at": "2030-01-01T00:00:00Z"}, "naive": {"observed_at": "2026-01-01T00:00:00"}, "hash": {"sha256": "0" * 64},
+        "image": {"content_type": "image/png"}, "status": {"status_code": 404}, "text": {"bytes": str(len(page))}, "absent": {"url": None}, "charset": {"content_type": "text/html; charset=EUC-KR"},
+    }
+    for name, change in cases.items():
+        (tmp_path / "html" / f"{name}.html").write_bytes(page)
+        meta = {"url": name, "observed_at": "2026-01-01T00:00:00+09:00", "status_code": 200, "sha256": hashlib.sha256(page).hexdigest(), "bytes": len(page), "content_type": "text/html"} | change
+        (tmp_path / "meta" / f"{name}.json").write_text(json.dumps({k: v for k, v in meta.items() if v is not None}, indent=1))
+    (tmp_path / "meta" / "torn.json").write_text('{"url": ')
+    (tmp_path / "meta" / "lone.json").write_text((tmp_path / "meta" / "good.json").read_text())
     files = spark.read.format("binaryFile").load(f"{tmp_path}/html")
     rows = captures.verified(files, captures.metadata(spark, f"{tmp_path}/meta"), F.lit(datetime(2027, 1, 1)))
-    assert {r.url: r.problem for r in rows.collect()} == {"good": None, "bad": None, "size": "size", "late": "future", "naive": "time zone"}
-    products = captures.listing_rows(captures.decoded(rows.where("problem is null")))
-    assert {(r.product_id, r.price_krw, r.stock) for r in products.collect()} == {("7", 1200, "in_stock"), ("8", 900, "out_of_stock"), ("9", 5, "contradiction"), ("10", 6, "unknown")}
-    assert {r.url for r in captures.whole_pages(products).collect()} == {"good"}
+    assert {r.capture: r.problem for r in rows.collect()} == {
+        "good": None, "no_type": None, "charset": None, "size": "size", "late": "future", "naive": "time zone", "hash": "sha256", "image": "content type", "status": "status",
+        "text": "field bytes", "absent": "field url", "torn": "not JSON", "lone": "missing file",
+    }
+    assert {r.text for r in captures.decoded(rows.where("problem is null")).collect()} == {page.decode("euc-kr")}
     torn = spark.createDataFrame([("u", bytearray(b"\xff\xff"))], "url string, content binary")
     assert captures.decoded(torn).first().text is None
 
