@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 #: The order of groups, and the columns of an export in the order in which they always appear.
 GROUPS = ("STANDARD", "ECONOMY", "SMALL", "MEDIUM", "LARGE", "PROMO")
 COLUMNS = ("cid", "name", "rarity", "quantity", "unit_price", "total", "priced")
@@ -47,6 +49,25 @@ def deck_order(rows: DataFrame, group: Column, level: Column, stat: Column, pass
     return placed.drop("o_group", "o_level", "o_stat", "offset", "own_place", "k_cid")
 
 
+def sorted_deck(rows: DataFrame, cards: DataFrame, rarities: tuple[str, ...]) -> DataFrame:
+    """Aggregated `rows` (cid, rarity, …) with `place`, from 1, in deck order: group, subtype, level, attack and defence from high to low, then
+    passcode with cards that have none last, cid, and the rarity's place in `rarities`.
+
+    `cards` is what `species_order` gives of the official texts, with cid and passcode, best stored. A card that it lacks or that couldn't
+    be read, and a rarity that isn't listed, end the job with the card's id: no row is left out or put somewhere else.
+    """
+    placed = rows.join(cards.select("cid", *ORDER, "passcode", "problem", F.lit(True).alias("known")), "cid", "left")
+    rank = F.array_position(F.array(*map(F.lit, rarities)), F.col("rarity"))
+    fault = F.when(F.col("known").isNull(), "not in the catalogue").when(F.col("problem").isNotNull(), F.col("problem")).when(F.coalesce(rank, F.lit(0)) == 0, "rarity")
+    fault = F.when(fault.isNotNull(), F.concat(F.lit("card "), F.col("cid").cast("string"), F.lit(": "), fault))
+    whole = complete(placed.withColumn("problem", fault).withColumn("rarity_rank", rank))
+    order = [F.col("group"), F.col("subtype"), F.desc("level"), F.desc("atk"), F.desc("def"), F.col("passcode").asc_nulls_last(), F.col("cid"), F.col("rarity_rank")]
+    return numbered(whole, order, "deck").withColumn("place", F.col("rank") + 1).drop("rank", "known", "rarity_rank", "passcode", *ORDER)
+
+
+ORDER = ("group", "subtype", "level", "atk", "def")
+
+
 def selected(wanted: set[str], columns: tuple[str, ...] = COLUMNS) -> list[str]:
     """The wanted columns in canonical order, whatever order they were asked for in; an unknown name is an error."""
     if unknown := wanted - set(columns):

@@ -139,6 +139,18 @@ class Ledger:
             time.sleep(random.uniform(0, 0.05 * 2 ** min(attempt, 6)))
         raise TimeoutError(f"{tries} versions were made by other writers meanwhile")
 
+    def forget(self, keep: int = 1) -> list[str]:
+        """Takes away all versions but the last `keep`, and then the folders that no version names any more, which it gives. For a
+        clean-up while none is writing or reads an older version; if it stops half way, the rest is left for the next."""
+        for number in self.numbers()[:-keep]:
+            p, fs = _file_system(self.spark, self._record(number))
+            fs.delete(p, False)
+        gone = self.unnamed()
+        for folder in gone:
+            p, fs = _file_system(self.spark, f"{self.folder}/{folder}")
+            fs.delete(p, True)
+        return gone
+
     def unnamed(self) -> list[str]:
         """Folders of rows that no version names: what writers left that lost or stopped. For a clean-up while none is writing."""
         p, fs = _file_system(self.spark, f"{self.folder}/rows")

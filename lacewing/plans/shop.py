@@ -166,20 +166,23 @@ def paging(spark: SparkSession, d: str) -> DataFrame:
     return records.page_rules(rows, "shop", 90)
 
 
-def species(spark: SparkSession, d: str) -> DataFrame:
+def card_texts(spark: SparkSession, d: str) -> DataFrame:
     """Parts as cards: kinds, tokens and stats follow from the key, with a fault in some."""
     k = F.col("p_partkey")
     attribute = F.when(k % 10 == 0, "魔法").when(k % 10 == 1, "罠").when(k % 331 == 0, "?").otherwise("光属性")
     own = {0: "効果", 1: "通常", 2: "融合／効果", 3: "エクシーズ／効果", 4: "リンク／効果", 5: "儀式／効果", 6: "効果／効果", 7: "シンクロ／チューナー／効果"}
     tokens = F.create_map(*[x for i, t in own.items() for x in (F.lit(i), F.lit(t))])[(k % 8).cast("int")]
     link, monster = k % 8 == 4, k % 10 > 1
-    cards = table(spark, d, "part").select(
+    return table(spark, d, "part").select(
         "p_partkey", attribute.alias("attribute"), F.when(~monster, F.when(k % 3 == 0, "永続").when(k % 3 == 1, "速攻")).alias("effect"), F.when(monster, F.concat(F.lit("【 戦士族／"), tokens, F.lit(" 】"))).alias("species"),
         F.when(monster & ~link, F.concat(F.when(k % 8 == 3, "ランク ").otherwise("レベル "), (F.col("p_size") % 12 + 1).cast("string"))).alias("level_rank"), F.when(monster & link, F.concat(F.lit("リンク "), (F.col("p_size") % 6 + 1).cast("string"))).alias("link_markers"),
         F.concat(F.lit("攻撃力 "), F.when(k % 9 == 0, "?").otherwise((F.col("p_size") * 100).cast("string"))).alias("atk_text"), F.concat(F.lit("守備力 "), F.when(link, "-").when(k % 77 == 0, "-").otherwise((F.col("p_size") * 50).cast("string"))).alias("def_text"),
         F.when(k % 6 != 0, k + 1).alias("passcode"),
     )
-    return deck.species_order(cards).select("p_partkey", "group", "subtype", "level", "atk", "def", "problem")
+
+
+def species(spark: SparkSession, d: str) -> DataFrame:
+    return deck.species_order(card_texts(spark, d)).select("p_partkey", "group", "subtype", "level", "atk", "def", "problem")
 
 
 def boxes(spark: SparkSession, d: str) -> DataFrame:

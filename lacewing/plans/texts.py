@@ -36,7 +36,8 @@ def part_order(spark: SparkSession, d: str) -> DataFrame:
 def export_rows(spark: SparkSession, d: str) -> DataFrame:
     own = deck.aggregate(entries(spark, d), ["cid", "rarity"], "l_quantity", FIRST, ["l_extendedprice"])
     parts = table(spark, d, "part").select(F.col("p_partkey").alias("cid"), F.col("p_name").alias("name"))
-    rows = own.join(parts, "cid").withColumn("unit_price", F.when(F.col("rarity") != "A", F.round("l_extendedprice").cast("long")))
+    named = own.join(parts, "cid", "left")
+    rows = deck.complete(named.withColumn("problem", F.when(F.col("name").isNull(), F.concat(F.lit("no name of card "), F.col("cid").cast("string"))))).withColumn("unit_price", F.when(F.col("rarity") != "A", F.round("l_extendedprice").cast("long")))
     return deck.priced_rows(rows, {"total", "cid", "name", "rarity", "quantity", "unit_price"})
 
 
@@ -174,7 +175,7 @@ SQL = {
     "deck_order": """with k as (select p_partkey, coalesce(list_position(['STANDARD', 'ECONOMY', 'SMALL', 'MEDIUM', 'LARGE', 'PROMO'], p_type), 7) as k_group, p_size as k_level,
         case when p_size % 10 = 0 then -1 else round(p_retailprice)::bigint end as k_stat, case when p_partkey % 7 <> 0 then p_partkey % 100 end as k_passcode from part)
         select *, row_number() over (order by k_group, k_level desc, k_stat desc, k_passcode asc nulls last, p_partkey) as place from k""",
-    "deck_export_rows": f"""with {AGGREGATE}, p as (select cid, p_name as name, rarity, quantity, case when rarity <> 'A' then round(f[3])::bigint end as unit_price from a join part on p_partkey = cid)
+    "deck_export_rows": f"""with {AGGREGATE}, p as (select cid, p_name as name, rarity, quantity, case when rarity <> 'A' then round(f[3])::bigint end as unit_price from a left join part on p_partkey = cid)
         select *, unit_price * quantity as total from p""",
     "formula_neutralize": """with s as (select unnest([0, 1, 2, 3, 4, 5, 6, 7])::bigint as kind, unnest(['=', '+', '-', '@', chr(9), chr(13), '', 'a=']) as start), c as (select item_id, kind, start || text as t from benchmark cross join s)
         select item_id, kind, case when substr(t, 1, 1) in ('=', '+', '-', '@', chr(9), chr(13)) then '''' || t else t end as cell from c""",
