@@ -77,6 +77,12 @@ def overlaps(pairs: DataFrame) -> DataFrame:
     return pairs.mapInPandas(clip, f"{types}, iou double, of_smaller double")
 
 
+def detected(boxes: DataFrame, least: float, width: str = "w", height: str = "h") -> DataFrame:
+    """Boxes of a score of `least` or more; one of them without a positive size ends the job."""
+    flat = F.coalesce((F.col(width) <= 0) | (F.col(height) <= 0), F.lit(True))
+    return boxes.where(F.col("score") >= least).where(F.when(flat, F.raise_error(F.lit("a box without size")).cast("boolean")).otherwise(True))
+
+
 def from_corners(points: Column) -> Column:
     """The box of four corners (the top edge first, clockwise), with the upright preference of `corners`."""
 

@@ -208,7 +208,7 @@ PHOTO = (460, 340)
 
 def merged_passes(spark: SparkSession, d: str) -> DataFrame:
     """Events as upright boxes that were found on a user's photo of four days or on a copy of it turned by quarters."""
-    rows, (width, height) = boxes(spark, d), PHOTO
+    rows, (width, height) = layout.detected(boxes(spark, d).withColumn("score", F.col("value")), 0.0), PHOTO
     turns, half = (F.col("event_id") % 4).cast("int"), F.array(F.col("w") / 2, F.col("h") / 2)
     x, y = F.col("cx") * 0.25 + 0.013 * (F.col("event_id") % 97), F.col("cy") * 0.25
     polygon = F.array(*[F.array(x + sx * half[0], y + sy * half[1]) for sx, sy in ((-1, -1), (1, -1), (1, 1), (-1, 1))])

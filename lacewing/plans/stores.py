@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import assets, deck, digests, nested
+from ..operators import assets, deck, digests, names, nested
 from ..operators.constraints import Constraints, violations
 from ..operators.numbering import stored
 from ..sources.tables import fresh_folder, table
@@ -101,13 +101,63 @@ def sorted_deck(spark: SparkSession, d: str) -> DataFrame:
     return deck.sorted_deck(own, cards, ("R", "A", "N")).select("cid", "rarity", "quantity", "place")
 
 
+def searched_names(spark: SparkSession, d: str) -> DataFrame:
+    """Result pages of three rows, for each seven parts in a row: their first words, with the number of the seven, are searched for, and one
+    name that none has. Some searches lack their last page or have a torn one."""
+    k, g = F.col("p_partkey"), F.expr("p_partkey div 7")
+    word = F.concat_ws(" ", F.substring_index("p_name", " ", 1), g.cast("string"))
+    rows = table(spark, d, "part").select(g.alias("g"), k, word.alias("name"))
+    group = rows.groupBy("g").agg(F.array_sort(F.collect_list(F.struct(k.alias("cid"), F.upper("name").alias("name")))).alias("cards"), F.count("*").alias("total"))
+    pages = group.select("g", "total", "cards", F.explode(F.sequence(F.lit(1), F.greatest(F.ceil(F.col("total") / 3), F.lit(1)).cast("int"))).alias("page"))
+    pages = pages.where(~((F.col("g") % 13 == 0) & (F.col("page") == 3))).select("g", "page", "total", F.slice("cards", (F.col("page") - 1) * 3 + 1, 3).alias("cards"), F.when((F.col("g") % 17 == 0) & (F.col("page") == 2), "no rows").alias("problem"))
+    wanted = rows.select("g", "name").distinct().unionByName(rows.select("g", F.concat(F.lit("none "), F.col("g").cast("string")).alias("name")).distinct())
+    found = names.exact_ids(wanted.join(pages, "g").select(F.col("name").alias("wanted"), "page", "total", "cards", "problem"), "wanted", F.lower("c.name"), 3)
+    return found
+
+
+def resolved_names(spark: SparkSession, d: str) -> DataFrame:
+    """The names searched for, of which some are in the cache, soundly or not, and some aren't searched yet; some detail pages are another's."""
+    found = stored(searched_names(spark, d), "found").withColumnRenamed("wanted", "key")
+    number = F.element_at(F.split("key", " "), 2).cast("long")
+    cached = found.where((number % 3 == 0) & ~F.startswith("key", F.lit("none"))).select("key", number.alias("cid"), F.when(number % 9 == 0, "name").alias("problem"))
+    details = found.where("cid is not null").select("cid", F.when(F.col("cid") % 5 == 0, "other").otherwise(F.col("key")).alias("key"), F.when(F.col("cid") % 31 == 0, "heading").alias("problem"))
+    return names.resolved(found, cached, found.where(number % 4 != 0).select("key", "cid", "problem"), details)
+
+
+def queryable(spark: SparkSession, d: str) -> DataFrame:
+    """The Japanese numbers of two finishes of each part."""
+    number = F.concat(F.lit("AB"), (F.col("l_suppkey") % 90 + 10).cast("string"), F.lit("-"), F.when(F.col("l_orderkey") % 3 == 0, "KR").when(F.col("l_orderkey") % 3 == 1, "JP").otherwise("jp"), F.lpad((F.col("l_linenumber") * 7).cast("string"), 3, "0"))
+    rows = table(spark, d, "lineitem").select("l_partkey", F.col("l_linenumber").alias("rid"), number.alias("number"))
+    good = F.col("number").rlike("^[0-9A-Z]{2,6}-JP[A-Z]{0,2}[0-9]{2,3}$")
+    return names.queryable_numbers(rows, ["l_partkey"], "number", "rid", [1, 3], good).select("l_partkey", F.array_join("numbers", ",").alias("numbers"))
+
+
+def candidate_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Each vector's likeliest component as a label, and whether it is likely enough."""
+    labels = table(spark, d, "part").select(F.col("p_partkey").alias("top1"), F.col("p_name").alias("label"))
+    rows = texts.softmax_top(spark, d).select("vec_id", "top1", F.when(F.col("p1") >= 0.5, "recognized").otherwise("review").alias("status"))
+    return names.labelled(rows, labels, "top1")
+
+
 QUERIES = {
+    "searched_names": searched_names, "resolved_names": resolved_names, "queryable_numbers": queryable, "candidate_labels": candidate_labels,
     "index_faults": index_faults, "index_cards": index_cards, "cached_names": cached_names, "asset_index": asset_index, "asset_states": asset_states, "changed_rows": changed_rows,
     "prefix_digests": prefix_digests, "constraint_findings": constraint_findings, "sorted_deck": sorted_deck,
 }
 CONTENTS = r"""c as (select doc_id // 3 as cid, doc_id % 3 + 1 as ciid, '\x89PNG\x0D\x0A\x1A\x0A'::blob || encode(coalesce(text, '')) as png, '\xFF\xD8\xFF'::blob || encode(coalesce(text, '')) as jpg from documents)"""
 WRITTEN = lambda c: f"coalesce(strlen({c}::varchar)::varchar || ':' || {c}::varchar, '-')"
+FOUND = """p as (select p_partkey // 7 as g, p_partkey as cid, split_part(p_name, ' ', 1) || ' ' || (p_partkey // 7) as name from part), n as (select g, count(*) as total from p group by 1),
+        w as (select g, name, count(*) as n, min(cid) as c from p group by all union all select g, 'none ' || g, 0, null from n),
+        f as (select name as wanted, g, n as found, c, case when g % 17 = 0 and total > 3 then 'no rows' when g % 13 = 0 and total > 6 then 'missing page' when n = 0 then 'unknown' when n > 1 then 'ambiguous' end as problem, total from w join n using (g)),
+        s as (select g, cid, name, row_number() over (partition by g order by cid) as nth from p),
+        r as (select wanted, case when problem is null then c end as cid, case when g % 13 = 0 and total > 6 then (select count(*) from s where s.g = f.g and s.name = f.wanted and nth <= 6) else found end as found, problem from f)"""
 SQL = {
+    "searched_names": f"with {FOUND} select * from r",
+    "resolved_names": f"""with {FOUND}, q as (select *, split_part(wanted, ' ', 2)::bigint as i from r), h as (select *, i % 3 = 0 and not wanted like 'none%' as hit, i % 4 <> 0 as asked from q),
+        j as (select *, case when hit then case when i % 9 = 0 then 'name' end when not asked then 'to search' when problem is not null then problem when cid % 31 = 0 then 'heading' when cid % 5 = 0 then 'other name' end as fault from h)
+        select wanted as key, case when fault is null then case when hit then i else cid end end as cid, case when hit then 'cache' when asked then 'search' end as source, fault as problem, fault is null and not hit as keep from j""",
+    "queryable_numbers": """select l_partkey, array_to_string(list_sort(list_distinct(list('AB' || (l_suppkey % 90 + 10) || '-JP' || lpad((l_linenumber * 7)::varchar, 3, '0')))), ',') as numbers from lineitem where l_linenumber in (1, 3) and l_orderkey % 3 = 1 group by 1""",
+    "candidate_labels": f"""with t as ({texts.SQL["softmax_topk"]}) select vec_id, top1, case when p1 >= 0.5 then 'recognized' else 'review' end as status, p_name as label from t join part on p_partkey = top1""",
     "index_faults": """with c as (select l_orderkey as o, l_partkey as k, array_agg(l_linenumber order by l_linenumber) as lines from lineitem group by all), s as (select * from c where o % 211 <> 0)
         select distinct o as l_orderkey, '$' as path, 'not JSON' as fault from c where o % 211 = 0
         union all select distinct o, '$.schema', 'missing' from s where o % 97 = 0
