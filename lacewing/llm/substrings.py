@@ -16,7 +16,7 @@ from .common import gram_hashes, mix, span_hashes, steps, stored, string_bytes,
 
 #: Words of a window; of an anchor; of a symbol in an index (a window is a whole number of symbols).
 WINDOW, ANCHOR, SYMBOL = 35, 8, 5
-#: Windows of a run at most; words of a shard; different runs of an anchor above which its windows are dealt to shards one by one.
+#: Windows of a run at most; words of a shard; different runs of an anchor above which they are dealt out anew by one anchor more.
 RUN, SHARD_WORDS, ANCHOR_RUNS = 28, 1_000_000, 1000
 #: Runs that are cut into windows at a time.
 RUNS_AT_ONCE = 256
@@ -83,12 +83,13 @@ class FMIndex:
         return self.weight[hi] - self.weight[lo]
 
 
-def repeated_windows(sequences: list[np.ndarray], copies: np.ndarray, window: int = WINDOW, symbol: int = SYMBOL) -> list[np.ndarray]:
-    """For each word sequence, which of its windows stand at two places or more of the weighted sequences.
+def matching_statistics(sequences: list[np.ndarray], copies: np.ndarray, window: int = WINDOW, symbol: int = SYMBOL) -> list[np.ndarray]:
+    """For each place of each word sequence where a window of it ends, the length in words of the longest stretch that ends there and stands at
+    two places or more of the weighted sequences: the sequences are indexed, and each is streamed backwards through the index.
 
-    A symbol is `symbol` consecutive words, and a sequence is read in as many phases, so that a window is window/symbol
-    consecutive symbols. All windows search at once, from their last symbol to their first, and stop when what they
-    have matched so far stands at one place only.
+    A symbol is `symbol` consecutive words, and a sequence is read in as many phases, so that lengths are counted in symbols, and a
+    window is a whole number of them. All places search at once and go on, past the window, for as long as what they have
+    matched stands at two places.
     """
     size = np.array([len(s) for s in sequences])
     first = np.concatenate([[0], np.cumsum(size)])
@@ -107,22 +108,31 @@ def repeated_windows(sequences: list[np.ndarray], copies: np.ndarray, window: in
     text, weight = np.zeros(len(at) + int(ends.sum()), np.int64), np.zeros(len(at) + int(ends.sum()), np.int64)
     text[place], weight[place] = number[at], copies[own]
     count = np.maximum(0, size - window + 1)
-    result = np.zeros(int(count.sum()), bool)
-    if not len(result):
-        return [np.zeros(0, bool) for _ in sequences]
-    index = FMIndex(text, weight, window // symbol)
-    start = np.repeat(first[:-1], count) + np.arange(len(result)) - np.repeat(np.cumsum(count) - count, count)
-    for lo in range(0, len(result), 1 << 18):
-        live = np.arange(lo, min(len(result), lo + (1 << 18)))
-        a, b = index.start(number[start[live] + window - symbol])
-        for back in range(window - 2 * symbol, -1, -symbol):
+    length = np.zeros(int(count.sum()), np.int32)
+    if not len(length):
+        return [np.zeros(0, np.int32) for _ in sequences]
+    index = FMIndex(text, weight, int(size.max()) // symbol)
+    begin = np.repeat(first[:-1], count)
+    end = begin + np.arange(len(length)) - np.repeat(np.cumsum(count) - count, count) + window
+    for lo in range(0, len(length), 1 << 18):
+        live = np.arange(lo, min(len(length), lo + (1 << 18)))
+        at = end[live] - symbol
+        a, b = index.start(number[at])
+        while True:
             more = index.found(a, b) >= 2
-            live, a, b = live[more], a[more], b[more]
+            live, at, a, b = live[more], at[more], a[more], b[more]
+            length[live] += symbol
+            more = at - symbol >= begin[live]
+            live, at, a, b = live[more], at[more] - symbol, a[more], b[more]
             if not len(live):
                 break
-            a, b = index.extend(number[start[live] + back], a, b)
-        result[live[index.found(a, b) >= 2]] = True
-    return np.split(result, np.cumsum(count)[:-1])
+            a, b = index.extend(number[at], a, b)
+    return np.split(length, np.cumsum(count)[:-1])
+
+
+def repeated_windows(sequences: list[np.ndarray], copies: np.ndarray, window: int = WINDOW, symbol: int = SYMBOL) -> list[np.ndarray]:
+    """Which windows of each word sequence stand at two places or more: those that a repeated stretch of their length or more ends with."""
+    return [m >= window for m in matching_statistics(sequences, copies, window, symbol)]
 
 
 # --- the corpus --------------------------------------------------------------------------------------
@@ -200,35 +210,70 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(run, mask): builds the shard's index from its runs and streams them through it; a bit for each repeated window."""
+    """(run, mask): builds the shard's index from its runs and streams them through it; a bit for each window that lies in a stretch, at least
+    as long, that ends with it and is repeated."""
     runs, copies, words = [], [], []
     for batch in batches:
         runs.append(batch.column(1).to_numpy())
         copies.append(batch.column(2).to_numpy())
         words += [np.frombuffer(w.as_py(), np.uint64) for w in batch.column(4)]
     if words:
-        found = repeated_windows(words, np.concatenate(copies))
-        mask = np.array([int((ok.astype(np.int64) << np.arange(len(ok))).sum()) for ok in found], np.int64)
+        found = matching_statistics(words, np.concatenate(copies))
+        mask = np.array([int(((m >= WINDOW).astype(np.int64) << np.arange(len(m))).sum()) for m in found], np.int64)
         hit = np.flatnonzero(mask)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(runs)[hit]), pa.array(mask[hit])], names=["run", "mask"])
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(run, at, hash, copies, words) of each window of each run."""
-    for batch in (b.slice(lo, RUNS_AT_ONCE) for b in batches for lo in range(0, b.num_rows, RUNS_AT_ONCE)):
-        run, copies, n = (batch.column(k).to_numpy() for k in (1, 2, 3))
-        raw = batch.column(4).to_pylist()
-        if not raw:
-            continue
-        words = [np.frombuffer(w, np.uint64) for w in raw]
-        size = np.array([len(w) for w in words])
-        first = np.cumsum(size) - size
-        sums, inverse = _sums(np.concatenate(words))
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        start = np.repeat(first, n) + at
-        digest = mix((sums[start + WINDOW] - sums[start]) * inverse[start])
-        own = [w[8 * k : 8 * (k + WINDOW)] for w, m in zip(raw, n.tolist()) for k in range(m)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(run, n)), pa.array(at.astype(np.int32)), pa.array(digest.view(np.int64)), pa.array(np.repeat(copies, n)), pa.array(own, pa.binary())], names=["run", "at", "hash", "copies", "words"])
+def _split(nth: int):
+    """(parent, at, anchor, run, n, copies, words) of the parts of each run whose windows share their nth least gram as well; `at` is a
+    part's first window in the run."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(lo, RUNS_AT_ONCE) for b in batches for lo in range(0, b.num_rows, RUNS_AT_ONCE)):
+            anchor, parent, copies, n = (batch.column(k).to_numpy() for k in range(4))
+            raw = batch.column(4).to_pylist()
+            if not raw:
+                continue
+            words = np.concatenate([np.frombuffer(w, np.uint64) for w in raw])
+            size = n + WINDOW - 1
+            first = np.cumsum(size) - size
+            of = np.repeat(np.arange(len(n)), n)
+            at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            grams = np.lib.stride_tricks.sliding_window_view(gram_hashes(words, ANCHOR), WINDOW - ANCHOR + 1)[first[of] + at]
+            key = np.partition(grams, nth - 1, axis=1)[:, nth - 1]
+            head = np.flatnonzero(np.concatenate([[True], (np.diff(key) != 0) | (np.diff(of) != 0)]))
+            m = np.diff(np.concatenate([head, [len(of)]]))
+            own, start = of[head], first[of[head]] + at[head]
+            sums, inverse = _sums(words)
+            run = mix((sums[start + m + WINDOW - 1] - sums[start]) * inverse[start] + m.astype(np.uint64))
+            deal = mix(key[head] ^ mix(anchor[own].view(np.uint64)))
+            pieces = [words[a : a + k + WINDOW - 1].tobytes() for a, k in zip(start.tolist(), m.tolist())]
+            columns = [pa.array(parent[own]), pa.array(at[head].astype(np.int32)), pa.array(deal.view(np.int64)), pa.array(run.view(np.int64)), pa.array(m.astype(np.int32)), pa.array(copies[own]), pa.array(pieces, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["parent", "at", "anchor", "run", "n", "copies", "words"])
+
+    return split
+
+
+def _masks(runs: DataFrame, nth: int, anchor_runs: int, shards: int) -> DataFrame:
+    """(run, mask) of the repeated windows of runs (anchor, run, copies, n, words), by the indexes of the shards.
+
+    Runs of one anchor must meet in a shard. Where they are more than `anchor_runs`, they are split by the next gram of their windows, in the
+    order of the hashes, equal parts are made one with their copies, and the parts of one anchor and gram must meet. A window has
+    so many grams, and such that have all in common are hardly ever different, so this ends.
+    """
+    hot = stored(runs.groupBy("anchor").count().where(F.col("count") > (anchor_runs if nth < WINDOW - ANCHOR + 1 else 2**62)).select("anchor"), "hot")
+    last = hot.isEmpty()
+    cold = runs if last else runs.join(hot, "anchor", "left_anti")
+    cold = cold.select("anchor", "run", "copies", "n", "words").repartition(shards, "anchor")
+    masks = stored(cold.mapInArrow(_search, "run long, mask long"), "masks")
+    if last:
+        return masks
+    split = runs.join(hot, "anchor", "left_semi").select("anchor", "run", "copies", "n", "words")
+    parts = stored(split.mapInArrow(_split(nth + 1), "parent long, at int, anchor long, run long, n int, copies long, words binary"), "parts")
+    kinds = stored(parts.groupBy("anchor", "run", "n").agg(F.sum("copies").alias("copies"), F.first("words").alias("words")), "part-kinds")
+    found = _masks(kinds, nth + 1, anchor_runs, shards)
+    spread = parts.select("parent", "at", "run").join(found, "run").groupBy(F.col("parent").alias("run")).agg(F.bit_or(F.expr("shiftleft(mask, at)")).alias("mask"))
+    return masks.union(spread)
 
 
 def repeated(docs: DataFrame, anchor_runs: int = ANCHOR_RUNS, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -236,10 +281,10 @@ def repeated(docs: DataFrame, anchor_runs: int = ANCHOR_RUNS, shard_words: int =
     window from word start + i.
 
     Equal windows have equal anchors, so an anchor of one run has a repeated window only if that run holds a window twice, and
-    anchors can be dealt to shards apart. Runs of equal words are one run with its copies. The runs of a shard are indexed once and streamed through
-    that index. Shards are as many as the counted words ask for. An anchor with more than `anchor_runs` different runs, such as
-    the edge of a passage that stands in very many contexts, would make one shard hot: each of its windows becomes a run of its own,
-    equal ones are made one with their copies before they are shuffled, and those are dealt to the shards by the hash of their words.
+    anchors can be dealt to shards apart. Runs of equal words are one run with its copies. The runs of a shard are indexed once and
+    streamed through that index, which tells how long a stretch that ends at each place is repeated. Shards are as many as the
+    counted words ask for. An anchor with very many different runs, such as the edge of a passage that stands in many
+    contexts, is dealt out anew by its windows' second gram, and so on (`_masks`), to the same kind of index.
     """
     spark = docs.sparkSession
     texts = docs.select(*_row(), "text")
@@ -253,17 +298,8 @@ def repeated(docs: DataFrame, anchor_runs: int = ANCHOR_RUNS, shard_words: int =
     total = kinds.agg(F.sum(F.col("n") + WINDOW - 1)).first()[0]
     cut = texts.join(listed, ["row", "row2"]).select("text", "listed").mapInArrow(_cut, "anchor long, run long, copies long, n int, words binary")
     cut = stored(cut, "cut")
-    hot = stored(kinds.groupBy("anchor").count().where(F.col("count") > anchor_runs).select("anchor"), "hot")
     shards = max(1, -(-int(total or 0) // shard_words), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cold = cut.join(hot, "anchor", "left_anti").select(F.col("anchor").alias("deal"), "run", "copies", "n", "words")
-    windows = stored(cut.join(hot, "anchor", "left_semi").select("anchor", "run", "copies", "n", "words").mapInArrow(_windows, "run long, at int, hash long, copies long, words binary"), "windows")
-    single = windows.groupBy("hash").agg(F.sum("copies").alias("copies"), F.first("words").alias("words"))
-    single = single.select(F.col("hash").alias("deal"), F.col("hash").alias("run"), "copies", F.lit(1).alias("n"), "words")
-    searched = lambda runs: stored(runs.repartition(shards, "deal").mapInArrow(_search, "run long, mask long"), "masks")
-    twice = searched(single).select(F.col("run").alias("hash"))
-    spread = windows.join(twice, "hash").groupBy("run").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask"))
-    known = searched(cold).union(spread)
-    spots = found.select("run", "row", "row2", "start").join(known, "run")
+    spots = found.select("run", "row", "row2", "start").join(_masks(cut, 1, anchor_runs, shards), "run")
     return stored(spots.groupBy("row", "row2").agg(F.collect_set(F.struct("start", "mask")).alias("spots")), "spots")
 
 

@@ -29,6 +29,27 @@ def test_windows_of_an_index():
         assert [g.tolist() for g in got] == [[seen[q[i : i + 35].tobytes()] > 1 for i in range(len(q) - 34)] for q in seqs]
 
 
+def test_matching_statistics():
+    """The longest stretch that ends at each place and stands elsewhere too, in whole symbols, by trying all lengths."""
+    rng = np.random.default_rng(7)
+    shared = rng.integers(0, 9, 70).astype(np.uint64)
+    seqs = [np.concatenate([rng.integers(10, 99, k).astype(np.uint64), shared[a:b], rng.integers(10, 99, 20).astype(np.uint64)]) for k, a, b in ((10, 0, 70), (3, 5, 62), (40, 20, 66), (0, 30, 70))]
+    got = s.matching_statistics(seqs, np.ones(4, int))
+    text = [q.tolist() for q in seqs]
+    for i, q in enumerate(text):
+        want = []
+        for end in range(35, len(q) + 1):
+            best = 0
+            for n in range(5, end + 1, 5):
+                piece = q[end - n : end]
+                if sum(t[k : k + n] == piece for t in text for k in range(len(t) - n + 1)) < 2:
+                    break
+                best = n
+            want.append(best)
+        assert got[i].tolist() == want
+    assert max(m.max() for m in got) >= 55
+
+
 def brute(rows):
     split = [(i, (t or "").encode().split()) for i, t in rows]
     seen = Counter(tuple(w[i : i + 35]) for _, w in split for i in range(len(w) - 34))
@@ -85,7 +106,23 @@ def test_hot_anchors_give_the_same(spark):
     rows = [(i, " ".join([f"a{rng.randint(0, 3)}" for _ in range(30)] + passage + [f"b{rng.randint(0, 3)}" for _ in range(30)])) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     spots = lambda k: sorted((r.row, sorted(map(tuple, r.spots))) for r in s.repeated(df, anchor_runs=k).collect())
-    assert spots(3) == spots(1000)
+    assert spots(3) == spots(1000) == spots(1) == spots(0)
+
+
+def test_parts_of_hot_runs_are_searched_together(spark, monkeypatch):
+    """The edge of a passage in many contexts: its windows are dealt out by gram after gram, and what repeats beyond the edge is found."""
+    rng = random.Random(9)
+    passage = [f"p{k}" for k in range(40)]
+    tails = [[f"t{i}_{k}" for k in range(40)] for i in range(5)]
+    rows = [(i, " ".join([f"x{i}_{k}" for k in range(20)] + passage + (tails[i % 5] if i % 2 else [f"y{i}_{k}" for k in range(40)]))) for i in range(80)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    deepest, split = [0], s._split
+    monkeypatch.setattr(s, "_split", lambda nth: deepest.append(nth) or split(nth))
+    monkeypatch.setattr(s, "ANCHOR_RUNS", 5)
+    spots = s.repeated(df, anchor_runs=5).count()
+    assert spots == 80 and max(deepest) > 2
+    assert sorted([tuple(r)[:4] for r in s.dedup_substrings(df).collect()], key=str) == brute(rows)
 
 
 def test_words_that_structured_hashes_confuse(spark):
