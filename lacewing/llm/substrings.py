@@ -18,6 +18,8 @@ from .common import gram_hashes, mix, span_hashes, steps, stored, string_bytes,
 WINDOW, ANCHOR, SYMBOL = 35, 8, 5
 #: Windows of a run at most; words of a shard; different runs of an anchor above which they are dealt out anew by one anchor more.
 RUN, SHARD_WORDS, ANCHOR_RUNS = 28, 1_000_000, 1000
+#: By how many of its windows' least grams an anchor's runs are dealt out, if those of the count before are too many; the last is all.
+DEALT_BY = (1, 4, 12, 28)
 #: Runs that are cut into windows at a time.
 RUNS_AT_ONCE = 256
 
@@ -224,9 +226,9 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(runs)[hit]), pa.array(mask[hit])], names=["run", "mask"])
 
 
-def _split(nth: int):
-    """(parent, at, anchor, run, n, copies, words) of the parts of each run whose windows share their nth least gram as well; `at` is a
-    part's first window in the run."""
+def _split(known: int, grams: int):
+    """(parent, at, anchor, run, n, copies, words) of the parts of each run whose windows share so many least grams, of which `known` are shared
+    already; `at` is a part's first window in the run."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(lo, RUNS_AT_ONCE) for b in batches for lo in range(0, b.num_rows, RUNS_AT_ONCE)):
@@ -239,8 +241,10 @@ def _split(nth: int):
             first = np.cumsum(size) - size
             of = np.repeat(np.arange(len(n)), n)
             at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-            grams = np.lib.stride_tricks.sliding_window_view(gram_hashes(words, ANCHOR), WINDOW - ANCHOR + 1)[first[of] + at]
-            key = np.partition(grams, nth - 1, axis=1)[:, nth - 1]
+            least = np.sort(np.lib.stride_tricks.sliding_window_view(gram_hashes(words, ANCHOR), WINDOW - ANCHOR + 1)[first[of] + at], axis=1)
+            key = np.zeros(len(of), np.uint64)
+            for k in range(known, grams):
+                key = mix(key ^ least[:, k])
             head = np.flatnonzero(np.concatenate([[True], (np.diff(key) != 0) | (np.diff(of) != 0)]))
             m = np.diff(np.concatenate([head, [len(of)]]))
             own, start = of[head], first[of[head]] + at[head]
@@ -254,14 +258,15 @@ def _split(nth: int):
     return split
 
 
-def _masks(runs: DataFrame, nth: int, anchor_runs: int, shards: int) -> DataFrame:
+def _masks(runs: DataFrame, dealt: int, anchor_runs: int, shards: int) -> DataFrame:
     """(run, mask) of the repeated windows of runs (anchor, run, copies, n, words), by the indexes of the shards.
 
-    Runs of one anchor must meet in a shard. Where they are more than `anchor_runs`, they are split by the next gram of their windows, in the
-    order of the hashes, equal parts are made one with their copies, and the parts of one anchor and gram must meet. A window has
-    so many grams, and such that have all in common are hardly ever different, so this ends.
+    Runs of one anchor must meet in a shard. Where they are more than `anchor_runs`, they are split by further grams of their windows, in
+    the order of the hashes (DEALT_BY), equal parts are made one with their copies, and the parts of one anchor and such grams
+    must meet. Windows that have all grams in common are hardly ever different, so this ends.
     """
-    hot = stored(runs.groupBy("anchor").count().where(F.col("count") > (anchor_runs if nth < WINDOW - ANCHOR + 1 else 2**62)).select("anchor"), "hot")
+    most = anchor_runs if dealt + 1 < len(DEALT_BY) else 2**62
+    hot = stored(runs.groupBy("anchor").count().where(F.col("count") > most).select("anchor"), "hot")
     last = hot.isEmpty()
     cold = runs if last else runs.join(hot, "anchor", "left_anti")
     cold = cold.select("anchor", "run", "copies", "n", "words").repartition(shards, "anchor")
@@ -269,9 +274,9 @@ def _masks(runs: DataFrame, nth: int, anchor_runs: int, shards: int) -> DataFram
     if last:
         return masks
     split = runs.join(hot, "anchor", "left_semi").select("anchor", "run", "copies", "n", "words")
-    parts = stored(split.mapInArrow(_split(nth + 1), "parent long, at int, anchor long, run long, n int, copies long, words binary"), "parts")
+    parts = stored(split.mapInArrow(_split(DEALT_BY[dealt], DEALT_BY[dealt + 1]), "parent long, at int, anchor long, run long, n int, copies long, words binary"), "parts")
     kinds = stored(parts.groupBy("anchor", "run", "n").agg(F.sum("copies").alias("copies"), F.first("words").alias("words")), "part-kinds")
-    found = _masks(kinds, nth + 1, anchor_runs, shards)
+    found = _masks(kinds, dealt + 1, anchor_runs, shards)
     spread = parts.select("parent", "at", "run").join(found, "run").groupBy(F.col("parent").alias("run")).agg(F.bit_or(F.expr("shiftleft(mask, at)")).alias("mask"))
     return masks.union(spread)
 
@@ -299,7 +304,7 @@ def repeated(docs: DataFrame, anchor_runs: int = ANCHOR_RUNS, shard_words: int =
     cut = texts.join(listed, ["row", "row2"]).select("text", "listed").mapInArrow(_cut, "anchor long, run long, copies long, n int, words binary")
     cut = stored(cut, "cut")
     shards = max(1, -(-int(total or 0) // shard_words), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    spots = found.select("run", "row", "row2", "start").join(_masks(cut, 1, anchor_runs, shards), "run")
+    spots = found.select("run", "row", "row2", "start").join(_masks(cut, 0, anchor_runs, shards), "run")
     return stored(spots.groupBy("row", "row2").agg(F.collect_set(F.struct("start", "mask")).alias("spots")), "spots")
 
 

@@ -118,10 +118,9 @@ def test_parts_of_hot_runs_are_searched_together(spark, monkeypatch):
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     deepest, split = [0], s._split
-    monkeypatch.setattr(s, "_split", lambda nth: deepest.append(nth) or split(nth))
-    monkeypatch.setattr(s, "ANCHOR_RUNS", 5)
+    monkeypatch.setattr(s, "_split", lambda known, grams: deepest.append(grams) or split(known, grams))
     spots = s.repeated(df, anchor_runs=5).count()
-    assert spots == 80 and max(deepest) > 2
+    assert spots == 80 and max(deepest) > 4
     assert sorted([tuple(r)[:4] for r in s.dedup_substrings(df).collect()], key=str) == brute(rows)
 
 
