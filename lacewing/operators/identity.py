@@ -37,9 +37,9 @@ def place_records(records: DataFrame, cards: DataFrame) -> DataFrame:
 
 def support_status(cards: DataFrame, placed: DataFrame) -> DataFrame:
     """supported, unsupported, or unresolved: one unplaced record anywhere means that no card's absence is certain."""
-    open_end = placed.where("method = 'unplaced'").limit(1).count() > 0
+    open_end = placed.where("method = 'unplaced'").agg(F.count("*") > 0).scalar()
     own = placed.where("card is not null").groupBy("card").agg(F.count("*").alias("records"))
-    status = F.when(F.col("records") > 0, "supported").otherwise("unresolved" if open_end else "unsupported")
+    status = F.when(F.col("records") > 0, "supported").when(open_end, "unresolved").otherwise("unsupported")
     return cards.select("card").join(own, "card", "left").select("card", F.coalesce("records", F.lit(0)).alias("records"), status.alias("status"))
 
 

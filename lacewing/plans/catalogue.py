@@ -87,8 +87,8 @@ def set_equality(spark: SparkSession, d: str) -> DataFrame:
 
 
 def set_operations(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "customer").where("c_mktsegment = 'BUILDING' and c_acctbal > 9000").select(F.col("c_nationkey").alias("nation"))
-    b = table(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_nationkey").alias("nation"))
+    """Nations and thousands of account balances, of all customers and of all suppliers."""
+    a, b = (table(spark, d, name).select(F.col(f"{x}_nationkey").alias("nation"), F.floor(F.col(f"{x}_acctbal") / 1000).alias("thousands")) for name, x in (("customer", "c"), ("supplier", "s")))
     parts = {"union": a.union(b).distinct(), "intersect": a.intersect(b), "except": a.subtract(b), "union_all": a.union(b)}
     out = [df.withColumn("kind", F.lit(kind)) for kind, df in parts.items()]
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
@@ -164,9 +164,9 @@ SQL = {
         from orders left join (select l_orderkey, count(*) as n from lineitem group by 1) on l_orderkey = o_orderkey""",
     "set_equality_audit": """with a as (select distinct l_orderkey as cid, l_linenumber as rid from lineitem where l_returnflag = 'R'), b as (select distinct l_orderkey as cid, l_linenumber as rid from lineitem where l_returnflag = 'A')
         select *, 'detail' as only_in from (select * from a except select * from b) union all select *, 'product' from (select * from b except select * from a)""",
-    "set_ops_union_intersect_except": """with a as (select c_nationkey as nation from customer where c_mktsegment = 'BUILDING' and c_acctbal > 9000), b as (select s_nationkey as nation from supplier where s_acctbal > 0)
-        select nation, 'union' as kind from (select * from a union select * from b) union all select nation, 'intersect' from (select * from a intersect select * from b)
-        union all select nation, 'except' from (select * from a except select * from b) union all select nation, 'union_all' from (select * from a union all select * from b)""",
+    "set_ops_union_intersect_except": """with a as (select c_nationkey as nation, floor(c_acctbal / 1000)::bigint as thousands from customer), b as (select s_nationkey as nation, floor(s_acctbal / 1000)::bigint as thousands from supplier)
+        select *, 'union' as kind from (select * from a union select * from b) union all select *, 'intersect' from (select * from a intersect select * from b)
+        union all select *, 'except' from (select * from a except select * from b) union all select *, 'union_all' from (select * from a union all select * from b)""",
     "lowest_rarity": """select o_custkey, min(6 - substr(o_orderpriority, 1, 1)::int) as place, arg_min(o_orderpriority, 6 - substr(o_orderpriority, 1, 1)::int) as value from orders group by o_custkey""",
     "code_consistency": """select l_partkey, l_linenumber, string_agg(distinct l_returnflag, ',' order by l_returnflag) as seen, count(distinct l_returnflag) as n_values from lineitem group by all having count(distinct l_returnflag) > 1""",
     "duplicate_keys": "select l_orderkey, l_linenumber, count(*) as times from lineitem group by all having count(*) > 1",

@@ -119,8 +119,8 @@ def attempt_state(spark: SparkSession, d: str) -> DataFrame:
 
 def collection_work_list(spark: SparkSession, d: str) -> DataFrame:
     rows = events(spark, d)
-    kinds = F.array(*[F.lit(k) for k in sorted(r[0] for r in rows.select("event_type").distinct().collect())])
-    wanted = rows.select("user_id").distinct().withColumn("event_type", F.explode(kinds))
+    kinds = rows.agg(F.array_sort(F.collect_set("event_type"))).scalar()
+    wanted = rows.select("user_id").distinct().withColumn("kinds", kinds).select("user_id", F.explode("kinds").alias("event_type"))
     recent = rows.where(F.col("ts") > moment(latest(rows, "ts")) - F.expr("INTERVAL 7 DAYS"))
     return history.work_list(wanted, recent, rows, KEYS, "ts")
 
