@@ -180,7 +180,7 @@ def collocations(docs: DataFrame, max_words: int = MAX_WORDS, least: int = LEAST
     run; repeated rows count each time. Phrases don't cross punctuation or line ends. An empty table, or one without such a phrase,
     gives no rows; other columns take no part.
     """
-    rows = docs.select(named(lang).alias("lang"), named(text).alias("text"))
+    rows = docs.select(named(lang).cast("string").alias("lang"), named(text).cast("string").alias("text"))
     found = stored(scored(phrase_counts(rows, max_words, least)), "scored")
     ranked = numbered(without_parts(found).drop("words"), ["lang"], [F.desc("score"), F.desc("a"), F.col("phrase")], "phrases")
     return ranked.where(F.col("rank") < top).select("lang", (F.col("rank") + 1).alias("rank"), "phrase", "a", "l", "r", "n", "score")
