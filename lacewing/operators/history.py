@@ -115,3 +115,20 @@ def reusable(checkpoints: DataFrame, current: DataFrame, key: str, identity: lis
     digest = F.sha2(F.to_json(F.struct(*identity), {"ignoreNullFields": "false"}), 256)
     old = checkpoints.select(key, digest.alias("old"))
     return current.select(key, digest.alias("new")).join(old, key, "left").select(key, F.when(F.col("old").isNull(), "missing").when(F.col("old") == F.col("new"), "valid").otherwise("stale").alias("checkpoint"))
+
+
+def unusable(wanted: DataFrame, observations: DataFrame, keys: list[str], time: str, as_of: Column, lifetime: str = LIFETIME) -> DataFrame:
+    """Of each wanted key why its price can't be used: `never stored`, `future` or `expired` by its last observation, or null. `turn` is the order
+    in which they are collected: expired before never stored, then by key; null for the rest."""
+    last = observations.groupBy(*keys).agg(F.max(time).alias("last"))
+    why = F.when(F.col("last").isNull(), "never stored").otherwise(F.nullif(age_status(F.col("last"), as_of, lifetime), F.lit("fresh")))
+    return wanted.select(*keys).distinct().join(last, keys, "left").select(*keys, "last", why.alias("why")).withColumn("turn", F.when(F.col("why") == "expired", 0).when(F.col("why") == "never stored", 1))
+
+
+def resumed(wanted: DataFrame, checkpoints: DataFrame, key: str, identity: list[str], fault: Column) -> DataFrame:
+    """Each wanted key with what a resumed crawl does: `reuse` its checkpoint, `fetch` what has none or one of another identity, or stop at one that
+    is `broken`, since a checkpoint that is there is never silently fetched anew. `fault` is null for a sound checkpoint; a key with
+    several checkpoints is broken."""
+    held = checkpoints.select(key, F.struct(*identity).alias("old"), fault.alias("fault")).groupBy(key).agg(F.count("*").alias("n"), F.min("old").alias("old"), F.max("fault").alias("fault"))
+    action = F.when(F.col("n").isNull(), "fetch").when((F.col("n") > 1) | F.col("fault").isNotNull(), "broken").when(F.col("old").eqNullSafe(F.struct(*identity)), "reuse").otherwise("fetch")
+    return wanted.join(held, key, "left").select(key, action.alias("action"), F.col("fault").alias("fault"))

@@ -78,3 +78,29 @@ def audit_sample(rows: DataFrame, stratum: str, key: str, size: int, always: Col
     ticket = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")).cast("binary"))
     ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy(stratum).orderBy(ticket, key)))
     return ranked.where(F.col("place") <= size).drop("place").unionByName(rows.where(always)).distinct()
+
+
+def records_of_ids(records: DataFrame, labels: DataFrame) -> DataFrame:
+    """(label, record, records, finding) of each of `labels` (label) on `records` (record, ids): the record one of whose ids it is, and how many
+    have it. A label that no record has is `unplaced`, one of several `ambiguous`, and neither has a record."""
+    each = records.select("record", F.explode(F.array_distinct("ids")).alias("label"))
+    held = each.groupBy("label").agg(F.min("record").alias("one"), F.countDistinct("record").alias("records"))
+    n = F.coalesce("records", F.lit(0))
+    finding = F.when(n == 0, "unplaced").when(n > 1, "ambiguous")
+    return labels.select("label").join(held, "label", "left").select("label", F.when(n == 1, F.col("one")).alias("record"), n.alias("records"), finding.alias("finding"))
+
+
+def outside(placed: DataFrame, listed: DataFrame, key: str) -> DataFrame:
+    """Keys that something is placed on and no list has."""
+    return placed.where(F.col(key).isNotNull()).select(key).distinct().join(listed.select(key), key, "left_anti")
+
+
+def coverage_audit(claims: DataFrame, prints: DataFrame, listed: DataFrame, key: str, locale: str) -> DataFrame:
+    """(key, locale, finding) where claims (key, locale, coverage), prints and lists don't agree, seen from each of the three: `not covered` (listed,
+    no claim), `not listed` (a claim or a print without a listing), `no prints` (claimed as printed) and `has prints` (claimed as not)."""
+    on = [key, locale]
+    a, b, c = (df.select(*on).distinct().withColumn(n, F.lit(True)) for df, n in ((claims, "claimed"), (prints, "printed"), (listed, "listed")))
+    every = a.join(b, on, "full").join(c, on, "full").join(claims.select(*on, "coverage"), on, "left")
+    no = lambda n: F.col(n).isNull()
+    finding = F.when(no("listed"), "not listed").when(no("claimed"), "not covered").when((F.col("coverage") == "printed") & no("printed"), "no prints").when((F.col("coverage") != "printed") & ~no("printed"), "has prints")
+    return every.select(*on, finding.alias("finding")).where("finding is not null")

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import assets, deck, digests, names, nested
+from ..operators import assets, deck, digests, history, identity, names, nested
 from ..operators.constraints import Constraints, violations
 from ..operators.numbering import stored
-from ..sources.tables import fresh_folder, table
+from ..sources.tables import fresh_folder, moment, table
 from . import shop, texts
 from .official import joined
 
@@ -139,7 +139,43 @@ def candidate_labels(spark: SparkSession, d: str) -> DataFrame:
     return names.labelled(rows, labels, "top1")
 
 
+def placed_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers' records have the parts of their first lines as ids; parts are the labels to be placed."""
+    rows = table(spark, d, "lineitem").where("l_linenumber = 1").groupBy(F.col("l_suppkey").alias("record")).agg(F.collect_list("l_partkey").alias("ids"))
+    return identity.records_of_ids(rows, table(spark, d, "part").select(F.col("p_partkey").alias("label")))
+
+
+def outside_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Customers that orders are placed on and that the list of two in three lacks."""
+    return identity.outside(table(spark, d, "orders").select(F.col("o_custkey").alias("cid")), table(spark, d, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("cid")), "cid")
+
+
+def coverage_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Parts in two locales by flag: lists, prints and claims made from different lines, so that they disagree."""
+    rows = table(spark, d, "lineitem").select(F.col("l_partkey").alias("cid"), F.col("l_linestatus").alias("locale"), "l_returnflag", "l_linenumber")
+    listed = rows.where("l_linenumber <= 3").select("cid", "locale").distinct()
+    claims = rows.where("l_linenumber in (1, 4)").groupBy("cid", "locale").agg(F.when(F.min("l_returnflag") == "A", "printed").otherwise("no_printing").alias("coverage"))
+    return identity.coverage_audit(claims, rows.where("l_returnflag = 'A'"), listed, "cid", "locale")
+
+
+def unusable_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Users' purchases as observations: why a user's last one can't be used, among users of twice the number."""
+    events = table(spark, d, "events")
+    wanted = events.select(F.explode(F.array(F.col("user_id"), F.col("user_id") + 100)).alias("user_id"))
+    as_of = moment("2024-01-30 12:00:00")
+    return history.unusable(wanted, events.where("event_type = 'purchase'"), ["user_id"], "ts", as_of).select("user_id", "why", F.col("turn").cast("long").alias("turn"))
+
+
+def resumed_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as pages to fetch, of which two in three have a checkpoint, some twice, torn, or of another brand."""
+    now = table(spark, d, "part").select("p_partkey", "p_brand", "p_size")
+    k = F.col("p_partkey")
+    old = now.where(k % 3 != 0).withColumn("p_brand", F.when(k % 7 == 0, "none").otherwise(F.col("p_brand"))).withColumn("torn", F.when(k % 11 == 0, "row"))
+    return history.resumed(now, old.unionByName(old.where(k % 13 == 0)), "p_partkey", ["p_brand", "p_size"], F.col("torn"))
+
+
 QUERIES = {
+    "placed_labels": placed_labels, "outside_lists": outside_lists, "coverage_findings": coverage_findings, "unusable_numbers": unusable_numbers, "resumed_pages": resumed_pages,
     "searched_names": searched_names, "resolved_names": resolved_names, "queryable_numbers": queryable, "candidate_labels": candidate_labels,
     "index_faults": index_faults, "index_cards": index_cards, "cached_names": cached_names, "asset_index": asset_index, "asset_states": asset_states, "changed_rows": changed_rows,
     "prefix_digests": prefix_digests, "constraint_findings": constraint_findings, "sorted_deck": sorted_deck,
@@ -152,6 +188,18 @@ FOUND = """p as (select p_partkey // 7 as g, p_partkey as cid, split_part(p_name
         s as (select g, cid, name, row_number() over (partition by g order by cid) as nth from p),
         r as (select wanted, case when problem is null then c end as cid, case when g % 13 = 0 and total > 6 then (select count(*) from s where s.g = f.g and s.name = f.wanted and nth <= 6) else found end as found, problem from f)"""
 SQL = {
+    "placed_labels": """with r as (select distinct l_suppkey as record, l_partkey as label from lineitem where l_linenumber = 1), h as (select label, min(record) as one, count(*) as n from r group by 1)
+        select p_partkey as label, case when n = 1 then one end as record, coalesce(n, 0) as records, case when n is null then 'unplaced' when n > 1 then 'ambiguous' end as finding from part left join h on label = p_partkey""",
+    "outside_lists": "select distinct o_custkey as cid from orders where o_custkey not in (select c_custkey from customer where c_custkey % 3 <> 0)",
+    "coverage_findings": """with k as (select distinct l_partkey as cid, l_linestatus as locale from lineitem), s as (select l_partkey as cid, l_linestatus as locale, bool_or(l_linenumber <= 3) as listed, bool_or(l_returnflag = 'A') as printed,
+          min(l_returnflag) filter (l_linenumber in (1, 4)) as claim from lineitem group by all),
+        f as (select cid, locale, case when not listed then case when printed or claim is not null then 'not listed' end when claim is null then 'not covered' when claim = 'A' and not printed then 'no prints' when claim <> 'A' and printed then 'has prints' end as finding from s)
+        select * from f where finding is not null""",
+    "unusable_numbers": """with w as (select user_id from events union select user_id + 100 from events), l as (select user_id, max(ts) as t from events where event_type = 'purchase' group by 1),
+        s as (select user_id, case when t is null then 'never stored' when t > timestamp '2024-01-30 12:00:00' then 'future' when t + interval 12 hour <= timestamp '2024-01-30 12:00:00' then 'expired' end as why from w left join l using (user_id))
+        select *, case why when 'expired' then 0 when 'never stored' then 1 end::bigint as turn from s""",
+    "resumed_pages": """select p_partkey, case when p_partkey % 3 = 0 then 'fetch' when p_partkey % 13 = 0 or p_partkey % 11 = 0 then 'broken' when p_partkey % 7 = 0 then 'fetch' else 'reuse' end as action,
+        case when p_partkey % 3 <> 0 and p_partkey % 11 = 0 then 'row' end as fault from part""",
     "searched_names": f"with {FOUND} select * from r",
     "resolved_names": f"""with {FOUND}, q as (select *, split_part(wanted, ' ', 2)::bigint as i from r), h as (select *, i % 3 = 0 and not wanted like 'none%' as hit, i % 4 <> 0 as asked from q),
         j as (select *, case when hit then case when i % 9 = 0 then 'name' end when not asked then 'to search' when problem is not null then problem when cid % 31 = 0 then 'heading' when cid % 5 = 0 then 'other name' end as fault from h)

@@ -1,11 +1,13 @@
 import random
 import unicodedata
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from lacewing.functions import scalars
-from lacewing.operators import layout, names
+from lacewing.operators import history, identity, layout, names
+from lacewing.sources.tables import moment
 
 
 def test_name_keys_of_any_script(spark):
@@ -62,3 +64,26 @@ def test_labels_and_guards(spark):
     assert layout.detected(boxes, 0.5).count() == 1
     with pytest.raises(Exception, match="without size"):
         layout.detected(boxes, 0.0).collect()
+
+
+def test_places_and_coverage(spark):
+    make = lambda rows, s: spark.createDataFrame(rows, s)
+    records = make([(1, [10, 11, 10]), (2, [11, 12]), (3, None)], "record int, ids array<int>")
+    got = {tuple(r) for r in identity.records_of_ids(records, make([(10,), (11,), (12,), (13,)], "label int")).collect()}
+    assert got == {(10, 1, 1, None), (11, None, 2, "ambiguous"), (12, 2, 1, None), (13, None, 0, "unplaced")}
+    assert [r.cid for r in identity.outside(make([(1,), (1,), (2,), (None,)], "cid int"), make([(2,)], "cid int"), "cid").collect()] == [1]
+    claims = make([(1, "ja", "printed"), (2, "ja", "printed"), (3, "ja", "no_printing"), (4, "ja", "no_printing"), (5, "ja", "printed")], "cid int, l string, coverage string")
+    prints = make([(1, "ja"), (3, "ja"), (6, "ja")], "cid int, l string")
+    listed = make([(i, "ja") for i in (1, 2, 3, 4, 7)], "cid int, l string")
+    found = {(r.cid, r.finding) for r in identity.coverage_audit(claims, prints, listed, "cid", "l").collect()}
+    assert found == {(2, "no prints"), (3, "has prints"), (5, "not listed"), (6, "not listed"), (7, "not covered")}
+
+
+def test_unusable_and_resumed(spark):
+    at = datetime(2024, 1, 2)
+    seen = spark.createDataFrame([("a", at - timedelta(hours=13)), ("a", at - timedelta(hours=1)), ("b", at - timedelta(hours=12)), ("c", at + timedelta(seconds=1))], "k string, t timestamp_ntz")
+    got = {r.k: (r.why, r.turn) for r in history.unusable(spark.createDataFrame([(k,) for k in "abcda"], "k string"), seen, ["k"], "t", moment(at)).collect()}
+    assert got == {"a": (None, None), "b": ("expired", 0), "c": ("future", None), "d": ("never stored", 1)}
+    now = spark.createDataFrame([(i, "x", None) for i in range(6)], "k int, a string, b int")
+    old = spark.createDataFrame([(0, "x", None, None), (1, "y", None, None), (2, "x", 1, None), (3, "x", None, "torn"), (4, "x", None, None), (4, "x", None, None)], "k int, a string, b int, f string")
+    assert {r.k: r.action for r in history.resumed(now, old, "k", ["a", "b"], F.col("f")).collect()} == {0: "reuse", 1: "fetch", 2: "fetch", 3: "broken", 4: "broken", 5: "fetch"}
