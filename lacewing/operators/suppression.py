@@ -31,6 +31,25 @@ def _cells(items: DataFrame, axes: list[tuple[str, str]], reach: int, finest: in
     return rows.withColumn("is_own", F.col("own") == F.col("level")).drop("own")
 
 
+def _coarsest(items: DataFrame, axes: list[tuple[str, str]]) -> int:
+    """The level of the widest item."""
+    widest = F.max(F.greatest(*[F.col(hi) - F.col(lo) for lo, hi in axes], F.lit(2.0**FINEST)))
+    last = items.agg(F.ceil(F.log2(widest)).alias("coarsest")).first().coarsest
+    return min(COARSEST, max(FINEST, int(last) if last is not None else FINEST))
+
+
+def meeting(items: DataFrame, group: list[str], axes: list[tuple[str, str]]) -> DataFrame:
+    """(group, a_…, b_…): the pairs of a group's items, a of the lesser id, whose bounds meet, found in the cells that both cover."""
+    payload = [c for c in items.columns if c not in group]
+    cell = [*group, "level", *[f"cell_{i}" for i in range(len(axes))]]
+    covered = _cells(items, axes, COARSEST - FINEST, FINEST, _coarsest(items, axes))
+    a, b = (covered.select(*cell, F.col("is_own").alias(f"{s}_own"), *[F.col(c).alias(f"{s}_{c}") for c in payload]) for s in "ab")
+    meet = (F.col("a_id") < F.col("b_id")) & (F.col("a_own") | F.col("b_own"))
+    for lo, hi in axes:
+        meet &= (F.col(f"a_{lo}") < F.col(f"b_{hi}")) & (F.col(f"b_{lo}") < F.col(f"a_{hi}"))
+    return a.join(b, cell).where(meet).dropDuplicates([*group, "a_id", "b_id"]).drop("a_own", "b_own", *cell[len(group) :])
+
+
 def keep_best(items: DataFrame, group: list[str], axes: list[tuple[str, str]], too_much: Overlap, least_ratio: float | None, kept_first: DataFrame | None = None) -> DataFrame:
     """(group, id) of the items that are kept: by descending score, then ascending id, each that overlaps no kept one too much.
 
@@ -52,9 +71,7 @@ def keep_best(items: DataFrame, group: list[str], axes: list[tuple[str, str]], t
     payload = [c for c in items.columns if c not in (*group, "placed")]
     kept = [items.where(~F.col("placed")).select(*key)]
     open_ = items.where("placed").drop("placed")
-    widest = F.max(F.greatest(*[F.col(hi) - F.col(lo) for lo, hi in axes], F.lit(2.0**FINEST)))
-    last = open_.agg(F.ceil(F.log2(widest)).alias("coarsest")).first().coarsest
-    coarsest = min(COARSEST, max(FINEST, int(last) if last is not None else FINEST))
+    coarsest = _coarsest(open_, axes)
     reach = COARSEST - FINEST if least_ratio is None else max(1, next(k for k in range(64) if 2.0**-k <= least_ratio))
     cover = lambda df: _cells(df, axes, reach, FINEST, coarsest)
     cell = [*group, "level", *[f"cell_{i}" for i in range(len(axes))]]

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import assets, deck, digests, history, identity, names, nested
+from ..functions import scalars
+from ..operators import assets, deck, digests, history, identity, layout, names, nested, publish
 from ..operators.constraints import Constraints, violations
 from ..operators.numbering import stored
+from ..operators.suppression import bounds, meeting
 from ..sources.tables import fresh_folder, moment, table
 from . import shop, texts
 from .official import joined
@@ -174,7 +178,51 @@ def resumed_pages(spark: SparkSession, d: str) -> DataFrame:
     return history.resumed(now, old.unionByName(old.where(k % 13 == 0)), "p_partkey", ["p_brand", "p_size"], F.col("torn"))
 
 
+def box_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of upright boxes on a photo a user and day that meet: what they share of both and of the smaller."""
+    b = shop.boxes(spark, d)
+    points = [F.array(F.col("cx") + x * F.col("w") / 2, F.col("cy") + y * F.col("h") / 2) for x, y in ((-1, -1), (1, -1), (1, 1), (-1, 1))]
+    polygon = F.array(*points)
+    items = b.select("user_id", "day", F.col("event_id").alias("id"), polygon.alias("polygon"), *[c.alias(n) for n, c in bounds(polygon).items()])
+    pairs = meeting(items, ["user_id", "day"], layout.AXES).select(F.col("a_id").alias("i"), F.col("b_id").alias("j"), F.col("a_polygon").alias("a"), F.col("b_polygon").alias("b"))
+    found = layout.overlaps(pairs).where("iou > 0")
+    return found.select("i", "j", F.round("iou", 6).alias("iou"), F.round("of_smaller", 6).alias("of_smaller"))
+
+
+def export_names(spark: SparkSession, d: str) -> DataFrame:
+    """A part's name in an export: what was entered for it, unless blank, or else the official one."""
+    k = F.col("p_partkey")
+    entered = F.when(k % 4 == 0, "  ").when(k % 4 == 1, F.concat(F.lit(" mine "), k.cast("string"), F.lit(" "))).when(k % 4 == 2, "")
+    return table(spark, d, "part").select(k, scalars.first_text(entered, F.col("p_name")).alias("name"))
+
+
+def published_tables(spark: SparkSession, d: str) -> DataFrame:
+    """What is read after three publications, of which an audit stops the second: orders by customer and the customers, one version."""
+    folder = fresh_folder(spark, "published")
+    orders, customers = table(spark, d, "orders").select("o_orderkey", "o_custkey"), table(spark, d, "customer").select("c_custkey", "c_nationkey")
+    orphans = lambda o, c: {"orphans": o.join(c, F.col("o_custkey") == F.col("c_custkey"), "left_anti")}
+    half, some = customers.where("c_custkey % 2 = 0"), orders.where("o_custkey % 2 = 0")
+    publish.publish({"orders": some, "customers": half}, orphans(some, half), folder)
+    with contextlib.suppress(ValueError):
+        publish.publish({"orders": orders, "customers": half}, orphans(orders, half), folder)
+    stopped = publish.published(spark, folder).number
+    publish.publish({"orders": orders, "customers": customers}, orphans(orders, customers), folder)
+    seen = publish.published(spark, folder)
+    read = [publish.current(spark, folder, name, seen) for name in ("orders", "customers")]
+    return read[0].join(read[1], F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey").agg(F.count("*").alias("orders"), F.lit(stopped).alias("version_before"), F.lit(seen.number).alias("version"))
+
+
+def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Parts written as spreadsheet-safe CSV and read back."""
+    k, folder = F.col("p_partkey"), fresh_folder(spark, "csv")
+    name = F.when(k % 5 == 0, F.concat(F.lit("="), F.col("p_name"))).when(k % 5 == 1, F.concat(F.col("p_name"), F.lit(', "é"'))).when(k % 5 != 2, F.col("p_name"))
+    publish.write_csv(table(spark, d, "part").select(name.alias("name"), k, "p_size"), folder)
+    rows = spark.read.option("header", True).csv(folder)
+    return rows.toDF("name", "p_partkey", "p_size").select("name", F.col("p_partkey").cast("long").alias("p_partkey"), F.col("p_size").cast("long").alias("p_size"))
+
+
 QUERIES = {
+    "box_overlaps": box_overlaps, "export_names": export_names, "published_tables": published_tables, "csv_round_trip": csv_round_trip,
     "placed_labels": placed_labels, "outside_lists": outside_lists, "coverage_findings": coverage_findings, "unusable_numbers": unusable_numbers, "resumed_pages": resumed_pages,
     "searched_names": searched_names, "resolved_names": resolved_names, "queryable_numbers": queryable, "candidate_labels": candidate_labels,
     "index_faults": index_faults, "index_cards": index_cards, "cached_names": cached_names, "asset_index": asset_index, "asset_states": asset_states, "changed_rows": changed_rows,
@@ -188,6 +236,12 @@ FOUND = """p as (select p_partkey // 7 as g, p_partkey as cid, split_part(p_name
         s as (select g, cid, name, row_number() over (partition by g order by cid) as nth from p),
         r as (select wanted, case when problem is null then c end as cid, case when g % 13 = 0 and total > 6 then (select count(*) from s where s.g = f.g and s.name = f.wanted and nth <= 6) else found end as found, problem from f)"""
 SQL = {
+    "box_overlaps": """with b as (select event_id as i, user_id, ts::date as day, (event_id * 37 % 400)::double as x, (event_id * 53 % 300)::double as y, (event_id * 11 % 60 + 20) / 2.0::double as w, (event_id * 17 % 80 + 21) / 2.0::double as h from events),
+        p as (select a.i, b.i as j, greatest(least(a.x + a.w, b.x + b.w) - greatest(a.x - a.w, b.x - b.w), 0) * greatest(least(a.y + a.h, b.y + b.h) - greatest(a.y - a.h, b.y - b.h), 0) as shared, 4 * a.w * a.h as s, 4 * b.w * b.h as t from b a join b b on a.user_id = b.user_id and a.day = b.day and a.i < b.i)
+        select i, j, round(shared / (s + t - shared), 6) as iou, round(shared / least(s, t), 6) as of_smaller from p where shared > 0""",
+    "export_names": "select p_partkey, case when p_partkey % 4 = 1 then 'mine ' || p_partkey else p_name end as name from part",
+    "published_tables": "select c_nationkey, count(*) as orders, 1 as version_before, 2 as version from orders join customer on o_custkey = c_custkey group by 1",
+    "csv_round_trip": """select case p_partkey % 5 when 0 then chr(39) || '=' || p_name when 1 then p_name || ', "é"' when 2 then null else p_name end as name, p_partkey, p_size from part""",
     "placed_labels": """with r as (select distinct l_suppkey as record, l_partkey as label from lineitem where l_linenumber = 1), h as (select label, min(record) as one, count(*) as n from r group by 1)
         select p_partkey as label, case when n = 1 then one end as record, coalesce(n, 0) as records, case when n is null then 'unplaced' when n > 1 then 'ambiguous' end as finding from part left join h on label = p_partkey""",
     "outside_lists": "select distinct o_custkey as cid from orders where o_custkey not in (select c_custkey from customer where c_custkey % 3 <> 0)",

@@ -128,3 +128,12 @@ def test_merge_against_one_after_another(spark):
     first = {p: [r[3] for r in flat if (p, r[2]) in upright and r[0] == p] for p in (1, 2)}
     want = upright | greedy([r[:4] for r in flat if (r[0], r[2]) in rotated], part, first)
     assert merged(spark, rows) == want and len(rotated) > len(want - upright) > 0
+
+
+def test_meeting_pairs(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([1, 1, 2]), i, (x := rng.uniform(-50, 50)), x + 2.0 ** rng.uniform(-4, 5), (y := rng.uniform(-50, 50)), y + 2.0 ** rng.uniform(-4, 5)) for i in range(150)]
+    df = spark.createDataFrame(rows, "u int, id int, x0 double, x1 double, y0 double, y1 double")
+    got = sorted((r.u, r.a_id, r.b_id) for r in suppression.meeting(df, ["u"], layout.AXES).collect())
+    want = sorted((a[0], a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[2] < b[3] and b[2] < a[3] and a[4] < b[5] and b[4] < a[5])
+    assert got == want and len(got) > 50
