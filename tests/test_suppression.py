@@ -34,7 +34,7 @@ def over(most):
 @pytest.mark.parametrize("most", [0.5, 0.13])
 def test_intervals_against_one_after_another(spark, most):
     rng = random.Random(int(most * 100))
-    rows = [(rng.choice([1, 1, 1, 1, 2, 3]), rng.choice([rng.uniform(-300, 300), 5.0]), 2.0 ** rng.uniform(-3, 7), rng.choice([None, float("nan"), 1.0, 2.0, rng.random()]), i) for i in range(400)]
+    rows = [(rng.choice([1, 1, 1, 1, 2, 3]), rng.choice([rng.uniform(-300, 300), 5.0]), 2.0 ** rng.uniform(-3, 7), rng.choice([None, float("nan"), 1.0, 2.0, rng.random()]), i) for i in range(220)]
     rows += [(4, 0.0, 8.0, float(i % 7), 1000 + i) for i in range(300)]  # one place, many times
     rows += [(5, 0.0, 0.0, 1.0, 2000), (5, 0.0, 0.0, 2.0, 2001), (5, None, 1.0, 1.0, 2002), (5, 0.0, math.inf, 1.0, 2003), (5, 3.0, -2.0, 1.0, 2004), (5, 1.0, 2.0, 1.0, 2005)]
     got = suppression.suppress_intervals(spark.createDataFrame(rows, LINE), "u", most)
@@ -45,7 +45,7 @@ def test_intervals_against_one_after_another(spark, most):
 
 def test_no_bound_on_widths(spark):
     rng = random.Random(9)
-    rows = [(1, rng.uniform(0, 100), 2.0 ** rng.uniform(-6, 6), rng.random(), i) for i in range(400)]
+    rows = [(1, rng.uniform(0, 100), 2.0 ** rng.uniform(-6, 6), rng.random(), i) for i in range(200)]
     df = spark.createDataFrame(rows, LINE).withColumn("end", F.col("begin") + F.col("length"))
     shared = F.least("a_end", "b_end") - F.greatest("a_begin", "b_begin")
     got = suppression.keep_best(df, ["u"], [("begin", "end")], lambda p: p.where(shared > 0.3 * F.least("a_length", "b_length")), None)
@@ -111,7 +111,7 @@ def test_turned_passes_add_what_upright_ones_miss(spark):
 
 def test_merge_against_one_after_another(spark):
     rng = random.Random(1)
-    rows = [(rng.choice([1, 1, 2]), rng.randint(0, 3), i, rng.random(), box(rng.uniform(100, 500), rng.uniform(100, 380), rng.uniform(30, 90), rng.uniform(30, 90))) for i in range(120)]
+    rows = [(rng.choice([1, 1, 2]), rng.randint(0, 3), i, rng.random(), box(rng.uniform(100, 500), rng.uniform(100, 380), rng.uniform(30, 90), rng.uniform(30, 90))) for i in range(80)]
 
     def rect(p):
         (x0, y0), (x1, y1) = p[0], p[2]
