@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import collapse, money_value, with_value
-from .markup import attribute, classed, each, nodes, only, tagged, text_of, texts
+from .markup import THIS, Pick, only, picked
 
 #: The markup of a listing, its categories and regions, and how numbers and prices are written.
 CATEGORIES = {"288": "ja", "276": "ko"}
@@ -23,35 +23,39 @@ CART = r"cartOneGo\('([^']*)'\)"
 PRODUCT = "list_card_"
 
 
-def products_in(found: Column) -> Column:
-    return F.filter(found, lambda n: (n["tag"] == "table") & F.coalesce(F.startswith(attribute(n, "id"), F.lit(PRODUCT)), F.lit(False)))
+_INPUT = lambda name: Pick("@value", "input", attrs=(("name", name),))
+BLOCK = Pick(
+    {
+        "id": Pick("@id", THIS), "text": Pick("text", THIS), "inner": Pick("@id", "table", begins=(("id", PRODUCT),)), "links": Pick("@href", "a"), "name_links": Pick("@href", "a", within="glist_01"),
+        **{k: Pick("text", css=css) for k, css in (("name", "glist_01"), ("number", "glist_02"), ("rarity", "glist_03"), ("price", "glist_price12"), ("currency", "glist_price_won"))},
+        "src": Pick("@src", "img"), "onclick": Pick("@onclick", "img"), "flags": _INPUT("comparechk_bLimit"), "limits": _INPUT("comparechk_limitCnt"),
+    },
+    "table", begins=(("id", PRODUCT),),
+)
+FORM = Pick({"action": Pick("@action", THIS), "index": _INPUT("Index"), "number": _INPUT("searchstring")}, "form", attrs=(("name", "sortForm"),))
 
 
-def values(found: Column, name: str) -> Column:
-    """The values of all inputs of a name."""
-    return F.transform(tagged(found, "input", name=name), lambda n: F.coalesce(attribute(n, "value"), F.lit("")))
+def values(found: Column) -> Column:
+    """The values of inputs; one without is empty."""
+    return F.transform(found, lambda x: F.coalesce(x, F.lit("")))
 
 
-def read(page: Column, block: Column, own: Column) -> Column:
+def read(block: Column) -> Column:
     """What a product block says, unjudged."""
-    file = lambda n: F.regexp_extract(F.coalesce(attribute(n, "src"), F.lit("")), r"([^/]*)$", 1)
-    links = F.filter(F.transform(tagged(own, "a"), lambda n: F.struct(n["at"].alias("at"), attribute(n, "href").alias("href"))), lambda n: n["href"].isNotNull())
-    names = lambda: classed(own, "glist_01")
-    within = lambda n: F.exists(names(), lambda x: (x["at"] < n["at"]) & (n["at"] <= x["last"]))
-    text = lambda css: texts(page, classed(own, css))
-    carts = F.filter(tagged(own, "img"), lambda n: file(n).isin(ACTIVE, INACTIVE))
+    file = lambda n: F.regexp_extract(F.coalesce(n["src"], F.lit("")), r"([^/]*)$", 1)
+    carts = F.filter(F.arrays_zip(block["src"].alias("src"), block["onclick"].alias("onclick")), lambda n: file(n).isin(ACTIVE, INACTIVE))
     return with_value(carts, lambda carts: F.struct(
-        F.regexp_extract(attribute(block, "id"), f"^{PRODUCT}([0-9]+)$", 1).alias("id"),
-        (F.size(products_in(own)) > 0).alias("nested"),
-        F.transform(F.filter(links, lambda n: n["href"].contains("goodsIdx=")), lambda n: n["href"]).alias("links"),
-        F.transform(F.filter(links, within), lambda n: n["href"]).alias("name_links"),
-        only(text("glist_01")).alias("name"), only(text("glist_02")).alias("number"),
-        F.array_join(F.filter(text("glist_03"), lambda x: x != ""), " ").alias("rarity"),
-        only(text("glist_price12")).alias("price"), only(text("glist_price_won")).alias("currency"),
+        F.regexp_extract(F.get(block["id"], F.lit(0)), f"^{PRODUCT}([0-9]+)$", 1).alias("id"),
+        (F.size(block["inner"]) > 0).alias("nested"),
+        F.filter(block["links"], lambda x: x.contains("goodsIdx=")).alias("links"),
+        F.filter(block["name_links"], lambda x: x.isNotNull()).alias("name_links"),
+        only(block["name"]).alias("name"), only(block["number"]).alias("number"),
+        F.array_join(F.filter(block["rarity"], lambda x: x != ""), " ").alias("rarity"),
+        only(block["price"]).alias("price"), only(block["currency"]).alias("currency"),
         F.size(carts).alias("carts"), F.get(F.transform(carts, file), F.lit(0)).alias("cart"),
-        F.regexp_extract_all(F.get(F.transform(carts, lambda n: F.coalesce(attribute(n, "onclick"), F.lit(""))), F.lit(0)), F.lit(CART), F.lit(1)).alias("handlers"),
-        values(own, "comparechk_bLimit").alias("flags"), values(own, "comparechk_limitCnt").alias("limits"),
-        text_of(own).contains(SOLD_OUT).alias("sold_out"),
+        F.regexp_extract_all(F.get(F.transform(carts, lambda n: F.coalesce(n["onclick"], F.lit(""))), F.lit(0)), F.lit(CART), F.lit(1)).alias("handlers"),
+        values(block["flags"]).alias("flags"), values(block["limits"]).alias("limits"),
+        F.get(block["text"], F.lit(0)).contains(SOLD_OUT).alias("sold_out"),
     ))
 
 
@@ -79,28 +83,31 @@ def parsed(pages: DataFrame) -> DataFrame:
 
     A page's category is what its Index fields say and must be that of its address. Page by page, without any shuffle.
     """
+    return _parsed(pages).drop("page_picks")
+
+
+def _parsed(pages: DataFrame) -> DataFrame:
     categories = F.create_map(*[F.lit(x) for pair in CATEGORIES.items() for x in pair])
     asked = F.regexp_extract_all("url", F.lit(r"[?&]Index=([^&#]*)"), F.lit(1))
-    page = F.col("nodes")
-    rows = pages.withColumn("nodes", nodes("html")).withColumn("locale", categories[only(asked)]).withColumn("shown", categories[only(values(page, "Index"))])
+    page = F.col("page_picks")
+    rows = pages.withColumn("page_picks", picked("html", index=_INPUT("Index"), blocks=BLOCK, forms=FORM)).withColumn("locale", categories[only(asked)]).withColumn("shown", categories[only(values(page["index"]))])
     ids = lambda found: F.transform(found, lambda p: p["product_id"])
     off = F.when(F.col("locale").isNull() | F.col("shown").isNull() | (F.col("locale") != F.col("shown")), "category")
     wrong = lambda found: F.coalesce(F.get(F.filter(found, lambda p: p["problem"].isNotNull()), F.lit(0))["problem"], off.when(F.size(found) == 0, "no products").when(F.size(F.array_distinct(ids(found))) < F.size(found), "repeated id"))
-    blocks = each(page, products_in(page), lambda n, own: read(page, n, own))
+    blocks = F.transform(page["blocks"], read)
     found = with_value(F.transform(blocks, lambda p: judged(p, F.col("locale"))), lambda found: F.struct(found.alias("products"), wrong(found).alias("problem")))
-    return rows.withColumn("found", found).select("*", "found.*").drop("shown", "found", "nodes")
+    return rows.withColumn("found", found).select("*", "found.*").drop("shown", "found")
 
 
 def searched(pages: DataFrame, number: str) -> DataFrame:
     """The same for search pages: one form that names the category and repeats the number asked for, only products of that number, and
     a page without products only if its list is exactly that of an empty result."""
-    page = F.col("form_nodes")
-    forms = each(page, tagged(page, "form", name="sortForm"), lambda n, own: F.struct(attribute(n, "action").alias("action"), only(values(own, "Index")).alias("index"), only(values(own, "searchstring")).alias("number")))
+    forms = F.transform("page_picks.forms", lambda x: F.struct(F.get(x["action"], F.lit(0)).alias("action"), only(values(x["index"])).alias("index"), only(values(x["number"])).alias("number")))
     form = F.get("forms", F.lit(0))
     asked = only(F.regexp_extract_all("url", F.lit(r"[?&]Index=([^&#]*)"), F.lit(1)))
     inside = F.regexp_extract("html", "(?s)" + LIST_START + "(.*)" + LIST_END, 1)
     once = (F.regexp_count("html", F.lit(LIST_START)) == 1) & (F.regexp_count("html", F.lit(LIST_END)) == 1)
-    rows = parsed(pages.withColumn("form_nodes", nodes("html")).withColumn("forms", forms).drop("form_nodes"))
+    rows = _parsed(pages).withColumn("forms", forms).drop("page_picks")
     empty = F.coalesce(rows.problem == "no products", F.lit(False))
     problem = (
         F.when((F.size("forms") != 1) | F.coalesce(form["action"] != FORM_ACTION, F.lit(True)), "form").when(F.coalesce(form["index"] != asked, F.lit(True)), "category")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import with_value, without_space
-from .markup import attribute, classed, each, has_class, inside, nodes, only, own_text, tagged, texts
+from .markup import THIS, Pick, only, picked
 
 #: How each locale writes a list's total and range, in that order of groups, and the pages' markup.
 TOTALS = {
@@ -19,22 +19,24 @@ IMAGE = r"\$\('#card_image_1'\)\.attr\('src',\s*'([^']+)'\)"
 PAGE_SIZE = 100
 
 
-def value_of(own: Column, css: str) -> Column:
-    """The value of the only input of a class; null if there are none or several."""
-    return only(F.transform(F.filter(tagged(own, "input"), lambda n: has_class(n, css)), lambda n: F.coalesce(attribute(n, "value"), F.lit(""))))
+_INPUT = lambda css: Pick("@value", "input", css)
+CARD = {"cid": _INPUT("cid"), "link": _INPUT("link_value"), "name": Pick("text", css="card_name")}
+BADGES = Pick({"class": Pick("@class", THIS), "p": Pick("text", "p"), "span": Pick("text", "span")}, "div", "lr_icon")
+NONE = Pick("@class", "div", NO_DATA)
+TEXT = Pick("text", css="text")
 
 
-def rows_of(page: Column) -> Column:
-    return classed(page, ROW)
+def rows_of(fields: dict[str, Pick]) -> Pick:
+    return Pick(fields, css=ROW)
 
 
-def text(page: Column, own: Column, css: str) -> Column:
-    """The text of the only element of a class."""
-    return only(texts(page, classed(own, css)))
+def value_of(found: Column) -> Column:
+    """The value of the only input; null if there are none or several."""
+    return only(F.transform(found, lambda x: F.coalesce(x, F.lit(""))))
 
 
 def no_data(page: Column) -> Column:
-    return F.exists(page, lambda n: (n["tag"] == "div") & has_class(n, NO_DATA))
+    return F.exists(page["none"], lambda x: x.isNotNull())
 
 
 def counts(text: Column, locale: Column) -> Column:
@@ -54,8 +56,8 @@ def repeated(values: Column) -> Column:
     return F.size(F.array_distinct(values)) < F.size(values)
 
 
-def card_row(page: Column, own: Column) -> Column:
-    cid, link, name = value_of(own, "cid"), F.regexp_extract(value_of(own, "link_value"), r"[?&]cid=([0-9]+)", 1), text(page, own, "card_name")
+def card_row(own: Column) -> Column:
+    cid, link, name = value_of(own["cid"]), F.regexp_extract(value_of(own["link"]), r"[?&]cid=([0-9]+)", 1), only(own["name"])
     problem = F.when(cid.isNull() | ~cid.rlike("^[0-9]+$"), "cid").when(F.coalesce(link, F.lit("")) != cid, "link").when(name.isNull(), "name")
     return F.struct(cid.try_cast("long").alias("cid"), name.alias("name"), problem.alias("problem"))
 
@@ -63,34 +65,34 @@ def card_row(page: Column, own: Column) -> Column:
 def list_pages(pages: DataFrame, size: int = PAGE_SIZE) -> DataFrame:
     """`pages` (locale, page, html, …) with counts, cards and problem: the range must be that of the page, and the rows as many, each of
     a cid of its own. Totals that drift between pages are for `records.page_rules`."""
-    page = F.col("nodes")
-    found = pages.withColumn("nodes", nodes("html")).withColumn("counts", counts(text(page, page, "text"), F.col("locale"))).withColumn("cards", each(page, rows_of(page), lambda _, own: card_row(page, own)))
+    page = F.col("page_picks")
+    found = pages.withColumn("page_picks", picked("html", text=TEXT, rows=rows_of(CARD))).withColumn("counts", counts(only(page["text"]), F.col("locale"))).withColumn("cards", F.transform(page["rows"], card_row))
     total, first, last = (F.col(f"counts.{n}") for n in ("total", "first", "last"))
     at = (F.col("page") - 1) * size + 1
     problem = (
         F.when(F.col("counts").isNull(), "count").when((total <= 0) | (at > total) | (F.col("page") < 1), "page").when((first != at) | (last != F.least(F.col("page") * size, total)), "range")
         .when(F.size("cards") != last - first + 1, "rows").when(repeated(F.transform("cards", lambda c: c["cid"])), "repeated cid")
     )
-    return found.withColumn("problem", F.coalesce(first_problem(F.col("cards")), problem)).drop("nodes")
+    return found.withColumn("problem", F.coalesce(first_problem(F.col("cards")), problem)).drop("page_picks")
 
 
 def index_products(pages: DataFrame) -> DataFrame:
     """(pid, name, released, problem) of product index pages, one row a pid: rows that repeat each other are one, rows that differ are a
     problem, as is a row that isn't whole."""
-    page = F.col("nodes")
-    pid = lambda own: F.regexp_extract(value_of(own, "link_value"), r"^[^?]*\?ope=1&sess=1&pid=([0-9]+)&rp=99999$", 1).try_cast("long")
-    rows = each(page, rows_of(page), lambda _, own: F.struct(pid(own).alias("pid"), text(page, own, "main").alias("name"), text(page, own, "time").alias("released")))
-    parts = pages.select(nodes("html").alias("nodes")).select(F.explode(rows).alias("row")).select("row.*")
+    page = F.col("page_picks")
+    pid = lambda own: F.regexp_extract(value_of(own["link"]), r"^[^?]*\?ope=1&sess=1&pid=([0-9]+)&rp=99999$", 1).try_cast("long")
+    rows = F.transform(page["rows"], lambda own: F.struct(pid(own).alias("pid"), only(own["name"]).alias("name"), only(own["time"]).alias("released")))
+    parts = pages.select(picked("html", rows=rows_of({"link": _INPUT("link_value"), "name": Pick("text", css="main"), "time": Pick("text", css="time")})).alias("page_picks")).select(F.explode(rows).alias("row")).select("row.*")
     fault = F.when(F.col("pid").isNull() | F.col("name").isNull() | ~F.coalesce(F.col("released").rlike(DATE), F.lit(False)), "row")
     merged = parts.withColumn("fault", fault).groupBy("pid").agg(F.min("name").alias("name"), F.min("released").alias("released"), F.max("name").alias("n"), F.max("released").alias("r"), F.max("fault").alias("fault"))
     return merged.select("pid", "name", "released", F.coalesce("fault", F.when((F.col("name") != F.col("n")) | (F.col("released") != F.col("r")), "differs")).alias("problem"))
 
 
-def badges(page: Column, own: Column) -> Column:
+def badges(found: Column) -> Column:
     """(rid, code, label) of each rarity badge."""
-    rid = lambda n: F.regexp_extract(attribute(n, "class"), r"(?:^|\s)rid_([0-9]+)(?:\s|$)", 1).try_cast("int")
-    part = lambda inner, tag: F.coalesce(F.get(texts(page, tagged(inner, tag)), F.lit(0)), F.lit(""))
-    return each(page, F.filter(classed(own, "lr_icon"), lambda n: n["tag"] == "div"), lambda n, inner: F.struct(rid(n).alias("rid"), part(inner, "p").alias("code"), part(inner, "span").alias("label")))
+    rid = lambda n: F.regexp_extract(F.get(n["class"], F.lit(0)), r"(?:^|\s)rid_([0-9]+)(?:\s|$)", 1).try_cast("int")
+    part = lambda texts: F.coalesce(F.get(texts, F.lit(0)), F.lit(""))
+    return F.transform(found, lambda n: F.struct(rid(n).alias("rid"), part(n["p"]).alias("code"), part(n["span"]).alias("label")))
 
 
 def badge_problem(found: Column) -> Column:
@@ -101,55 +103,55 @@ def badge_problem(found: Column) -> Column:
 def product_pages(pages: DataFrame) -> DataFrame:
     """`pages` (name, html, …) with cards (cid, name, rarities) and problem: the title is the indexed name but
     for white space, rows are as many as reported, and no cid stands twice."""
-    page = F.col("nodes")
-    row = lambda _, own: with_value(badges(page, own), lambda b: with_value(card_row(page, own), lambda c: F.struct(c["cid"].alias("cid"), c["name"].alias("name"), b.alias("rarities"), F.coalesce(c["problem"], badge_problem(b)).alias("problem"))))
-    found = pages.withColumn("nodes", nodes("html")).withColumn("cards", each(page, rows_of(page), row))
-    title = F.get(F.split(F.get(texts(page, tagged(page, "title")), F.lit(0)), r" \| "), F.lit(0))
-    total = F.replace(F.regexp_extract(text(page, page, "text"), r"([\d,]+)", 1), F.lit(","), F.lit("")).try_cast("long")
+    page = F.col("page_picks")
+    row = lambda own: with_value(badges(own["badges"]), lambda b: with_value(card_row(own), lambda c: F.struct(c["cid"].alias("cid"), c["name"].alias("name"), b.alias("rarities"), F.coalesce(c["problem"], badge_problem(b)).alias("problem"))))
+    found = pages.withColumn("page_picks", picked("html", title=Pick("text", "title"), text=TEXT, rows=rows_of({**CARD, "badges": BADGES}))).withColumn("cards", F.transform(page["rows"], row))
+    title = F.get(F.split(F.get(page["title"], F.lit(0)), r" \| "), F.lit(0))
+    total = F.replace(F.regexp_extract(only(page["text"]), r"([\d,]+)", 1), F.lit(","), F.lit("")).try_cast("long")
     problem = F.when(F.coalesce(without_space(title) != without_space(F.col("name")), F.lit(True)), "title").when(total.isNull() | (total != F.size("cards")), "total").when(repeated(F.transform("cards", lambda c: c["cid"])), "repeated cid")
-    return found.withColumn("problem", F.coalesce(problem, first_problem(F.col("cards")))).drop("nodes")
+    return found.withColumn("problem", F.coalesce(problem, first_problem(F.col("cards")))).drop("page_picks")
 
 
 def detail_prints(pages: DataFrame) -> DataFrame:
     """`pages` (name, html, …) with prints (pid, card_number, released, rarities) and problem; a number may be blank, a page that says
     there is no data has no prints, and the heading must be the listed name."""
-    page = F.col("nodes")
+    page = F.col("page_picks")
 
-    def row(_: Column, own: Column) -> Column:
-        pid, date = F.regexp_extract(value_of(own, "link_value"), r"[?&]pid=([0-9]+)&", 1).try_cast("long"), text(page, own, "time")
-        number = F.get(texts(page, classed(own, "card_number")), F.lit(0))
+    def row(own: Column) -> Column:
+        pid, date = F.regexp_extract(value_of(own["link"]), r"[?&]pid=([0-9]+)&", 1).try_cast("long"), only(own["time"])
+        number = F.get(own["number"], F.lit(0))
         fault = F.when(pid.isNull() | number.isNull() | ~F.coalesce(date.rlike(DATE), F.lit(False)), "row")
-        return with_value(badges(page, own), lambda b: F.struct(pid.alias("pid"), number.alias("card_number"), date.alias("released"), b.alias("rarities"), F.coalesce(fault, badge_problem(b)).alias("problem")))
+        return with_value(badges(own["badges"]), lambda b: F.struct(pid.alias("pid"), number.alias("card_number"), date.alias("released"), b.alias("rarities"), F.coalesce(fault, badge_problem(b)).alias("problem")))
 
-    found = pages.withColumn("nodes", nodes("html")).withColumn("heading", heading(page)).withColumn("prints", each(page, rows_of(page), row))
+    picks = rows_of({"link": _INPUT("link_value"), "time": Pick("text", css="time"), "number": Pick("text", css="card_number"), "badges": BADGES})
+    found = pages.withColumn("page_picks", picked("html", h1=Pick("own", "h1"), none=NONE, rows=picks)).withColumn("heading", heading(page)).withColumn("prints", F.transform(page["rows"], row))
     problem = F.when(F.col("heading").isNull(), F.when(~no_data(page), "heading")).when(F.lower("heading") != F.lower("name"), "name")
-    return found.withColumn("problem", F.coalesce(problem, first_problem(F.col("prints")))).drop("nodes")
+    return found.withColumn("problem", F.coalesce(problem, first_problem(F.col("prints")))).drop("page_picks")
 
 
 def heading(page: Column) -> Column:
     """The text that stands in the first heading itself, not in the spans of readings and translations; null if it is blank."""
-    first = F.get(tagged(page, "h1"), F.lit(0))
-    return F.nullif(with_value(first, lambda h: own_text(inside(page, h), h)), F.lit(""))
+    return F.nullif(F.get(page["h1"], F.lit(0)), F.lit(""))
 
 
 def detail_cards(pages: DataFrame) -> DataFrame:
     """`pages` (html, …) with the card's name in the page's locale, the address of its image, and problem. A page that says that there is
     no data has neither; a page with a heading must have both, and the address must be a signed one."""
-    page = F.col("nodes")
-    scripts = F.array_join(F.transform(F.filter(page, lambda n: n["tag"] == "#script"), lambda n: n["value"]), "\n")
-    named = F.get(F.filter(page, lambda n: F.coalesce(attribute(n, "id") == "cardname", F.lit(False))), F.lit(0))
-    found = pages.withColumn("nodes", nodes("html")).withColumn("within", with_value(named, lambda n: inside(page, n)))
-    headed = F.size(F.coalesce(tagged(F.col("within"), "h1"), F.array())) > 0
-    name = with_value(F.get(tagged(F.col("within"), "h1"), F.lit(0)), lambda h: own_text(F.col("within"), h))
+    page = F.col("page_picks")
+    scripts = F.array_join(page["scripts"], "\n")
+    named = Pick({"h1": Pick("own", "h1")}, attrs=(("id", "cardname"),))
+    found = pages.withColumn("page_picks", picked("html", scripts=Pick("value", "#script"), named=named, none=NONE)).withColumn("within", F.get(page["named"], F.lit(0))["h1"])
+    headed = F.size(F.coalesce(F.col("within"), F.array())) > 0
+    name = F.get(F.col("within"), F.lit(0))
     found = found.withColumn("headed", headed).withColumn("name", F.when(headed, F.nullif(name, F.lit("")))).withColumn("image", F.when(headed, F.nullif(F.regexp_extract(scripts, IMAGE, 1), F.lit(""))))
     problem = F.when(~F.col("headed"), F.when(~F.coalesce(no_data(page), F.lit(False)), "heading")).when(F.col("name").isNull(), "name").when(F.col("image").isNull(), "image").when(~F.col("image").contains("enc="), "unsigned image")
-    return found.withColumn("problem", problem).drop("nodes", "within", "headed")
+    return found.withColumn("problem", problem).drop("page_picks", "within", "headed")
 
 
 def search_results(pages: DataFrame) -> DataFrame:
     """`pages` (html, …) with total, cards (name, cid) and problem; no rows are right only where the page says so."""
-    page = F.col("nodes")
-    found = pages.withColumn("nodes", nodes("html")).withColumn("cards", each(page, rows_of(page), lambda _, own: card_row(page, own))).withColumn("total", counts(text(page, page, "text"), F.lit("en"))["total"])
+    page = F.col("page_picks")
+    found = pages.withColumn("page_picks", picked("html", text=TEXT, rows=rows_of(CARD), none=NONE)).withColumn("cards", F.transform(page["rows"], card_row)).withColumn("total", counts(only(page["text"]), F.lit("en"))["total"])
     none = F.size("cards") == 0
     problem = F.when(none & ~no_data(page), "no rows").when(~none & F.col("total").isNull(), "total")
-    return found.withColumn("total", F.when(none, F.lit(0).cast("long")).otherwise(F.col("total"))).withColumn("problem", F.coalesce(first_problem(F.col("cards")), problem)).drop("nodes")
+    return found.withColumn("total", F.when(none, F.lit(0).cast("long")).otherwise(F.col("total"))).withColumn("problem", F.coalesce(first_problem(F.col("cards")), problem)).drop("page_picks")

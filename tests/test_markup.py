@@ -1,3 +1,5 @@
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lacewing.operators import records
@@ -43,3 +45,28 @@ def test_artworks(spark):
     rows = [(1, 1, "ko", "k", False), (1, 1, "ja", "p", True), (1, 1, "en", "e", False), (1, 2, "en", "p", True), (1, 2, "ja", "p", True), (2, 1, "ja", "b", False), (2, 1, "ja", "a", None), (2, 1, "xx", "z", False), (3, 1, "xx", "z", False)]
     found = records.artworks(spark.createDataFrame(rows, "cid int, ciid int, l string, sha string, empty boolean"), ["cid", "ciid"], F.col("l"), "sha", F.col("empty"), ("ja", "en", "ko"))
     assert {tuple(r) for r in found.collect()} == {(1, 1, "en", "e", "ja", False), (1, 2, None, None, "ja,en", True), (2, 1, "ja", "a", "", False)}
+
+
+def test_picks_read_what_nodes_read(spark):
+    """Plain tags are tokenized by one expression and read once for all alike; torn ones as ever. Both must give the nodes' answers."""
+    bits = ["<p>", "</p>", "<b class='a  x'>", "<td  Class='y'\n id=3 />", "</b>", "a &amp; b", "<br>", "<title>", "</title>", "<script>", "</script>", "x > y", "<!-- c <p> -->", "<!--d-->", "<i class=a id=k1 href='/x?o=1&copy=2&c=4'>", "<", '>"', "</p x>", "<!doctype html>"]
+    random = np.random.default_rng(3)
+    pages = [None, "", PAGE, "a\x00<p \x00=1>b</p>", "<p class=a>" * 300, *("".join(random.choice(bits, random.integers(1, 12))) for _ in range(600))]
+    n, q, inner = F.col("n"), F.col("q"), {"tag": markup.Pick("@class", markup.THIS), "p": markup.Pick("text", "p")}
+    picks = {"text": markup.Pick("text", css="a"), "own": markup.Pick("own", css="a"), "ids": markup.Pick("@id", begins=(("id", "k"),)), "code": markup.Pick("value", "#script"), "held": markup.Pick("@class", "b", within="a"), "rows": markup.Pick(inner, "b", "x")}
+    held = F.filter(markup.tagged(n, "b"), lambda x: F.exists(markup.classed(n, "a"), lambda y: (y["at"] < x["at"]) & (x["at"] <= y["last"])))
+    want = F.struct(
+        markup.texts(n, markup.classed(n, "a")).alias("text"), F.transform(markup.classed(n, "a"), lambda x: markup.own_text(markup.inside(n, x), x)).alias("own"),
+        F.transform(F.filter(n, lambda x: F.coalesce(F.startswith(markup.attribute(x, "id"), F.lit("k")), F.lit(False))), lambda x: markup.attribute(x, "id")).alias("ids"),
+        F.transform(F.filter(n, lambda x: x["tag"] == "#script"), lambda x: x["value"]).alias("code"), F.transform(held, lambda x: markup.attribute(x, "class")).alias("held"),
+        markup.each(n, F.filter(markup.tagged(n, "b"), lambda x: markup.has_class(x, "x")), lambda x, own: F.struct(F.array(markup.attribute(x, "class")).alias("tag"), markup.texts(n, markup.tagged(own, "p")).alias("p"))).alias("rows"),
+    )
+    rows = df(spark, *pages).withColumn("q", markup.picked("html", **picks)).select("html", q, want.alias("want")).collect()
+    assert len(rows) == len(pages) and rows[0].q is None and [r.html for r in rows if r.html is not None and r.q != r.want] == []
+
+
+def test_few_pages_are_objects_at_once():
+    """A batch of long pages would be gigabytes of Python objects."""
+    html = pa.array(["<p>" * 100_000, None] * 20)
+    parts = list(markup._slices(html))
+    assert [x for part in parts for x in part] == html.to_pylist() and max(sum(len(x or "") for x in part) for part in parts) < 2 * markup.PAGES_AT_ONCE
