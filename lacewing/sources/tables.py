@@ -13,6 +13,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def dealt(df: DataFrame, *key: str) -> DataFrame:
+    """The rows dealt by key to all cores: rows of few bytes may become long work, which files and adaptive partitions of a few tasks would
+    leave to some of them."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *key)
+
+
 def moment(value: object) -> Column:
     """A fixed time without zone. `as_of` is always an argument of the operators, so a rerun gives what the run gave."""
     return F.lit(str(value)).cast("timestamp_ntz")
