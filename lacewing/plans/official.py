@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import records, review
 from ..sources import official
-from ..sources.tables import table
+from ..sources.tables import dealt, table
 
 
 def joined(*parts: Column | str) -> Column:
@@ -19,13 +19,15 @@ def card(cid: Column, name: Column, link: Column, more: Column | str = "") -> Co
 
 
 def list_cards(spark: SparkSession, d: str) -> DataFrame:
-    """Pages of 20 parts in three locales by key; some links are wrong, some pages say a wrong range."""
+    """Pages of 20 parts in three locales by key; some links are wrong, some pages say a wrong range. Their total is that of full pages up to the last."""
     k = F.col("p_partkey")
-    rows = table(spark, d, "part").select(F.floor(k / 20).alias("n"), k, card(k, F.col("p_name"), F.when(k % 333 == 332, 0).otherwise(k)).alias("row"))
+    parts = dealt(table(spark, d, "part").select(F.floor(k / 20).alias("n"), k, "p_name"), "n")
+    rows = parts.select("n", k, card(k, F.col("p_name"), F.when(k % 333 == 332, 0).otherwise(k)).alias("row"))
     pages = rows.groupBy("n").agg(F.array_join(F.array_sort(F.collect_list("row")), "").alias("rows"))
     n, first = F.col("n"), F.col("n") * 20 + 1
     last = F.col("n") * 20 + F.when(F.col("n") % 7 == 6, 19).otherwise(20)
-    text = F.when(n % 3 == 0, joined("検索結果 100,000件中 ", first, "～", last, "件を表示")).when(n % 3 == 1, joined("Search Results: ", first, " - ", last, " of 100,000")).otherwise(joined("검색결과 100,000건 중 ", first, "~", last, "건을 표시"))
+    cards = F.format_number(table(spark, d, "part").agg((F.floor(F.max(k) / 20) + 1) * 20).scalar(), 0)
+    text = F.when(n % 3 == 0, joined("検索結果 ", cards, "件中 ", first, "～", last, "件を表示")).when(n % 3 == 1, joined("Search Results: ", first, " - ", last, " of ", cards)).otherwise(joined("검색결과 ", cards, "건 중 ", first, "~", last, "건을 표시"))
     html = joined('<div class="sort_set"><div class="text">', text, "</div></div>", F.col("rows"))
     locale = F.when(n % 3 == 0, "ja").when(n % 3 == 1, "en").otherwise("ko")
     found = official.list_pages(pages.select("n", locale.alias("locale"), (n + 1).alias("page"), html.alias("html")), 20)
@@ -106,7 +108,7 @@ def search_results(spark: SparkSession, d: str) -> DataFrame:
 def detail_names(spark: SparkSession, d: str) -> DataFrame:
     """A part's detail page in three locales: one in five isn't in the second, some have no image, no name, or an address without signature."""
     k, locale = F.col("p_partkey"), F.explode(F.array(*map(F.lit, ("ja", "en", "ko")))).alias("locale")
-    rows = table(spark, d, "part").select(k, "p_name", locale)
+    rows = dealt(table(spark, d, "part").select(k, "p_name"), "p_partkey").select(k, "p_name", locale)
     name = F.when(k % 29 == 0, "").otherwise(joined(F.col("p_name"), " &amp; ", F.col("locale")))
     address = joined("/image?cid=", k, F.when(k % 31 == 0, "").otherwise("&enc=a"), "&l=", F.col("locale"))
     script = F.when(k % 37 == 0, "").otherwise(joined("<script>$('#card_image_1').attr('src', '", address, "');</script>"))

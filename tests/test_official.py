@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from lacewing.operators import review
+from lacewing.plans import official as plans
+from lacewing.plans import shop
 from lacewing.sources import official
 
 BADGE = '<div class="lr_icon rid_{r}"><p>N</p><span>Normal</span></div>'
@@ -47,3 +49,15 @@ def test_decisions(spark):
     c = spark.createDataFrame([([(1, "A"), (2, "b"), (3, "c"), (4, "B")],)], "c array<struct<cid:bigint,name:string>>")
     top = c.select(review.reference_first(F.struct(F.lit(9).cast("bigint").alias("cid"), F.lit("B").alias("name")), F.col("c")).alias("c")).first().c
     assert [x.cid for x in top] == [9, 1, 3]
+
+
+def test_list_beyond_a_hundred_thousand_cards(spark, tmp_path):
+    spark.createDataFrame([(k, f"n{k}") for k in range(100_000, 100_040)], "p_partkey long, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    rows = plans.list_cards(spark, str(tmp_path)).collect()
+    assert len(rows) == 40 and {(r.n, r.problem) for r in rows} == {(5000, None), (5001, None)}
+
+
+def test_pages_of_parts_are_dealt_to_all_cores(spark, tmp_path):
+    """A small file is one task, however many cores there are, and its pages are long work."""
+    spark.range(100).selectExpr("id as p_partkey", "'n' as p_name").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    assert {q(spark, str(tmp_path)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism for q in (plans.detail_names, shop.search_pages)} == {True}
