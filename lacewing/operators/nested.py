@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import with_value
+
 #: What parts the keys of a rule within; no key of a rule may hold it.
 _SEP = "\x1f"
 KINDS = {"object": "OBJECT", "map": "OBJECT", "array": "ARRAY", "bigint": "BIGINT", "string": "STRING", "boolean": "BOOLEAN", "double": "DOUBLE|DECIMAL|BIGINT"}
@@ -39,36 +41,38 @@ class Shape:
 def faults(rows: DataFrame, key: list[str], text: str, shape: Shape) -> DataFrame:
     """(key, path, fault): `not JSON`, and each `unknown`, `missing` and ill-typed (`type`) key of the JSON in `text`, by its path.
 
-    Each level of the shape opens the objects and arrays of the one above where they lie; nothing is shuffled. What stands under an
+    Each level of the shape opens the objects and arrays of the one above where they lie and passes on the faults found before, so that
+    a document is read once; nothing is shuffled. What stands under an
     unknown or ill-typed key isn't looked at. A null text is not JSON.
     """
-    spark, named, key = rows.sparkSession, key, [f"key_{i}" for i in range(len(key))]
-    level = rows.select(*[F.col(n).alias(k) for n, k in zip(named, key)], F.lit("$").alias("path"), F.lit("$").alias("rule"), F.try_parse_json(text).alias("v"))
-    out = level.where("v is null").select(*key, "path", F.lit("not JSON").alias("fault"))
-    level = level.where("v is not null")
+    named, key = key, [f"key_{i}" for i in range(len(key))]
+    row = lambda path, rule, v, fault: F.struct(path.alias("path"), rule.alias("rule"), v.alias("v"), fault.alias("fault"))
+    void, sound = F.lit(None).cast("variant"), F.lit(None).cast("string")
+    start = rows.select(*[F.col(n).alias(k) for n, k in zip(named, key)], F.try_parse_json(text).alias("v"))
+    level = start.select(*key, F.lit("$").alias("path"), F.lit("$").alias("rule"), "v", F.when(F.col("v").isNull(), "not JSON").alias("fault"))
     for depth in range(shape.depth):
         kind = shape.of(F.col("rule"), {r: k.removesuffix("?") for r, k in shape.kind.items()})
-        actual = F.regexp_extract(F.schema_of_variant("v"), "^[A-Z]+", 0)
-        nullable = F.col("rule").isin([r for r, k in shape.kind.items() if k.endswith("?")])
         wanted = shape.of(F.col("rule"), {r: KINDS[k.removesuffix("?")] for r, k in shape.kind.items()})
-        fits = F.array_contains(F.split(wanted, r"\|"), actual) | ((actual == "VOID") & nullable)
-        seen = level.withColumns({"kind": kind, "fits": F.coalesce(fits, F.lit(False))})
-        fault = F.when(F.col("kind").isNull(), "unknown").when(~F.col("fits"), "type")
-        out = out.unionByName(seen.select(*key, "path", fault.alias("fault")).where("fault is not null"))
-        whole = seen.where("fits")
+        nullable = F.col("rule").isin([r for r, k in shape.kind.items() if k.endswith("?")])
+        # parts are taken with the names in them alone; variant_explode gives each the names of the whole document
+        opened = level.withColumns({"kind": kind, "entries": F.try_variant_get("v", "$", "map<string,variant>"), "items": F.try_variant_get("v", "$", "array<variant>")})
+        scalar = F.regexp_extract(F.schema_of_variant("v"), "^[A-Z]+", 0)
+        actual = F.when(F.col("entries").isNotNull(), "OBJECT").when(F.col("items").isNotNull(), "ARRAY").otherwise(scalar)
+        fits = with_value(actual, lambda x: F.array_contains(F.split(wanted, r"\|"), x) | ((x == "VOID") & nullable))
+        fault = F.coalesce("fault", F.when(F.col("kind").isNull(), "unknown").when(~F.coalesce(fits, F.lit(False)), "type"))
+        path = lambda name: F.concat_ws(".", "path", name)
+        under = lambda name: F.concat_ws(_SEP, "rule", name)
+        parts = F.when(F.col("kind") == "array", F.transform("items", lambda v, i: row(path(i.cast("string")), under(F.lit("*")), v, sound)))
+        parts = parts.when(F.col("kind").isin("object", "map"), F.transform(F.map_entries("entries"), lambda e: row(path(e["key"]), under(F.when(F.col("kind") == "map", "*").otherwise(e["key"])), e["value"], sound)))
+        gone = F.array().cast("array<string>")
         for rule, keys in shape.keys.items():
             if keys and rule.count(_SEP) == depth:
-                absent = F.array(*[F.when(F.try_variant_get("v", _step(k), "variant").isNull(), F.lit(k)) for k in keys])
-                gone = whole.where(F.col("rule") == rule).select(*key, "path", F.explode(F.array_compact(absent)).alias("k"))
-                out = out.unionByName(gone.select(*key, F.concat_ws(".", "path", "k").alias("path"), F.lit("missing").alias("fault")))
-        inner = whole.where(F.col("kind").isin("object", "map", "array")).lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).toDF("pos", "k", "value"))
-        name = F.coalesce("k", F.col("pos").cast("string"))
-        level = inner.select(*key, F.concat_ws(".", "path", name).alias("path"), F.concat_ws(_SEP, "rule", F.when(F.col("kind") == "object", F.col("k")).otherwise("*")).alias("rule"), F.col("value").alias("v"))
-    return out.select(*[F.col(k).alias(n) for n, k in zip(named, key)], "path", "fault")
-
-
-def _step(key: str) -> str:
-    return "$['" + key.replace("\\", "\\\\").replace("'", "\\'") + "']"
+                gone = F.when(F.col("rule") == rule, F.filter(F.array(*map(F.lit, keys)), lambda k: ~F.map_contains_key("entries", k))).otherwise(gone)
+        missing = F.transform(gone, lambda k: row(path(k), F.col("rule"), void, F.lit("missing")))
+        judged = opened.withColumn("fault", fault)
+        inner = F.when(F.col("fault").isNotNull(), F.array(row(F.col("path"), F.col("rule"), void, F.col("fault")))).otherwise(F.concat(missing, F.coalesce(parts, F.array().cast("array<struct<path:string,rule:string,v:variant,fault:string>>"))))
+        level = judged.select(*key, F.explode(inner).alias("at")).select(*key, "at.*")
+    return level.where("fault is not null").select(*[F.col(k).alias(n) for n, k in zip(named, key)], "path", "fault")
 
 
 NAMES = ("name_ja", "name_en", "name_ko")

@@ -139,3 +139,12 @@ def test_deck_order_names_the_card_it_cannot_place(spark):
     for bad, what in (((7, "N", 1), "card 7: not in"), ((4, "N", 1), "card 4: level"), ((1, "X", 1), "card 1: rarity")):
         with pytest.raises(Exception, match=what):
             deck.sorted_deck(rows.union(spark.createDataFrame([bad], rows.schema)), cards, ("R", "N")).collect()
+
+
+def test_faults_read_a_document_once(spark):
+    """As a union of levels every level parsed each document again, and each part of a document carried the names of all of it."""
+    doc = "{" + ",".join(f'"card {i}":{{"cid":{i},"extra":null}}' for i in range(3000)) + "}"
+    found = nested.faults(spark.createDataFrame([(1, doc)], "k int, doc string"), ["k"], "doc", nested.Shape({"*": {"cid": "bigint", "x": "string?"}}))
+    plan = found._jdf.queryExecution().executedPlan().toString().lower()
+    assert plan.count("scan existingrdd") == 1 and "variant_explode" not in plan
+    assert found.groupBy("fault").count().orderBy("fault").collect() == [("missing", 3000), ("unknown", 3000)]
