@@ -102,16 +102,26 @@ def turned_back(polygon: Column, turns: Column, width: Column, height: Column) -
 
 
 def _boxes(boxes: DataFrame, photo: list[str]) -> DataFrame:
-    return boxes.select(*photo, "id", "score", "polygon", *[c.alias(n) for n, c in bounds(F.col("polygon")).items()])
+    """The boxes with their bounds, area (that of the corners, unless it is given) and whether they stand upright, so fill their bounds."""
+    area = F.col("area") if "area" in boxes.columns else F.abs(signed_area(F.col("polygon")))
+    found = boxes.select(*photo, "id", "score", "polygon", area.alias("area"), *[c.alias(n) for n, c in bounds(F.col("polygon")).items()])
+    corner = lambda p: ((p[0] == F.col("x0")) | (p[0] == F.col("x1"))) & ((p[1] == F.col("y0")) | (p[1] == F.col("y1")))
+    return found.withColumn("upright", F.forall("polygon", corner) & (F.size(F.array_distinct("polygon")) == 4))
 
 
 def _overlapping(measure: str, most: float) -> Overlap:
-    """Pairs whose bounds meet are clipped; those remain that overlap by more than `most` in `measure`."""
+    """Pairs whose bounds meet are clipped; those remain that overlap by more than `most` in `measure`. What two upright boxes share is the
+    product of what their sides share: clipping them would decide those that overlap by just `most` by its rounding."""
+    side = lambda x: F.least(f"a_{x}1", f"b_{x}1") - F.greatest(f"a_{x}0", f"b_{x}0")
+    shared, (a, b) = F.greatest(side("x"), F.lit(0.0)) * F.greatest(side("y"), F.lit(0.0)), map(F.col, ("a_area", "b_area"))
+    straight = shared > most * (a + b - shared if measure == "iou" else F.least(a, b))
 
     def too_much(pairs: DataFrame) -> DataFrame:
         meet = (F.col("a_x0") < F.col("b_x1")) & (F.col("b_x0") < F.col("a_x1")) & (F.col("a_y0") < F.col("b_y1")) & (F.col("b_y0") < F.col("a_y1"))
         keys = [c for c in pairs.columns if not c.startswith(("a_", "b_"))]
-        return overlaps(pairs.where(meet).select(*keys, "b_id", F.col("a_polygon").alias("a"), F.col("b_polygon").alias("b"))).where(F.col(measure) > most)
+        known = F.when(F.col("a_upright") & F.col("b_upright"), straight).alias("straight")
+        met = pairs.where(meet).select(*keys, "b_id", known, F.col("a_polygon").alias("a"), F.col("b_polygon").alias("b"))
+        return overlaps(met.where(F.coalesce("straight", F.lit(True)))).where(F.coalesce("straight", F.col(measure) > most)).drop("straight")
 
     return too_much
 
@@ -128,8 +138,8 @@ def merge_passes(boxes: DataFrame, photo: list[str], most: float = 0.5, of_small
     """Of the boxes (turns, id, score, polygon on the photo as it was) that a detector found on each photo and on its turned copies, those
     that are kept. Upright boxes (turns 0) that overlap no better upright one too much stay as they are. Those of the turned
     passes, after the same choice among themselves, are added by score where they cover at most `of_smaller` of the smaller of
-    themselves and every box kept before."""
-    found = boxes.select(*photo, "id", "score", "polygon", "turns")
+    themselves and every box kept before. An `area` column stands for that of the corners, which have been rounded."""
+    found = boxes.select(*photo, "id", "score", "polygon", "turns", *[c for c in ("area",) if c in boxes.columns])
     key = [*photo, "id"]
     one_way = [found.where(w).drop("turns").join(suppress_boxes(found.where(w), photo, most), key) for w in (F.col("turns") == 0, F.col("turns") > 0)]
     upright, turned = (stored(_boxes(b, photo), "pass") for b in one_way)
