@@ -120,7 +120,7 @@ def _overlapping(measure: str, most: float) -> Overlap:
         meet = (F.col("a_x0") < F.col("b_x1")) & (F.col("b_x0") < F.col("a_x1")) & (F.col("a_y0") < F.col("b_y1")) & (F.col("b_y0") < F.col("a_y1"))
         keys = [c for c in pairs.columns if not c.startswith(("a_", "b_"))]
         known = F.when(F.col("a_upright") & F.col("b_upright"), straight).alias("straight")
-        met = pairs.where(meet).select(*keys, "b_id", known, F.col("a_polygon").alias("a"), F.col("b_polygon").alias("b"))
+        met = pairs.where(meet).select(*keys, "a_id", "b_id", known, F.col("a_polygon").alias("a"), F.col("b_polygon").alias("b"))
         return overlaps(met.where(F.coalesce("straight", F.lit(True)))).where(F.coalesce("straight", F.col(measure) > most)).drop("straight")
 
     return too_much

@@ -2,7 +2,8 @@
 
 What is kept one after another in score order is also found in rounds: an item that no better undecided item can overlap is kept,
 and what it overlaps too much goes. Items that can overlap share a cell, so a round needs the best item of each cell and never
-pairs all items of a cell with each other; a group of any size is spread over its cells.
+pairs all items of a cell with each other; a group of any size is spread over its cells. Groups of a few items, which would be mostly
+cells of their own, are shuffled once and compared in pairs instead.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from .numbering import stored
 
 #: The finest and the coarsest cells are of 2 to the power of these, in units of the coordinates, which lie below the coarsest.
 FINEST, COARSEST = -20, 40
+#: Items of a group whose pairs are compared as they are; a larger group goes by cells.
+FEW = 32
 Overlap = Callable[[DataFrame], DataFrame]
 
 
@@ -50,16 +53,29 @@ def meeting(items: DataFrame, group: list[str], axes: list[tuple[str, str]]) ->
     return a.join(b, cell).where(meet).dropDuplicates([*group, "a_id", "b_id"]).drop("a_own", "b_own", *cell[len(group) :])
 
 
+def _beaten_of_few(items: DataFrame, group: list[str], payload: list[str], too_much: Overlap) -> DataFrame:
+    """(group, id) of the items, of groups of at most FEW, that overlap a better kept one too much; `firm` ones stand first and are never
+    beaten. The overlaps of a group are one row, best item first, so that when an item's turn comes it is known whether it is kept."""
+    a, b = (items.select(*group, *[F.col(c).alias(f"{s}_{c}") for c in (*payload, "firm")]) for s in "ab")
+    better = F.col("a_firm") | (F.col("a_score") > F.col("b_score")) | ((F.col("a_score") == F.col("b_score")) & (F.col("a_id") < F.col("b_id")))
+    pairs = a.join(b, group).where(~F.col("b_firm") & better).withColumn("_open", ~F.col("a_firm")).withColumn("_score", -F.col("a_score"))
+    place = F.struct(F.col("_open").alias("open"), F.col("_score").alias("score"), F.col("a_id").alias("better"), F.col("b_id").alias("worse"))
+    told = too_much(pairs.drop("a_firm", "b_firm")).groupBy(*group).agg(F.sort_array(F.collect_list(place)).alias("told"))
+    none = F.array().cast(f"array<{items.schema['id'].dataType.simpleString()}>")
+    gone = F.aggregate("told", none, lambda gone, p: F.when(~p["open"] | ~F.array_contains(gone, p["better"]), F.array_union(gone, F.array(p["worse"]))).otherwise(gone))
+    return told.select(*group, F.explode(gone).alias("id"))
+
+
 def keep_best(items: DataFrame, group: list[str], axes: list[tuple[str, str]], too_much: Overlap, least_ratio: float | None, kept_first: DataFrame | None = None) -> DataFrame:
     """(group, id) of the items that are kept: by descending score, then ascending id, each that overlaps no kept one too much.
 
     `items` has the columns of `group`, id, score and the bounds in `axes`, and what `too_much` reads: that gets pairs of items (group,
-    a_..., b_...) whose cells meet and gives those that overlap too much. `least_ratio` is the least ratio of widths at which two
+    a_..., b_...) that may meet and gives those that overlap too much, with both ids and all columns of other names. `least_ratio` is the least ratio of widths at which two
     items may overlap too much, None if any may. Items of `kept_first` are kept whatever they overlap, and stand against
     the others. Items with a bound that is null or not finite overlap with nothing and are kept; bounds of 2^40 and more are an
-    error. A null score, or one that is no number, is the lowest; (group, id) must be unique and without null. There are as many
-    rounds as the longest chain of items each waiting for a better one has; every round is a stored table, and its work is that
-    of the items still undecided.
+    error. A null score, or one that is no number, is the lowest; (group, id) must be unique and without null. Groups of at
+    most FEW items, kept_first included, are settled at once. For the others there are as many rounds as the longest chain of items
+    each waiting for a better one has; every round is a stored table, and its work is that of the items still undecided.
     """
     key = [*group, "id"]
     known = F.lit(True)
@@ -71,6 +87,20 @@ def keep_best(items: DataFrame, group: list[str], axes: list[tuple[str, str]], t
     payload = [c for c in items.columns if c not in (*group, "placed")]
     kept = [items.where(~F.col("placed")).select(*key)]
     open_ = items.where("placed").drop("placed")
+    firm = None
+    if kept_first is not None:
+        firm = stored(kept_first.withColumn("score", score).select(*open_.columns), "kept-first")
+        kept.append(firm.select(*key))
+        firm, open_ = firm.where(known), open_.join(firm.select(*key), key, "left_anti")
+    all_ = open_.withColumn("firm", F.lit(False))
+    if firm is not None:
+        all_ = all_.unionByName(firm.withColumn("firm", F.lit(True)))
+    crowded = stored(all_.groupBy(*group).agg(F.count("*").alias("n")).where(F.col("n") > FEW).select(*group), "crowded")
+    beaten_few = stored(_beaten_of_few(all_.join(crowded, group, "left_anti"), group, payload, too_much), "beaten")
+    kept.append(open_.select(*key).join(crowded, group, "left_anti").join(beaten_few, key, "left_anti"))
+    open_ = open_.join(crowded, group, "left_semi")
+    if firm is not None:
+        firm = firm.join(crowded, group, "left_semi")
     coarsest = _coarsest(open_, axes)
     reach = COARSEST - FINEST if least_ratio is None else max(1, next(k for k in range(64) if 2.0**-k <= least_ratio))
     cover = lambda df: _cells(df, axes, reach, FINEST, coarsest)
@@ -83,10 +113,7 @@ def keep_best(items: DataFrame, group: list[str], axes: list[tuple[str, str]], t
         met = a.join(b, cell).where(F.col("a_own") | F.col("b_own"))
         return too_much(met.select(*group, *[f"a_{c}" for c in payload], *[f"b_{c}" for c in payload])).select(*group, F.col("b_id").alias("id")).distinct()
 
-    if kept_first is not None:
-        firm = stored(kept_first.withColumn("score", score).select(*open_.columns), "kept-first")
-        kept.append(firm.select(*key))
-        open_ = open_.join(firm.select(*key), key, "left_anti")
+    if firm is not None:
         open_ = stored(open_.join(beaten(firm, open_), key, "left_anti"), "undecided")
     while not open_.isEmpty():
         covered = cover(open_).select(*cell, "is_own", "id", "score")

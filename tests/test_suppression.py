@@ -151,3 +151,28 @@ def test_upright_boxes_that_overlap_by_just_the_limit(spark, tmp_path):
     db = duckdb.connect()
     db.sql(f"create view events as from '{tmp_path}/events.parquet/*.parquet'")
     assert got == set(db.sql(shop.SQL["merged_passes"]).fetchall())
+
+
+def test_small_groups_never_go_by_cells(spark, monkeypatch):
+    """Each of their items was shuffled with its polygon once for every cell of every level and round."""
+    rng = random.Random(5)
+    rows = [(i // 9, float(rng.randint(0, 60)), 2.0 ** rng.uniform(0, 5), rng.choice([None, 1.0, 1.0, 2.0, rng.random()]), i) for i in range(900)]
+    monkeypatch.setattr(suppression, "_cells", None)
+    got = suppression.suppress_intervals(spark.createDataFrame(rows, LINE), "u", 0.3)
+    want = greedy([(r[0], r[3], r[4], (r[1], r[2])) for r in rows], over(0.3))
+    assert {tuple(r) for r in got.collect()} == want and 300 < len(want) < 800
+
+
+@pytest.mark.parametrize("few", [0, 12, 1000])
+def test_pairs_and_cells_keep_the_same(spark, monkeypatch, few):
+    rng = random.Random(6)
+    rows = [(rng.choice([1, 1, 1, 2, 2, 3, 4]), float(rng.randint(0, 90)), 2.0 ** rng.uniform(0, 5), rng.choice([None, 1.0, 2.0, rng.random()]), i) for i in range(90)]
+    df = spark.createDataFrame(rows, LINE).withColumn("end", F.col("begin") + F.col("length"))
+    shared = F.least("a_end", "b_end") - F.greatest("a_begin", "b_begin")
+    monkeypatch.setattr(suppression, "FEW", few)
+    got = suppression.keep_best(df, ["u"], [("begin", "end")], lambda p: p.where(shared > 0.3 * F.least("a_length", "b_length")), None, kept_first=df.where("id % 9 = 0"))
+    smaller = lambda a, b: min(a[0] + a[1], b[0] + b[1]) - max(a[0], b[0]) > 0.3 * min(a[1], b[1])
+    flat = [(r[0], r[3], r[4], (r[1], r[2])) for r in rows]
+    first = {u: [r[3] for r in flat if r[0] == u and r[2] % 9 == 0] for u in (1, 2, 3, 4)}
+    want = {(r[0], r[2]) for r in flat if r[2] % 9 == 0} | greedy([r for r in flat if r[2] % 9], smaller, first)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
