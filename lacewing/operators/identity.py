@@ -54,10 +54,11 @@ def coverage(listed: DataFrame, prints: DataFrame, key: str) -> DataFrame:
 
 
 def set_difference(left: DataFrame, right: DataFrame, names: tuple[str, str]) -> DataFrame:
-    """Rows that only one side has, tagged with its name; empty if the two sets are equal."""
-    a, b = left.distinct(), right.distinct()
-    only_a = a.join(b, a.columns, "left_anti").withColumn("only_in", F.lit(names[0]))
-    return only_a.unionByName(b.join(a, a.columns, "left_anti").withColumn("only_in", F.lit(names[1])))
+    """Rows that only one side has, tagged with its name; empty if the two sets are equal. Nulls are equal, as in EXCEPT. Both sides are one
+    aggregation, whose map side drops repeats, and nothing is sorted."""
+    both = left.withColumn("only_in", F.lit(names[0])).unionByName(right.withColumn("only_in", F.lit(names[1])))
+    sides = both.groupBy(*left.columns).agg(F.count_if(F.col("only_in") == names[0]).alias("here"), F.count_if(F.col("only_in") == names[1]).alias("there"))
+    return sides.where("here = 0 or there = 0").select(*left.columns, F.when(F.col("here") > 0, names[0]).otherwise(names[1]).alias("only_in"))
 
 
 def inconsistent(rows: DataFrame, keys: list[str], value: Column) -> DataFrame:
