@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Which rids a shop's label may mean.
 FAMILIES = {"1-URGENT": [1], "2-HIGH": [2], "3-MEDIUM": [3, 4], "4-NOT SPECIFIED": [], "5-LOW": [5, 6, 7]}
+#: All rids that a label may mean; one's place is its bit.
+RIDS = sorted({r for rids in FAMILIES.values() for r in rids})
 PRICED = ("ok", "out_of_stock", "stock_unknown")
 BY_STOCK = {"in_stock": "ok", "out_of_stock": "out_of_stock"}
 
@@ -20,6 +22,30 @@ def family(label: Column) -> Column:
     return out.otherwise(F.array().cast("array<int>"))
 
 
+def rid_bit(rid: Column) -> Column:
+    """The bit of a rid; 0 for one that no label means."""
+    out = F.when(rid == RIDS[0], 1)
+    for i, r in enumerate(RIDS[1:], 1):
+        out = out.when(rid == r, 1 << i)
+    return out.otherwise(0).cast("long")
+
+
+def family_bits(label: Column) -> Column:
+    """The bits of a label's rids."""
+    out = F.when(F.lit(False), 0)
+    for name, rids in FAMILIES.items():
+        out = out.when(label == name, sum(1 << RIDS.index(r) for r in rids))
+    return out.otherwise(0).cast("long")
+
+
+def only_rid(bits: Column) -> Column:
+    """The rid of the only bit; null if there are none or several."""
+    out = F.when(bits == 1, RIDS[0])
+    for i, r in enumerate(RIDS[1:], 1):
+        out = out.when(bits == 1 << i, r)
+    return out
+
+
 def mapped_rid(label_rids: Column, printed: Column) -> Column:
     """The one rid that the label may mean and that is printed at the number; null if none or several are."""
     both = F.array_intersect(label_rids, printed)

@@ -20,6 +20,15 @@ def dealt(df: DataFrame, *key: str) -> DataFrame:
     return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *key)
 
 
+#: Rows of a part, where a task sorts or groups all of its part.
+PART_ROWS = 500_000
+
+
+def spread(df: DataFrame, rows: int, *key: str) -> DataFrame:
+    """The rows dealt by key to as many parts as `rows` of them ask for, so that what a task holds doesn't grow with the table."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // PART_ROWS)), *key)
+
+
 def moment(value: object) -> Column:
     """A fixed time without zone. `as_of` is always an argument of the operators, so a rerun gives what the run gave."""
     return F.lit(str(value)).cast("timestamp_ntz")
