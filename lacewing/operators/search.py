@@ -39,6 +39,12 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(x, float) for x in column]) if len(column) else np.zeros((0, 0))
 
 
+def _dense(column: pa.Array) -> np.ndarray:
+    """The vectors of a list column, all of one length, as rows."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+
+
 def _answered(queries: DataFrame, vectors: DataFrame, answer: Answer, schema: str) -> DataFrame:
     """`answer` of (distances, block of queries, piece of vectors) for each block and piece of a cell; both sides have vec_id, label,
     embedding and cell. What is broadcast are counts, a row a cell."""
@@ -117,13 +123,21 @@ def nearest_labels(queries: DataFrame, vectors: DataFrame) -> DataFrame:
 def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Centres of the sample in one task: the first by hash, then rounds of assignment and means; a centre without vectors takes the
     vector farthest from its own."""
-    rows = sorted((nth, vec) for b in batches for nth, vec in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
-    x = np.array([v for _, v in rows], float)
+    nth, held = [], []
+    for b in batches:
+        nth.append(b.column(0).to_numpy())
+        held.append(_dense(b.column(1)))
+    x = np.concatenate(held)
+    x = x[np.lexsort((*x.T[::-1], np.concatenate(nth)))]
     centres = x[: max(1, len(x) // FITTED)].copy()
+    step = max(1, STEP_BYTES // (8 * len(centres)))
     for _ in range(ROUNDS):
-        far = (x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1)[None, :]
-        own = far.argmin(1)
-        away = np.argsort(-far[np.arange(len(x)), own], kind="stable")
+        own, apart = np.zeros(len(x), int), np.zeros(len(x))
+        for lo in range(0, len(x), step):
+            part = x[lo : lo + step]
+            far = (part * part).sum(1)[:, None] - 2 * part @ centres.T + (centres * centres).sum(1)[None, :]
+            own[lo : lo + step], apart[lo : lo + step] = far.argmin(1), far.min(1)
+        away = np.argsort(-apart, kind="stable")
         for c in range(len(centres)):
             mine = own == c
             centres[c] = x[mine].mean(0) if mine.any() else x[away[c]]
@@ -138,19 +152,25 @@ def centres(vectors: DataFrame) -> np.ndarray:
     return np.array([r.centre for r in sample.repartition(1).mapInArrow(_fitted, "centre array<double>").collect()], float)
 
 
+def cell_rows(batches: Iterator[pa.RecordBatch], place: int, c: np.ndarray, probes: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows once for each of their `probes` nearest of the centres `c`, in batches of about `most` bytes: a vector of many cells becomes
+    many rows."""
+    step = max(1, most // (8 * (len(c) + probes * c.shape[1])))
+    for whole in batches:
+        for lo in range(0, whole.num_rows, step):
+            batch = whole.slice(lo, step)
+            far = (c * c).sum(1)[None, :] - 2 * _dense(batch.column(place)) @ c.T
+            best = np.argsort(far, axis=1, kind="stable")[:, :probes]
+            row = pa.array(np.repeat(np.arange(len(best)), best.shape[1]))
+            yield pa.RecordBatch.from_arrays([*(col.take(row) for col in batch.columns), pa.array(best.ravel(), pa.int32()), pa.array(np.tile(np.arange(1, best.shape[1] + 1), len(best)), pa.int32())], names=[*batch.schema.names, "cell", "nth"])
+
+
 def in_cells(rows: DataFrame, fitted: np.ndarray, probes: int) -> DataFrame:
     """`rows` once for each of its `probes` nearest cells, with cell and nth (from 1); ties go to the lower cell."""
-    held = rows.sparkSession.sparkContext.broadcast(fitted)
-    place = rows.columns.index("embedding")
+    held, place, most = rows.sparkSession.sparkContext.broadcast(fitted), rows.columns.index("embedding"), STEP_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = held.value
-        for batch in batches:
-            x = np.array(batch.column(place).to_pylist(), float).reshape(-1, c.shape[1])
-            far = (c * c).sum(1)[None, :] - 2 * x @ c.T
-            best = np.argsort(far, axis=1, kind="stable")[:, :probes]
-            row = pa.array(np.repeat(np.arange(len(x)), best.shape[1]))
-            yield pa.RecordBatch.from_arrays([*(col.take(row) for col in batch.columns), pa.array(best.ravel(), pa.int32()), pa.array(np.tile(np.arange(1, best.shape[1] + 1), len(x)), pa.int32())], names=[*batch.schema.names, "cell", "nth"])
+        return cell_rows(batches, place, held.value, probes, most)
 
     return rows.mapInArrow(run, StructType([*rows.schema, StructField("cell", IntegerType()), StructField("nth", IntegerType())]))
 

@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lacewing.operators import matching, search
@@ -78,3 +81,23 @@ def test_few_vectors(spark):
     assert search.nearest_in_cells(queries, own, 8)[0].count() == 2
     for q, v in ((queries, own.limit(0)), (queries.limit(0), own)):
         assert search.nearest(q, v, 3).count() == 0 == search.nearest_in_cells(q, v, 3)[0].count() and search.nearest_labels(q, v).count() == 0
+
+
+def test_cells_are_given_in_batches_of_a_bounded_size():
+    """A batch of vectors with all its cells was one batch, and so were the distances of a fit's sample to all centres."""
+    rng = np.random.default_rng(5)
+    x, c = rng.normal(size=(3000, 16)).astype(np.float32), rng.normal(size=(300, 16))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(list(x), pa.list_(pa.float32()))], names=["vec_id", "embedding"])
+    rows, most = 0, 0
+    for b in search.cell_rows(iter([batch.slice(0, 1700), batch.slice(1700)]), 1, c, 300, 1 << 20):
+        rows, most = rows + b.num_rows, max(most, b.nbytes)
+        if b.column(0)[0].as_py() == 0:
+            far = ((x[0].astype(float) - c) ** 2).sum(1)
+            assert b.column(2).to_pylist()[:300] == np.argsort(far).tolist() and b.column(3).to_pylist()[:300] == list(range(1, 301))
+    assert rows == 3000 * 300 and most < 2 << 20
+    sample = pa.RecordBatch.from_arrays([pa.array(rng.permutation(20000)), pa.array(list(rng.normal(size=(20000, 8))), pa.list_(pa.float64()))], names=["nth", "embedding"])
+    tracemalloc.start()
+    (fit,) = search._fitted(iter([sample]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert fit.num_rows == 625 and peak < 150 << 20
