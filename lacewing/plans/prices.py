@@ -12,15 +12,17 @@ from ..sources.tables import latest, moment, spread, table
 KEYS = ["user_id", "event_type"]
 
 
-def listings(spark: SparkSession, d: str) -> DataFrame:
-    """Items with their order's label, dealt by order in parts of a bounded size."""
-    n = table(spark, d, "lineitem").count()
+def listings(spark: SparkSession, d: str, dealt: bool = False) -> DataFrame:
+    """Items with their order's label, if `dealt` by order in parts of a bounded size."""
     orders = table(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("label"))
     items = table(spark, d, "lineitem").select(
         F.col("l_partkey").alias("part"), F.col("l_linestatus").alias("edition"), (F.col("l_suppkey") % 4).alias("number"), F.col("l_linenumber").alias("rid"), F.col("l_orderkey").alias("product"),
         F.round("l_extendedprice").cast("long").alias("price"), F.when(F.col("l_returnflag") == "N", "in_stock").when(F.col("l_returnflag") == "R", "out_of_stock").otherwise("unknown").alias("stock"), F.col("l_shipdate").alias("observed"),
     )
-    return spread(items, n, "product").join(spread(orders, n, "o_orderkey"), F.col("product") == F.col("o_orderkey")).drop("o_orderkey")
+    if dealt:
+        n = table(spark, d, "lineitem").count()
+        items, orders = spread(items, n, "product"), spread(orders, n, "o_orderkey")
+    return items.join(orders, F.col("product") == F.col("o_orderkey")).drop("o_orderkey")
 
 
 def price_selection(spark: SparkSession, d: str) -> DataFrame:
@@ -67,7 +69,7 @@ select part, edition, rid, status, case when status in ('ok', 'out_of_stock', 's
 def label_map(spark: SparkSession, d: str) -> DataFrame:
     """Rids are bits in the order of `pricing.RIDS`: what a number prints is a number itself, and no row holds a list."""
     key = ["part", "edition", "number"]
-    pool = stored(listings(spark, d).groupBy(*key, "product", "label").agg(F.bit_or(pricing.rid_bit(F.col("rid"))).alias("own")), "pool")
+    pool = stored(listings(spark, d, dealt=True).groupBy(*key, "product", "label").agg(F.bit_or(pricing.rid_bit(F.col("rid"))).alias("own")), "pool")
     dealt = spread(pool, pool.count(), *key).withColumn("printed", F.bit_or("own").over(Window.partitionBy(*key)))
     both = pricing.family_bits(F.col("label")).bitwiseAND(F.col("printed"))
     return dealt.select(*key, "product", "label", F.bit_count(pricing.family_bits(F.col("label"))).cast("long").alias("family_size"), F.bit_count(both).cast("long").alias("shared"), pricing.only_rid(both).alias("mapped"))
