@@ -50,6 +50,7 @@ def stream_attempt_log(spark: SparkSession, d: str) -> DataFrame:
     """The log of all attempts. Every third event arrives three days late; arrivals come in files of eight days each, so that a file
     brings events older than those before it, and a last one closes the stream with a later time."""
     session, folder = attempts.with_state_store(spark), fresh_folder(spark, "arrivals")
+    session.conf.set("spark.sql.shuffle.partitions", str(2 * spark.sparkContext.defaultParallelism))  # each part opens a store and a worker a batch
     rows = table(session, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type")
     arrival = F.datediff("ts", F.lit("2024-01-01")) + F.when(F.col("event_id") % 3 == 0, 3).otherwise(0)
     last = rows.agg(F.max("ts").alias("ts"))
