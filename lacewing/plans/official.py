@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import records, review
 from ..sources import official
-from ..sources.tables import dealt, table
+from ..sources.tables import dealt, elements, table
 
 
 def joined(*parts: Column | str) -> Column:
@@ -31,7 +31,7 @@ def list_cards(spark: SparkSession, d: str) -> DataFrame:
     html = joined('<div class="sort_set"><div class="text">', text, "</div></div>", F.col("rows"))
     locale = F.when(n % 3 == 0, "ja").when(n % 3 == 1, "en").otherwise("ko")
     found = official.list_pages(pages.select("n", locale.alias("locale"), (n + 1).alias("page"), html.alias("html")), 20)
-    return found.select("n", "locale", "problem", F.explode("cards").alias("c")).select("n", "locale", "problem", "c.cid", "c.name")
+    return elements(found, F.col("cards"), "c", "n", "locale", "problem").select("n", "locale", "problem", "c.cid", "c.name")
 
 
 def badge(rid: Column, code: Column) -> Column:
@@ -57,15 +57,15 @@ def requoted_products(spark: SparkSession, d: str) -> DataFrame:
 
 def shown_products(pages: DataFrame) -> DataFrame:
     found = official.product_pages(pages)
-    return found.select("l_orderkey", "problem", F.explode("cards").alias("c")).select("l_orderkey", "problem", "c.cid", F.array_join(F.transform("c.rarities", lambda b: joined(b["rid"], ":", b["label"])), ",").alias("rarities"))
+    return elements(found, F.col("cards"), "c", "l_orderkey", "problem").select("l_orderkey", "problem", "c.cid", F.array_join(F.transform("c.rarities", lambda b: joined(b["rid"], ":", b["label"])), ",").alias("rarities"))
 
 
 def products_rendered(spark: SparkSession, d: str) -> DataFrame:
     """A product page for each order, a row for each part in it, badges by line number; the title has other white space."""
-    lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.array_sort(F.collect_set("l_linenumber")).alias("rids"))
+    lines = dealt(table(spark, d, "lineitem"), "l_orderkey").groupBy("l_orderkey", "l_partkey").agg(F.sort_array(F.collect_set("l_linenumber")).alias("rids"))
     icons = F.array_join(F.transform("rids", lambda r: badge(r, F.when(r == 7, "").otherwise(joined("R", r)))), "")
     row = card(F.col("l_partkey"), joined("Card ", F.col("l_partkey")), F.col("l_partkey"), icons)
-    pages = lines.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(row)), "").alias("rows"))
+    pages = lines.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list(row)), "").alias("rows"))
     k = F.col("l_orderkey")
     html = joined("<title>Product  ", F.when(k % 41 == 0, 0).otherwise(k), ' | Shop</title><div class="text">', F.col("n") + F.when(k % 37 == 0, 1).otherwise(0), " cards</div>", F.col("rows"))
     return pages.select("l_orderkey", joined("Product ", k).alias("name"), html.alias("html"))
@@ -83,15 +83,14 @@ def product_index(spark: SparkSession, d: str) -> DataFrame:
 def detail_prints(spark: SparkSession, d: str) -> DataFrame:
     """A detail page for each part with a print for each order it is in; some pages have another heading, none, or a date in words."""
     k = F.col("l_partkey")
-    lines = table(spark, d, "lineitem").groupBy("l_partkey", "l_orderkey").agg(F.array_sort(F.collect_set("l_linenumber")).alias("rids"), F.min("l_shipdate").alias("day"))
+    lines = dealt(table(spark, d, "lineitem"), "l_partkey").groupBy("l_partkey", "l_orderkey").agg(F.sort_array(F.collect_set("l_linenumber")).alias("rids"), F.min("l_shipdate").alias("day"))
     icons = F.array_join(F.transform("rids", lambda r: badge(r, joined("R", r))), "")
     day = F.when((k % 23 == 0) & (F.col("l_orderkey") % 2 == 0), "soon").otherwise(F.date_format("day", "yyyy-MM-dd"))
     row = joined('<div class="t_row"><input class="link_value" value="/x?ope=1&sess=1&pid=', F.col("l_orderkey"), '&rp=99999"><i class="time">', day, '</i><i class="card_number">', F.when(F.col("l_orderkey") % 5 == 0, "").otherwise(joined("N-", F.col("l_orderkey"))), "</i>", icons, "</div>")
     pages = lines.groupBy("l_partkey").agg(F.array_join(F.collect_list(row), "").alias("rows"))
     head = F.when(k % 19 == 0, "").otherwise(joined("<h1><span class='ruby'>x</span> Card  ", F.when(k % 17 == 0, 0).otherwise(k), "<span>EN</span></h1>"))
     found = official.detail_prints(pages.select("l_partkey", joined("card ", k).alias("name"), joined(head, F.col("rows")).alias("html")))
-    each = found.select("l_partkey", "problem", F.explode("prints").alias("p"))
-    return each.select("l_partkey", "problem", "p.pid", "p.card_number", "p.released", F.array_join(F.transform("p.rarities", lambda b: b["rid"].cast("string")), ",").alias("rarities"))
+    return elements(found, F.col("prints"), "p", "l_partkey", "problem").select("l_partkey", "problem", "p.pid", "p.card_number", "p.released", F.array_join(F.transform("p.rarities", lambda b: b["rid"].cast("string")), ",").alias("rarities"))
 
 
 def search_results(spark: SparkSession, d: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import with_value, without_space
 from .markup import THIS, Pick, only, picked
+from .tables import elements
 
 #: How each locale writes a list's total and range, in that order of groups, and the pages' markup.
 TOTALS = {
@@ -82,7 +83,8 @@ def index_products(pages: DataFrame) -> DataFrame:
     page = F.col("page_picks")
     pid = lambda own: F.regexp_extract(value_of(own["link"]), r"^[^?]*\?ope=1&sess=1&pid=([0-9]+)&rp=99999$", 1).try_cast("long")
     rows = F.transform(page["rows"], lambda own: F.struct(pid(own).alias("pid"), only(own["name"]).alias("name"), only(own["time"]).alias("released")))
-    parts = pages.select(picked("html", rows=rows_of({"link": _INPUT("link_value"), "name": Pick("text", css="main"), "time": Pick("text", css="time")})).alias("page_picks")).select(F.explode(rows).alias("row")).select("row.*")
+    picks = pages.select(picked("html", rows=rows_of({"link": _INPUT("link_value"), "name": Pick("text", css="main"), "time": Pick("text", css="time")})).alias("page_picks"))
+    parts = elements(picks, rows, "row").select("row.*")
     fault = F.when(F.col("pid").isNull() | F.col("name").isNull() | ~F.coalesce(F.col("released").rlike(DATE), F.lit(False)), "row")
     merged = parts.withColumn("fault", fault).groupBy("pid").agg(F.min("name").alias("name"), F.min("released").alias("released"), F.max("name").alias("n"), F.max("released").alias("r"), F.max("fault").alias("fault"))
     return merged.select("pid", "name", "released", F.coalesce("fault", F.when((F.col("name") != F.col("n")) | (F.col("released") != F.col("r")), "differs")).alias("problem"))

@@ -29,6 +29,12 @@ def spread(df: DataFrame, rows: int, *key: str) -> DataFrame:
     return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // PART_ROWS)), *key)
 
 
+def elements(df: DataFrame, array: Column, name: str, *keep: str) -> DataFrame:
+    """A row for each element of an array of structs. A plain `explode` also filters by the array's size below all that makes it, and so has
+    it made twice, with the pages read for it."""
+    return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
 def moment(value: object) -> Column:
     """A fixed time without zone. `as_of` is always an argument of the operators, so a rerun gives what the run gave."""
     return F.lit(str(value)).cast("timestamp_ntz")

@@ -3,6 +3,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lacewing.operators import records
+from lacewing.plans.official import shown_products
 from lacewing.sources import markup, official
 
 PAGE = """<!doctype html><DIV class='a  b' id=x><p>One<p>two &amp; <b>three</b></div>tail
@@ -65,6 +66,39 @@ def test_picks_read_what_nodes_read(spark):
     assert len(rows) == len(pages) and rows[0].q is None and [r.html for r in rows if r.html is not None and r.q != r.want] == []
 
 
+def nested(random, depth=0):
+    """Markup whose elements are closed in turn."""
+    out = []
+    for kind in random.integers(0, 8, random.integers(0, 4)):
+        if kind < 3 and depth < 5:
+            start = random.choice(["<p>", "<b class='a  x'>", "<i class=a id=k1 href='/x?o=1&copy=2&c=4'>", "<s class=\"a 'q'\" id='k&amp;\"'>", "<B CLASS=x\nid=k9>", "<td  Class='y b'>"])
+            out += [start, nested(random, depth + 1), f"</{start[1:].strip('>').split(' ')[0]}>"]
+        else:
+            out.append(random.choice(["<script>var 'x' \" > y &amp;</script>", "<title>a &amp; &bc</title>", "a &amp; b", "<br>", "x > y", "<!-- c <p> -->", "é한 &cid=3", " ", "<img src='' id=kk class=a />", "<input a=\"'\" class='&#97;'>", "t\n"]))
+    return "".join(out)
+
+
+def test_plain_pages_are_read_as_columns():
+    """No plain page is read tag by tag, and columns hold what a stack of open elements gives."""
+    random, torn = np.random.default_rng(4), ["<p>", "</b>", "<b", "<!-- a", "x\x00", "<a b='>"]
+    inner = {"tag": markup.Pick("@class", markup.THIS), "p": markup.Pick("text", "p"), "own": markup.Pick("own", css="a", within="x"), "in": markup.Pick({"t": markup.Pick("text", markup.THIS)}, "b")}
+    picks = {"text": markup.Pick("text", css="a"), "ids": markup.Pick("@id", begins=(("id", "k"),)), "code": markup.Pick("value", "#script"), "held": markup.Pick("@class", "b", within="a"), "rows": markup.Pick(inner, "b", "x"), "all": markup.Pick("own"), "link": markup.Pick("@href", "i", attrs=(("id", "k1"),))}
+    plain = [None, "", *(nested(random) for _ in range(400))]
+    reader = markup._Columns(picks)
+    assert not markup.Tokens(pa.array(plain).fill_null(""), reader.form).torn.any()
+    pages = [x for page in plain for x in (page, (page or "") + random.choice(torn))]
+    want = markup._Picker(picks).array(pages).to_pylist()
+    for first in (0, 7):
+        assert reader.array(pa.array(pages).slice(first)).to_pylist() == want[first:]
+
+
+def test_elements_are_made_once(spark):
+    """Cards of a page aren't read once more to count them first."""
+    pages = spark.createDataFrame([("a", "<p class=t_row>x</p>"), ("b", None), ("c", "")], "name string, html string")
+    rows = shown_products(pages.selectExpr("1 as l_orderkey", "*"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1 and [r.cid for r in rows.collect()] == [None]
+
+
 def test_few_pages_are_objects_at_once():
     """A batch of long pages would be gigabytes of Python objects."""
     html = pa.array(["<p>" * 100_000, None] * 20)
