@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import with_value
-
-#: What parts the keys of a rule within; no key of a rule may hold it.
-_SEP = "\x1f"
-KINDS = {"object": "OBJECT", "map": "OBJECT", "array": "ARRAY", "bigint": "BIGINT", "string": "STRING", "boolean": "BOOLEAN", "double": "DOUBLE|DECIMAL|BIGINT"}
+#: What Spark's own JSON reader takes, too: letters of a number, and objects and arrays within each other.
+_DIGITS = _LEVELS = 1000
+_LONG = range(-(1 << 63), 1 << 63)
+#: What a scalar of a kind is; a whole number may be of any size where it stands for a double.
+KINDS: dict[str, Callable[[object], bool]] = {
+    "bigint": lambda v: v.__class__ is int and v in _LONG, "string": lambda v: v.__class__ is str, "boolean": lambda v: v.__class__ is bool, "double": lambda v: v.__class__ in (int, float),
+}
 
 
 class Shape:
@@ -17,62 +23,129 @@ class Shape:
     of x, and a name a scalar; with a question mark it may be null, but not absent."""
 
     def __init__(self, form: object):
-        self.kind: dict[str, str] = {}
-        self.keys: dict[str, list[str]] = {}
-        self.depth = self._add("$", form)
-
-    def _add(self, rule: str, form: object) -> int:
-        if isinstance(form, list):
-            parts, self.kind[rule] = {"*": form[0]}, "array"
-        elif isinstance(form, dict):
-            parts, self.kind[rule] = form, "map" if list(form) == ["*"] else "object"
+        self.faults = _judge(form)
+
+
+def _judge(form: object) -> Callable[[object, str], Iterator[tuple[str, str]]]:
+    """The faults of a value, each with its path; what stands under a fault isn't looked at."""
+    if isinstance(form, list):
+        part = _judge(form[0])
+
+        def array(value: object, path: str) -> Iterator[tuple[str, str]]:
+            if value.__class__ is not list:
+                yield path, "type"
+            else:
+                for i, v in enumerate(value):
+                    yield from part(v, f"{path}.{i}")
+
+        return array
+    if not isinstance(form, dict):
+        kind = KINDS.get(str(form).removesuffix("?"))
+        if kind is None:
+            raise ValueError(f"no such kind: {form}")
+        return _scalar(kind, str(form).endswith("?"))
+    every = form["*"] if list(form) == ["*"] else None
+    parts = {} if every is not None else {k: _judge(x) for k, x in form.items()}
+    part = _judge(every) if every is not None else None
+    # most keys are of scalars, which are judged without a call of their own
+    simple = {k: (KINDS[str(x).removesuffix("?")], str(x).endswith("?")) for k, x in form.items() if every is None and not isinstance(x, (list, dict))}
+
+    def fields(value: object, path: str) -> Iterator[tuple[str, str]]:
+        if value.__class__ is not dict:
+            yield path, "type"
+        elif part is not None:
+            for k, v in value.items():
+                yield from part(v, f"{path}.{k}")
         else:
-            parts, self.kind[rule] = {}, str(form)
-            if str(form).removesuffix("?") not in KINDS:
-                raise ValueError(f"no such kind: {form}")
-        self.keys[rule] = list(parts) if self.kind[rule] == "object" else []
-        return 1 + max((self._add(f"{rule}{_SEP}{k}", x) for k, x in parts.items()), default=0)
+            for k, v in value.items():
+                if k in simple:
+                    fits, empty = simple[k]
+                    if not (fits(v) or (empty and v is None)):
+                        yield f"{path}.{k}", "type"
+                elif k in parts:
+                    yield from parts[k](v, f"{path}.{k}")
+                else:
+                    yield f"{path}.{k}", "unknown"
+            if not parts.keys() <= value.keys():
+                yield from ((f"{path}.{k}", "missing") for k in parts if k not in value)
+
+    return fields
+
+
+def _scalar(fits: Callable[[object], bool], empty: bool) -> Callable[[object, str], Iterator[tuple[str, str]]]:
+    def scalar(value: object, path: str) -> Iterator[tuple[str, str]]:
+        if not (fits(value) or (empty and value is None)):
+            yield path, "type"
+
+    return scalar
+
+
+def _once(pairs: list[tuple[str, object]]) -> dict[str, object]:
+    """An object; one that names a key twice is no JSON."""
+    out = dict(pairs)
+    if len(out) < len(pairs):
+        raise ValueError("repeated key")
+    return out
+
+
+def _number(read: Callable[[str], object]) -> Callable[[str], object]:
+    def number(text: str) -> object:
+        if len(text) > _DIGITS:
+            raise ValueError("long number")
+        return read(text)
+
+    return number
+
+
+def _constant(text: str) -> object:
+    raise ValueError(text)
+
+
+def _deep(value: object) -> bool:
+    level = [value]
+    for _ in range(_LEVELS):
+        level = [v for x in level if isinstance(x, (dict, list)) for v in (x.values() if isinstance(x, dict) else x)]
+    return any(isinstance(x, (dict, list)) for x in level)
+
+
+def _parsed(decoder: json.JSONDecoder, doc: str) -> object:
+    """The first value of a text; what follows it isn't looked at, unless it touches a number or a word."""
+    doc = doc.lstrip(" \t\n\r")
+    value, end = decoder.raw_decode(doc)
+    if (not isinstance(value, (dict, list, str)) and doc[end : end + 1].strip(" \t\n\r")) or (doc.count("{") + doc.count("[") > _LEVELS and _deep(value)):
+        raise ValueError("no value by itself")
+    return value
+
 
-    def of(self, rule: Column, values: dict[str, str]) -> Column:
-        """A value by rule; null for other rules."""
-        return F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), rule)
+_FOUND = "array<struct<path:string,fault:string>>"
 
 
 def faults(rows: DataFrame, key: list[str], text: str, shape: Shape) -> DataFrame:
     """(key, path, fault): `not JSON`, and each `unknown`, `missing` and ill-typed (`type`) key of the JSON in `text`, by its path.
 
-    Each level of the shape opens the objects and arrays of the one above where they lie and passes on the faults found before, so that
-    a document is read once; nothing is shuffled. What stands under an
+    Documents are read batch by batch, one at a time, and only their faults become rows; nothing is shuffled. What stands under an
     unknown or ill-typed key isn't looked at. A null text is not JSON.
     """
-    named, key = key, [f"key_{i}" for i in range(len(key))]
-    row = lambda path, rule, v, fault: F.struct(path.alias("path"), rule.alias("rule"), v.alias("v"), fault.alias("fault"))
-    void, sound = F.lit(None).cast("variant"), F.lit(None).cast("string")
-    start = rows.select(*[F.col(n).alias(k) for n, k in zip(named, key)], F.try_parse_json(text).alias("v"))
-    level = start.select(*key, F.lit("$").alias("path"), F.lit("$").alias("rule"), "v", F.when(F.col("v").isNull(), "not JSON").alias("fault"))
-    for depth in range(shape.depth):
-        kind = shape.of(F.col("rule"), {r: k.removesuffix("?") for r, k in shape.kind.items()})
-        wanted = shape.of(F.col("rule"), {r: KINDS[k.removesuffix("?")] for r, k in shape.kind.items()})
-        nullable = F.col("rule").isin([r for r, k in shape.kind.items() if k.endswith("?")])
-        # parts are taken with the names in them alone; variant_explode gives each the names of the whole document
-        opened = level.withColumns({"kind": kind, "entries": F.try_variant_get("v", "$", "map<string,variant>"), "items": F.try_variant_get("v", "$", "array<variant>")})
-        scalar = F.regexp_extract(F.schema_of_variant("v"), "^[A-Z]+", 0)
-        actual = F.when(F.col("entries").isNotNull(), "OBJECT").when(F.col("items").isNotNull(), "ARRAY").otherwise(scalar)
-        fits = with_value(actual, lambda x: F.array_contains(F.split(wanted, r"\|"), x) | ((x == "VOID") & nullable))
-        fault = F.coalesce("fault", F.when(F.col("kind").isNull(), "unknown").when(~F.coalesce(fits, F.lit(False)), "type"))
-        path = lambda name: F.concat_ws(".", "path", name)
-        under = lambda name: F.concat_ws(_SEP, "rule", name)
-        parts = F.when(F.col("kind") == "array", F.transform("items", lambda v, i: row(path(i.cast("string")), under(F.lit("*")), v, sound)))
-        parts = parts.when(F.col("kind").isin("object", "map"), F.transform(F.map_entries("entries"), lambda e: row(path(e["key"]), under(F.when(F.col("kind") == "map", "*").otherwise(e["key"])), e["value"], sound)))
-        gone = F.array().cast("array<string>")
-        for rule, keys in shape.keys.items():
-            if keys and rule.count(_SEP) == depth:
-                gone = F.when(F.col("rule") == rule, F.filter(F.array(*map(F.lit, keys)), lambda k: ~F.map_contains_key("entries", k))).otherwise(gone)
-        missing = F.transform(gone, lambda k: row(path(k), F.col("rule"), void, F.lit("missing")))
-        judged = opened.withColumn("fault", fault)
-        inner = F.when(F.col("fault").isNotNull(), F.array(row(F.col("path"), F.col("rule"), void, F.col("fault")))).otherwise(F.concat(missing, F.coalesce(parts, F.array().cast("array<struct<path:string,rule:string,v:variant,fault:string>>"))))
-        level = judged.select(*key, F.explode(inner).alias("at")).select(*key, "at.*")
-    return level.where("fault is not null").select(*[F.col(k).alias(n) for n, k in zip(named, key)], "path", "fault")
+    found = F.arrow_udf(_reader(shape), _FOUND)(text)
+    return rows.select(*key, found.alias("found")).select(*key, F.explode_outer("found").alias("at")).where("at is not null").select(*key, "at.path", "at.fault")
+
+
+def _reader(shape: Shape) -> Callable[[pa.Array], pa.Array]:
+    def read(docs: pa.Array) -> pa.Array:
+        decoder = json.JSONDecoder(object_pairs_hook=_once, parse_int=_number(int), parse_float=_number(float), parse_constant=_constant)
+        offsets, paths, said = [0], [], []
+        for doc in map(pa.StringScalar.as_py, docs):
+            try:
+                found = list(shape.faults(_parsed(decoder, doc), "$")) if doc is not None else [("$", "not JSON")]
+            except (ValueError, RecursionError):
+                found = [("$", "not JSON")]
+            for path, fault in found:
+                paths.append(path.encode("utf-8", "replace").decode())
+                said.append(fault)
+            offsets.append(len(paths))
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(paths, pa.string()), pa.array(said, pa.string())], names=["path", "fault"]))
+
+    return read
 
 
 NAMES = ("name_ja", "name_en", "name_ko")

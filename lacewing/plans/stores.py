@@ -12,7 +12,7 @@ from ..operators import assets, deck, digests, history, identity, layout, names,
 from ..operators.constraints import Constraints, violations
 from ..operators.numbering import stored
 from ..operators.suppression import bounds, meeting
-from ..sources.tables import fresh_folder, moment, table
+from ..sources.tables import dealt, fresh_folder, moment, table
 from . import shop, texts
 from .official import joined
 
@@ -24,7 +24,7 @@ def indexes(spark: SparkSession, d: str, torn: bool) -> DataFrame:
     image = joined("images/", F.when((k % 127 == 0) & (not torn), 0).otherwise(k), "_", line, "_", F.substring(sha, 1, 12), ".png")
     art = F.struct(line.alias("ciid"), image.alias("image"), F.when((line != 7) | (not torn), sha).alias("sha256"))
     arts = F.to_json(F.array_sort(F.collect_list(art)), {"ignoreNullFields": "false"})
-    cards = table(spark, d, "lineitem").repartition("l_orderkey").groupBy("l_orderkey", "l_partkey").agg(arts.alias("arts"))
+    cards = dealt(table(spark, d, "lineitem"), "l_orderkey").groupBy("l_orderkey", "l_partkey").agg(arts.alias("arts"))
     cid = F.when((k % 107 == 0) & torn, joined('"', k, '"')).when((k % 131 == 0) & (not torn), "0").otherwise(k.cast("string"))
     name = F.when((k % 103 == 0) & torn, "").when((k % 109 == 0) & (not torn), '"name_en":" ",').otherwise(joined('"name_en":"Card ', k, '",'))
     url = F.when((k % 113 == 0) & (not torn), "x").otherwise(joined("/card?cid=", k))

@@ -148,3 +148,15 @@ def test_faults_read_a_document_once(spark):
     plan = found._jdf.queryExecution().executedPlan().toString().lower()
     assert plan.count("scan existingrdd") == 1 and "variant_explode" not in plan
     assert found.groupBy("fault").count().orderBy("fault").collect() == [("missing", 3000), ("unknown", 3000)]
+
+
+def test_only_faults_become_rows(spark):
+    """Every key of a document became a row at each level below it, sound or not; an object without any keys took all."""
+    docs = {
+        "first of two": '{"v": 1, "items": {}}, {', "repeated": '{"v": 1, "v": 1, "items": {}}', "long": '{"v": 9223372036854775808, "items": {}}', "whole": '{"v": 1.0, "items": {}}', "word": "nullx", "nan": '{"v": NaN, "items": {}}',
+        "surrogate": '{"v": 1, "items": {"\\ud800": 1}}', "digits": '{"v": 1, "items": {"a": ' + "1" * 1001 + "}}", "levels": '{"v": 1, "x": ' + "[" * 1001 + "]" * 1001 + "}", "big": '{"v": 1, "items": {"a": {"tags": [], "note": null, "size": ' + "1" * 30 + "}}}",
+    }
+    torn = {(k, "$", "not JSON") for k in ("repeated", "word", "nan", "digits", "levels")}
+    assert found(spark, **docs) == torn | {("long", "$.v", "type"), ("whole", "$.v", "type"), ("surrogate", "$.items.?", "type")}
+    none = nested.faults(spark.createDataFrame([(1, '{"a": 1}'), (2, "{}")], "k int, doc string"), ["k"], "doc", nested.Shape({}))
+    assert [tuple(r) for r in none.collect()] == [(1, "$.a", "unknown")] and none._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
