@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +17,8 @@ def joined(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
-def card(cid: Column, name: Column, link: Column, more: Column | str = "") -> Column:
-    return joined('<div class="t_row c_normal open"><input class="cid" value="', cid, '"><input class="link_value" value="/x?ope=2&cid=', link, '"><span class="card_name"> ', name, "</span>", more, "</div>")
+def card(cid: Column, name: Column, link: Column, more: Column | str = "", hand: Callable[..., Column] = joined) -> Column:
+    return hand('<div class="t_row c_normal open"><input class="cid" value="', cid, '"><input class="link_value" value="/x?ope=2&cid=', link, '"><span class="card_name"> ', name, "</span>", more, "</div>")
 
 
 def list_cards(spark: SparkSession, d: str) -> DataFrame:
@@ -34,17 +37,30 @@ def list_cards(spark: SparkSession, d: str) -> DataFrame:
     return elements(found, F.col("cards"), "c", "n", "locale", "problem").select("n", "locale", "problem", "c.cid", "c.name")
 
 
-def badge(rid: Column, code: Column) -> Column:
-    return joined('<div class="lr_icon rid_', rid, '"><p>', code, "</p><span>", code, " Rare</span></div>")
+def badge(rid: Column, code: Column, hand: Callable[..., Column] = joined) -> Column:
+    return hand('<div class="lr_icon rid_', rid, '"><p>', code, "</p><span>", code, " Rare</span></div>")
+
+
+#: The rules of another hand: other quotes, order of attributes and case, and elements of one name within each other.
+HAND = [(re.compile(a), b) for a, b in (
+    (r" (class|id|name|value|href|src|action)=\"([^\"']*)\"", r" \1='\2'"),
+    (r"<(input|img) (\w+)='([^']*)' (\w+)=('[^']*'|\"[^\"]*\")>", r"<\1 data-x  \4=\5\n \2='\3' />"),
+    ("<td ", "<TD  "), ("</td>", "</Td >"), (r"(<TD  class='glist_0[23]'>)([^<]*)</Td >", r"\1<table><tr><td>\2</td></tr></table></TD>"),
+    (r"(<div class='(?:t_row|lr_icon)[^>]*>)", r"\1<div ><div></div></div>"),
+    (r"<span class='card_name'>([^<]*)</span>", r"<span id=x class='card_name other'><span>\1</span><!-- </span> --></span>"),
+)]
 
 
-def requoted(html: Column) -> Column:
-    """The same page in another hand: other quotes, order of attributes and case, and elements of one name within each other."""
-    html = F.regexp_replace(html, " (class|id|name|value|href|src|action)=\"([^\"']*)\"", " $1='$2'")
-    html = F.regexp_replace(html, "<(input|img) (\\w+)='([^']*)' (\\w+)=('[^']*'|\"[^\"]*\")>", "<$1 data-x  $4=$5\n $2='$3' />")
-    html = F.regexp_replace(F.replace(F.replace(html, F.lit("<td "), F.lit("<TD  ")), F.lit("</td>"), F.lit("</Td >")), "(<TD  class='glist_0[23]'>)([^<]*)</Td >", "$1<table><tr><td>$2</td></tr></table></TD>")
-    html = F.regexp_replace(html, "(<div class='(?:t_row|lr_icon)[^>]*>)", "$1<div ><div></div></div>")
-    return F.regexp_replace(html, "<span class='card_name'>([^<]*)</span>", "<span id=x class='card_name other'><span>$1</span><!-- </span> --></span>")
+def requoted(*parts: Column | str) -> Column:
+    """The same parts, joined, in another hand: rewritten once as a page with gaps, not page by page. What fills the gaps is plain text or
+    was rewritten itself."""
+    page, gaps = "", []
+    for p in parts:
+        page += p if isinstance(p, str) else f"\x01{len(gaps)}\x02"
+        gaps += [] if isinstance(p, str) else [p]
+    for old, new in HAND:
+        page = old.sub(new, page)
+    return joined(*[gaps[int(p)] if i % 2 else p for i, p in enumerate(re.split("\x01([0-9]+)\x02", page))])
 
 
 def product_pages(spark: SparkSession, d: str) -> DataFrame:
@@ -52,7 +68,7 @@ def product_pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def requoted_products(spark: SparkSession, d: str) -> DataFrame:
-    return shown_products(products_rendered(spark, d).withColumn("html", requoted(F.col("html"))))
+    return shown_products(products_rendered(spark, d, requoted))
 
 
 def shown_products(pages: DataFrame) -> DataFrame:
@@ -60,14 +76,14 @@ def shown_products(pages: DataFrame) -> DataFrame:
     return elements(found, F.col("cards"), "c", "l_orderkey", "problem").select("l_orderkey", "problem", "c.cid", F.array_join(F.transform("c.rarities", lambda b: joined(b["rid"], ":", b["label"])), ",").alias("rarities"))
 
 
-def products_rendered(spark: SparkSession, d: str) -> DataFrame:
+def products_rendered(spark: SparkSession, d: str, hand: Callable[..., Column] = joined) -> DataFrame:
     """A product page for each order, a row for each part in it, badges by line number; the title has other white space."""
     lines = dealt(table(spark, d, "lineitem"), "l_orderkey").groupBy("l_orderkey", "l_partkey").agg(F.sort_array(F.collect_set("l_linenumber")).alias("rids"))
-    icons = F.array_join(F.transform("rids", lambda r: badge(r, F.when(r == 7, "").otherwise(joined("R", r)))), "")
-    row = card(F.col("l_partkey"), joined("Card ", F.col("l_partkey")), F.col("l_partkey"), icons)
+    icons = F.array_join(F.transform("rids", lambda r: badge(r, F.when(r == 7, "").otherwise(joined("R", r)), hand)), "")
+    row = card(F.col("l_partkey"), joined("Card ", F.col("l_partkey")), F.col("l_partkey"), icons, hand)
     pages = lines.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list(row)), "").alias("rows"))
     k = F.col("l_orderkey")
-    html = joined("<title>Product  ", F.when(k % 41 == 0, 0).otherwise(k), ' | Shop</title><div class="text">', F.col("n") + F.when(k % 37 == 0, 1).otherwise(0), " cards</div>", F.col("rows"))
+    html = hand("<title>Product  ", F.when(k % 41 == 0, 0).otherwise(k), ' | Shop</title><div class="text">', F.col("n") + F.when(k % 37 == 0, 1).otherwise(0), " cards</div>", F.col("rows"))
     return pages.select("l_orderkey", joined("Product ", k).alias("name"), html.alias("html"))
 
 

@@ -1,12 +1,17 @@
 """Listing and search pages, boxes and cards against plain rules."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lacewing.operators import deck, layout, records
+from lacewing.plans import official, shop
 from lacewing.sources import listings
 
+FOLDER = "/root/testdata/sf0.001"
+
 BLOCK = (
     '<table id="list_card_{i}"><tr><td class="glist_01"><a href="goods_detail.php?goodsIdx={i}">Red &amp; <b>Blue</b></a></td><td class="glist_02">(AB12-JP0{i})</td><td class="glist_03">Rare</td><td class="glist_03"> </td>'
     '<s class="glist_price11">9,999</s><b class="glist_price12">{price}</b><i class="glist_price_won">원</i><img src="x/go_cart.gif" onclick="cartOneGo(\'{i}\')"><input name="comparechk_bLimit" value="1"><input value="{limit}" name="comparechk_limitCnt"></td></tr></table>'
@@ -50,6 +55,20 @@ def test_search_pages(spark):
     assert found["empty"] is None and found["torn"] == "not an empty result" and found["off"] == "off target" and found["other"] == "search box" and found["good"] is None and found["no form"] == "form"
 
 
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the driver's tables")
+@pytest.mark.parametrize("pages", [shop.rendered, official.products_rendered])
+def test_another_hand_is_learned_once(spark, pages):
+    """Pages are written in the other hand, which is what rewriting each of them gives."""
+    other = pages(spark, FOLDER, official.requoted)
+    assert "regexp_replace" not in other._jdf.queryExecution().optimizedPlan().toString()
+    rows = pages(spark, FOLDER).join(other.select("l_orderkey", F.col("html").alias("other")), "l_orderkey").select("html", "other").collect()
+    for html, found in rows:
+        for old, new in official.HAND:
+            html = old.sub(new, html)
+        assert found == html
+    assert len(rows) > 1000
+
+
 def boxes(n):
     rng = np.random.default_rng(5)
     return [(1, i, float(rng.random()), *map(float, rng.uniform((0, 0, 20, 20, -3), (120, 120, 60, 60, 3)))) for i in range(n)]
