@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import with_value, without_space
-from .markup import THIS, Pick, only, picked
+from .markup import THIS, Pick, picked, single
 from .tables import elements
 
 #: How each locale writes a list's total and range, in that order of groups, and the pages' markup.
@@ -33,7 +33,7 @@ def rows_of(fields: dict[str, Pick]) -> Pick:
 
 def value_of(found: Column) -> Column:
     """The value of the only input; null if there are none or several."""
-    return only(F.transform(found, lambda x: F.coalesce(x, F.lit(""))))
+    return single(found)
 
 
 def no_data(page: Column) -> Column:
@@ -58,7 +58,7 @@ def repeated(values: Column) -> Column:
 
 
 def card_row(own: Column) -> Column:
-    cid, link, name = value_of(own["cid"]), F.regexp_extract(value_of(own["link"]), r"[?&]cid=([0-9]+)", 1), only(own["name"])
+    cid, link, name = value_of(own["cid"]), F.regexp_extract(value_of(own["link"]), r"[?&]cid=([0-9]+)", 1), single(own["name"])
     problem = F.when(cid.isNull() | ~cid.rlike("^[0-9]+$"), "cid").when(F.coalesce(link, F.lit("")) != cid, "link").when(name.isNull(), "name")
     return F.struct(cid.try_cast("long").alias("cid"), name.alias("name"), problem.alias("problem"))
 
@@ -67,7 +67,7 @@ def list_pages(pages: DataFrame, size: int = PAGE_SIZE) -> DataFrame:
     """`pages` (locale, page, html, …) with counts, cards and problem: the range must be that of the page, and the rows as many, each of
     a cid of its own. Totals that drift between pages are for `records.page_rules`."""
     page = F.col("page_picks")
-    found = pages.withColumn("page_picks", picked("html", text=TEXT, rows=rows_of(CARD))).withColumn("counts", counts(only(page["text"]), F.col("locale"))).withColumn("cards", F.transform(page["rows"], card_row))
+    found = pages.withColumn("page_picks", picked("html", text=TEXT, rows=rows_of(CARD))).withColumn("counts", counts(single(page["text"]), F.col("locale"))).withColumn("cards", F.transform(page["rows"], card_row))
     total, first, last = (F.col(f"counts.{n}") for n in ("total", "first", "last"))
     at = (F.col("page") - 1) * size + 1
     problem = (
@@ -82,7 +82,7 @@ def index_products(pages: DataFrame) -> DataFrame:
     problem, as is a row that isn't whole."""
     page = F.col("page_picks")
     pid = lambda own: F.regexp_extract(value_of(own["link"]), r"^[^?]*\?ope=1&sess=1&pid=([0-9]+)&rp=99999$", 1).try_cast("long")
-    rows = F.transform(page["rows"], lambda own: F.struct(pid(own).alias("pid"), only(own["name"]).alias("name"), only(own["time"]).alias("released")))
+    rows = F.transform(page["rows"], lambda own: F.struct(pid(own).alias("pid"), single(own["name"]).alias("name"), single(own["time"]).alias("released")))
     picks = pages.select(picked("html", rows=rows_of({"link": _INPUT("link_value"), "name": Pick("text", css="main"), "time": Pick("text", css="time")})).alias("page_picks"))
     parts = elements(picks, rows, "row").select("row.*")
     fault = F.when(F.col("pid").isNull() | F.col("name").isNull() | ~F.coalesce(F.col("released").rlike(DATE), F.lit(False)), "row")
@@ -109,7 +109,7 @@ def product_pages(pages: DataFrame) -> DataFrame:
     row = lambda own: with_value(badges(own["badges"]), lambda b: with_value(card_row(own), lambda c: F.struct(c["cid"].alias("cid"), c["name"].alias("name"), b.alias("rarities"), F.coalesce(c["problem"], badge_problem(b)).alias("problem"))))
     found = pages.withColumn("page_picks", picked("html", title=Pick("text", "title"), text=TEXT, rows=rows_of({**CARD, "badges": BADGES}))).withColumn("cards", F.transform(page["rows"], row))
     title = F.get(F.split(F.get(page["title"], F.lit(0)), r" \| "), F.lit(0))
-    total = F.replace(F.regexp_extract(only(page["text"]), r"([\d,]+)", 1), F.lit(","), F.lit("")).try_cast("long")
+    total = F.replace(F.regexp_extract(single(page["text"]), r"([\d,]+)", 1), F.lit(","), F.lit("")).try_cast("long")
     problem = F.when(F.coalesce(without_space(title) != without_space(F.col("name")), F.lit(True)), "title").when(total.isNull() | (total != F.size("cards")), "total").when(repeated(F.transform("cards", lambda c: c["cid"])), "repeated cid")
     return found.withColumn("problem", F.coalesce(problem, first_problem(F.col("cards")))).drop("page_picks")
 
@@ -120,7 +120,7 @@ def detail_prints(pages: DataFrame) -> DataFrame:
     page = F.col("page_picks")
 
     def row(own: Column) -> Column:
-        pid, date = F.regexp_extract(value_of(own["link"]), r"[?&]pid=([0-9]+)&", 1).try_cast("long"), only(own["time"])
+        pid, date = F.regexp_extract(value_of(own["link"]), r"[?&]pid=([0-9]+)&", 1).try_cast("long"), single(own["time"])
         number = F.get(own["number"], F.lit(0))
         fault = F.when(pid.isNull() | number.isNull() | ~F.coalesce(date.rlike(DATE), F.lit(False)), "row")
         return with_value(badges(own["badges"]), lambda b: F.struct(pid.alias("pid"), number.alias("card_number"), date.alias("released"), b.alias("rarities"), F.coalesce(fault, badge_problem(b)).alias("problem")))
@@ -153,7 +153,7 @@ def detail_cards(pages: DataFrame) -> DataFrame:
 def search_results(pages: DataFrame) -> DataFrame:
     """`pages` (html, …) with total, cards (name, cid) and problem; no rows are right only where the page says so."""
     page = F.col("page_picks")
-    found = pages.withColumn("page_picks", picked("html", text=TEXT, rows=rows_of(CARD), none=NONE)).withColumn("cards", F.transform(page["rows"], card_row)).withColumn("total", counts(only(page["text"]), F.lit("en"))["total"])
+    found = pages.withColumn("page_picks", picked("html", text=TEXT, rows=rows_of(CARD), none=NONE)).withColumn("cards", F.transform(page["rows"], card_row)).withColumn("total", counts(single(page["text"]), F.lit("en"))["total"])
     none = F.size("cards") == 0
     problem = F.when(none & ~no_data(page), "no rows").when(~none & F.col("total").isNull(), "total")
     return found.withColumn("total", F.when(none, F.lit(0).cast("long")).otherwise(F.col("total"))).withColumn("problem", F.coalesce(first_problem(F.col("cards")), problem)).drop("page_picks")

@@ -61,3 +61,12 @@ def test_pages_of_parts_are_dealt_to_all_cores(spark, tmp_path):
     """A small file is one task, however many cores there are, and its pages are long work."""
     spark.range(100).selectExpr("id as p_partkey", "'n' as p_name").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
     assert {q(spark, str(tmp_path)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism for q in (plans.detail_names, shop.search_pages)} == {True}
+
+
+def test_prints_are_made_once(spark, tmp_path):
+    """Prints of a page aren't made once more to count them first."""
+    row = "1L l_orderkey, 2L l_partkey, 3 l_linenumber, timestamp '2024-01-02' l_shipdate"
+    spark.sql(f"select {row}").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = plans.detail_prints(spark, str(tmp_path))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("rid_([0-9]+)") == 1
+    assert [tuple(r) for r in found.collect()] == [(2, None, 1, "N-1", "2024-01-02", "3")]
