@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import collapse, money_value, with_value
-from .markup import THIS, Pick, only, picked
+from ..functions.scalars import collapse, with_value
+from .markup import THIS, Pick, only, picked, single
 
 #: The markup of a listing, its categories and regions, and how numbers and prices are written.
 CATEGORIES = {"288": "ja", "276": "ko"}
@@ -41,17 +41,18 @@ def values(found: Column) -> Column:
 
 
 def read(block: Column) -> Column:
-    """What a product block says, unjudged."""
-    file = lambda n: F.regexp_extract(F.coalesce(n["src"], F.lit("")), r"([^/]*)$", 1)
+    """What a product block says, unjudged: its number and price, if they are written as such."""
+    file = lambda n: F.substring_index(F.coalesce(n["src"], F.lit("")), "/", -1)
     carts = F.filter(F.arrays_zip(block["src"].alias("src"), block["onclick"].alias("onclick")), lambda n: file(n).isin(ACTIVE, INACTIVE))
+    price = single(block["price"])
     return with_value(carts, lambda carts: F.struct(
         F.regexp_extract(F.get(block["id"], F.lit(0)), f"^{PRODUCT}([0-9]+)$", 1).alias("id"),
         (F.size(block["inner"]) > 0).alias("nested"),
         F.filter(block["links"], lambda x: x.contains("goodsIdx=")).alias("links"),
         F.filter(block["name_links"], lambda x: x.isNotNull()).alias("name_links"),
-        only(block["name"]).alias("name"), only(block["number"]).alias("number"),
+        single(block["name"]).alias("name"), F.regexp_extract(single(block["number"]), NUMBER, 1).alias("number"),
         F.array_join(F.filter(block["rarity"], lambda x: x != ""), " ").alias("rarity"),
-        only(block["price"]).alias("price"), only(block["currency"]).alias("currency"),
+        F.when(price.rlike(PRICE), F.replace(price, F.lit(","), F.lit("")).cast("long")).alias("price"), single(block["currency"]).alias("currency"),
         F.size(carts).alias("carts"), F.get(F.transform(carts, file), F.lit(0)).alias("cart"),
         F.regexp_extract_all(F.get(F.transform(carts, lambda n: F.coalesce(n["onclick"], F.lit(""))), F.lit(0)), F.lit(CART), F.lit(1)).alias("handlers"),
         values(block["flags"]).alias("flags"), values(block["limits"]).alias("limits"),
@@ -62,15 +63,15 @@ def read(block: Column) -> Column:
 def judged(p: Column, locale: Column) -> Column:
     """The product, its stock, and the first thing wrong with it."""
     regions = F.create_map(*[F.lit(x) for pair in REGIONS.items() for x in pair])
-    number, active, own = F.regexp_extract(p["number"], NUMBER, 1), F.coalesce(p["cart"] == ACTIVE, F.lit(False)), F.array(p["id"])
-    price, limit = F.when(p["price"].rlike(PRICE), money_value(p["price"])), F.get(p["limits"], F.lit(0))
+    number, active, own = p["number"], F.coalesce(p["cart"] == ACTIVE, F.lit(False)), F.array(p["id"])
+    price, limit = p["price"], F.get(p["limits"], F.lit(0))
     flagged = active & (p["handlers"] == own) & F.coalesce(F.get(p["flags"], F.lit(0)) == "1", F.lit(False)) & limit.isNotNull()
     stock = F.when(p["sold_out"], "out_of_stock").when(flagged, "in_stock").otherwise("unknown")
     strange = lambda values, good: F.exists(values, lambda x: x != good)
     problem = (
         F.when(p["id"] == "", "id").when(p["nested"], "nested").when(strange(p["links"], F.concat(F.lit(DETAIL), p["id"])), "link")
         .when(p["name_links"] != F.array(F.concat(F.lit(DETAIL), p["id"])), "name link").when(p["name"].isNull(), "name")
-        .when(F.coalesce(number, F.lit("")) == "", "number").when(F.coalesce(regions[F.regexp_extract(p["number"], NUMBER, 2)], F.lit("")) != F.coalesce(locale, F.lit("")), "region")
+        .when(F.coalesce(number, F.lit("")) == "", "number").when(F.coalesce(regions[F.substring(F.substring_index(number, "-", -1), 1, 2)], F.lit("")) != F.coalesce(locale, F.lit("")), "region")
         .when(p["rarity"] == "", "rarity").when(p["currency"].isNull() | (p["currency"] != CURRENCY), "currency").when(F.coalesce(price, F.lit(0)) <= 0, "price")
         .when((p["carts"] > 1) | (F.size(p["flags"]) > 1) | (F.size(p["limits"]) > 1), "several carts").when(limit.isNotNull() & ~limit.rlike("^-?[0-9]+$"), "limit")
         .when(strange(p["handlers"], p["id"]), "handler").when(p["sold_out"] & active, "contradiction").when(flagged & ~p["sold_out"] & (limit.try_cast("long") <= 0), "limit")

@@ -69,6 +69,14 @@ def test_another_hand_is_learned_once(spark, pages):
     assert len(rows) > 1000
 
 
+def test_a_block_is_judged_by_few_patterns(spark):
+    """The number is matched once, and an image's name is what follows the last slash, if there is one."""
+    pages = {"bare": page(block(1).replace("x/go_cart.gif", "go_cart.gif")), "deep": page(block(1).replace("x/go_cart.gif", "/a//go_cart.gif")), "folder": page(block(1).replace("x/go_cart.gif", "go_cart.gif/"))}
+    found = listings.parsed(spark.createDataFrame([(k, URL, v) for k, v in pages.items()], "k string, url string, html string"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("(JP|KR)") == 1
+    assert {r.k: (r.problem, [p.stock for p in r.products]) for r in found.collect()} == {"bare": (None, ["in_stock"]), "deep": (None, ["in_stock"]), "folder": (None, ["unknown"])}
+
+
 def boxes(n):
     rng = np.random.default_rng(5)
     return [(1, i, float(rng.random()), *map(float, rng.uniform((0, 0, 20, 20, -3), (120, 120, 60, 60, 3)))) for i in range(n)]
